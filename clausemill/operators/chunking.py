@@ -83,7 +83,8 @@ def _planner(max_tokens: int, overlap: int, min_tokens: int):
 
         return pd.Series([one(c, h, p) for c, h, p in zip(chars, headings, pieces)], dtype=object)
 
-    return plan
+    # keeps later filters from being pushed into, and repeating, this step
+    return plan.asNondeterministic()
 
 
 def document_lines(pages: DataFrame) -> DataFrame:

@@ -115,11 +115,10 @@ def evidence_rows(parsed: DataFrame, spec: dict, key: str = "doc_id") -> DataFra
             if not isinstance(s, list)
         ]
     )
-    listed = [
-        F.transform(n, lambda e, i, n=n, s=s: _evidence(n, i, _present(n, s[0], e), e))
-        for n, s in spec.items()
-        if isinstance(s, list)
-    ]
+    def items(name: str, spec) -> Column:
+        return F.transform(name, lambda e, i: _evidence(name, i, _present(name, spec, e), e))
+
+    listed = [items(n, s[0]) for n, s in spec.items() if isinstance(s, list)]
     return parsed.select(key, F.explode(F.concat(single, *listed) if listed else single).alias("e")).select(key, "e.*")
 
 

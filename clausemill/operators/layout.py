@@ -41,7 +41,7 @@ def runs_to_pages(runs: DataFrame) -> DataFrame:
     visible = runs.filter(T.strip_ws("str") != "")
     item = F.struct("seq", "x", "y", "str")
     page = visible.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    page = page.withColumn("line", lines_for(F.transform("items", lambda i: i.y)))
+    page = page.withColumn("line", lines_for.asNondeterministic()(F.transform("items", lambda i: i.y)))
     placed = F.arrays_zip("items", "line")
     # a line sorts by its first run: highest first, earlier opened first; runs by x, then arrival
     rows = F.transform(

@@ -7,6 +7,7 @@ that is replayed after a lost executor or driver replaces its own output and not
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
@@ -46,16 +47,20 @@ def embed_chunks(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(chunks: DataFrame, batch_id: int) -> None:
-        earlier = [f"{target}/cache/batch={i}" for i in range(batch_id)]
         session = chunks.sparkSession
         empty = session.createDataFrame([], schemas.EMBEDDING_CACHE)
-        cache = session.read.schema(schemas.EMBEDDING_CACHE).parquet(*earlier) if earlier else empty
+
+        def cached_before(limit: int) -> DataFrame:
+            # the folder name is a partition column: only earlier batches are listed and read
+            stored = session.read.schema(schemas.EMBEDDING_CACHE + ", batch long").parquet(f"{target}/cache")
+            return stored.filter(F.col("batch") < limit).drop("batch")
+
+        cache = cached_before(batch_id) if batch_id else empty
         keyed = embedding.with_keys(chunks, embedding.HASH_MODEL, dims, "RETRIEVAL_DOCUMENT", "content")
         fresh = embedding.hash_responses(embedding.missing_keys(keyed, cache, "content"), dims, "content")
         new = embedding.grow_cache(empty, fresh, embedding.HASH_MODEL)
         new.write.mode("overwrite").parquet(f"{target}/cache/batch={batch_id}")
-        stored = session.read.schema(schemas.EMBEDDING_CACHE).parquet(*earlier, f"{target}/cache/batch={batch_id}")
-        vectors = stored.select("content_hash", "embedding")
+        vectors = cached_before(batch_id + 1).select("content_hash", "embedding")
         keyed.join(vectors, "content_hash", "left").write.mode("overwrite").parquet(f"{target}/chunks/batch={batch_id}")
 
     stream = reader.parquet(source)
