@@ -28,7 +28,7 @@ def indian_number(x: Column, digits: int = 2) -> Column:
     plain = F.format_string(f"%.{digits}f", F.abs(x))
     whole = group_indian(F.substring_index(plain, ".", 1))
     text = whole if digits == 0 else F.concat(whole, F.lit("."), F.substring_index(plain, ".", -1))
-    return _signed(x, text)
+    return F.when(x.isNotNull(), _signed(x, text))
 
 
 def format_inr(x: Column) -> Column:
@@ -46,7 +46,7 @@ def money(x: Column, whole: bool = False) -> Column:
 
 
 def percent(x: Column, digits: int = 2) -> Column:
-    return F.coalesce(F.concat(F.format_string(f"%.{digits}f", x), F.lit("%")), F.lit(DASH))
+    return F.when(x.isNotNull(), F.concat(F.format_string(f"%.{digits}f", x), F.lit("%"))).otherwise(DASH)
 
 
 def short_number(x: Column) -> Column:
@@ -91,4 +91,4 @@ def display(name: str, value: Column) -> Column:
 
 def fraction_percent(x: Column) -> Column:
     """0.934 as ``93.4%``."""
-    return F.concat(F.format_string("%.1f", x * 100), F.lit("%"))
+    return F.when(x.isNotNull(), F.concat(F.format_string("%.1f", x * 100), F.lit("%")))

@@ -93,6 +93,39 @@ REFUSAL_WORDING = r"(?i)(does not|doesn't|not (?:state|mention|specify|contain|p
 
 
 def ascii_edges(pattern: str) -> str:
-    """Spell ``\\b`` (ASCII word edge) as look-arounds, which Java would otherwise read as Unicode-aware."""
-    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-    return pattern.replace(r"\b", edge)
+    """Spell ``\\b`` (ASCII word edge) as one look-around; Java would read it as Unicode-aware.
+
+    In these patterns an edge is the start of a word when a word character or a group follows, else its end.
+    """
+    out, rest = "", pattern
+    while r"\b" in rest:
+        before, rest = rest.split(r"\b", 1)
+        out += before
+        starts = rest[:1].isalnum() or rest[:1] == "("
+        out += EDGE_L if starts else EDGE_R
+    return out + rest
+
+
+def literal_openings(pattern: str) -> list[str] | None:
+    """The literal text every alternative of a simple pattern starts with; null if one has none."""
+    alternatives, depth, current = [], 0, ""
+    for ch in pattern:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            alternatives.append(current)
+            current = ""
+        else:
+            current += ch
+    openings = []
+    for alternative in [*alternatives, current]:
+        opening = ""
+        for ch in alternative.replace(r"\b", ""):
+            if not (ch.isalnum() or ch == " "):
+                # a quantifier makes the last character optional
+                opening = opening[:-1] if ch in "?*{" else opening
+                break
+            opening += ch
+        if len(opening) < 2:
+            return None
+        openings.append(opening)
+    return openings

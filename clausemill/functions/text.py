@@ -64,7 +64,15 @@ def sentences(c: Column | str) -> Column:
 
 
 def pattern_hits(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(P.ascii_edges(pattern)))
+    """How often a pattern occurs; texts without any of its literal openings skip the regex."""
+    count = F.regexp_count(c, F.lit(P.ascii_edges(pattern)))
+    openings = P.literal_openings(pattern)
+    if not openings:
+        return count
+    possible = F.contains(c, F.lit(openings[0]))
+    for word in openings[1:]:
+        possible = possible | F.contains(c, F.lit(word))
+    return F.when(possible, count).otherwise(0)
 
 
 def quote(c: Column | str, limit: int = 220) -> Column:

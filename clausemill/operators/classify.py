@@ -14,11 +14,10 @@ LOAN_DENSITY, LOAN_DISTINCT = 12.0, 5
 
 
 def signal_counts(text: Column, loan=P.LOAN_SIGNALS, contract=P.CONTRACT_SIGNALS) -> list[Column]:
-    """Word count and one hit count per signal; literal patterns compile once per task."""
-    lowered = F.lower(text)
+    """Word count and one hit count per signal of a lower-cased text; literal patterns compile once per task."""
     named = [X.word_count(text).alias("words")]
-    named += [X.pattern_hits(lowered, p).alias(f"loan_{i}") for i, p in enumerate(loan)]
-    named += [X.pattern_hits(lowered, p).alias(f"contract_{i}") for i, p in enumerate(contract)]
+    named += [X.pattern_hits(text, p).alias(f"loan_{i}") for i, p in enumerate(loan)]
+    named += [X.pattern_hits(text, p).alias(f"contract_{i}") for i, p in enumerate(contract)]
     return named
 
 
@@ -39,7 +38,8 @@ def classify_chunks(chunks: DataFrame, loan=P.LOAN_SIGNALS, contract=P.CONTRACT_
     No signal spans a chunk boundary, so per-chunk counts add up and combine map-side: a document with
     very many chunks sends one small row per task.
     """
-    counted = chunks.select("doc_id", *signal_counts(F.col("content"), loan, contract))
+    lowered = chunks.select("doc_id", F.lower("content").alias("content"))
+    counted = lowered.select("doc_id", *signal_counts(F.col("content"), loan, contract))
     sums = counted.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in counted.columns if c != "doc_id"])
     loan_hits = [F.col(f"loan_{i}") for i in range(len(loan))]
     contract_hits = [F.col(f"contract_{i}") for i in range(len(contract))]

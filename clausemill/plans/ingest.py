@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import chunking, classify, layout, privacy
+from ..session import cut_lineage
 
 
 @dataclass
@@ -33,10 +34,15 @@ def mask_and_chunk(pages: DataFrame, **options) -> tuple[DataFrame, DataFrame, D
     return chunking.chunk_arrays(with_lines, **options), placeholders, found
 
 
-def ingest(pages: DataFrame, uploads: DataFrame | None = None, max_pages: int = layout.MAX_PAGES, **options) -> Ingested:
+def ingest(
+    pages: DataFrame, uploads: DataFrame | None = None, max_pages: int = layout.MAX_PAGES, checkpoint: bool = False,
+    **options,
+) -> Ingested:
     """The whole flow for ``pages(doc_id, page, text)`` and, if given, ``uploads(doc_id, file_name, mime_type)``.
 
     Documents over the page limit or without text go to ``rejects``; what remains is bounded per document.
+    With ``checkpoint`` the chunked documents are written once to the shared checkpoint folder, so that
+    writing several of the result tables does not mask and chunk the corpus again for each.
     """
     source = F.lit("pdf")
     rejects = None
@@ -50,6 +56,8 @@ def ingest(pages: DataFrame, uploads: DataFrame | None = None, max_pages: int =
     quality = layout.page_quality(pages, source, max_pages)
     gated = layout.accepted_pages(pages.select("doc_id", "page", "text"), quality)
     chunked, placeholders, _ = mask_and_chunk(gated, **options)
+    if checkpoint:
+        chunked, placeholders = cut_lineage(chunked), cut_lineage(placeholders)
     hashed = chunked.select("doc_id", "content_hash", F.size("chunks").alias("chunk_count"))
     chunks = chunking.explode_chunks(chunked)
     kinds = classify.classify_chunks(chunks)

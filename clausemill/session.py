@@ -23,6 +23,7 @@ def local_session(app: str = "clausemill", cpus: int | None = None, **conf: str)
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(cpus))
     )

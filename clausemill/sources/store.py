@@ -23,6 +23,12 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return reader.format(fmt).load(path)
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Give text-heavy work a task per core when the files come in fewer splits; a no-op on a large table."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def cut_into_pages(documents: DataFrame, lines_per_page: int = 8) -> DataFrame:
     """Pages of one-row documents ``(doc_id, text)``: every ``lines_per_page`` lines, without a shuffle."""
     lines = F.split("text", "\n", -1)

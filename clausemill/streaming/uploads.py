@@ -25,7 +25,7 @@ def ingest_uploads(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def run(pages: DataFrame, batch_id: int) -> None:
-        done = ingest(pages, **options)
+        done = ingest(pages, checkpoint=True, **options)
         parts = [("chunks", done.chunks), ("pii_map", done.pii_map), ("rejects", done.rejects), ("documents", done.documents)]
         for name, table in parts:
             table.write.mode("overwrite").parquet(f"{target}/{name}/batch={batch_id}")
