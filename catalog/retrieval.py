@@ -1 +1,301 @@
-"""Queries to come."""
+"""Tokens, embeddings, caches, vector and text search, fusion and contexts over chunked agreements."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from clausemill.functions import patterns as P
+from clausemill.functions import text as X
+from clausemill.functions import vectors as V
+from clausemill.operators import chunking, embedding, retrieval
+from clausemill.plans.ingest import ingest
+
+from . import inputs as I
+from .chunks import chunks_sql
+from .registry import query, table
+
+DIMS = 64
+MODEL = embedding.HASH_MODEL
+
+
+def tokens_sql(text: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in P.STOP_WORDS)
+    raw = f"string_split_regex(regexp_replace(lower({text}), '\\[[a-z]+_\\d+\\]', ' ', 'g'), '[^a-z0-9%]+')"
+    return f"list_transform(list_filter({raw}, lambda t: length(t) > 1 AND t NOT IN ({stop})), lambda t: regexp_replace(t, '(ing|ed|es|s)$', ''))"
+
+
+def embedded_sql(name: str, source: str, key: str, text: str, dims: int = DIMS) -> str:
+    """Sparse unit vectors ``name(key, slot, v)`` of a source relation, components as 32-bit floats."""
+    return f"""{name}_t AS (SELECT {key}, unnest({tokens_sql(text)}) AS t FROM {source}),
+  {name}_s AS (SELECT {key}, CAST('0x' || sha1(t)[1:8] AS BIGINT) % {dims} AS slot,
+      sum(CASE WHEN CAST('0x' || sha1(t)[9:10] AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) AS n FROM {name}_t GROUP BY ALL),
+  {name}_n AS (SELECT {key}, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM {name}_s GROUP BY ALL),
+  {name} AS (SELECT {key}, slot, CAST(CAST(n / norm AS FLOAT) AS DOUBLE) AS v FROM {name}_s JOIN {name}_n USING ({key}) WHERE norm > 0 AND n <> 0)"""
+
+
+def chunk_table(spark, d, dims: int | None = DIMS):
+    """Chunks of the derived agreements, embedded when ``dims`` is given."""
+    lines = chunking.document_lines(I.pages(spark, d))
+    rows = chunking.explode_chunks(chunking.chunk_arrays(lines))
+    return rows if dims is None else rows.withColumn("embedding", V.hash_embedding(F.col("content"), dims))
+
+
+def field_queries(spark, d):
+    return retrieval.field_queries(table(spark, d, "documents").select("doc_id"), retrieval.LOAN_QUERIES, DIMS)
+
+
+_CHUNKS = chunks_sql() + """, corpus AS (SELECT *, CAST(doc_id AS VARCHAR) || ':' || lpad(CAST(chunk_index AS VARCHAR), 6, '0') AS chunk_id FROM chunks)"""
+_QUESTIONS = ", ".join("(%d, '%s')" % (i, q) for i, q in enumerate(retrieval.LOAN_QUERIES))
+_QUERIES = f""", questions(q, question) AS (VALUES {_QUESTIONS})"""
+_ID = "CAST(doc_id AS VARCHAR) || '/q' || CAST(q AS VARCHAR)"
+
+
+def vector_sql(depth: int) -> str:
+    return (
+        ", "
+        + embedded_sql("cv", "corpus", "chunk_id", "content")
+        + ", "
+        + embedded_sql("qv", "questions", "q", "question")
+        + f""", cnorm AS (SELECT chunk_id, sum(v * v) AS nn FROM cv GROUP BY 1), qnorm AS (SELECT q, sum(v * v) AS nn FROM qv GROUP BY 1),
+  dots AS (SELECT chunk_id, q, sum(cv.v * qv.v) AS dot FROM cv JOIN qv USING (slot) GROUP BY ALL),
+  vscored AS (SELECT c.doc_id, c.chunk_id, c.chunk_index, n.q, round(1 - coalesce(dot, 0) / sqrt(cnorm.nn * n.nn), 12) AS distance
+    FROM corpus c LEFT JOIN cnorm USING (chunk_id) CROSS JOIN qnorm n LEFT JOIN dots ON dots.chunk_id = c.chunk_id AND dots.q = n.q),
+  vranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q ORDER BY distance NULLS LAST, chunk_index) AS rank FROM vscored QUALIFY rank <= {depth})"""
+    )
+
+
+def text_sql(depth: int) -> str:
+    return f""", posted AS (SELECT doc_id, chunk_id, chunk_index, t AS lexeme, count(*) AS tf FROM (SELECT doc_id, chunk_id, chunk_index, unnest({tokens_sql('content')}) AS t FROM corpus) WHERE t <> '' GROUP BY ALL),
+  terms AS (SELECT DISTINCT q, t AS lexeme FROM (SELECT q, unnest({tokens_sql('question')}) AS t FROM questions) WHERE t <> ''),
+  tscored AS (SELECT doc_id, q, chunk_id, chunk_index, CAST(sum(tf) AS BIGINT) AS score FROM posted JOIN terms USING (lexeme) GROUP BY ALL),
+  tranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q ORDER BY score DESC, chunk_index) AS rank FROM tscored QUALIFY rank <= {depth})"""
+
+
+def fused_sql(k: int, vector_weight: float = 1, text_weight: float = 1) -> str:
+    return f""", lists AS (SELECT doc_id, q, chunk_id, 'vector' AS source, rank, {vector_weight} AS w FROM vranked UNION ALL SELECT doc_id, q, chunk_id, 'text', rank, {text_weight} FROM tranked),
+  fused AS (SELECT doc_id, q, chunk_id, sum(w / (60.0 + rank)::DOUBLE) AS score, max(rank) FILTER (source = 'vector') AS vector_rank, max(rank) FILTER (source = 'text') AS text_rank FROM lists WHERE w > 0 GROUP BY ALL),
+  franked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, q ORDER BY round(score, 12) DESC, chunk_id) AS rank FROM fused QUALIFY rank <= {k})"""
+
+
+@query(
+    "search_tokens_r1",
+    f"SELECT conv_id, turn, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM conversations",
+)
+def search_tokens(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.search_tokens("text"), " ").alias("tokens"))
+
+
+@query(
+    "hash_embeddings_r2",
+    "WITH " + embedded_sql("e", "documents", "doc_id", "text")
+    + " SELECT doc_id, slot, round(v, 6) AS v FROM e",
+)
+def hash_embeddings(spark, d):
+    """The non-zero components of every document's hashed vector."""
+    vectors = I.documents(spark, d).select("doc_id", V.hash_embedding(F.col("text"), DIMS).alias("e"))
+    parts = vectors.select("doc_id", F.posexplode("e").alias("slot", "v")).filter("v <> 0")
+    return parts.select("doc_id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+def _cache(spark, d):
+    """A cache that already knows the texts of every third document."""
+    known = table(spark, d, "documents").filter("doc_id % 3 = 0")
+    keyed = embedding.with_keys(known, MODEL, DIMS, "RETRIEVAL_DOCUMENT").dropDuplicates(["content_hash"])
+    return keyed.select("content_hash", F.lit(MODEL).alias("model"), V.hash_embedding(F.col("text"), DIMS).alias("embedding"))
+
+
+_KEYS = "keyed AS (SELECT doc_id, text, sha256('feature-hash:64:RETRIEVAL_DOCUMENT:' || text) AS content_hash FROM documents), cache AS (SELECT DISTINCT content_hash FROM keyed WHERE doc_id % 3 = 0)"
+
+
+@query(
+    "embedding_requests_r3",
+    "WITH " + _KEYS + """ SELECT content_hash, (row_number() OVER (ORDER BY content_hash) - 1) // 32 AS batch_no
+      FROM (SELECT DISTINCT content_hash FROM keyed ANTI JOIN cache USING (content_hash))""",
+)
+def embedding_requests(spark, d):
+    keyed = embedding.with_keys(table(spark, d, "documents"), MODEL, DIMS, "RETRIEVAL_DOCUMENT")
+    return embedding.embedding_requests(keyed, _cache(spark, d)).select("content_hash", "batch_no")
+
+
+@query(
+    "embedding_stats_r3",
+    "WITH " + _KEYS + """ SELECT count(*) AS requested, count(DISTINCT content_hash) FILTER (content_hash IN (SELECT content_hash FROM cache)) AS cache_hits,
+      CAST(ceil(count(DISTINCT content_hash) FILTER (content_hash NOT IN (SELECT content_hash FROM cache)) / 32.0) AS BIGINT) AS api_calls FROM keyed""",
+)
+def embedding_stats(spark, d):
+    keyed = embedding.with_keys(table(spark, d, "documents"), MODEL, DIMS, "RETRIEVAL_DOCUMENT")
+    return embedding.embedding_stats(keyed, _cache(spark, d))
+
+
+@query(
+    "cached_embeddings_r3",
+    "WITH " + embedded_sql("e", "documents", "doc_id", "text")
+    + """ SELECT d.doc_id, sha256('feature-hash:64:RETRIEVAL_DOCUMENT:' || d.text) AS content_hash, round(coalesce(sum(v * (slot + 1)), 0), 5) AS mark FROM documents d LEFT JOIN e USING (doc_id) GROUP BY ALL""",
+)
+def cached_embeddings(spark, d):
+    """One vector per document, in part from the cache, marked by a weighted component sum."""
+    docs = I.documents(spark, d).select("doc_id", "text")
+    rows, _ = embedding.embed_rows(docs, _cache(spark, d), DIMS, text="text")
+    mark = F.aggregate(
+        F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x
+    )
+    return rows.select("doc_id", "content_hash", F.round(mark, 5).alias("mark"))
+
+
+@query(
+    "resumed_embedding_r4",
+    "WITH " + _KEYS + """ SELECT doc_id, 'embedded' AS status, CAST(64 AS INTEGER) AS size, doc_id % 4 <> 1 AS had_vector FROM documents""",
+)
+def resumed_embedding(spark, d):
+    """Three documents in four already hold vectors; the rest is looked up or embedded."""
+    docs = I.documents(spark, d).select("doc_id", F.col("text").alias("content"))
+    vector = F.when(F.col("doc_id") % 4 != 1, V.hash_embedding(F.col("content"), DIMS))
+    half_done = docs.withColumn("embedding", vector).withColumn("had_vector", F.col("doc_id") % 4 != 1)
+    done, _ = embedding.embed_missing(half_done, _cache(spark, d), DIMS)
+    status = embedding.embedded_status(docs.select("doc_id", F.lit("parsed").alias("status")), done)
+    joined = done.join(status, "doc_id")
+    return joined.select("doc_id", "status", F.size("embedding").alias("size"), "had_vector")
+
+
+@query(
+    "vector_search_r5",
+    _CHUNKS + _QUERIES + vector_sql(5)
+    + f" SELECT {_ID} AS query_id, chunk_id, chunk_index, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM vranked",
+)
+def vector_search(spark, d):
+    """Every document asked the eight loan field queries."""
+    hits = retrieval.vector_search(chunk_table(spark, d), field_queries(spark, d), 5)
+    return hits.withColumn("distance", F.round("distance", 6))
+
+
+@query("centroid_search_r5",
+    """WITH m AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS v FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL),
+    c AS (SELECT label, list(CAST(CAST(v AS FLOAT) AS DOUBLE) ORDER BY i) AS q FROM m GROUP BY label),
+    s AS (SELECT e.vec_id, e.label, round(1 - list_cosine_similarity(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), q), 12) AS distance FROM embeddings e JOIN c USING (label))
+    SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def centroid_search(spark, d):
+    """The given vectors nearest to the mean of their label; a label may hold any share of the table."""
+    vectors = table(spark, d, "embeddings")
+    means = vectors.groupBy("label").agg(*[F.avg(F.get("embedding", i).cast("double")).alias(f"m{i}") for i in range(DIMS)])
+    queries = means.select(
+        F.col("label").alias("query_id"), F.col("label").alias("doc_id"),
+        F.array(*[F.col(f"m{i}").cast("float") for i in range(DIMS)]).alias("vector"),
+    )
+    chunks = vectors.select(
+        F.col("label").alias("doc_id"), F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_index"), "embedding"
+    )
+    hits = retrieval.vector_search(chunks, queries, 10)
+    return hits.select(
+        F.col("query_id").alias("label"), F.col("chunk_id").alias("vec_id"), "rank", F.round("distance", 6).alias("distance")
+    )
+
+
+@query("approximate_search_r6")
+def approximate_search(spark, d):
+    return retrieval.approximate_vector_search(chunk_table(spark, d), field_queries(spark, d), 5)
+
+
+@query("approximate_recall_r6")
+def approximate_recall(spark, d):
+    """How much of the exact answer the bucketed search finds."""
+    chunks, queries = chunk_table(spark, d), field_queries(spark, d)
+    exact = retrieval.vector_search(chunks, queries, 5)
+    return retrieval.recall_against(exact, retrieval.approximate_vector_search(chunks, queries, 5))
+
+
+@query(
+    "text_search_r7",
+    _CHUNKS + _QUERIES + text_sql(5) + f" SELECT {_ID} AS query_id, chunk_id, chunk_index, score, CAST(rank AS INTEGER) AS rank FROM tranked",
+)
+def text_search(spark, d):
+    chunks = chunk_table(spark, d, None)
+    return retrieval.text_search(retrieval.postings(chunks), field_queries(spark, d).drop("vector"), 5)
+
+
+@query(
+    "benchmark_text_search_r7",
+    f"""WITH posted AS (SELECT doc_id, t AS lexeme, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS t FROM documents) WHERE t <> '' GROUP BY ALL),
+    terms AS (SELECT DISTINCT item_id, t AS lexeme FROM (SELECT item_id, unnest({tokens_sql('text')}) AS t FROM benchmark) WHERE t <> ''),
+    s AS (SELECT item_id, doc_id, CAST(sum(tf) AS BIGINT) AS score FROM posted JOIN terms USING (lexeme) GROUP BY ALL)
+    SELECT CAST(item_id AS VARCHAR) AS query_id, doc_id AS chunk_index, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""",
+)
+def benchmark_text_search(spark, d):
+    """Whole benchmark items as questions to the corpus as one document of many chunks."""
+    docs = I.documents(spark, d)
+    chunks = docs.select(
+        F.lit("corpus").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"),
+        F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"),
+    )
+    questions = table(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("doc_id"), F.col("text").alias("question")
+    )
+    return retrieval.text_search(retrieval.postings(chunks), questions, 20).drop("chunk_id")
+
+
+_FUSED_COLUMNS = f"{_ID} AS query_id, chunk_id, round(score, 9) AS score, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(text_rank AS INTEGER) AS text_rank"
+
+
+def _fused_columns(hits, *more):
+    return hits.select(
+        "query_id", "chunk_id", F.round("score", 9).alias("score"), F.col("ranks")["vector"].alias("vector_rank"),
+        F.col("ranks")["text"].alias("text_rank"), *more,
+    )
+
+
+@query(
+    "rank_fusion_r9",
+    _CHUNKS + _QUERIES + vector_sql(20) + text_sql(20) + fused_sql(40, 2, 1) + f" SELECT {_FUSED_COLUMNS} FROM fused",
+)
+def rank_fusion(spark, d):
+    """Both rankings of every question, the vector list with double weight and a third list without any."""
+    chunks, queries = chunk_table(spark, d), field_queries(spark, d)
+    vector = retrieval.ranked_list(retrieval.vector_search(chunks, queries, 20), "vector", 2)
+    text = retrieval.ranked_list(retrieval.text_search(retrieval.postings(chunks), queries, 20), "text", 1)
+    idle = text.withColumn("source", F.lit("idle")).withColumn("weight", F.lit(0.0))
+    fused = retrieval.fuse(vector.unionByName(text).unionByName(idle))
+    return _fused_columns(fused.withColumnRenamed("id", "chunk_id"))
+
+
+@query(
+    "hybrid_search_r10",
+    _CHUNKS + _QUERIES + vector_sql(24) + text_sql(24) + fused_sql(8) + f" SELECT {_FUSED_COLUMNS}, CAST(rank AS INTEGER) AS rank FROM franked",
+)
+def hybrid_search(spark, d):
+    return _fused_columns(retrieval.hybrid_search(chunk_table(spark, d), field_queries(spark, d), 8), "rank")
+
+
+_CONTEXT = _CHUNKS + _QUERIES + vector_sql(20) + text_sql(20) + fused_sql(6) + """, ctx AS (
+    SELECT doc_id, chunk_id, chunk_index, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS rank
+    FROM (SELECT DISTINCT doc_id, chunk_id FROM franked) JOIN corpus USING (doc_id, chunk_id) QUALIFY rank <= 40)"""
+
+
+@query(
+    "field_context_r11",
+    _CONTEXT + " SELECT doc_id, chunk_id, chunk_index, CAST(rank AS INTEGER) AS rank FROM ctx",
+)
+def field_context(spark, d):
+    chunks = chunk_table(spark, d)
+    hits = retrieval.hybrid_search(chunks, field_queries(spark, d), 6)
+    return retrieval.union_context(hits, chunks).select("doc_id", "chunk_id", "chunk_index", "rank")
+
+
+@query(
+    "head_context_r12",
+    chunks_sql(120, 30) + " SELECT doc_id, chunk_index, CAST(chunk_index + 1 AS INTEGER) AS rank, content FROM chunks WHERE chunk_index < 40",
+)
+def head_context(spark, d):
+    lines = chunking.document_lines(I.pages(spark, d))
+    chunks = chunking.explode_chunks(chunking.chunk_arrays(lines, 120, 30))
+    return retrieval.head_context(chunks).select("doc_id", "chunk_index", "rank", "content")
+
+
+@query("ingest_and_search")
+def ingest_and_search(spark, d):
+    """Flagship: gate, mask, chunk, embed, then answer eight questions per document by hybrid search."""
+    done = ingest(I.pages(spark, d))
+    chunks = done.chunks.withColumn("embedding", V.hash_embedding(F.col("content"), DIMS))
+    hits = retrieval.hybrid_search(chunks, field_queries(spark, d), 8)
+    found = retrieval.with_chunk_columns(hits, done.chunks)
+    return found.select("query_id", "rank", "score", "chunk_id", "page_start", "page_end", "clause_title", "content")
+
+

@@ -69,7 +69,10 @@ def hash_embedding(text: Column, dims: int = 768) -> Column:
 
 @F.arrow_udf(T.DoubleType())
 def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """1 - cos of paired vectors of equal size; null where either has no direction."""
+    """1 - cos of paired vectors of equal size; null where either has no direction.
+
+    Rounded far below the vectors' own precision, so that equal distances tie whatever the order of the sum.
+    """
     left, offsets = _rows(a)
     right, _ = _rows(b)
     n = len(offsets) - 1
@@ -80,7 +83,8 @@ def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     y = right.reshape(n, width).astype(np.float64)
     norms = np.sqrt((x * x).sum(1) * (y * y).sum(1))
     dots = (x * y).sum(1)
-    return pa.array(np.where(norms == 0, 0.0, 1.0 - dots / np.where(norms == 0, 1.0, norms)), mask=norms == 0)
+    distance = np.round(1.0 - dots / np.where(norms == 0, 1.0, norms), 12)
+    return pa.array(distance, mask=norms == 0)
 
 
 def signatures(v: Column, tables: int = 8, bits: int = 6, seed: int = 7) -> Column:

@@ -133,7 +133,7 @@ def fuse(ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def fused_top_k(ranked: DataFrame, k: int) -> DataFrame:
-    return top_k(fuse(ranked), ["query_id"], [F.desc("score"), F.asc("id")], k)
+    return top_k(fuse(ranked), ["query_id"], [F.desc(F.round("score", 12)), F.asc("id")], k)
 
 
 def hybrid_search(
