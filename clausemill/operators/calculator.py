@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import finance
 from ..functions import jsonspec as J
 from ..functions.money import display, round2
+from .cost import percent_of, total_cost
 
 # fixed values: arguments per tool as (rule, default)
 METHODS = ("reducing", "flat")
@@ -103,19 +104,12 @@ def run_tools(requests: DataFrame) -> DataFrame:
     )
     p, r, n = F.col("_principal"), F.col("_rate"), F.col("_months")
     emi = F.when(F.col("_method") == "flat", finance.emi_flat(p, r, n)).otherwise(finance.emi_reducing(p, r, n))
-    repayment = round2(F.col("_arg_emi") * n)
-    interest = round2(repayment - p)
     results = {
         "calculate_emi": {"emi": round2(emi)},
-        "calculate_total_cost": {
-            "totalRepayment": repayment,
-            "totalInterest": interest,
-            "upfrontFees": round2(F.col("_fees")),
-            "totalCostOfCredit": round2(interest + F.col("_fees")),
-        },
+        "calculate_total_cost": total_cost(p, F.col("_arg_emi"), n, F.col("_fees")),
         "calculate_effective_annual_rate": {k: F.col(k) for k in finance.COST_FIELDS},
         "sum_amounts": {"total": round2(F.aggregate("_amounts", F.lit(0.0), lambda a, x: a + x))},
-        "percent_of": {"result": round2(F.col("_percent") / 100 * F.col("_amount"))},
+        "percent_of": {"result": percent_of(F.col("_percent"), F.col("_amount"))},
     }
     result = F.lit(None).cast("map<string,double>")
     shown = F.lit(None).cast("map<string,string>")
