@@ -59,11 +59,11 @@ def emi_reducing(spark, d):
 
 @query(
     "emi_flat_f2",
-    "WITH " + LOANS + f" SELECT loan_id, CASE WHEN tenure_months > 0 THEN round({FLAT}, 4) END AS emi FROM loans",
+    "WITH " + LOANS + f" SELECT loan_id, CASE WHEN tenure_months > 0 THEN {round2_sql(FLAT)} END AS emi FROM loans",
 )
 def emi_flat(spark, d):
     value = finance.emi_flat(F.col("principal"), F.col("annual_rate_percent"), F.col("tenure_months"))
-    return loans(spark, d).select("loan_id", F.round(value, 4).alias("emi"))
+    return loans(spark, d).select("loan_id", M.round2(value).alias("emi"))
 
 
 _EMI = "floor(principal / 24 * 100) / 100"

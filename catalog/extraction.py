@@ -259,7 +259,7 @@ TERMS_COST = f""", withfees AS (SELECT *, {round2_sql('principal * fee_percent /
 def cost_from_terms(spark, d):
     costed = extraction.cost_from_terms(parsed_loans(spark, d))
     return costed.select(
-        "doc_id", "emi", "upfrontFees", "effectiveAnnualRatePercent", F.size("upfront_breakdown").alias("lines"),
+        "doc_id", "cost.emi", "cost.upfrontFees", "cost.effectiveAnnualRatePercent", F.size("upfront_breakdown").alias("lines"),
         F.array_join("missing", ", ").alias("missing"),
     )
 

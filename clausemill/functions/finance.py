@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .money import round2
+from .plan import settle
 
 RATE_FLOOR, RATE_CEILING, TOLERANCE = -0.99, 10.0, 1e-10
 NEWTON_STEPS, BISECT_STEPS = 24, 70
@@ -219,4 +220,4 @@ def with_loan_cost(
     df = df.select(
         "*", *[F.when(solved, v).alias(k) for k, v in values.items()], error.alias("cost_error")
     )
-    return df.drop("_invalid", "_emi", "_repay", "_net", "_interest", "_monthly")
+    return settle(df.drop("_invalid", "_emi", "_repay", "_net", "_interest", "_monthly"), [*values, "cost_error"])

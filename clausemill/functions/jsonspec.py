@@ -26,18 +26,26 @@ def member(node: Column, name: str) -> Column:
     return F.try_variant_get(node, f"$.{name}", "variant")
 
 
+def _let(value: Column, use) -> Column:
+    """Evaluate ``value`` once for all its mentions in ``use``."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def kind(v: Column) -> Column:
     """``undefined``, ``null``, ``string``, ``boolean``, ``array``, ``object`` or ``number``."""
-    schema = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), "undefined")
-        .when(schema == "VOID", "null")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema.startswith("OBJECT"), "object")
-        .otherwise("number")
-    )
+
+    def name(schema: Column) -> Column:
+        return (
+            F.when(schema.isNull(), "undefined")
+            .when(schema == "VOID", "null")
+            .when(schema == "STRING", "string")
+            .when(schema == "BOOLEAN", "boolean")
+            .when(schema.startswith("ARRAY"), "array")
+            .when(schema.startswith("OBJECT"), "object")
+            .otherwise("number")
+        )
+
+    return _let(F.schema_of_variant(v), name)
 
 
 def number(node: Column, name: str) -> Column:
@@ -55,8 +63,10 @@ def _elements(node: Column, name: str) -> Column:
 
 def leaf_issue(node: Column, path: Column, name: str, want) -> Column:
     """Null when the member fits, else ``path: message``."""
-    value, at = member(node, name), F.concat(path, F.lit(name))
-    got = kind(value)
+    return _let(kind(member(node, name)), lambda got: _issue(node, F.concat(path, F.lit(name)), name, want, got))
+
+
+def _issue(node: Column, at: Column, name: str, want, got: Column) -> Column:
     if isinstance(want, tuple):
         options = "|".join(f'"{w}"' for w in want)
         word = F.try_variant_get(node, f"$.{name}", "string")
@@ -88,13 +98,13 @@ def object_issues(node: Column, path: Column, spec: Spec) -> Column:
     """All issues of one object, in specification order; ``path`` ends without a dot."""
     inner = F.concat(path, F.when(path == "", "").otherwise("."))
     issues = F.array_compact(F.array(*[leaf_issue(node, inner, n, w) for n, w in spec.items()]))
-    not_object = F.array(_expected(path, "object", kind(node)))
-    return F.when(F.coalesce(kind(node) != "object", F.lit(True)), not_object).otherwise(issues)
+    return _let(
+        kind(node), lambda got: F.when(got != "object", F.array(_expected(path, "object", got))).otherwise(issues)
+    )
 
 
 def array_issues(node: Column, name: str, spec: Spec, max_items: int | None = None) -> Column:
     """Issues of an array of objects held in member ``name``."""
-    value = member(node, name)
     items = _elements(node, name)
     each = F.flatten(
         F.transform(items, lambda e, i: object_issues(e, F.concat(F.lit(f"{name}."), i.cast("string")), spec))
@@ -102,8 +112,10 @@ def array_issues(node: Column, name: str, spec: Spec, max_items: int | None = No
     if max_items is not None:
         too_big = F.array(F.lit(f"{name}: Too big: expected array to have <={max_items} items"))
         each = F.when(F.size(items) > max_items, too_big).otherwise(each)
-    not_array = F.array(_expected(F.lit(name), "array", kind(value)))
-    return F.when(kind(value) != "array", not_array).otherwise(each)
+    return _let(
+        kind(member(node, name)),
+        lambda got: F.when(got != "array", F.array(_expected(F.lit(name), "array", got))).otherwise(each),
+    )
 
 
 def object_struct(node: Column, spec: Spec) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import finance
 from ..functions import jsonspec as J
 from ..functions.money import display, round2
+from ..functions.plan import settle
 from .cost import percent_of, total_cost
 
 # fixed values: arguments per tool as (rule, default)
@@ -96,7 +97,7 @@ def run_tools(requests: DataFrame) -> DataFrame:
         problem = F.when(F.col("name") == tool, F.nullif(F.array_join(issues, "; "), F.lit(""))).otherwise(problem)
     not_object = F.when(F.coalesce(J.kind(node) != "object", F.lit(True)), F.lit("arguments are not an object"))
     problem = F.when(~known, F.concat(F.lit("unknown tool "), F.col("name"))).otherwise(F.coalesce(not_object, problem))
-    df = df.withColumn("_problem", problem)
+    df = settle(df.withColumn("_problem", problem), ["_problem"])
     ok = F.col("_problem").isNull()
     df = finance.with_loan_cost(
         df, "_principal", "_rate", "_months", "_method", "_fees", "_stated",

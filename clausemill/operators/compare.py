@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonspec as J
 from ..functions import money as M
+from ..functions.plan import settle
 
 DIFFERENCE = {
     "aspect": "string", "left": "string", "right": "string", "favours": ("left", "right", "neither"), "note": "string",
 }
-COST = ("emi", "upfrontFees", "totalInterest", "effectiveAnnualRatePercent", "aprPercent")
 
 
 def validate_pairs(pairs: DataFrame, documents: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _fee_display(name: str) -> Column:
 def display_rows(costed: DataFrame) -> DataFrame:
     """``(doc_id, row_no, aspect, value)``: the thirteen display rows of one offer.
 
-    ``costed`` holds parsed terms, the cost columns and ``risks`` (display text, null when not assessed).
+    ``costed`` holds parsed terms, their ``cost`` and ``risks`` (display text, null when not assessed).
     """
     rate = F.col("interestRate")
     rate_text = F.when(rate.annualPercent.isNull(), "Not stated").otherwise(
@@ -104,11 +104,11 @@ def display_rows(costed: DataFrame) -> DataFrame:
         ("Loan amount", M.money(F.col("principalAmount.value"), whole=True)),
         ("Interest rate", rate_text),
         ("Tenure", M.months(F.col("tenureMonths.value"))),
-        ("EMI", M.money(F.coalesce(F.col("emi"), F.col("statedEmi.value")))),
-        ("Upfront fees", M.money(F.col("upfrontFees"), whole=True)),
-        ("Total interest", M.money(F.col("totalInterest"), whole=True)),
-        ("Effective annual rate", M.percent(F.col("effectiveAnnualRatePercent"))),
-        ("APR", M.percent(F.col("aprPercent"))),
+        ("EMI", M.money(F.coalesce(F.col("cost.emi"), F.col("statedEmi.value")))),
+        ("Upfront fees", M.money(F.col("cost.upfrontFees"), whole=True)),
+        ("Total interest", M.money(F.col("cost.totalInterest"), whole=True)),
+        ("Effective annual rate", M.percent(F.col("cost.effectiveAnnualRatePercent"))),
+        ("APR", M.percent(F.col("cost.aprPercent"))),
         ("Prepayment charges", _fee_display("prepaymentCharges")),
         ("Late payment / penal", _fee_display("latePaymentCharges")),
         ("Bounce charges", _fee_display("bounceCharges")),
@@ -137,7 +137,8 @@ def parse_narratives(responses: DataFrame) -> DataFrame:
     issues = F.concat(
         J.object_issues(root, F.lit(""), {"summary": "string"}), J.array_issues(root, "differences", DIFFERENCE)
     )
-    return df.withColumn("_bad", F.coalesce(F.size(issues) > 0, F.lit(True))).select(
+    bad = F.coalesce(F.size(issues) > 0, F.lit(True))
+    return settle(df.withColumn("_bad", bad), ["_root", "_bad"]).select(
         *responses.columns,
         F.when(~F.col("_bad"), F.try_variant_get(root, "$.summary", "string")).alias("summary"),
         F.when(~F.col("_bad"), J.array_structs(root, "differences", DIFFERENCE)).alias("differences"),

@@ -9,6 +9,7 @@ from ..functions import finance
 from ..functions import jsonspec as J
 from ..functions import text as X
 from ..functions.money import round2
+from ..functions.plan import settle
 
 # fixed values: what a response must hold
 TEXT = {"value": "string?", "ref": "int?", "confidence": "confidence"}
@@ -73,7 +74,8 @@ def parse_output(responses: DataFrame, spec: dict, raw: str = "raw") -> DataFram
         F.when(is_object & (F.size(f"_i_{n}") == 0), _field_value(root, n, field)).otherwise(_absent(field)).alias(n)
         for n, field in spec.items()
     ]
-    return df.select(*responses.columns, *fields, issues.alias("issues")).withColumn("valid", F.size("issues") == 0)
+    done = df.select(*responses.columns, *fields, issues.alias("issues")).withColumn("valid", F.size("issues") == 0)
+    return settle(done, [*spec, "issues", "valid"])
 
 
 def retry_requests(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -193,7 +195,7 @@ def parse_outlines(responses: DataFrame) -> DataFrame:
     )
     bad = F.coalesce(F.size(issues) > 0, F.lit(True))
     sections = F.when(~F.col("_bad"), J.array_structs(root, "sections", OUTLINE_SECTION))
-    return df.withColumn("_bad", bad).select(
+    return settle(df.withColumn("_bad", bad), ["_root", "_bad"]).select(
         *responses.columns,
         F.when(~F.col("_bad"), F.try_variant_get(root, "$.title", "string")).alias("title"),
         F.when(~F.col("_bad"), F.try_variant_get(root, "$.summary", "string")).alias("summary"),
@@ -229,7 +231,7 @@ def needs_analysis(documents: DataFrame, stored: str, force: str = "force") -> D
 
 
 def cost_from_terms(terms: DataFrame) -> DataFrame:
-    """Add the cost columns, ``upfront_breakdown`` and ``missing`` to parsed loan terms."""
+    """Add ``cost`` (null when it cannot be computed), ``upfront_breakdown`` and ``missing`` to loan terms."""
     p, rate, n = F.col("principalAmount.value"), F.col("interestRate.annualPercent"), F.col("tenureMonths.value")
     missing = F.array_compact(
         F.array(
@@ -256,10 +258,12 @@ def cost_from_terms(terms: DataFrame) -> DataFrame:
     df = df.withColumn("upfront_breakdown", F.when(complete, breakdown).otherwise(nothing))
     total = round2(F.aggregate("upfront_breakdown", F.lit(0.0), lambda a, b: a + b.amount))
     df = df.select(
-        "*", p.alias("_p"), rate.alias("_r"), n.alias("_n"),
+        F.struct(*terms.columns).alias("_terms"), "upfront_breakdown", "_missing",
+        p.alias("_p"), rate.alias("_r"), n.alias("_n"),
         F.when(F.col("interestRate.method") == "flat", "flat").otherwise("reducing").alias("_m"),
         F.least(total, p - 1).alias("_f"), F.col("statedEmi.value").alias("_s"),
     )
-    df = finance.with_loan_cost(df, "_p", "_r", "_n", "_m", "_f", "_s", when=complete)
+    df = finance.with_loan_cost(df, "_p", "_r", "_n", "_m", "_f", "_s", when=F.size("_missing") == 0)
     why = F.when(F.col("cost_error").isNotNull(), F.array("cost_error")).otherwise(F.col("_missing"))
-    return df.withColumn("missing", why).drop("_missing", "_p", "_r", "_n", "_m", "_f", "_s", "cost_error")
+    cost = F.when(F.col("emi").isNotNull(), F.struct(*finance.COST_FIELDS))
+    return df.select("_terms.*", cost.alias("cost"), "upfront_breakdown", why.alias("missing"))

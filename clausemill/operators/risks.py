@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonspec as J
 from ..functions import text as X
 from ..functions.patterns import ascii_edges
+from ..functions.plan import settle
 from ..functions.risk_rules import CONTRACT_CATEGORIES, LOAN_CATEGORIES, RULES, SEVERITIES
 from .answers import join_in_order
 from .retrieval import top_k
@@ -90,7 +91,7 @@ def parse_reviews(responses: DataFrame) -> DataFrame:
     df = responses.withColumn("_root", J.parse(F.col("raw")))
     root = F.col("_root")
     bad = F.coalesce(F.size(J.array_issues(root, "reviews", REVIEW)) > 0, F.lit(True))
-    return df.withColumn("_bad", bad).select(
+    return settle(df.withColumn("_bad", bad), ["_root", "_bad"]).select(
         *responses.columns,
         F.when(~F.col("_bad"), J.array_structs(root, "reviews", REVIEW)).alias("reviews"),
         F.when(F.col("_bad"), "LLM_BAD_RESPONSE").alias("error"),

@@ -158,6 +158,6 @@ def missing_samples(index: DataFrame, documents: DataFrame) -> DataFrame:
 def document_summaries(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """Documents with the cost computed on read where loan terms exist."""
     costed = extraction.cost_from_terms(terms).select(
-        "doc_id", "emi", "totalInterest", "effectiveAnnualRatePercent", F.size("missing").alias("missing_inputs")
+        "doc_id", "cost", F.size("missing").alias("missing_inputs")
     )
     return documents.join(costed, "doc_id", "left")

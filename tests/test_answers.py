@@ -126,8 +126,8 @@ def test_cost_from_terms(spark):
     assert [(b.label, b.amount) for b in got[0].upfront_breakdown] == [
         ("Processing fee", 10000.0), ("Insurance premium", 6500.0), ("GST on processing fee", 1800.0),
     ]
-    assert (got[0].upfrontFees, got[0].effectiveAnnualRatePercent, got[0].missing) == (18300.0, 17.97, [])
-    assert got[1].missing == ["principal", "interest rate", "tenure"] and got[1].emi is None
+    assert (got[0].cost.upfrontFees, got[0].cost.effectiveAnnualRatePercent, got[0].missing) == (18300.0, 17.97, [])
+    assert got[1].missing == ["principal", "interest rate", "tenure"] and got[1].cost is None
     n = outputs(spark, GOOD).select(extraction.found_fields(None, extraction.LOAN).alias("n")).first().n
     assert n == 9
 
