@@ -43,7 +43,7 @@ _SHOWN = """'[' || CAST(rank AS VARCHAR) || '] (' || CASE WHEN page_start = page
 
 @query(
     "prompts_a1",
-    "WITH " + PASSAGES + f""", ctx AS (SELECT query_id, string_agg({_SHOWN}, chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS passages FROM psg GROUP BY query_id)
+    "WITH " + PASSAGES + f""", ctx AS (SELECT query_id, string_agg({_SHOWN}, chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS passages FROM psg WHERE rank <= 40 GROUP BY query_id)
     SELECT query_id, passages, 'Context passages from the document:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text AS prompt
     FROM ctx JOIN conversations ON conv_id = query_id AND turn = 0""",
 )
@@ -55,7 +55,7 @@ def prompts(spark, d):
 @query(
     "outline_contexts_a1",
     "WITH " + PASSAGES + """ SELECT query_id, string_agg('[' || CAST(rank AS VARCHAR) || '] (page ' || CAST(page_start AS VARCHAR) || CASE WHEN clause_title IS NULL THEN '' ELSE ' | heading: ' || clause_title END || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context,
-      CAST(count(*) AS INTEGER) AS passages FROM psg GROUP BY query_id""",
+      CAST(count(*) AS INTEGER) AS passages FROM psg WHERE rank <= 40 GROUP BY query_id""",
 )
 def outline_contexts(spark, d):
     return answers.contexts(passages(spark, d), outline=True)

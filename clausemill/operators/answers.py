@@ -10,9 +10,10 @@ from ..functions import text as X
 from . import privacy
 
 MAX_QUESTION, MAX_TURN, MAX_HISTORY, HISTORY_TURNS, MAX_TOOL_ROUNDS = 2000, 8000, 20, 10, 4
+MAX_PASSAGES = 40
 
 
-def join_in_order(keys: list[str], order: str, text: Column, separator: str = "\n\n"):
+def join_in_order(order: str, text: Column, separator: str = "\n\n"):
     """Aggregate expression: texts of a bounded group joined in order."""
     return F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s.t),
@@ -20,14 +21,16 @@ def join_in_order(keys: list[str], order: str, text: Column, separator: str = "\
     )
 
 
-def contexts(passages: DataFrame, key: str = "query_id", order: str = "rank", outline: bool = False) -> DataFrame:
-    """``(key, context, passages)``: numbered passages of a retrieved (top-k, so bounded) context."""
+def contexts(
+    passages: DataFrame, key: str = "query_id", order: str = "rank", outline: bool = False, limit: int = MAX_PASSAGES
+) -> DataFrame:
+    """``(key, context, passages)``: the numbered passages of a context, which never holds more than ``limit``."""
     label, ranged = ("heading", False) if outline else ("clause", True)
     text = X.passage(
         F.col(order), F.col("page_start"), F.col("page_end"), F.col("clause_title"), F.col("content"), label, ranged
     )
-    return passages.groupBy(key).agg(
-        join_in_order([key], order, text).alias("context"), F.count("*").cast("int").alias("passages")
+    return passages.filter(F.col(order) <= limit).groupBy(key).agg(
+        join_in_order(order, text).alias("context"), F.count("*").cast("int").alias("passages")
     )
 
 

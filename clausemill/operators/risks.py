@@ -80,7 +80,7 @@ def review_prompts(candidates: DataFrame, rules=RULES) -> DataFrame:
     where = X.passage_header(F.lit(0), F.col("page_start"), F.col("page_end"), F.col("clause_title"))
     text = F.concat(head, F.regexp_replace(where, r"^\[0\] ", ""), F.lit("\n"), F.col("content"))
     joined = candidates.groupBy("doc_id").agg(
-        F.count("*").alias("candidates"), join_in_order(["doc_id"], "candidate", text).alias("body")
+        F.count("*").alias("candidates"), join_in_order("candidate", text).alias("body")
     )
     tail = F.concat(F.lit("\n\nReview all "), F.col("candidates").cast("string"), F.lit(" candidates."))
     return joined.select("doc_id", "candidates", F.concat("body", tail).alias("prompt"))
