@@ -68,14 +68,69 @@ def category_scope(spark, d):
     return docs.select("doc_id", "kind", F.size(wanted).cast("bigint").alias("categories"))
 
 
-@query("risk_rule_hits_k1",
-    "WITH " + I.LINES + f", hits AS (SELECT doc_id, page, line_no, [{', '.join('regexp_matches(text, ' + chr(39) + '(?i)' + p.replace(chr(39), chr(39) * 2) + chr(39) + ')' for r in RULES for p in r[3])}] AS f FROM doc_lines)"
-    + " SELECT doc_id, page, line_no, CAST(len(list_filter(f, lambda x: x)) AS BIGINT) AS hits FROM hits WHERE list_contains(f, true)")
+# agreement sentences; every order strings three of them together by its key
+SENTENCES = (
+    "The Borrower shall sign a NACH form on the day of drawing.", "Each instalment is taken by auto debit.",
+    "The mandate stays in force and the Borrower may not revoke it.", "Penal interest runs on every late rupee.",
+    "Amounts overdue carry interest at 3% per month.", "Unpaid sums are compounded monthly and capitalised.",
+    "The Lender may at its sole discretion revise the spread.", "Charges may change without prior notice, as may the vary of any fee.",
+    "Data may be shared with group companies.", "The Lender may cross-sell other products.",
+    "The Lender may recall the loan at any time.", "The Lender may repossess the vehicle.",
+    "Disputes go to arbitration in Pune.", "A default under any other facility is a default here.",
+    "The car is hypothecated and a lien is marked.", "The term is automatically renewed unless a notice is given.",
+    "A lock-in of one year applies.", "The deposit is forfeited in full.", "The Tenant shall indemnify and hold harmless the Owner.",
+    "Non-compete terms bind the Employee.", "In no event is the Owner liable.", "The Owner may amend the rules from time to time.",
+    "Rent falls due on the fifth.", "Keys are handed over on payment.", "The borrower reads, the lender writes.",
+)
+_PICKS = ("o_orderkey % 25", "(o_orderkey * 7 + 3) % 25", "(o_orderkey * 11 + o_custkey) % 25")
+
+
+def clauses(spark, d):
+    """Orders as clauses of their customer's agreement."""
+    orders = store.spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    sentences = F.array(*[F.lit(x) for x in SENTENCES])
+    text = F.concat_ws(" ", *[F.get(sentences, F.expr(p).cast("int")) for p in _PICKS])
+    kind = F.expr(_KIND.replace("doc_id", "o_custkey"))
+    return orders.select(
+        F.col("o_custkey").alias("doc_id"), kind.alias("kind"), F.col("o_orderkey").alias("chunk_index"), text.alias("content")
+    )
+
+
+def _real_hits(patterns) -> str:
+    return " + ".join("CAST(regexp_matches(text, '(?i)" + p.replace("'", "''") + "') AS INTEGER)" for p in patterns)
+
+
+CLAUSES = (
+    "texts AS (SELECT o_custkey AS doc_id, "
+    + _KIND.replace("doc_id", "o_custkey")
+    + " AS kind, o_orderkey AS chunk_index, "
+    + " || ' ' || ".join(f"s[{p} + 1]" for p in _PICKS)
+    + " AS text FROM orders, (SELECT ["
+    + ", ".join("'" + x.replace("'", "''") + "'" for x in SENTENCES)
+    + "] AS s)), real AS ("
+    + " UNION ALL ".join(
+        f"SELECT doc_id, kind, chunk_index, {i} AS category_ord, '{c}' AS category, {_real_hits(p)} AS matches FROM texts"
+        for i, (c, _, _, p) in enumerate(RULES)
+    )
+    + ")"
+)
+
+
+@query("risk_rule_hits_k1", "WITH " + CLAUSES + " SELECT category, matches, count(*) AS clauses FROM real WHERE matches > 0 GROUP BY ALL")
 def risk_rule_hits(spark, d):
-    """All sixty-three real patterns over every line of the corpus, with agreement wording among its headings."""
-    lines = layout.page_lines(I.pages(spark, d))
-    hit = risks.category_matches(lines, text="text")
-    return hit.groupBy("doc_id", "page", "line_no").agg(F.sum("matches").cast("bigint").alias("hits"))
+    """All sixty-three real patterns over clauses of agreement wording."""
+    hits = risks.category_matches(clauses(spark, d))
+    return hits.groupBy("category", "matches").agg(F.count("*").alias("clauses"))
+
+
+@query(
+    "agreement_risk_candidates_k3",
+    "WITH " + CLAUSES + f""", best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, category_ord ORDER BY matches DESC, chunk_index) AS rank FROM real WHERE matches > 0 AND {_scope()} QUALIFY rank <= 2)
+    SELECT doc_id, category, chunk_index, matches, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY category_ord, rank) AS INTEGER) AS candidate FROM best""",
+)
+def agreement_risk_candidates(spark, d):
+    """Two best clauses per customer and category with the real patterns."""
+    return risks.find_candidates(clauses(spark, d)).select("doc_id", "category", "chunk_index", "matches", "candidate")
 
 
 @query("risk_candidates_k3", "WITH " + CANDIDATES + " SELECT doc_id, category, chunk_index, CAST(matches AS INTEGER) AS matches, CAST(candidate AS INTEGER) AS candidate FROM cand")

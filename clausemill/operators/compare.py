@@ -90,8 +90,14 @@ def _fee_display(name: str) -> Column:
     return M.fee(f.amount, f.percent, absent, f.description)
 
 
-def display_rows(costed: DataFrame) -> DataFrame:
-    """``(doc_id, row_no, aspect, value)``: the thirteen display rows of one offer.
+ASPECTS = (
+    "Lender", "Loan amount", "Interest rate", "Tenure", "EMI", "Upfront fees", "Total interest",
+    "Effective annual rate", "APR", "Prepayment charges", "Late payment / penal", "Bounce charges", "Risk flags",
+)
+
+
+def display_values(costed: DataFrame) -> DataFrame:
+    """``(doc_id, shown)``: the thirteen display values of one offer, in the order of ``ASPECTS``.
 
     ``costed`` holds parsed terms, their ``cost`` and ``risks`` (display text, null when not assessed).
     """
@@ -99,35 +105,33 @@ def display_rows(costed: DataFrame) -> DataFrame:
     rate_text = F.when(rate.annualPercent.isNull(), "Not stated").otherwise(
         F.concat(M.percent(rate.annualPercent), F.lit(" "), rate.rateType, F.lit(", "), rate.method)
     )
-    rows = [
-        ("Lender", F.coalesce(F.col("lenderName.value"), F.lit(M.DASH))),
-        ("Loan amount", M.money(F.col("principalAmount.value"), whole=True)),
-        ("Interest rate", rate_text),
-        ("Tenure", M.months(F.col("tenureMonths.value"))),
-        ("EMI", M.money(F.coalesce(F.col("cost.emi"), F.col("statedEmi.value")))),
-        ("Upfront fees", M.money(F.col("cost.upfrontFees"), whole=True)),
-        ("Total interest", M.money(F.col("cost.totalInterest"), whole=True)),
-        ("Effective annual rate", M.percent(F.col("cost.effectiveAnnualRatePercent"))),
-        ("APR", M.percent(F.col("cost.aprPercent"))),
-        ("Prepayment charges", _fee_display("prepaymentCharges")),
-        ("Late payment / penal", _fee_display("latePaymentCharges")),
-        ("Bounce charges", _fee_display("bounceCharges")),
-        ("Risk flags", F.coalesce(F.col("risks"), F.lit("Not assessed"))),
+    values = [
+        F.coalesce(F.col("lenderName.value"), F.lit(M.DASH)),
+        M.money(F.col("principalAmount.value"), whole=True),
+        rate_text,
+        M.months(F.col("tenureMonths.value")),
+        M.money(F.coalesce(F.col("cost.emi"), F.col("statedEmi.value"))),
+        M.money(F.col("cost.upfrontFees"), whole=True),
+        M.money(F.col("cost.totalInterest"), whole=True),
+        M.percent(F.col("cost.effectiveAnnualRatePercent")),
+        M.percent(F.col("cost.aprPercent")),
+        _fee_display("prepaymentCharges"),
+        _fee_display("latePaymentCharges"),
+        _fee_display("bounceCharges"),
+        F.coalesce(F.col("risks"), F.lit("Not assessed")),
     ]
-    entries = F.array(*[F.struct(F.lit(a).alias("aspect"), v.alias("value")) for a, v in rows])
-    return costed.select("doc_id", F.posexplode(entries).alias("row_no", "r")).select(
-        "doc_id", "row_no", "r.aspect", "r.value"
-    )
+    return settle(costed.select("doc_id", F.array(*values).alias("shown")), ["shown"])
 
 
 def comparison_table(pairs: DataFrame, costed: DataFrame) -> DataFrame:
-    """``(pair_id, row_no, aspect, left, right)``; each side joins once, rows unfold afterwards."""
-    rows = display_rows(costed)
-    left = rows.select(F.col("doc_id").alias("left_id"), "row_no", "aspect", F.col("value").alias("left"))
-    right = rows.select(F.col("doc_id").alias("right_id"), "row_no", F.col("value").alias("right"))
-    return (
-        pairs.join(left, "left_id").join(right, ["right_id", "row_no"]).select("pair_id", "row_no", "aspect", "left", "right")
-    )
+    """``(pair_id, row_no, aspect, left, right)``: the sides meet as one row each and unfold afterwards."""
+    values = display_values(costed)
+    left = values.select(F.col("doc_id").alias("left_id"), F.col("shown").alias("left"))
+    right = values.select(F.col("doc_id").alias("right_id"), F.col("shown").alias("right"))
+    joined = pairs.join(left, "left_id").join(right, "right_id")
+    aspects = F.lit(list(ASPECTS))
+    rows = joined.select("pair_id", F.posexplode(F.arrays_zip(aspects.alias("aspect"), "left", "right")).alias("row_no", "r"))
+    return rows.select("pair_id", "row_no", "r.aspect", "r.left", "r.right")
 
 
 def parse_narratives(responses: DataFrame) -> DataFrame:
