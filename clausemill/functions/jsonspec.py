@@ -2,13 +2,13 @@
 
 A specification maps a leaf name to one of ``string``, ``string?``, ``number``, ``number?``, ``int``,
 ``int?``, ``bool``, ``confidence``, ``strings`` or a tuple of allowed words; ``?`` allows JSON null.
+
+The functions return Spark SQL text: a specification unfolds into hundreds of small expressions, which
+the SQL parser builds in one step. Each JSON kind is computed once, as the argument of a lambda.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 Spec = dict[str, "str | tuple[str, ...]"]
 
 SQL_TYPE = {
@@ -17,125 +17,119 @@ SQL_TYPE = {
 }
 
 
-def parse(raw: Column) -> Column:
+def parse(raw: str) -> str:
     """Null for text that is not JSON."""
-    return F.try_parse_json(raw)
+    return f"try_parse_json({raw})"
 
 
-def member(node: Column, name: str) -> Column:
-    return F.try_variant_get(node, f"$.{name}", "variant")
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluate ``value`` once for all its mentions in ``use``."""
-    return F.get(F.transform(F.array(value), use), 0)
+def let(value: str, name: str, use: str) -> str:
+    """Evaluate ``value`` once as ``name`` in ``use``."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
 
 
-def kind(v: Column) -> Column:
-    """``undefined``, ``null``, ``string``, ``boolean``, ``array``, ``object`` or ``number``."""
+def member(node: str, name: str) -> str:
+    return f"try_variant_get({node}, '$.{name}', 'variant')"
+
+
+def value(node: str, name: str, kind_of: str) -> str:
+    return f"try_variant_get({node}, '$.{name}', '{kind_of}')"
 
-    def name(schema: Column) -> Column:
-        return (
-            F.when(schema.isNull(), "undefined")
-            .when(schema == "VOID", "null")
-            .when(schema == "STRING", "string")
-            .when(schema == "BOOLEAN", "boolean")
-            .when(schema.startswith("ARRAY"), "array")
-            .when(schema.startswith("OBJECT"), "object")
-            .otherwise("number")
-        )
 
-    return _let(F.schema_of_variant(v), name)
+def kind(v: str) -> str:
+    """``undefined``, ``null``, ``string``, ``boolean``, ``array``, ``object`` or ``number``."""
+    return let(
+        f"schema_of_variant({v})",
+        "s",
+        "CASE WHEN s IS NULL THEN 'undefined' WHEN s = 'VOID' THEN 'null' WHEN s = 'STRING' THEN 'string' "
+        "WHEN s = 'BOOLEAN' THEN 'boolean' WHEN startswith(s, 'ARRAY') THEN 'array' "
+        "WHEN startswith(s, 'OBJECT') THEN 'object' ELSE 'number' END",
+    )
 
 
-def number(node: Column, name: str) -> Column:
+def number(node: str, name: str) -> str:
     """The member as a double when it is a JSON number; a numeric string is not one."""
-    return F.when(kind(member(node, name)) == "number", F.try_variant_get(node, f"$.{name}", "double"))
+    return f"CASE WHEN {kind(member(node, name))} = 'number' THEN {value(node, name, 'double')} END"
 
 
-def _expected(path: Column, wanted: str, got: Column) -> Column:
-    return F.concat(path, F.lit(f": Invalid input: expected {wanted}, received "), got)
+def expected(path: str, wanted: str, got: str = "got") -> str:
+    return f"concat({path}, ': Invalid input: expected {wanted}, received ', {got})"
 
 
-def _elements(node: Column, name: str) -> Column:
-    return F.try_variant_get(node, f"$.{name}", "array<variant>")
+def says(path: str, text: str) -> str:
+    return f"concat({path}, {quoted(': ' + text)})"
 
 
-def leaf_issue(node: Column, path: Column, name: str, want) -> Column:
+def leaf_issue(node: str, path: str, name: str, want) -> str:
     """Null when the member fits, else ``path: message``."""
-    return _let(kind(member(node, name)), lambda got: _issue(node, F.concat(path, F.lit(name)), name, want, got))
+    return let(kind(member(node, name)), "got", _issue(node, f"concat({path}, '{name}')", name, want))
 
 
-def _issue(node: Column, at: Column, name: str, want, got: Column) -> Column:
+def _issue(node: str, at: str, name: str, want) -> str:
     if isinstance(want, tuple):
         options = "|".join(f'"{w}"' for w in want)
-        word = F.try_variant_get(node, f"$.{name}", "string")
-        fits = (got == "string") & word.isin(*want)
-        return F.when(~fits, F.concat(at, F.lit(f": Invalid option: expected one of {options}")))
+        words = ", ".join(quoted(w) for w in want)
+        fits = f"got = 'string' AND {value(node, name, 'string')} IN ({words})"
+        return f"CASE WHEN NOT ({fits}) THEN {says(at, f'Invalid option: expected one of {options}')} END"
     base = want.rstrip("?")
-    null_ok = (got == "null") if want.endswith("?") else F.lit(False)
-    if base == "string":
-        return F.when(~null_ok & (got != "string"), _expected(at, "string", got))
-    if base == "bool":
-        return F.when(got != "boolean", _expected(at, "boolean", got))
+    unless_null = "got <> 'null' AND " if want.endswith("?") else ""
+    if base in ("string", "bool"):
+        json_kind = "boolean" if base == "bool" else base
+        return f"CASE WHEN {unless_null}got <> '{json_kind}' THEN {expected(at, json_kind)} END"
     if base == "strings":
-        all_text = F.forall(_elements(node, name), lambda e: kind(e) == "string")
-        return F.when(got != "array", _expected(at, "array", got)).when(
-            ~all_text, F.concat(at, F.lit(": Invalid input: expected string"))
+        all_text = f"forall({value(node, name, 'array<variant>')}, t -> {kind('t')} = 'string')"
+        return (
+            f"CASE WHEN got <> 'array' THEN {expected(at, 'array')} "
+            f"WHEN NOT {all_text} THEN {says(at, 'Invalid input: expected string')} END"
         )
-    x = F.try_variant_get(node, f"$.{name}", "double")
-    wrong = F.when(~null_ok & (got != "number"), _expected(at, "number", got))
+    x = value(node, name, "double")
+    wrong = f"CASE WHEN {unless_null}got <> 'number' THEN {expected(at, 'number')}"
     if base == "int":
-        return wrong.when((got == "number") & (x != F.floor(x)), _expected(at, "int", got))
+        wrong += f" WHEN got = 'number' AND {x} <> floor({x}) THEN {expected(at, 'int')}"
     if base == "confidence":
-        return wrong.when(x < 0, F.concat(at, F.lit(": Too small: expected number to be >=0"))).when(
-            x > 1, F.concat(at, F.lit(": Too big: expected number to be <=1"))
-        )
-    return wrong
+        wrong += f" WHEN {x} < 0 THEN {says(at, 'Too small: expected number to be >=0')}"
+        wrong += f" WHEN {x} > 1 THEN {says(at, 'Too big: expected number to be <=1')}"
+    return wrong + " END"
 
 
-def object_issues(node: Column, path: Column, spec: Spec) -> Column:
-    """All issues of one object, in specification order; ``path`` ends without a dot."""
-    inner = F.concat(path, F.when(path == "", "").otherwise("."))
-    issues = F.array_compact(F.array(*[leaf_issue(node, inner, n, w) for n, w in spec.items()]))
-    return _let(
-        kind(node), lambda got: F.when(got != "object", F.array(_expected(path, "object", got))).otherwise(issues)
-    )
+def object_issues(node: str, path: str, spec: Spec) -> str:
+    """All issues of one object, in specification order; ``path`` is SQL text without a final dot."""
+    inner = "''" if path == "''" else f"concat({path}, '.')"
+    issues = ", ".join(leaf_issue(node, inner, n, w) for n, w in spec.items())
+    wrong = f"array({expected(path, 'object', 'obj')})"
+    return let(kind(node), "obj", f"CASE WHEN obj <> 'object' THEN {wrong} ELSE array_compact(array({issues})) END")
 
 
-def array_issues(node: Column, name: str, spec: Spec, max_items: int | None = None) -> Column:
+def array_issues(node: str, name: str, spec: Spec, max_items: int | None = None) -> str:
     """Issues of an array of objects held in member ``name``."""
-    items = _elements(node, name)
-    each = F.flatten(
-        F.transform(items, lambda e, i: object_issues(e, F.concat(F.lit(f"{name}."), i.cast("string")), spec))
-    )
+    items = value(node, name, "array<variant>")
+    each = f"flatten(transform({items}, (e, i) -> {object_issues('e', f'concat({quoted(name + chr(46))}, i)', spec)}))"
+    limit = ""
     if max_items is not None:
-        too_big = F.array(F.lit(f"{name}: Too big: expected array to have <={max_items} items"))
-        each = F.when(F.size(items) > max_items, too_big).otherwise(each)
-    return _let(
-        kind(member(node, name)),
-        lambda got: F.when(got != "array", F.array(_expected(F.lit(name), "array", got))).otherwise(each),
-    )
+        limit = f"WHEN size({items}) > {max_items} THEN array('{name}: Too big: expected array to have <={max_items} items') "
+    wrong = f"array({expected(quoted(name), 'array', 'arr')})"
+    return let(kind(member(node, name)), "arr", f"CASE WHEN arr <> 'array' THEN {wrong} {limit}ELSE {each} END")
 
 
-def object_struct(node: Column, spec: Spec) -> Column:
+def object_struct(node: str, spec: Spec) -> str:
     """Typed struct of the members; a member of another JSON type becomes null."""
 
-    def typed(name: str, want) -> Column:
+    def typed(name: str, want) -> str:
         base = "string" if isinstance(want, tuple) else want
         if base in ("number", "number?", "confidence"):
-            value = number(node, name)
-        elif base in ("int", "int?"):
-            value = number(node, name).try_cast("int")
-        else:
-            value = F.try_variant_get(node, f"$.{name}", SQL_TYPE[base])
-        return value.alias(name)
+            return number(node, name)
+        if base in ("int", "int?"):
+            return f"try_cast({number(node, name)} AS int)"
+        return value(node, name, SQL_TYPE[base])
 
-    return F.struct(*[typed(n, w) for n, w in spec.items()])
+    return "named_struct(" + ", ".join(f"'{n}', {typed(n, w)}" for n, w in spec.items()) + ")"
 
 
-def array_structs(node: Column, name: str, spec: Spec) -> Column:
-    return F.transform(_elements(node, name), lambda e: object_struct(e, spec))
+def array_structs(node: str, name: str, spec: Spec) -> str:
+    return f"transform({value(node, name, 'array<variant>')}, e -> {object_struct('e', spec)})"
 
 
 def struct_type(spec: Spec) -> str:

@@ -31,34 +31,42 @@ TOOLS = {
 }
 
 
-def _issue(args: Column, name: str, rule: str, default) -> Column:
-    value = J.member(args, name)
-    got = J.kind(value)
-    x = F.try_variant_get(args, f"$.{name}", "double")
-    absent = (got == "undefined") & F.lit(default is not None)
-
-    def says(text: str) -> Column:
-        return F.lit(f"{name}: {text}")
-
+def _issue(name: str, rule: str, default) -> str:
+    """SQL text: null when the argument fits, else ``name: message``."""
+    path, x = J.quoted(name), J.value("_args", name, "double")
+    unless_absent = "got <> 'undefined' AND " if default is not None else ""
     if rule == "method":
-        word = F.try_variant_get(args, f"$.{name}", "string")
-        fits = (got == "string") & word.isin(*METHODS)
-        return F.when(~absent & ~fits, says('Invalid option: expected one of "reducing"|"flat"'))
-    if rule == "amounts":
-        items = F.try_variant_get(args, f"$.{name}", "array<variant>")
-        return (
-            F.when(got != "array", F.concat(F.lit(f"{name}: Invalid input: expected array, received "), got))
-            .when(F.size(items) < 1, says("Too small: expected array to have >=1 items"))
-            .when(F.exists(items, lambda e: J.kind(e) != "number"), says("Invalid input: expected number"))
+        words = ", ".join(J.quoted(m) for m in METHODS)
+        fits = f"got = 'string' AND {J.value('_args', name, 'string')} IN ({words})"
+        wrong = J.says(path, 'Invalid option: expected one of "reducing"|"flat"')
+        check = f"CASE WHEN {unless_absent}NOT ({fits}) THEN {wrong} END"
+    elif rule == "amounts":
+        items = J.value("_args", name, "array<variant>")
+        check = (
+            f"CASE WHEN got <> 'array' THEN {J.expected(path, 'array')} "
+            f"WHEN size({items}) < 1 THEN {J.says(path, 'Too small: expected array to have >=1 items')} "
+            f"WHEN exists({items}, e -> {J.kind('e')} <> 'number') THEN {J.says(path, 'Invalid input: expected number')} END"
         )
-    wrong = F.when(
-        ~absent & (got != "number"), F.concat(F.lit(f"{name}: Invalid input: expected number, received "), got)
+    else:
+        check = f"CASE WHEN {unless_absent}got <> 'number' THEN {J.expected(path, 'number')}"
+        if rule == "count":
+            check += f" WHEN {x} <> floor({x}) THEN {J.expected(path, 'int')}"
+        low, sign = ("< 0", ">=0") if rule == "min0" else ("<= 0", ">0")
+        check += f" WHEN {x} {low} THEN {J.says(path, f'Too small: expected number to be {sign}')} END"
+    return J.let(J.kind(J.member("_args", name)), "got", check)
+
+
+def _problem() -> str:
+    """SQL text: what is wrong with a call, null when nothing is."""
+    branches = ""
+    for tool, rules in TOOLS.items():
+        issues = ", ".join(_issue(n, r, d) for n, (r, d) in rules.items())
+        branches += f" WHEN name = '{tool}' THEN nullif(array_join(array_compact(array({issues})), '; '), '')"
+    known = ", ".join(f"'{t}'" for t in TOOLS)
+    return (
+        f"CASE WHEN name NOT IN ({known}) THEN concat('unknown tool ', name) "
+        f"WHEN {J.kind('_args')} <> 'object' THEN 'arguments are not an object'{branches} END"
     )
-    if rule == "min0":
-        return wrong.when(x < 0, says("Too small: expected number to be >=0"))
-    if rule == "count":
-        wrong = wrong.when(x != F.floor(x), says("Invalid input: expected int, received number"))
-    return wrong.when(x <= 0, says("Too small: expected number to be >0"))
 
 
 def _result_map(values: dict[str, Column]) -> Column:
@@ -74,30 +82,21 @@ def _display_map(values: dict[str, Column]) -> Column:
 def run_tools(requests: DataFrame) -> DataFrame:
     """``requests(call_id, name, args, …)`` plus ``result``, ``display`` and ``error``; a bad call is a row
     with an error, never a failed job."""
-    args = J.parse(F.col("args"))
-    df = requests.withColumn("_args", args)
-    node = F.col("_args")
-    df = df.select(
+    df = requests.selectExpr("*", f"{J.parse('args')} AS _args").selectExpr(
         "*",
-        J.number(node, "principal").alias("_principal"),
-        J.number(node, "annualRatePercent").alias("_rate"),
-        J.number(node, "tenureMonths").alias("_months"),
-        F.coalesce(F.try_variant_get(node, "$.method", "string"), F.lit("reducing")).alias("_method"),
-        F.coalesce(J.number(node, "upfrontFees"), F.lit(0.0)).alias("_fees"),
-        J.number(node, "statedEmi").alias("_stated"),
-        J.number(node, "emi").alias("_arg_emi"),
-        J.number(node, "percent").alias("_percent"),
-        J.number(node, "amount").alias("_amount"),
-        F.try_variant_get(node, "$.amounts", "array<double>").alias("_amounts"),
+        f"{J.number('_args', 'principal')} AS _principal",
+        f"{J.number('_args', 'annualRatePercent')} AS _rate",
+        f"{J.number('_args', 'tenureMonths')} AS _months",
+        f"coalesce({J.value('_args', 'method', 'string')}, 'reducing') AS _method",
+        f"coalesce({J.number('_args', 'upfrontFees')}, 0.0D) AS _fees",
+        f"{J.number('_args', 'statedEmi')} AS _stated",
+        f"{J.number('_args', 'emi')} AS _arg_emi",
+        f"{J.number('_args', 'percent')} AS _percent",
+        f"{J.number('_args', 'amount')} AS _amount",
+        f"{J.value('_args', 'amounts', 'array<double>')} AS _amounts",
+        f"{_problem()} AS _problem",
     )
-    problem = F.lit(None).cast("string")
-    known = F.col("name").isin(*TOOLS)
-    for tool, rules in TOOLS.items():
-        issues = F.array_compact(F.array(*[_issue(node, n, r, d) for n, (r, d) in rules.items()]))
-        problem = F.when(F.col("name") == tool, F.nullif(F.array_join(issues, "; "), F.lit(""))).otherwise(problem)
-    not_object = F.when(F.coalesce(J.kind(node) != "object", F.lit(True)), F.lit("arguments are not an object"))
-    problem = F.when(~known, F.concat(F.lit("unknown tool "), F.col("name"))).otherwise(F.coalesce(not_object, problem))
-    df = settle(df.withColumn("_problem", problem), ["_problem"])
+    df = settle(df, ["_problem"])
     ok = F.col("_problem").isNull()
     df = finance.with_loan_cost(
         df, "_principal", "_rate", "_months", "_method", "_fees", "_stated",

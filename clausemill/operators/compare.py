@@ -136,15 +136,13 @@ def comparison_table(pairs: DataFrame, costed: DataFrame) -> DataFrame:
 
 def parse_narratives(responses: DataFrame) -> DataFrame:
     """``summary``, ``differences`` and ``error`` of ``responses(pair_id, raw)``."""
-    df = responses.withColumn("_root", J.parse(F.col("raw")))
-    root = F.col("_root")
-    issues = F.concat(
-        J.object_issues(root, F.lit(""), {"summary": "string"}), J.array_issues(root, "differences", DIFFERENCE)
-    )
-    bad = F.coalesce(F.size(issues) > 0, F.lit(True))
-    return settle(df.withColumn("_bad", bad), ["_root", "_bad"]).select(
+    df = responses.selectExpr("*", f"{J.parse('raw')} AS _root")
+    head = J.object_issues("_root", "''", {"summary": "string"})
+    issues = f"concat({head}, {J.array_issues('_root', 'differences', DIFFERENCE)})"
+    checked = settle(df.selectExpr("*", f"coalesce(size({issues}) > 0, true) AS _bad"), ["_root", "_bad"])
+    return checked.selectExpr(
         *responses.columns,
-        F.when(~F.col("_bad"), F.try_variant_get(root, "$.summary", "string")).alias("summary"),
-        F.when(~F.col("_bad"), J.array_structs(root, "differences", DIFFERENCE)).alias("differences"),
-        F.when(F.col("_bad"), "LLM_BAD_RESPONSE").alias("error"),
+        f"CASE WHEN NOT _bad THEN {J.value('_root', 'summary', 'string')} END AS summary",
+        f"CASE WHEN NOT _bad THEN {J.array_structs('_root', 'differences', DIFFERENCE)} END AS differences",
+        "CASE WHEN _bad THEN 'LLM_BAD_RESPONSE' END AS error",
     )

@@ -35,26 +35,27 @@ MAX_OUTLINE_SECTIONS = 20
 MAX_ISSUES = 8
 
 
-def _field_issues(root: Column, name: str, spec) -> Column:
+def _field_issues(name: str, spec) -> str:
     if isinstance(spec, list):
-        return J.array_issues(root, name, spec[0])
-    return J.object_issues(J.member(root, name), F.lit(name), spec)
+        return J.array_issues("_root", name, spec[0])
+    return J.object_issues(J.member("_root", name), f"'{name}'", spec)
 
 
-def _field_value(root: Column, name: str, spec) -> Column:
+def _field_value(name: str, spec) -> str:
     if isinstance(spec, list):
-        return J.array_structs(root, name, spec[0])
-    return J.object_struct(J.member(root, name), spec)
+        return J.array_structs("_root", name, spec[0])
+    return J.object_struct(J.member("_root", name), spec)
 
 
-def _absent(spec) -> Column:
+def _absent(spec) -> str:
     """The not-found default of a field."""
     if isinstance(spec, list):
-        return F.array().cast(f"array<{J.struct_type(spec[0])}>")
-    defaults = {"confidence": F.lit(0.0), "rateType": F.lit("unknown"), "method": F.lit("unknown")}
+        return f"CAST(array() AS array<{J.struct_type(spec[0])}>)"
+    defaults = {"confidence": "0.0D", "rateType": "'unknown'", "method": "'unknown'"}
     if spec.get("value") == "strings":
-        defaults["value"] = F.array().cast("array<string>")
-    return F.struct(*[defaults.get(n, F.lit(None)).alias(n) for n in spec]).cast(J.struct_type(spec))
+        defaults["value"] = "array()"
+    members = ", ".join(f"'{n}', {defaults.get(n, 'NULL')}" for n in spec)
+    return f"CAST(named_struct({members}) AS {J.struct_type(spec)})"
 
 
 def parse_output(responses: DataFrame, spec: dict, raw: str = "raw") -> DataFrame:
@@ -63,18 +64,17 @@ def parse_output(responses: DataFrame, spec: dict, raw: str = "raw") -> DataFram
     A field that fails on its own is replaced by its not-found default, so one malformed fee does not
     discard the other fields; ``valid`` tells a clean response from a salvaged one.
     """
-    df = responses.withColumn("_root", J.parse(F.col(raw)))
-    root = F.col("_root")
-    is_object = F.coalesce(J.kind(root) == "object", F.lit(False))
-    for name, field in spec.items():
-        df = df.withColumn(f"_i_{name}", _field_issues(root, name, field))
-    not_object = F.array(F.concat(F.lit(": Invalid input: expected object, received "), J.kind(root)))
-    issues = F.when(is_object, F.concat(*[F.col(f"_i_{n}") for n in spec])).otherwise(not_object)
+    keep = responses.columns
+    df = responses.selectExpr("*", f"{J.parse(raw)} AS _root")
+    df = df.selectExpr("*", f"{J.kind('_root')} AS _kind", *[f"{_field_issues(n, f)} AS _i_{n}" for n, f in spec.items()])
+    every = ", ".join(f"_i_{n}" for n in spec)
+    wrong = f"array({J.expected(repr(''), 'object', '_kind')})"
     fields = [
-        F.when(is_object & (F.size(f"_i_{n}") == 0), _field_value(root, n, field)).otherwise(_absent(field)).alias(n)
-        for n, field in spec.items()
+        f"CASE WHEN _kind = 'object' AND size(_i_{n}) = 0 THEN {_field_value(n, f)} ELSE {_absent(f)} END AS {n}"
+        for n, f in spec.items()
     ]
-    done = df.select(*responses.columns, *fields, issues.alias("issues")).withColumn("valid", F.size("issues") == 0)
+    issues = f"CASE WHEN _kind = 'object' THEN concat({every}) ELSE {wrong} END AS issues"
+    done = df.selectExpr(*keep, *fields, issues).withColumn("valid", F.size("issues") == 0)
     return settle(done, [*spec, "issues", "valid"])
 
 
@@ -187,20 +187,16 @@ def found_fields(parsed: DataFrame, spec: dict) -> Column:
 
 def parse_outlines(responses: DataFrame) -> DataFrame:
     """``title``, ``summary``, ``sections`` and an ``error`` for responses of another shape."""
-    df = responses.withColumn("_root", J.parse(F.col("raw")))
-    root = F.col("_root")
-    issues = F.concat(
-        J.object_issues(root, F.lit(""), {"title": "string", "summary": "string"}),
-        J.array_issues(root, "sections", OUTLINE_SECTION, MAX_OUTLINE_SECTIONS),
-    )
-    bad = F.coalesce(F.size(issues) > 0, F.lit(True))
-    sections = F.when(~F.col("_bad"), J.array_structs(root, "sections", OUTLINE_SECTION))
-    return settle(df.withColumn("_bad", bad), ["_root", "_bad"]).select(
+    df = responses.selectExpr("*", f"{J.parse('raw')} AS _root")
+    head = J.object_issues("_root", "''", {"title": "string", "summary": "string"})
+    issues = f"concat({head}, {J.array_issues('_root', 'sections', OUTLINE_SECTION, MAX_OUTLINE_SECTIONS)})"
+    checked = settle(df.selectExpr("*", f"coalesce(size({issues}) > 0, true) AS _bad"), ["_root", "_bad"])
+    return checked.selectExpr(
         *responses.columns,
-        F.when(~F.col("_bad"), F.try_variant_get(root, "$.title", "string")).alias("title"),
-        F.when(~F.col("_bad"), F.try_variant_get(root, "$.summary", "string")).alias("summary"),
-        sections.alias("sections"),
-        F.when(F.col("_bad"), "LLM_BAD_RESPONSE").alias("error"),
+        f"CASE WHEN NOT _bad THEN {J.value('_root', 'title', 'string')} END AS title",
+        f"CASE WHEN NOT _bad THEN {J.value('_root', 'summary', 'string')} END AS summary",
+        f"CASE WHEN NOT _bad THEN {J.array_structs('_root', 'sections', OUTLINE_SECTION)} END AS sections",
+        "CASE WHEN _bad THEN 'LLM_BAD_RESPONSE' END AS error",
     )
 
 

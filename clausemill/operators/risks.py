@@ -88,13 +88,13 @@ def review_prompts(candidates: DataFrame, rules=RULES) -> DataFrame:
 
 def parse_reviews(responses: DataFrame) -> DataFrame:
     """``responses(doc_id, raw)`` plus ``reviews`` (null when malformed) and ``error``."""
-    df = responses.withColumn("_root", J.parse(F.col("raw")))
-    root = F.col("_root")
-    bad = F.coalesce(F.size(J.array_issues(root, "reviews", REVIEW)) > 0, F.lit(True))
-    return settle(df.withColumn("_bad", bad), ["_root", "_bad"]).select(
+    df = responses.selectExpr("*", f"{J.parse('raw')} AS _root")
+    issues = J.array_issues("_root", "reviews", REVIEW)
+    checked = settle(df.selectExpr("*", f"coalesce(size({issues}) > 0, true) AS _bad"), ["_root", "_bad"])
+    return checked.selectExpr(
         *responses.columns,
-        F.when(~F.col("_bad"), J.array_structs(root, "reviews", REVIEW)).alias("reviews"),
-        F.when(F.col("_bad"), "LLM_BAD_RESPONSE").alias("error"),
+        f"CASE WHEN NOT _bad THEN {J.array_structs('_root', 'reviews', REVIEW)} END AS reviews",
+        "CASE WHEN _bad THEN 'LLM_BAD_RESPONSE' END AS error",
     )
 
 
