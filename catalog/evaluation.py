@@ -16,12 +16,12 @@ from .retrieval import _CHUNKS, _QUERIES, chunk_table, field_queries, fused_sql,
 
 @query(
     "golden_questions_e1",
-    """SELECT n_name || '/' || key AS id, type, needs_tool, CASE WHEN n_nationkey IN (0, 2) AND key IN ('rate', 'emi', 'prepay', 'ear') THEN true ELSE false END AS fast
-    FROM nation, (VALUES ('rate', 'numeric', false), ('tenure', 'numeric', false), ('emi', 'numeric', false), ('principal', 'numeric', false), ('prepay', 'numeric', false), ('bounce', 'numeric', false), ('ear', 'numeric', true), ('interest-total', 'numeric', true)) t(key, type, needs_tool)""",
+    """SELECT c_name || '/' || key AS id, type, needs_tool, CASE WHEN c_custkey IN (0, 2) AND key IN ('rate', 'emi', 'prepay', 'ear') THEN true ELSE false END AS fast
+    FROM customer, (VALUES ('rate', 'numeric', false), ('tenure', 'numeric', false), ('emi', 'numeric', false), ('principal', 'numeric', false), ('prepay', 'numeric', false), ('bounce', 'numeric', false), ('ear', 'numeric', true), ('interest-total', 'numeric', true)) t(key, type, needs_tool)""",
 )
 def golden_questions(spark, d):
-    """Eight questions for every nation taken as a loan."""
-    rows = table(spark, d, "nation").select(F.col("n_name").alias("slug"), F.col("n_nationkey").alias("position"))
+    """Eight questions for every customer taken as a loan."""
+    rows = table(spark, d, "customer").select(F.col("c_name").alias("slug"), F.col("c_custkey").alias("position"))
     asked = golden.loan_questions(rows)
     return asked.select("id", "type", "needs_tool", F.array_contains("tags", "ci").alias("fast"))
 
