@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from clausemill.functions import patterns as P
 from clausemill.operators import chunking
 from clausemill.plans import evaluate
 from clausemill.plans.ingest import ingest
+from clausemill.session import work_folder
+from clausemill.sources import store
+from clausemill.streaming import uploads
 
 from . import inputs as I
 from .registry import query
@@ -120,7 +124,27 @@ def chunks(spark, d):
     return chunking.chunk_documents(I.pages(spark, d)).select(*CHUNK_COLUMNS)
 
 
-@query("ingested_documents_c6")
+def ingested_sql() -> str:
+    """Documents behind the gate: masked, chunked, fingerprinted, classified by the agreement vocabulary."""
+    loan = [f"len(regexp_extract_all(lower(content), '{p}'))" for p in P.LOAN_SIGNALS]
+    contract = [f"len(regexp_extract_all(lower(content), '{p}'))" for p in P.CONTRACT_SIGNALS]
+    sums = ", ".join(f"sum({c}) AS s{i}" for i, c in enumerate(loan + contract))
+    n = len(loan)
+    ls, cs = [f"s{i}" for i in range(n)], [f"s{i}" for i in range(n, n + len(contract))]
+
+    def distinct(xs):
+        return " + ".join(f"({x} > 0)::INT" for x in xs)
+
+    return chunks_sql().replace(I.PAGES, I.MASKED_PAGES) + f""", counted AS (SELECT doc_id, count(*) AS n, sum(len(list_filter(string_split_regex(content, '{I.WS}+'), lambda w: w <> ''))) AS words, {sums} FROM chunks GROUP BY doc_id),
+      kinds AS (SELECT doc_id, n, CASE WHEN ({" + ".join(cs)}) / greatest(words, 1)::DOUBLE * 1000 >= 10 AND {distinct(cs)} >= 4 THEN
+          CASE WHEN ({" + ".join(ls)}) / greatest(words, 1)::DOUBLE * 1000 >= 12 AND {distinct(ls)} >= 5 THEN 'loan' ELSE 'contract' END ELSE 'general' END AS kind FROM counted),
+      hashes AS (SELECT doc_id, sha256(string_agg(text, chr(12) ORDER BY page)) AS content_hash FROM doc_pages GROUP BY doc_id)
+    SELECT doc_id, content_hash, CAST(n AS INTEGER) AS chunk_count, kind, 'pdf' AS source_type, CAST(page_count AS INTEGER) AS page_count,
+      CASE WHEN text_pages < page_count THEN CAST(page_count - text_pages AS VARCHAR) || ' of ' || CAST(page_count AS VARCHAR) || ' pages had no extractable text and were skipped.' END AS warning, 'parsed' AS status
+    FROM kinds JOIN hashes USING (doc_id) JOIN quality USING (doc_id)"""
+
+
+@query("ingested_documents_c6", ingested_sql())
 def ingested_documents(spark, d):
     """Mask, chunk, fingerprint and classify every document behind the page gate."""
     return ingest(I.pages(spark, d)).documents
@@ -143,3 +167,31 @@ def chunk_size_sweep(spark, d):
     return evaluate.chunk_size_scores(I.pages(spark, d)).withColumn("mean_chunks", F.round("mean_chunks", 6))
 
 
+
+
+@query("streamed_documents_t1", ingested_sql())
+def streamed_documents(spark, d):
+    """The document file read as a stream: each micro-batch runs the batch flow and the result is the same."""
+    root = work_folder(spark, "uploads")
+    stream = uploads.ingest_uploads(
+        spark, d, root, f"{root}/state", schema="doc_id bigint, text string", files="documents.parquet",
+        prepare=lambda rows: store.cut_into_pages(I.headed(store.spread(rows, "doc_id"))),
+    )
+    stream.awaitTermination()
+    return spark.read.parquet(f"{root}/documents").drop("batch")
+
+
+@query(
+    "streamed_embeddings_t2",
+    "SELECT doc_id, sha256('feature-hash:64:RETRIEVAL_DOCUMENT:' || text) AS content_hash, CAST(64 AS INTEGER) AS size FROM documents",
+)
+def streamed_embeddings(spark, d):
+    """The document file read as a stream of texts to embed through the cache."""
+    root = work_folder(spark, "embeddings")
+    stream = uploads.embed_chunks(
+        spark, d, root, f"{root}/state", 64, schema="doc_id bigint, text string", files="documents.parquet",
+        prepare=lambda rows: store.spread(rows, "doc_id").withColumnRenamed("text", "content"),
+    )
+    stream.awaitTermination()
+    done = spark.read.parquet(f"{root}/chunks")
+    return done.select("doc_id", "content_hash", F.size("embedding").alias("size"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausemill.functions import patterns as P
 from clausemill.functions.checkdigit import inverse_table, permutation_table, product_table, verhoeff_digit
 from clausemill.sources import store
 
@@ -32,18 +33,20 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def agreements(spark: SparkSession, folder: str) -> DataFrame:
-    """``(doc_id, text, lang)``: a section heading before every 6th line, an article before every 12th."""
-    docs = documents(spark, folder)
+    """``(doc_id, text)``: a section heading before every 6th line, an article before every 12th."""
+    return headed(documents(spark, folder))
 
-    def headed(line, i):
+
+def headed(docs: DataFrame) -> DataFrame:
+    def with_headings(line, i):
         article = F.when(i % 12 == 0, F.concat(F.lit("ARTICLE "), F.floor(i / 12 + 1).cast("string"), F.lit("\n")))
         section = F.when(
             i % 6 == 0, F.concat(F.lit("SECTION "), F.floor(i / 6 + 1).cast("string"), F.lit(f": {HEADING}\n"))
         )
         return F.concat(F.coalesce(article, F.lit("")), F.coalesce(section, F.lit("")), line)
 
-    text = F.array_join(F.transform(F.split("text", "\n", -1), headed), "\n")
-    return docs.select("doc_id", text.alias("text"), "lang")
+    text = F.array_join(F.transform(F.split("text", "\n", -1), with_headings), "\n")
+    return docs.select("doc_id", text.alias("text"))
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,7 +54,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 AGREEMENTS = f"""agreements AS (
-  SELECT doc_id, lang, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
+  SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i:
     (CASE WHEN (i-1) % 12 = 0 THEN 'ARTICLE ' || CAST((i-1)//12+1 AS VARCHAR) || chr(10) ELSE '' END) ||
     (CASE WHEN (i-1) % 6 = 0 THEN 'SECTION ' || CAST((i-1)//6+1 AS VARCHAR) || ': {HEADING}' || chr(10) ELSE '' END) || l),
     chr(10)) AS text
@@ -69,6 +72,17 @@ LINES = PAGES + f""", doc_lines AS (
       lambda x: x <> '') AS ls FROM doc_pages)))"""
 
 
+# pages with e-mail addresses masked, the one kind of identifier the invented prose holds
+MASKED_PAGES = PAGES.replace("doc_pages AS", "raw_pages AS") + f""", found AS (SELECT doc_id, page, regexp_extract_all(text, '{P.EMAIL}') AS hits, string_split_regex(text, '{P.EMAIL}') AS gaps FROM raw_pages),
+  each AS (SELECT doc_id, page, unnest(range(len(hits))) AS k, hits FROM found),
+  firsts AS (SELECT doc_id, lower(hits[k+1]) AS key, min(page * 100000 + k) AS pos FROM each GROUP BY ALL),
+  numbered AS (SELECT doc_id, key, '[EMAIL_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS VARCHAR) || ']' AS ph FROM firsts),
+  pieces AS (SELECT e.doc_id, e.page, string_agg(f.gaps[k+1] || ph, '' ORDER BY k) AS head FROM each e JOIN found f USING (doc_id, page) JOIN numbered n ON n.doc_id = e.doc_id AND n.key = lower(e.hits[k+1]) GROUP BY ALL),
+  quality AS (SELECT doc_id, count(*) AS page_count, count(*) FILTER (length(regexp_replace(text, '{WS}+', '', 'g')) >= 25) AS text_pages FROM raw_pages GROUP BY doc_id),
+  doc_pages AS (SELECT f.doc_id, f.page, coalesce(head, '') || gaps[-1] AS text FROM found f LEFT JOIN pieces USING (doc_id, page)
+    SEMI JOIN (SELECT doc_id FROM quality WHERE page_count <= 60 AND text_pages > 0) q ON q.doc_id = f.doc_id)"""
+
+
 def heading_sql(t: str) -> str:
     return f"""(CASE WHEN length({t}) NOT BETWEEN 3 AND 80 THEN false
   WHEN regexp_matches({t}, '(?i)^(ARTICLE|CLAUSE|SECTION|SCHEDULE|ANNEXURE|ANNEX|PART|CHAPTER){WS}+(\\d+|[IVXLC]+|[A-Z])\\b[^\\n]{{0,70}}$') THEN true

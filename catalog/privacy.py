@@ -165,15 +165,7 @@ def seeded_masking(spark, d):
     return privacy.mask_documents(pages, seeds=seeds)[0]
 
 
-@query(
-    "masked_documents_m14",
-    "WITH " + I.PAGES + f""", found AS (SELECT doc_id, page, regexp_extract_all(text, '{EMAIL_SQL}') AS hits, string_split_regex(text, '{EMAIL_SQL}') AS gaps, text FROM doc_pages),
-    each AS (SELECT doc_id, page, unnest(range(len(hits))) AS k, hits FROM found),
-    firsts AS (SELECT doc_id, lower(hits[k+1]) AS key, min(page * 100000 + k) AS pos FROM each GROUP BY ALL),
-    numbered AS (SELECT doc_id, key, '[EMAIL_' || CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS VARCHAR) || ']' AS ph FROM firsts),
-    pieces AS (SELECT e.doc_id, e.page, string_agg(f.gaps[k+1] || ph, '' ORDER BY k) AS head FROM each e JOIN found f USING (doc_id, page) JOIN numbered n ON n.doc_id = e.doc_id AND n.key = lower(e.hits[k+1]) GROUP BY ALL)
-    SELECT f.doc_id, f.page, coalesce(head, '') || gaps[-1] AS text FROM found f LEFT JOIN pieces USING (doc_id, page)""",
-)
+@query("masked_documents_m14", "WITH " + I.MASKED_PAGES.replace("SEMI JOIN (SELECT doc_id FROM quality WHERE page_count <= 60 AND text_pages > 0) q ON q.doc_id = f.doc_id", "") + " SELECT doc_id, page, text FROM doc_pages")
 def masked_documents(spark, d):
     """Whole documents masked page by page with one numbering per document."""
     return privacy.mask_documents(I.pages(spark, d))[0]

@@ -289,13 +289,18 @@ def head_context(spark, d):
     return retrieval.head_context(chunks).select("doc_id", "chunk_index", "rank", "content")
 
 
-@query("ingest_and_search")
+@query(
+    "ingest_and_search",
+    (_CHUNKS + _QUERIES + vector_sql(24) + text_sql(24) + fused_sql(8)).replace(I.PAGES, I.MASKED_PAGES)
+    + f""" SELECT {_ID.replace('doc_id', 'f.doc_id')} AS query_id, CAST(f.rank AS INTEGER) AS rank, round(f.score, 9) AS score, chunk_id, c.page_start, c.page_end, c.clause_title, c.content
+      FROM franked f JOIN corpus c USING (chunk_id)""",
+)
 def ingest_and_search(spark, d):
     """Flagship: gate, mask, chunk, embed, then answer eight questions per document by hybrid search."""
     done = ingest(I.pages(spark, d))
     chunks = done.chunks.withColumn("embedding", V.hash_embedding(F.col("content"), DIMS))
     hits = retrieval.hybrid_search(chunks, field_queries(spark, d), 8)
     found = retrieval.with_chunk_columns(hits, done.chunks)
-    return found.select("query_id", "rank", "score", "chunk_id", "page_start", "page_end", "clause_title", "content")
-
-
+    return found.select(
+        "query_id", "rank", F.round("score", 9).alias("score"), "chunk_id", "page_start", "page_end", "clause_title", "content"
+    )

@@ -6,6 +6,8 @@ that is replayed after a lost executor or driver replaces its own output and not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,14 +19,19 @@ from ..plans.ingest import ingest
 
 def ingest_uploads(
     spark: SparkSession, source: str, target: str, checkpoint: str, schema: str = schemas.PAGES,
-    files_per_batch: int | None = None, **options,
+    files: str = "*.parquet", files_per_batch: int | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None, **options,
 ) -> StreamingQuery:
-    """Read new page files under ``source`` and write chunks, documents, maps and rejects under ``target``."""
-    reader = spark.readStream.schema(schema)
+    """Read new page files under ``source`` and write chunks, documents, maps and rejects under ``target``.
+
+    ``prepare`` turns files of another shape into ``(doc_id, page, text)``.
+    """
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def run(pages: DataFrame, batch_id: int) -> None:
+    def run(rows: DataFrame, batch_id: int) -> None:
+        pages = prepare(rows) if prepare else rows
         done = ingest(pages, checkpoint=True, **options)
         parts = [("chunks", done.chunks), ("pii_map", done.pii_map), ("rejects", done.rejects), ("documents", done.documents)]
         for name, table in parts:
@@ -36,17 +43,19 @@ def ingest_uploads(
 
 def embed_chunks(
     spark: SparkSession, source: str, target: str, checkpoint: str, dims: int, schema: str = schemas.CHUNKS,
-    files_per_batch: int | None = None,
+    files: str = "*.parquet", files_per_batch: int | None = None,
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> StreamingQuery:
     """Embed chunk files as they arrive; keys already cached by earlier batches are not requested again.
 
     The cache is read from the folders of earlier batches, so a replayed batch sees what it saw before.
     """
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", files)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def run(chunks: DataFrame, batch_id: int) -> None:
+    def run(rows: DataFrame, batch_id: int) -> None:
+        chunks = prepare(rows) if prepare else rows
         session = chunks.sparkSession
         empty = session.createDataFrame([], schemas.EMBEDDING_CACHE)
 
