@@ -76,7 +76,7 @@ STOP_WORDS = (
 )
 PLACEHOLDER_TOKEN = r"\[[a-z]+_\d+\]"
 TOKEN_BREAK = r"[^a-z0-9%]+"
-SUFFIX = r"(ing|ed|es|s)\z"
+SUFFIXES = ("ing", "ed", "es", "s")
 
 # --- fixed values: answers and evaluation ---
 NUMBER_IN_TEXT = r"(?<![A-Za-z0-9_.])(\d{1,3}(?:,\d{2,3})+(?:\.\d+)?|\d+(?:\.\d+)?)(?![A-Za-z0-9_])"

@@ -43,7 +43,11 @@ def word_count(c: Column | str) -> Column:
 
 
 def is_heading(c: Column | str) -> Column:
-    t = strip_ws(c)
+    """Keyword, all-capitals or numbered heading; most lines fail on their length alone."""
+    return F.get(F.transform(F.array(strip_ws(c)), _heading_rules), 0)
+
+
+def _heading_rules(t: Column) -> Column:
     caps_words = F.filter(F.split(t, f"{P.WS}+", -1), lambda w: w.rlike(P.CAPS_WORD))
     title = F.regexp_extract(t, P.NUMBERED_HEADING, 2)
     return (
@@ -132,7 +136,15 @@ def search_tokens(c: Column | str) -> Column:
     kept = F.filter(
         F.split(lowered, P.TOKEN_BREAK, -1), lambda t: (F.length(t) > 1) & ~t.isin(*P.STOP_WORDS)
     )
-    return F.transform(kept, lambda t: F.regexp_replace(t, P.SUFFIX, ""))
+    return F.transform(kept, _without_suffix)
+
+
+def _without_suffix(t: Column) -> Column:
+    """Plain comparisons instead of a regex per token; the longest suffix goes."""
+    cut = F.lit(0)
+    for suffix in reversed(P.SUFFIXES):
+        cut = F.when(F.endswith(t, F.lit(suffix)), len(suffix)).otherwise(cut)
+    return F.left(t, F.length(t) - cut)
 
 
 def lexemes(c: Column | str) -> Column:

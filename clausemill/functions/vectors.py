@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -27,16 +29,12 @@ def from_literal(s: Column) -> Column:
     return F.from_json(s, "array<float>")
 
 
-def token_slots(text: Column, dims: int) -> Column:
-    """Signed slot of every token: +(i+1) or -(i+1) for slot i, from the token's SHA-1."""
-
-    def slot(t: Column) -> Column:
-        digest = F.sha1(t)
-        index = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dims
-        even = F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0
-        return F.when(even, index + 1).otherwise(-(index + 1)).cast("int")
-
-    return F.transform(search_tokens(text), slot)
+def _signed_slots(words: list[str], dims: int) -> np.ndarray:
+    """+(i+1) or -(i+1) for slot i of every word, from its SHA-1: four bytes the slot, the parity of the
+    fifth the sign."""
+    digests = np.frombuffer(b"".join(hashlib.sha1(w.encode()).digest()[:5] for w in words), np.uint8).reshape(-1, 5)
+    slot = digests[:, :4].astype(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+    return np.where(digests[:, 4] % 2 == 0, 1, -1) * (slot % dims + 1)
 
 
 def _rows(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,19 +50,24 @@ def _lists(matrix: np.ndarray) -> pa.Array:
 
 
 def hash_embedding(text: Column, dims: int = 768) -> Column:
-    """Feature-hashed bag of words on the unit sphere; hashing in the JVM, the dense sum in Arrow batches."""
+    """Feature-hashed bag of words on the unit sphere.
+
+    Tokens are made in the JVM; a batch hashes each distinct token once and adds up slots in numpy.
+    """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def densify(slots: pa.Array) -> pa.Array:
-        values, offsets = _rows(slots)
+    def densify(tokens: pa.Array) -> pa.Array:
+        offsets = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        words = tokens.flatten().dictionary_encode()
         n = len(offsets) - 1
+        signed = _signed_slots(words.dictionary.to_pylist(), dims)
+        values = signed[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         row = np.repeat(np.arange(n), np.diff(offsets))
-        flat = row * dims + np.abs(values) - 1
-        dense = np.bincount(flat.astype(np.int64), weights=np.sign(values), minlength=n * dims).reshape(n, dims)
+        dense = np.bincount(row * dims + np.abs(values) - 1, weights=np.sign(values), minlength=n * dims).reshape(n, dims)
         norm = np.sqrt((dense * dense).sum(axis=1, keepdims=True))
         return _lists(dense / np.where(norm == 0, 1.0, norm))
 
-    return densify(token_slots(text, dims))
+    return densify(search_tokens(text))
 
 
 @F.arrow_udf(T.DoubleType())
