@@ -126,7 +126,7 @@ def kyc(spark: SparkSession, folder: str) -> DataFrame:
     carries a wrong check digit."""
     orders = table(spark, folder, "orders")
     df = orders.selectExpr(*KYC_FIELDS)
-    digit = (verhoeff_digit(F.col("base")) + F.when(F.col("page") % 3 == 0, 1).otherwise(0)) % 10
+    digit = (verhoeff_digit("base") + F.when(F.col("page") % 3 == 0, 1).otherwise(0)) % 10
     df = df.withColumn("whole", F.concat("base", digit.cast("string")))
     df = df.selectExpr("*", f"{PHONE_SHOWN} AS phone", f"{AADHAAR_SHOWN} AS aadhaar", "page % 3 <> 0 AS valid")
     return df.selectExpr("doc_id", "page", f"{KYC_TEXT} AS text", "pan", "ifsc", "aadhaar", "whole", "valid", "account", "phone", "mobile", "email")

@@ -35,7 +35,7 @@ def exploded(df, column):
 def spans(spark, d):
     """Offsets of every match of one expression in whole documents."""
     docs = I.documents(spark, d)
-    found = docs.select("doc_id", F.explode(privacy.spans(F.col("text"), "[A-Za-z]+ing", "PAN")).alias("s"))
+    found = docs.select("doc_id", F.explode(F.expr(privacy.spans("text", "[A-Za-z]+ing", "PAN"))).alias("s"))
     return found.select("doc_id", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"), F.col("s.value").alias("value"))
 
 
@@ -45,7 +45,7 @@ def spans(spark, d):
 )
 def emails(spark, d):
     docs = I.documents(spark, d)
-    return docs.select("doc_id", F.explode(privacy.spans(F.col("text"), P.EMAIL, "EMAIL")).alias("s")).select(
+    return docs.select("doc_id", F.explode(F.expr(privacy.spans("text", P.EMAIL, "EMAIL"))).alias("s")).select(
         "doc_id", F.col("s.value").alias("value")
     )
 
@@ -56,7 +56,7 @@ def _detector(name: str, kind: str):
 
     @query(name, sql)
     def detector(spark, d):
-        return exploded(notes(spark, d), privacy.identifier_candidates(F.col("text"))[kind])
+        return exploded(notes(spark, d), F.expr(privacy.identifier_candidates("text")[kind]))
 
     return detector
 
@@ -77,10 +77,10 @@ _detector("phone_m7", "PHONE")
 def check_digits(spark, d):
     s = F.col("s")
     keys = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") * 7 + 11).cast("string").alias("s"))
-    keys = keys.withColumn("digit", verhoeff_digit(s))
-    made = F.concat(s, F.col("digit").cast("string"))
+    keys = keys.withColumn("digit", verhoeff_digit("s"))
+    keys = keys.withColumn("made", F.concat(s, F.col("digit").cast("string")))
     return keys.select(
-        "o_orderkey", "digit", verhoeff_valid(s).alias("plain_valid"), verhoeff_valid(made).alias("made_valid")
+        "o_orderkey", "digit", verhoeff_valid("s").alias("plain_valid"), verhoeff_valid("made").alias("made_valid")
     )
 
 

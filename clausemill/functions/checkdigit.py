@@ -32,19 +32,24 @@ def inverse_table() -> list[int]:
     return [next(b for b in range(10) if _dihedral(a, b) == 0) for a in range(10)]
 
 
-def _fold(digits: Column, shift: int) -> Column:
-    product, permuted = F.lit(product_table()), F.lit(permutation_table())
-    places = F.transform(
-        F.split(F.reverse(digits), ""), lambda d, i: F.get(permuted, ((i + shift) % 8) * 10 + d.cast("int"))
-    )
-    return F.aggregate(places, F.lit(0), lambda c, v: F.get(product, c * 10 + v))
+def _fold(digits: str, shift: int) -> str:
+    product = "array(" + ", ".join(map(str, product_table())) + ")"
+    permuted = "array(" + ", ".join(map(str, permutation_table())) + ")"
+    places = f"transform(split(reverse({digits}), ''), (v, p) -> {permuted}[((p + {shift}) % 8) * 10 + CAST(v AS int)])"
+    return f"aggregate({places}, 0, (c, v) -> {product}[c * 10 + v])"
 
 
-def verhoeff_valid(digits: Column) -> Column:
-    """False for anything that is not all digits."""
-    return F.when(digits.rlike(r"^[0-9]+\z"), _fold(digits, 0) == 0).otherwise(False)
+def valid_sql(digits: str) -> str:
+    """SQL text: false for anything that is not all digits."""
+    return f"CASE WHEN {digits} RLIKE '^[0-9]+\\\\z' THEN {_fold(digits, 0)} = 0 ELSE false END"
 
 
-def verhoeff_digit(digits: Column) -> Column:
+def verhoeff_valid(digits: str) -> Column:
+    """Whether a column or SQL expression of digits ends in its right check digit."""
+    return F.expr(valid_sql(digits))
+
+
+def verhoeff_digit(digits: str) -> Column:
     """The check digit to append; null for anything that is not all digits."""
-    return F.when(digits.rlike(r"^[0-9]+\z"), F.get(F.lit(inverse_table()), _fold(digits, 1)))
+    inverse = "array(" + ", ".join(map(str, inverse_table())) + ")"
+    return F.expr(f"CASE WHEN {digits} RLIKE '^[0-9]+\\\\z' THEN {inverse}[{_fold(digits, 1)}] END")

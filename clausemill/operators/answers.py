@@ -84,8 +84,8 @@ def mask_requests(asks: DataFrame, pii_map: DataFrame) -> DataFrame:
     found = privacy.explode_spans(texts, ["query_id", "doc_id"], "pos")
     asking = found.select("query_id", "doc_id").distinct()
     seeds = asking.join(pii_map, "doc_id").select("query_id", "doc_id", "seed_pos", "placeholder", "original")
-    placeholders = privacy.number_placeholders(found, ["query_id", "doc_id"], "pos", seeds)
-    masked = privacy.apply_placeholders(texts, found, placeholders, ["query_id", "doc_id"], "pos")
+    placed = privacy.place(found, ["query_id", "doc_id"], "pos", seeds)
+    masked = privacy.apply_placeholders(texts, placed, ["query_id", "doc_id"], "pos")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     per_request = masked.groupBy("query_id").agg(ordered.alias("masked"))
     joined = asks.join(per_request, "query_id")

@@ -9,104 +9,75 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import jsonspec as J
 from ..functions import patterns as P
-from ..functions.checkdigit import verhoeff_valid
+from ..functions.checkdigit import valid_sql
 
 SPAN_TYPE = "array<struct<type:string,start:int,end:int,value:string>>"
+NO_SPANS = f"CAST(array() AS {SPAN_TYPE})"
 TYPES = P.IDENTIFIER_TYPES
 
 
-def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """All non-overlapping matches as ``struct(type, start, end, value)``, offsets from 0.
+def spans(text: str, pattern: str, kind: str, group: int = 0) -> str:
+    """SQL text: all non-overlapping matches as ``struct(type, start, end, value)``, offsets from 0.
 
     Spark's extract-all has no offsets: the pieces between matches give them, summed as the array grows.
+    A text without a match costs one search.
     """
-    gaps = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    item = F.zip_with(
-        F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), whole, lambda g, m: F.struct(g.alias("gap"), m.alias("hit"))),
-        inner,
-        lambda p, v: F.struct(
-            (F.length(p.gap) + F.instr(p.hit, v) - 1).alias("lead"),
-            (F.length(p.gap) + F.length(p.hit)).alias("advance"),
-            v.alias("value"),
-        ),
+    p = J.quoted(pattern)
+    values = "hits" if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
+    item = (
+        f"zip_with(zip_with(slice(split({text}, {p}, -1), 1, size(hits)), hits, (g, m) -> named_struct('gap', g, 'hit', m)), "
+        f"{values}, (w, v) -> named_struct('lead', length(w.gap) + instr(w.hit, v) - 1, "
+        "'advance', length(w.gap) + length(w.hit), 'value', v))"
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN_TYPE).alias("out"))
-    found = F.aggregate(
-        item,
-        start,
-        lambda s, i: F.struct(
-            (s.at + i.advance).alias("at"),
-            F.concat(
-                s.out,
-                F.array(
-                    F.struct(
-                        F.lit(kind).alias("type"),
-                        (s.at + i.lead).alias("start"),
-                        (s.at + i.lead + F.length(i.value)).alias("end"),
-                        i.value.alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda s: s.out,
+    one = (
+        f"named_struct('type', '{kind}', 'start', a.pos + i.lead, 'end', a.pos + i.lead + length(i.value), 'value', i.value)"
+    )
+    walk = (
+        f"aggregate({item}, named_struct('pos', 0, 'found', {NO_SPANS}), "
+        f"(a, i) -> named_struct('pos', a.pos + i.advance, 'found', concat(a.found, array({one}))), a -> a.found)"
     )
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN_TYPE))
+    found = J.let(f"regexp_extract_all({text}, {p}, 0)", "hits", walk)
+    return f"CASE WHEN {text} RLIKE {p} THEN {found} ELSE {NO_SPANS} END"
 
 
 def digits_of(value: Column) -> Column:
     return F.regexp_replace(value, r"\D", "")
 
 
-def identifier_candidates(text: Column) -> dict[str, Column]:
-    """Per type the spans that also pass the type's own check."""
-
-    def before(s: Column) -> Column:
-        left = F.greatest(s.start - 8, F.lit(0))
-        return F.substr(text, left + 1, s.start - left)
-
-    found = {
+def identifier_candidates(text: str) -> dict[str, str]:
+    """SQL text per type: the spans that also pass the type's own check."""
+    digits = "regexp_replace(x.value, '[^0-9]', '')"
+    before = f"substr({text}, greatest(x.start - 8, 0) + 1, x.start - greatest(x.start - 8, 0))"
+    valid = J.let(digits, "n", valid_sql("n"))
+    return {
         "EMAIL": spans(text, P.EMAIL, "EMAIL"),
         "PAN": spans(text, P.PAN, "PAN"),
         "IFSC": spans(text, P.IFSC, "IFSC"),
-        "AADHAAR": F.filter(spans(text, P.AADHAAR, "AADHAAR"), lambda s: verhoeff_valid(digits_of(s.value))),
-        "ACCOUNT": F.filter(
-            spans(text, P.ACCOUNT, "ACCOUNT", 1), lambda s: F.length(digits_of(s.value)).between(9, 18)
-        ),
-        "PHONE": F.filter(spans(text, P.PHONE, "PHONE"), lambda s: ~before(s).rlike(P.AMOUNT_BEFORE)),
+        "AADHAAR": f"filter({spans(text, P.AADHAAR, 'AADHAAR')}, x -> {valid})",
+        "ACCOUNT": f"filter({spans(text, P.ACCOUNT, 'ACCOUNT', 1)}, x -> length({digits}) BETWEEN 9 AND 18)",
+        "PHONE": f"filter({spans(text, P.PHONE, 'PHONE')}, x -> NOT ({before} RLIKE {J.quoted(P.AMOUNT_BEFORE)}))",
     }
-    return found
-
-
-def resolve_overlaps(candidates: Column) -> Column:
-    """Earliest, then longest, then detector order; later spans that start inside a kept one go."""
-    ranked = F.array_sort(
-        F.transform(
-            candidates,
-            lambda s: F.struct(
-                s.start.alias("start"),
-                (-s.end).alias("neg_end"),
-                F.array_position(F.lit(list(TYPES)), s.type).alias("ord"),
-                s.alias("span"),
-            ),
-        )
+
+
+def resolve_overlaps(candidates: str) -> str:
+    """SQL text: earliest, then longest, then detector order; later spans that start inside a kept one go."""
+    order = ", ".join(f"'{t}'" for t in TYPES)
+    ranked = (
+        f"array_sort(transform({candidates}, x -> named_struct('start', x.start, 'neg_end', -x.`end`, "
+        f"'ord', array_position(array({order}), x.type), 'span', x)))"
     )
-    start = F.struct(F.lit(-1).alias("cursor"), F.array().cast(SPAN_TYPE).alias("out"))
-    return F.aggregate(
-        ranked,
-        start,
-        lambda a, s: F.when(s.start < a.cursor, a).otherwise(
-            F.struct(s.span.end.alias("cursor"), F.concat(a.out, F.array(s.span)).alias("out"))
-        ),
-        lambda a: a.out,
+    return (
+        f"aggregate({ranked}, named_struct('cursor', -1, 'found', {NO_SPANS}), "
+        "(a, x) -> CASE WHEN x.start < a.cursor THEN a ELSE "
+        "named_struct('cursor', x.span.`end`, 'found', concat(a.found, array(x.span))) END, a -> a.found)"
     )
 
 
-def detect(text: Column) -> Column:
-    """Accepted identifier spans of one text, in order."""
-    return resolve_overlaps(F.concat(*identifier_candidates(text).values()))
+def detect(text: str = "text") -> Column:
+    """Accepted identifier spans of one text column, in order."""
+    return F.expr(resolve_overlaps(f"concat({', '.join(identifier_candidates(text).values())})"))
 
 
 def identity(kind: Column, value: Column) -> Column:
@@ -122,7 +93,7 @@ def identity(kind: Column, value: Column) -> Column:
 
 def explode_spans(pages: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """One row per accepted span: keys, order column, type, start, end, value and identity."""
-    exploded = pages.select(*keys, order, F.explode(detect(F.col(text))).alias("s"))
+    exploded = pages.select(*keys, order, F.explode(detect(text)).alias("s"))
     return exploded.select(
         *keys, order, "s.type", "s.start", "s.end", "s.value", identity(F.col("s.type"), F.col("s.value")).alias("key")
     )
@@ -185,15 +156,30 @@ def splice(text: Column, replacements: Column) -> Column:
     )
 
 
-def apply_placeholders(
-    pages: DataFrame, found: DataFrame, placeholders: DataFrame, keys: list[str], order: str, text: str = "text"
-) -> DataFrame:
+def place(found: DataFrame, keys: list[str], order: str, seeds: DataFrame | None = None) -> DataFrame:
+    """``found`` with the ``placeholder`` of every span: the numbering of :func:`number_placeholders`, but in
+    the one pass over the spans, so that the texts are searched once."""
+    rows, known = found, F.lit(None).cast("string")
+    offset = F.lit(0)
+    if seeds is not None:
+        issued = seed_placeholders(seeds, keys)
+        last = issued.groupBy(*keys, "type").agg(F.max("n").alias("_last"))
+        named = issued.select(*keys, "type", "key", F.col("placeholder").alias("_known"))
+        rows = found.join(named, [*keys, "type", "key"], "left").join(last, [*keys, "type"], "left")
+        known, offset = F.col("_known"), F.coalesce(F.col("_last"), F.lit(0))
+    rows = rows.repartition(*keys, "type").withColumn("_fresh", known.isNull())
+    same = Window.partitionBy(*keys, "type", "key")
+    rows = rows.withColumn("_first", F.min(F.struct(order, "start")).over(same))
+    n = F.dense_rank().over(Window.partitionBy(*keys, "type", "_fresh").orderBy("_first"))
+    fresh = F.concat(F.lit("["), F.col("type"), F.lit("_"), (offset + n).cast("string"), F.lit("]"))
+    return rows.withColumn("placeholder", F.coalesce(known, fresh)).select(*found.columns, "placeholder")
+
+
+def apply_placeholders(pages: DataFrame, placed: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
     """Masked ``pages``. Replacements are gathered per page, so no group outgrows one page's text, and
     pages are joined on ``(keys, order)``, so a long document spreads over many tasks."""
-    placed = (
-        found.join(placeholders.select(*keys, "type", "key", "placeholder"), [*keys, "type", "key"])
-        .groupBy(*keys, order)
-        .agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans"))
+    placed = placed.groupBy(*keys, order).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end", "placeholder"))).alias("_spans")
     )
     joined = pages.join(placed, [*keys, order], "left")
     masked = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(splice(F.col(text), F.col("_spans")))
@@ -213,7 +199,7 @@ def mask_documents(
     keys = keys or ["doc_id"]
     found = explode_spans(pages, keys, order)
     placeholders = number_placeholders(found, keys, order, seeds)
-    return apply_placeholders(pages, found, placeholders, keys, order), placeholders, found
+    return apply_placeholders(pages, place(found, keys, order, seeds), keys, order), placeholders, found
 
 
 def _literal_replacement(value: Column) -> Column:
