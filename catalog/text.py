@@ -380,9 +380,14 @@ def raw_text(spark, d):
     return layout.raw_to_pages(table(spark, d, "documents").select("doc_id", raw.alias("text")))
 
 
-@query("page_layout_s2")
+@query(
+    "page_layout_s2",
+    f"""WITH l AS (SELECT doc_id, ls, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+    c AS (SELECT doc_id, i // 8 + 1 AS page, i, {I.collapse('ls[i+1]')} AS t FROM l)
+    SELECT doc_id, CAST(page AS INTEGER) AS page, string_agg(t, chr(10) ORDER BY i) AS text FROM c WHERE t <> '' GROUP BY doc_id, page""",
+)
 def page_layout(spark, d):
-    """Words of every document as positioned runs, shuffled, and read back in order."""
+    """Words of every document as positioned runs with uneven baselines, read back in order."""
     docs = I.documents(spark, d)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
     words = lines.select("doc_id", "line", F.posexplode(F.split("s", " ", -1)).alias("word", "str"))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# fixed values: (key, question, tolerance, pages_from, needs_tool, always_fast) asked of every loan;
-# the last entry tells whether the question joins the fast subset for loans that are part of it
+# fixed values: (key, question, tolerance, pages_from, needs_tool, in_fast_subset) asked of every loan
 LOAN_TEMPLATES = (
     ("rate", "What is the rate of interest on this loan, and is it fixed or floating?", None, "terms.interestRate", False, True),
     ("tenure", "How many monthly instalments does the loan have?", None, "terms.tenureMonths", False, False),
@@ -42,8 +41,6 @@ SINGLE_QUESTIONS = (
     ("lecture-notes-tvm", "nid-lecturer", "not_in_document", "Who is the lecturer teaching this course?", None, None, None, None, "nid"),
 )
 
-COLUMNS = ["id", "slug", "key", "type", "question", "value", "tolerance", "keywords", "pages_from", "pages", "needs_tool", "tags"]
-
 
 def loan_questions(loans: DataFrame) -> DataFrame:
     """Eight questions per row of ``loans(slug, position)``; the templates are a literal array."""
