@@ -8,14 +8,14 @@ import numpy as np
 class Leader:
     """Weights of ``features`` x ``outputs``, kept as sums of gradients; most weights stay exactly zero."""
 
-    def __init__(self, features: int, outputs: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.5):
+    def __init__(self, features: int, outputs: int, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 0.5, positive: bool = False):
         self.z = np.zeros((features, outputs))
         self.n = np.zeros((features, outputs))
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.alpha, self.beta, self.l1, self.l2, self.positive = alpha, beta, l1, l2, positive
 
     def weights(self, at=slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        shrunk = np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
+        shrunk = np.minimum(z + self.l1, 0) if self.positive else np.sign(z) * np.maximum(np.abs(z) - self.l1, 0)
         return -shrunk / ((self.beta + np.sqrt(n)) / self.alpha + self.l2)
 
     def step(self, at: np.ndarray, gradient: np.ndarray, weights: np.ndarray) -> None:
