@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .registry import query, table
+from .token_counts import token_counts
 from .word_bpe import decode, encode
 
 
@@ -26,3 +27,8 @@ def bpe(spark, folder):
         "key.doc_id", "key.digests.n_tokens", "key.digests.ids_sha256",
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_token_counts")
+def counts(spark, folder):
+    return token_counts(table(spark, folder, "documents"), vocabulary_path("piece_bpe_32k.model"))
