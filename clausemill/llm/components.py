@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,54 +43,84 @@ def bucket_members(buckets: DataFrame) -> DataFrame:
     return cut_lineage(buckets.join(several.select("bucket"), "bucket").distinct())
 
 
-def link_members(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2, comparable: Callable[[], Column] | None = None,
-    extra: tuple[str, ...] = (),
-) -> DataFrame:
-    """The components (``node``, ``root``) of all verified links between keys that share a bucket.
+def link_members(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """The components (``node``, ``root``) of all keys that share a bucket and are similar.
 
-    ``members`` has distinct ``bucket``, ``key`` rows and the columns ``extra``, which belong to the key; ``verify`` returns
-    the true links of a table of candidate pairs ``a``, ``b``. In each of the ``rounds`` every bucket links its members to
-    one of them, another in each round; members that are connected by then need no further test. What is left, pairs in
-    one bucket and in different components, is tested pair by pair, so no link is lost and a large group of copies costs
-    a few tests per member. ``comparable`` may rule pairs out by their ``extra`` columns (``a_x``, ``b_x``) before that.
+    Keys are similar if the intersection of their sets has at least ``percent`` % of the size of the union. ``members`` has
+    distinct ``bucket``, ``key`` rows; ``sets`` has a row per key with its ``set`` of 64-bit hashes and its ``bands``, the
+    buckets it is in. In each of the ``rounds`` every bucket tests its members against one of them, another in each
+    round; members that are connected by then need no further test. What is left, pairs in one bucket and in different
+    components, is tested pair by pair where their first common bucket is, and only similar pairs leave that join: no
+    link is lost, and a large group of copies costs a few rows per member.
     """
-    roots, tested, links = None, None, None
+    roots, links = None, None
     for turn in range(rounds):
-        if roots is None:
-            labelled = members.withColumn("label", F.col("key"))
-        else:
-            labelled = _labelled(members, roots)
+        labelled = _labelled(members, roots)
         order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
-        open_ = labelled.groupBy("bucket").agg(
-            F.min(F.struct(order.alias("order"), "key", "label", *extra)).alias("c"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).filter("low < high")
-        centres = open_.select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label"), *[F.col(f"c.{x}").alias(f"b_{x}") for x in extra])
+        centres = (
+            labelled.groupBy("bucket")
+            .agg(F.min(F.struct(order.alias("order"), "key", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+            .filter("low < high")
+            .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label"))
+        )
         pairs = labelled.join(centres, "bucket").filter("label <> centre_label")
-        if comparable is not None:
-            pairs = pairs.withColumnsRenamed({x: f"a_{x}" for x in extra}).filter(comparable())
         pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        good = cut_lineage(verify(pairs).select("a", "b"))
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        good = cut_lineage(similar_pairs(pairs, sets, percent))
         links = good if links is None else links.unionByName(good)
         roots = connected(links)
     labelled = _labelled(members, roots)
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = labelled.join(open_.select("bucket"), "bucket")
-    left = rest.select("bucket", *[F.col(x).alias(f"a_{x}") for x in ("key", "label", *extra)])
-    right = rest.select("bucket", *[F.col(x).alias(f"b_{x}") for x in ("key", "label", *extra)])
-    condition = F.col("a_label") < F.col("b_label")
-    if comparable is not None:
-        condition &= comparable()
-    pairs = left.join(right, "bucket").filter(condition)
-    pairs = pairs.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
-    good = verify(cut_lineage(pairs.join(tested, ["a", "b"], "left_anti"))).select("a", "b")
-    return connected(links.unionByName(good))
-
-
-def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    rest = labelled.join(open_.select("bucket"), "bucket").join(_short(sets).join(sets.select("key", "bands"), "key"), "key")
+    left, right = (rest.select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "set", "bands")]) for side in "ab")
+    first = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_bucket")
+    likely, _ = _overlap(percent)
+    apart = (F.col("a_label") < F.col("b_label")) & _sizes_allow(percent) & first
+    pairs = left.join(right, (F.col("a_bucket") == F.col("b_bucket")) & apart & likely).select(
+        F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")
+    )
+    return connected(links.unionByName(_exact(cut_lineage(pairs.distinct()), sets, percent)))
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` of keys whose sets are similar.
+
+    Sets travel as 32-bit hashes, half of their size; pairs within a few elements of the limit, where a chance collision
+    of short hashes could decide, are counted again on the 64-bit hashes.
+    """
+    likely, sure = _overlap(percent)
+    short = _short(sets)
+    left, right = (short.select(F.col("key").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
+    judged = pairs.join(left, "a").join(right, "b").filter(_sizes_allow(percent) & likely)
+    judged = cut_lineage(judged.select("a", "b", sure.alias("sure")))
+    return judged.filter("sure").select("a", "b").unionByName(_exact(judged.filter("NOT sure").select("a", "b"), sets, percent))
+
+
+def _short(sets: DataFrame) -> DataFrame:
+    return sets.select("key", F.transform("set", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("set"))
+
+
+def _sizes_allow(percent: int) -> Column:
+    a, b = F.size("a_set"), F.size("b_set")
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _overlap(percent: int) -> tuple[Column, Column]:
+    """Whether the sets ``a_set``, ``b_set`` of short hashes may be similar, and whether they are without doubt."""
+    a, b = F.size("a_set").cast("long"), F.size("b_set").cast("long")
+    common = F.size(F.array_intersect("a_set", "b_set"))
+    doubt = 3 + F.shiftright(a * b, 27)
+    margin = (100 + percent) * common - percent * (a + b)
+    return margin >= -(100 + percent) * doubt, margin >= (100 + percent) * doubt
+
+
+def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    left, right = (sets.select(F.col("key").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
+    margin = (100 + percent) * F.size(F.array_intersect("a_set", "b_set")) - percent * (F.size("a_set") + F.size("b_set"))
+    return pairs.join(left, "a").join(right, "b").filter(margin >= 0).select("a", "b")
+
+
+def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("label", F.col("key"))
     named = roots.select(F.col("node").alias("key"), "root")
     return members.join(named, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")

@@ -61,22 +61,6 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return cut.filter(F.col("line").rlike(WORD_CHARACTER)).select("key", "body", "n", normal(F.col("line")).alias("norm"))
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs ``a``, ``b`` of line keys whose lines (``line_key``, ``norm``) are similar, by their whole sets of shingles."""
-
-    def side(name):
-        return texts.select(F.col("line_key").alias(name), F.col("norm").alias(f"norm_{name}"))
-
-    sets = F.struct(shingles(F.col("norm_a")).alias("a"), shingles(F.col("norm_b")).alias("b"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def overlap(s):
-        common = F.size(F.array_intersect(s["a"], s["b"]))
-        return 100 * common >= SIMILAR_PERCENT * (F.size(s["a"]) + F.size(s["b"]) - common)
-
-    return both.filter(bound(sets, overlap)).select("a", "b")
-
-
 def texts_of(found: DataFrame, keys: DataFrame) -> DataFrame:
     """``line_key``, ``norm`` of the lines whose key is in ``keys``, once each.
 
@@ -105,8 +89,10 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found = lines(docs, key, text)
     places = cut_lineage(found.select("key", "body", "n", F.xxhash64("norm").alias("line_key")))
     members = bucket_members(found.select(F.xxhash64("norm").alias("key"), F.explode(bands(F.col("norm"))).alias("bucket")))
-    texts = cut_lineage(texts_of(found, members.select(F.col("key").alias("line_key")).distinct()))
-    roots = link_members(members, lambda pairs: similar(pairs, texts))
+    texts = texts_of(found, members.select(F.col("key").alias("line_key")).distinct())
+    hashes = F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))
+    sets = cut_lineage(texts.select(F.col("line_key").alias("key"), hashes.alias("set"), bands(F.col("norm")).alias("bands")))
+    roots = link_members(members, sets, SIMILAR_PERCENT)
     named = places.join(roots.withColumnRenamed("node", "line_key"), "line_key", "left")
     grouped = named.select("key", "body", "n", F.coalesce("root", "line_key").alias("group"))
     firsts = grouped.groupBy("group").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "n")).alias("first"))
