@@ -5,6 +5,8 @@ from __future__ import annotations
 import mmap
 import struct
 
+import numpy as np
+
 HEADER = struct.Struct("<4sIIII")
 MAGIC = b"ACT1"
 
@@ -74,42 +76,48 @@ def compile_lexicon(entries: list[tuple[bytes, tuple[int, ...]]]) -> bytes:
     for _, values in ordered:
         ids.extend(values)
         starts.append(len(ids))
-    pad = bytes(-(len(labels) + len(finals)) % 4)
-    numbers = [*first_arcs, *targets, *outputs, *starts, *ids]
-    return (
-        HEADER.pack(MAGIC, len(states), len(labels), len(ordered), len(ids))
-        + bytes(labels) + bytes(finals) + pad + struct.pack(f"<{len(numbers)}I", *numbers)
-    )
+    numbers = np.array([*first_arcs, *targets, *outputs, *starts, *ids, *labels, *finals], "<u4")
+    return HEADER.pack(MAGIC, len(states), len(labels), len(ordered), len(ids)) + numbers.tobytes()
 
 
 class Lexicon:
     """A compiled automaton, read in place from a memory map outside the Python heap."""
 
     def __init__(self, block: bytes):
-        held = mmap.mmap(-1, max(1, len(block)))
-        held.write(block)
-        _, states, arcs, words, ids = HEADER.unpack_from(held)
-        view = memoryview(held)
-        at = HEADER.size
+        self.held = mmap.mmap(-1, len(block))
+        self.held.write(block)
+        _, states, arcs, words, ids = HEADER.unpack_from(self.held)
         self.root = states - 1
-        self.labels, at = view[at : at + arcs], at + arcs
-        self.finals, at = view[at : at + states], at + states
-        numbers = view[at + -(arcs + states) % 4 :][: 4 * (states + 1 + 2 * arcs + words + 1 + ids)].cast("I")
-        cuts = [0]
-        for n in (states + 1, arcs, arcs, words + 1, ids):
-            cuts.append(cuts[-1] + n)
-        self.first, self.targets, self.outputs, self.starts, self.ids = (numbers[a:b] for a, b in zip(cuts, cuts[1:]))
-
-    def get(self, word: bytes) -> memoryview | None:
-        """The word's ids, or None for a word that the lexicon lacks."""
-        state, rank = self.root, 0
-        labels, first = self.labels, self.first
-        for byte in word:
-            for arc in range(first[state], first[state + 1]):
-                if labels[arc] == byte:
-                    rank += self.outputs[arc]
-                    state = self.targets[arc]
-                    break
-            else:
-                return None
-        return self.ids[self.starts[rank] : self.starts[rank + 1]] if self.finals[state] else None
+        cuts = np.cumsum([0, states + 1, arcs, arcs, words + 1, ids, arcs, states])
+        numbers = np.frombuffer(self.held, "<u4", int(cuts[-1]), HEADER.size)
+        first, self.targets, self.outputs, self.starts, self.ids, labels, self.finals = (numbers[a:b] for a, b in zip(cuts, cuts[1:]))
+        # an arc is found by its state and label, which stand in ascending order
+        self.arcs = np.repeat(np.arange(states, dtype=np.int64), np.diff(first)) << 8 | labels
+
+    def ranks(self, words: list[bytes]) -> np.ndarray:
+        """Each word's place in the table of ids, -1 for words that the lexicon lacks: all words take each step at once."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(lengths) - lengths
+        state, rank = np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        walking, place = np.arange(len(words)), 0
+        while len(walking):
+            ended = lengths[walking] == place
+            done = walking[ended]
+            rank[done] = np.where(self.finals[state[done]] == 1, rank[done], -1)
+            walking = walking[~ended]
+            wanted = state[walking] << 8 | letters[begin[walking] + place]
+            arc = np.searchsorted(self.arcs, wanted)
+            there = np.zeros(len(walking), bool)
+            inside = arc < len(self.arcs)
+            there[inside] = self.arcs[arc[inside]] == wanted[inside]
+            rank[walking[~there]] = -1
+            walking, arc = walking[there], arc[there]
+            rank[walking] += self.outputs[arc]
+            state[walking] = self.targets[arc]
+            place += 1
+        return rank
+
+    def packed(self, rank: int) -> bytes:
+        """The ids of the word at ``rank``, little-endian."""
+        return self.ids[self.starts[rank] : self.starts[rank + 1]].tobytes()

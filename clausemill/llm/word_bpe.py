@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import struct
@@ -15,13 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clausemill.session import cut_lineage
+
 from .automaton import Lexicon, compile_lexicon
 
 #: Words in the lexicon and bytes in one of them: the bound of what is compiled and broadcast (a few MB).
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 48
-#: Words whose ids a worker remembers at a time.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers: so many of the latest, and those of the batch of as many before them.
+REMEMBERED = 250_000
 #: Texts that are turned into one output batch at a time, and characters after which it is handed over earlier.
 BATCH_ROWS = 512
 BATCH_CHARS = 8_000_000
@@ -31,6 +34,7 @@ WORD_END = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WHITE_SPACE = r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = regex.compile(f"[^{WHITE_SPACE}]+")
+SEPARATORS = regex.compile(r"[\x1c-\x1f]")
 #: Below this character the Unicode versions of Python and of the library agree; from it on the library is asked.
 COMMON = "\u0250"
 
@@ -68,6 +72,8 @@ class Vocabulary:
 
     def words(self, chunk: str) -> list[str]:
         """The words, in byte letters, of a stretch without white space."""
+        if chunk.isalpha() and chunk.isascii():
+            return [chunk.lower()]
         if chunk.isascii() and chunk.isprintable():
             return self.split.findall(chunk.lower())
         if max(chunk) < COMMON:
@@ -80,20 +86,19 @@ class Vocabulary:
         parts = [*word[:-1], word[-1] + WORD_END]
         if len(parts) > 48:
             parts = self._merge_long(parts)
-        ranks = self.ranks
-        while len(parts) > 1:
-            best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, 1 << 30))
-            if best not in ranks:
+        rank, none = self.ranks.get, 1 << 30
+        order = [rank(pair, none) for pair in zip(parts, parts[1:])]
+        while order:
+            first = min(order)
+            if first == none:
                 break
-            joined, at, out = best[0] + best[1], 0, []
-            while at < len(parts):
-                if at + 1 < len(parts) and (parts[at], parts[at + 1]) == best:
-                    out.append(joined)
-                    at += 2
-                else:
-                    out.append(parts[at])
-                    at += 1
-            parts = out
+            at = order.index(first)
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del order[at]
+            if at:
+                order[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(order):
+                order[at] = rank((parts[at], parts[at + 1]), none)
         return [self.ids[p] for p in parts if p in self.ids]
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -129,42 +134,107 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+class Remembered:
+    """Values of recent keys: two generations, of which the older goes when the newer is full."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def __getitem__(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.new[key] = value
+        return value
+
+    def __setitem__(self, key: str, value: bytes) -> None:
+        self.new[key] = value
+
+    def age(self) -> None:
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+
+
 class Encoder:
     """Texts to packed ids: words by the lexicon, others by merging."""
 
     def __init__(self, path: str, block: bytes):
         self.vocabulary, self.lexicon = vocabulary(path), Lexicon(block)
-        self.known: dict[str, bytes] = {}
-
-    def chunk(self, chunk: str) -> bytes:
-        out = []
-        for word in self.vocabulary.words(chunk):
-            ids = self.lexicon.get(word.encode())
-            out.extend(self.vocabulary.merge(word) if ids is None else ids)
-        packed = struct.pack(f"<{len(out)}I", *out)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        if len(chunk) <= LEXICON_BYTES:
-            self.known[chunk] = packed
-        return packed
-
-    def plain(self, text: str) -> bytes:
-        known = self.known
-        return b"".join([known.get(c) or self.chunk(c) for c in CHUNK.findall(text)])
-
-    def text(self, text: str) -> bytes:
+        self.chunks, self.merged = Remembered(), Remembered()
+
+    def word_ids(self, words: list[str]) -> dict[str, bytes]:
+        out = {}
+        for word, rank in zip(words, self.lexicon.ranks([w.encode() for w in words]).tolist()):
+            if rank >= 0:
+                out[word] = self.lexicon.packed(rank)
+                continue
+            value = self.merged[word]
+            if value is None:
+                ids = self.vocabulary.merge(word)
+                value = struct.pack(f"<{len(ids)}I", *ids)
+                if len(word) <= LEXICON_BYTES:
+                    self.merged[word] = value
+            out[word] = value
+        self.merged.age()
+        return out
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts without special tokens; what several share is worked out once."""
+        # str.split also splits at four separators that are no white space for the vocabulary
+        split = [CHUNK.findall(t) if SEPARATORS.search(t) else t.split() for t in texts]
+        known = {c: self.chunks[c] for c in {c for chunks in split for c in chunks}}
+        missing = {c: self.vocabulary.words(c) for c, value in known.items() if value is None}
+        ids = self.word_ids(list({w for words in missing.values() for w in words}))
+        for chunk, words in missing.items():
+            known[chunk] = value = b"".join([ids[w] for w in words])
+            if len(chunk) <= LEXICON_BYTES:
+                self.chunks[chunk] = value
+        self.chunks.age()
+        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
+
+    def texts(self, texts: list[str | None]) -> list[bytes]:
         special = self.vocabulary.special
-        if "<|" not in text or not special:
-            return self.plain(text)
-        parts = self.vocabulary.special_pattern.split(text)
-        return b"".join([special[p].to_bytes(4, "little") if p in special else self.plain(p) for p in parts])
+        parts = [
+            self.vocabulary.special_pattern.split(t) if special and t is not None and "<|" in t else [t or ""] for t in texts
+        ]
+        plain = iter(self.plain([p for text in parts for p in text if p not in special]))
+        return [b"".join([struct.pack("<I", special[p]) if p in special else next(plain) for p in text]) for text in parts]
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, block: bytes) -> Encoder:
+    """The encoder of a vocabulary and a lexicon, kept by a worker from task to task; one at a time."""
+    key = (path, hashlib.sha256(block).digest())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(path, block)
+    return _encoders[key]
 
 
 def lexicon_words(docs: DataFrame, text: str, limit: int = LEXICON_WORDS) -> DataFrame:
-    """The most frequent lower-cased stretches between white space, counted over all texts; ties in byte order."""
+    """The most frequent lower-cased stretches between white space, counted over all texts, at most ``limit``.
+
+    Words are taken by classes of their count's logarithm as far as whole classes fit, so that no task ranks all words
+    and the driver sees the sizes of a few hundred classes.
+    """
     chunk = F.explode(F.split(F.lower(F.col(text)), r"\s+")).alias("word")
     counts = docs.select(chunk).filter((F.col("word") != "") & (F.octet_length("word") <= LEXICON_BYTES))
-    return counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    classed = cut_lineage(
+        counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        .select("word", F.floor(F.log2("n") * 16).alias("class"))
+    )
+    sizes = classed.groupBy("class").count().collect()
+    lowest, room = float("inf"), limit
+    for row in sorted(sizes, key=lambda r: -r["class"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        lowest = row["class"]
+    return classed.filter(F.col("class") >= F.lit(lowest)).select("word")
 
 
 def build_lexicon(docs: DataFrame, vocabulary_path: str, text: str = "text", limit: int = LEXICON_WORDS) -> bytes:
@@ -190,13 +260,13 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
 
 
 def _mapped(df: DataFrame, keep: str, source: str, name: str, kind: T.DataType, arrow: pa.DataType, make) -> DataFrame:
-    """``keep`` and ``name`` = the worker function of ``make()`` applied to ``source``, in Arrow batches."""
+    """``keep`` and ``name`` = the worker function of ``make()`` applied to the values of ``source``, in Arrow batches."""
     schema = T.StructType([df.schema[keep], T.StructField(name, kind)])
 
     def run(batches):
         work = make()
         for part, values in _texts(batches, source):
-            out = pa.array([work(v) for v in values], type=arrow)
+            out = pa.array(work(values), type=arrow)
             yield pa.RecordBatch.from_arrays([part.column(keep), out], names=[keep, name])
 
     return df.select(F.col(keep), F.col(source)).mapInArrow(run, schema)
@@ -215,8 +285,7 @@ def encode(
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def make():
-        encoder = Encoder(vocabulary_path, shared.value)
-        return lambda value: encoder.text(value or "")
+        return encoder(vocabulary_path, shared.value).texts
 
     return _mapped(docs, key, text, "ids", T.BinaryType(), pa.binary(), make)
 
@@ -227,8 +296,8 @@ def decode(encoded: DataFrame, vocabulary_path: str, key: str = "doc_id", ids: s
     def make():
         names = vocabulary(vocabulary_path).names
 
-        def work(value):
-            return " ".join([names[i] for i in memoryview(value or b"").cast("I") if i in names])
+        def work(values):
+            return [" ".join(filter(None, map(names.get, memoryview(v or b"").cast("I")))) for v in values]
 
         return work
 
