@@ -43,7 +43,7 @@ _SHOWN = """'[' || CAST(rank AS VARCHAR) || '] (' || CASE WHEN page_start = page
 
 @query(
     "prompts_a1",
-    "WITH " + PASSAGES + f""", ctx AS (SELECT query_id, string_agg({_SHOWN}, chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS passages FROM psg WHERE rank <= 40 GROUP BY query_id)
+    "WITH " + PASSAGES + f""", ctx AS (SELECT query_id, string_agg({_SHOWN}, chr(10) || chr(10) ORDER BY rank) AS context, CAST(count(*) AS INTEGER) AS passages FROM psg GROUP BY query_id)
     SELECT query_id, passages, 'Context passages from the document:' || chr(10) || chr(10) || context || chr(10) || chr(10) || 'Question: ' || text AS prompt
     FROM ctx JOIN conversations ON conv_id = query_id AND turn = 0""",
 )
@@ -55,7 +55,7 @@ def prompts(spark, d):
 @query(
     "outline_contexts_a1",
     "WITH " + PASSAGES + """ SELECT query_id, string_agg('[' || CAST(rank AS VARCHAR) || '] (page ' || CAST(page_start AS VARCHAR) || CASE WHEN clause_title IS NULL THEN '' ELSE ' | heading: ' || clause_title END || ')' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context,
-      CAST(count(*) AS INTEGER) AS passages FROM psg WHERE rank <= 40 GROUP BY query_id""",
+      CAST(count(*) AS INTEGER) AS passages FROM psg GROUP BY query_id""",
 )
 def outline_contexts(spark, d):
     return answers.contexts(passages(spark, d), outline=True)
@@ -63,22 +63,25 @@ def outline_contexts(spark, d):
 
 
 
+_LEAD = "'My PAN AKLPM4821R, phone 98' || lpad(CAST(conv_id AS VARCHAR), 8, '0') || ': '"
+
+
 @query(
     "masked_requests_a2",
-    f"""WITH asks AS (SELECT conv_id, turn, {_QID} AS query_id, text FROM conversations WHERE role = 'user')
-    SELECT query_id, 'My PAN [PAN_1], phone ' || CASE WHEN turn % 4 = 0 THEN '[PHONE_2]' ELSE '[PHONE_1]' END || ': ' || left(regexp_replace(text, '@', ' at ', 'g'), 2000) AS question,
-      'reach ' || CASE WHEN turn % 4 = 0 THEN '[PHONE_3]' ELSE '[PHONE_2]' END || ' or [EMAIL_1]' AS first_turn FROM asks""",
+    f"""WITH asks AS (SELECT conv_id, turn, {_QID} AS query_id, regexp_replace(text, '@', ' at ', 'g') AS body FROM conversations WHERE role = 'user'),
+    judged AS (SELECT *, CASE WHEN length({_LEAD} || body) > 2000 THEN 'question' END AS issue FROM asks)
+    SELECT query_id, issue, CASE WHEN issue IS NULL THEN 'My PAN [PAN_1], phone ' || CASE WHEN turn % 4 = 0 THEN '[PHONE_2]' ELSE '[PHONE_1]' END || ': ' || body END AS question,
+      CASE WHEN issue IS NULL THEN 'reach ' || CASE WHEN turn % 4 = 0 THEN '[PHONE_3]' ELSE '[PHONE_2]' END || ' or [EMAIL_1]' END AS first_turn FROM judged""",
 )
 def masked_requests(spark, d):
-    """User turns that mention a PAN known from the upload, two phones and an e-mail address."""
+    """User turns that mention a PAN known from the upload, two phones and an e-mail address; over-long ones are rejected."""
     asks = turns(spark, d).filter("role = 'user'")
     own = F.concat(F.lit("98"), F.lpad(F.col("conv_id").cast("string"), 8, "0"))
     other = F.lit("+91 81234 56780")
-    question = F.concat(
-        F.lit("My PAN AKLPM4821R, phone "), own, F.lit(": "), F.substring(F.regexp_replace("text", "@", " at "), 1, 2000)
-    )
+    question = F.concat(F.lit("My PAN AKLPM4821R, phone "), own, F.lit(": "), F.regexp_replace("text", "@", " at "))
     turn = F.struct(F.lit("user").alias("role"), F.concat(F.lit("reach "), other, F.lit(" or Me@Mail.example.com")).alias("content"))
-    requests = asks.select(qid().alias("query_id"), qid().alias("doc_id"), question.alias("question"), F.array(turn).alias("history"), "turn")
+    asked = asks.select(qid().alias("query_id"), qid().alias("doc_id"), question.alias("question"), F.array(turn).alias("history"), "turn")
+    requests, rejects = answers.split_requests(asked)
     known = F.array(
         F.struct(F.lit(0).alias("seed_pos"), F.lit("[PAN_1]").alias("placeholder"), F.lit("AKLPM4821R").alias("original")),
         F.struct(F.lit(1).alias("seed_pos"), F.lit("[PHONE_1]").alias("placeholder"), F.lit("7000000001").alias("original")),
@@ -86,7 +89,9 @@ def masked_requests(spark, d):
     issued = F.when(F.col("turn") % 4 == 0, known).otherwise(F.slice(known, 1, 1))
     pii = requests.select("doc_id", F.explode(issued).alias("e")).select("doc_id", "e.*")
     masked = answers.mask_requests(requests.drop("turn"), pii)
-    return masked.select("query_id", "question", F.element_at("history", 1).content.alias("first_turn"))
+    nothing = F.lit(None).cast("string")
+    shown = masked.select("query_id", nothing.alias("issue"), "question", F.element_at("history", 1).content.alias("first_turn"))
+    return shown.unionByName(rejects.select("query_id", "issue", nothing.alias("question"), nothing.alias("first_turn")))
 
 
 def _norm(text: str) -> str:
@@ -151,7 +156,7 @@ def no_context_answers(spark, d):
 
 
 # assistant turns with markers appended by rule
-_RAW = """CASE WHEN (conv_id + turn) % 11 = 0 THEN 'NOT_IN_DOCUMENT: - ' || CASE WHEN turn % 2 = 1 THEN '' ELSE '.' END || left(text, 40)
+_RAW = """CASE WHEN (conv_id + turn) % 11 = 0 THEN 'NOT_IN_DOCUMENT: - ' || CASE WHEN turn % 2 = 1 THEN '' ELSE '.' END || text
   WHEN (conv_id + turn) % 13 = 0 THEN ' NOT_IN_DOCUMENT .' ELSE 'As stated [' || CAST(conv_id % 5 AS {s}) || ',  ' || CAST(turn AS {s}) || '] .  Also [9], [' || CAST(turn + 1 AS {s}) || '] ; ' || {body} END"""
 
 
@@ -178,7 +183,7 @@ _SHOWN9 = "CASE WHEN 9 <= passages THEN '[9]' ELSE '' END"
 _CLEAN = f"""{I.strip("regexp_replace(regexp_replace(x, ' {2,}', ' ', 'g'), '" + I.WS + "+([.,;])', '" + chr(92) + "1', 'g')")}"""
 PARSED = RESPONSES + f""", built AS (SELECT *, 'As stated ' || {_SHOWN1} || ' .  Also ' || {_SHOWN9} || ', ' || {_SHOWN2} || ' ; ' || body AS x FROM resp),
   parsed AS (SELECT query_id, conv_id, tool_calls, refused AS not_found, {_MARK} AS refs,
-    CASE WHEN (conv_id + turn) % 11 = 0 THEN coalesce(nullif({I.strip("regexp_replace('.' || left(text, 40), '^[\\s:.-]+', '')")}, ''), '{P.NOT_STATED_ANSWER}')
+    CASE WHEN (conv_id + turn) % 11 = 0 THEN coalesce(nullif({I.strip("regexp_replace('.' || text, '^[\\s:.-]+', '')")}, ''), '{P.NOT_STATED_ANSWER}')
       WHEN refused THEN '{P.NOT_STATED_ANSWER}' ELSE {_CLEAN} END AS answer FROM built)"""
 
 

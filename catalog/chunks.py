@@ -112,14 +112,7 @@ def packed_windows(spark, d):
     return chunking.explode_chunks(chunking.chunk_arrays(doc_lines(spark, d), 120, 30)).select(*CHUNK_COLUMNS)
 
 
-GATE = """, quality AS (SELECT doc_id, count(*) AS page_count, count(*) FILTER (length(regexp_replace(text, '""" + I.WS + """+', '', 'g')) >= 25) AS text_pages FROM doc_pages GROUP BY doc_id)"""
-
-
-@query(
-    "chunks_c5",
-    chunks_sql() + GATE + """ SELECT doc_id, chunk_index, clause_title, page_start, page_end, content, token_count FROM chunks
-      SEMI JOIN (SELECT doc_id FROM quality WHERE page_count <= 60 AND text_pages > 0) q USING (doc_id)""",
-)
+@query("chunks_c5", chunks_sql() + " SELECT doc_id, chunk_index, clause_title, page_start, page_end, content, token_count FROM chunks")
 def chunks(spark, d):
     return chunking.chunk_documents(I.pages(spark, d)).select(*CHUNK_COLUMNS)
 

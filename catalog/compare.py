@@ -64,15 +64,14 @@ _NULL = "CAST(NULL AS DOUBLE)"
 
 @query(
     "offer_payload_o3",
-    "WITH " + LOAN_FACTS + f""" SELECT doc_id, field, value FROM (SELECT doc_id, unnest(['lender', 'tenureMonths', 'interestRate', 'statedEmi', 'processingFee', 'insurancePremium', 'otherUpfrontCharges', 'prepaymentCharges', 'bounceCharges']) AS field,
-      unnest([coalesce(lender, 'not stated'), coalesce(CAST(tenure_months AS VARCHAR), 'not stated'),
+    "WITH " + LOAN_FACTS + f""" SELECT doc_id, field, value FROM (SELECT doc_id, unnest(['lender', 'principal', 'tenureMonths', 'interestRate', 'statedEmi', 'processingFee', 'insurancePremium', 'otherUpfrontCharges', 'prepaymentCharges', 'latePaymentCharges', 'bounceCharges']) AS field,
+      unnest([coalesce(lender, 'not stated'), coalesce(CAST(principal AS VARCHAR), 'not stated'), coalesce(CAST(tenure_months AS VARCHAR), 'not stated'),
         CASE WHEN annual_rate_percent IS NULL THEN 'not stated' ELSE '{{"annualPercent":' || {_num('annual_rate_percent')} || ',"type":"' || rate_type || '","method":"' || method || '"}}' END, 'not stated',
         {_fee(_NULL, 'fee_percent', "'\"description\":\"fee\"'")}, {_fee('insurance', _NULL, 'NULL')},
-        CASE WHEN has_others THEN '[{{"amount":100.0,"description":"Stamp duty"}}, {{"percent":0.5}}]' ELSE '[]' END, {_fee(_NULL, 'prepay', 'NULL')}, 'not stated']) AS value FROM facts)""",
+        CASE WHEN has_others THEN '[{{"amount":100.0,"description":"Stamp duty"}}, {{"percent":0.5}}]' ELSE '[]' END, {_fee(_NULL, 'prepay', 'NULL')}, {_fee(_NULL, 'late', "'\"description\":\"per month\"'")}, 'not stated']) AS value FROM facts)""",
 )
 def offer_payload(spark, d):
-    rows = compare.describe_terms(parsed_loans(spark, d))
-    return rows.filter(~F.col("field").isin("principal", "latePaymentCharges"))
+    return compare.describe_terms(parsed_loans(spark, d))
 
 
 def _whole(x: str) -> str:
@@ -87,12 +86,13 @@ def _months(n: str) -> str:
     return f"""CAST({n} AS VARCHAR) || ' months (' || concat_ws(' ', CASE WHEN {n} // 12 > 1 THEN CAST({n} // 12 AS VARCHAR) || ' yrs' WHEN {n} // 12 = 1 THEN '1 yr' END, CASE WHEN {n} % 12 > 0 THEN CAST({n} % 12 AS VARCHAR) || ' mo' END) || ')'"""
 
 
-SIDES = TERMS_COST + f""", side AS (SELECT f.doc_id, f.lender, f.tenure_months AS n, f.annual_rate_percent AS r, f.rate_type, f.method, c.emi, c.monthly, f.prepay, f.late, {round2_sql(round2_sql('c.emi * c.tenure_months') + ' - c.principal')} AS interest
+SIDES = TERMS_COST + f""", side AS (SELECT f.doc_id, f.lender, f.tenure_months AS n, f.annual_rate_percent AS r, f.rate_type, f.method, f.principal, c.emi, c.monthly, c.upfront_fees AS fees, f.prepay, f.late, {round2_sql(round2_sql('c.emi * c.tenure_months') + ' - c.principal')} AS interest
     FROM facts f LEFT JOIN costed c USING (doc_id)),
-  shown AS (SELECT doc_id, unnest(range(8)) AS i, unnest(['Lender', 'Interest rate', 'Tenure', 'EMI', 'Effective annual rate', 'APR', 'Prepayment charges', 'Late payment / penal']) AS aspect, unnest([coalesce(lender, '—'),
+  shown AS (SELECT doc_id, unnest(range(13)) AS i, unnest(['Lender', 'Loan amount', 'Interest rate', 'Tenure', 'EMI', 'Upfront fees', 'Total interest', 'Effective annual rate', 'APR', 'Prepayment charges', 'Late payment / penal', 'Bounce charges', 'Risk flags']) AS aspect, unnest([coalesce(lender, '—'),
+      CASE WHEN principal IS NULL THEN '—' ELSE {_whole('principal')} END,
       CASE WHEN r IS NULL THEN 'Not stated' ELSE printf('%.2f', r) || '% ' || rate_type || ', ' || method END, CASE WHEN n IS NULL THEN '—' ELSE {_months('n')} END,
-      CASE WHEN emi IS NULL THEN '—' ELSE {_money('emi')} END, CASE WHEN monthly IS NULL THEN '—' ELSE printf('%.2f', {round2_sql('(pow(1 + monthly, 12) - 1) * 100')}) || '%' END,
-      CASE WHEN monthly IS NULL THEN '—' ELSE printf('%.2f', {round2_sql('monthly * 12 * 100')}) || '%' END, CASE WHEN prepay IS NULL THEN 'Not stated' ELSE '4%' END, CASE WHEN late IS NULL THEN 'Not stated' ELSE CAST(CAST(late AS INTEGER) AS VARCHAR) || '%' END]) AS value FROM side)"""
+      CASE WHEN emi IS NULL THEN '—' ELSE {_money('emi')} END, CASE WHEN fees IS NULL THEN '—' ELSE {_whole('fees')} END, CASE WHEN interest IS NULL THEN '—' ELSE {_whole('interest')} END, CASE WHEN monthly IS NULL THEN '—' ELSE printf('%.2f', {round2_sql('(pow(1 + monthly, 12) - 1) * 100')}) || '%' END,
+      CASE WHEN monthly IS NULL THEN '—' ELSE printf('%.2f', {round2_sql('monthly * 12 * 100')}) || '%' END, CASE WHEN prepay IS NULL THEN 'Not stated' ELSE '4%' END, CASE WHEN late IS NULL THEN 'Not stated' ELSE CAST(CAST(late AS INTEGER) AS VARCHAR) || '%' END, 'Not stated', 'Not assessed']) AS value FROM side)"""
 
 
 @query(
@@ -100,11 +100,8 @@ SIDES = TERMS_COST + f""", side AS (SELECT f.doc_id, f.lender, f.tenure_months A
     "WITH RECURSIVE " + LOAN_FACTS + SIDES + ", " + PAIRS + """ SELECT pair_id, l.aspect, l.value AS "left", r.value AS "right" FROM pairs JOIN shown l ON l.doc_id = left_id JOIN shown r ON r.doc_id = right_id AND r.i = l.i""",
 )
 def comparison_table(spark, d):
-    """Eight of the thirteen rows carry over from the response rules; the others are covered by F11 and P14."""
     costed = extraction.cost_from_terms(parsed_loans(spark, d)).withColumn("risks", F.lit(None).cast("string"))
-    rows = compare.comparison_table(pairs(spark, d), costed)
-    mine = ["Lender", "Interest rate", "Tenure", "EMI", "Effective annual rate", "APR", "Prepayment charges", "Late payment / penal"]
-    return rows.filter(F.col("aspect").isin(*mine)).drop("row_no")
+    return compare.comparison_table(pairs(spark, d), costed).drop("row_no")
 
 
 _NARRATIVE = """concat('{"summary":', CASE WHEN k % 6 = 0 THEN 'null' ELSE '"A is cheaper."' END, ',"differences":[{"aspect":"Rate","left":"1","right":"2","favours":"',

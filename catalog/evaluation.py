@@ -111,7 +111,7 @@ def keyword_checks(spark, d):
     return table(spark, d, "documents").select("doc_id", evaluation.check_text(F.col("text"), words).alias("ok"))
 
 
-_TURN_ANSWER = "left(text, 200) || CASE turn % 4 WHEN 1 THEN ' It does not say.' WHEN 3 THEN ' Not mentioned; no information.' ELSE '' END"
+_TURN_ANSWER = "text || CASE turn % 4 WHEN 1 THEN ' It does not say.' WHEN 3 THEN ' Not mentioned; no information.' ELSE '' END"
 
 
 @query(

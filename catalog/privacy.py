@@ -204,7 +204,7 @@ def unmasked(spark, d):
 
 @query(
     "map_summaries_m16",
-    "WITH " + I.KYC_MAP + """, per AS (SELECT doc_id, lower(type) AS t, count(*) AS n, min(page * 1000 + start) AS pos FROM kyc_map GROUP BY ALL)
+    "WITH " + I.KYC_MAP + """, per AS (SELECT doc_id, lower(type) AS t, count(*) AS n, min({'page': page, 'start': start}) AS pos FROM kyc_map GROUP BY ALL)
     SELECT doc_id, string_agg(CAST(n AS VARCHAR) || ' ' || t || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY pos) AS summary FROM per GROUP BY doc_id""",
 )
 def map_summaries(spark, d):

@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,36 +73,39 @@ def hash_embedding(text: Column, dims: int = 768) -> Column:
 
 @F.arrow_udf(T.DoubleType())
 def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
-    """1 - cos of paired vectors of equal size; null where either has no direction.
+    """1 - cos of paired vectors; null where one is null, their sizes differ or either has no direction.
 
     Rounded far below the vectors' own precision, so that equal distances tie whatever the order of the sum.
     """
-    left, offsets = _rows(a)
-    right, _ = _rows(b)
-    n = len(offsets) - 1
-    if n == 0:
-        return pa.array([], pa.float64())
-    width = len(left) // n
-    x = left.reshape(n, width).astype(np.float64)
-    y = right.reshape(n, width).astype(np.float64)
-    norms = np.sqrt((x * x).sum(1) * (y * y).sum(1))
-    dots = (x * y).sum(1)
-    distance = np.round(1.0 - dots / np.where(norms == 0, 1.0, norms), 12)
-    return pa.array(distance, mask=norms == 0)
+    sizes = [pa.compute.fill_null(pa.compute.list_value_length(v), -1).to_numpy(zero_copy_only=False) for v in (a, b)]
+    same = (sizes[0] == sizes[1]) & (sizes[0] > 0)
+    distance = np.full(len(a), np.nan)
+    for width in np.unique(sizes[0][same]):
+        at = np.flatnonzero(same & (sizes[0] == width))
+        x, y = (_rows(v.take(pa.array(at)))[0].reshape(len(at), width).astype(np.float64) for v in (a, b))
+        norms = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+        dots = (x * y).sum(1)
+        distance[at] = np.where(norms == 0, np.nan, np.round(1.0 - dots / np.where(norms == 0, 1.0, norms), 12))
+    return pa.array(distance, mask=np.isnan(distance))
 
 
 def signatures(v: Column, tables: int = 8, bits: int = 6, seed: int = 7) -> Column:
-    """One bucket per table: the signs of ``bits`` random projections."""
+    """One bucket per table: the signs of ``bits`` random projections; null for a null or empty vector.
+
+    Vectors of each size have projections of their own, so different sizes are not compared.
+    """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def signs(vectors: pa.Array) -> pa.Array:
-        values, offsets = _rows(vectors)
-        n = len(offsets) - 1
-        width = len(values) // n if n else 0
-        planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
-        on = (values.reshape(n, width).astype(np.float64) @ planes > 0).reshape(n, tables, bits)
-        buckets = (on * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)
-        at = pa.array(np.arange(0, n * tables + 1, tables, dtype=np.int32))
-        return pa.ListArray.from_arrays(at, pa.array(buckets.ravel()))
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+        buckets = np.zeros((len(vectors), tables), np.int32)
+        for width in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == width)
+            values = _rows(vectors.take(pa.array(at)))[0].reshape(len(at), width).astype(np.float64)
+            planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
+            on = (values @ planes > 0).reshape(len(at), tables, bits)
+            buckets[at] = (on * (1 << np.arange(bits))).sum(axis=2)
+        starts = pa.array(np.arange(0, len(vectors) * tables + 1, tables, dtype=np.int32))
+        return pa.ListArray.from_arrays(starts, pa.array(buckets.ravel()), mask=pa.array(sizes == 0))
 
     return signs(v)

@@ -10,7 +10,6 @@ from ..functions import text as X
 from . import privacy
 
 MAX_QUESTION, MAX_TURN, MAX_HISTORY, HISTORY_TURNS, MAX_TOOL_ROUNDS = 2000, 8000, 20, 10, 4
-MAX_PASSAGES = 40
 
 
 def join_in_order(order: str, text: Column, separator: str = "\n\n"):
@@ -21,15 +20,13 @@ def join_in_order(order: str, text: Column, separator: str = "\n\n"):
     )
 
 
-def contexts(
-    passages: DataFrame, key: str = "query_id", order: str = "rank", outline: bool = False, limit: int = MAX_PASSAGES
-) -> DataFrame:
-    """``(key, context, passages)``: the numbered passages of a context, which never holds more than ``limit``."""
+def contexts(passages: DataFrame, key: str = "query_id", order: str = "rank", outline: bool = False) -> DataFrame:
+    """``(key, context, passages)``: all given passages, numbered; how many there are is up to the retrieval step."""
     label, ranged = ("heading", False) if outline else ("clause", True)
     text = X.passage(
         F.col(order), F.col("page_start"), F.col("page_end"), F.col("clause_title"), F.col("content"), label, ranged
     )
-    return passages.filter(F.col(order) <= limit).groupBy(key).agg(
+    return passages.groupBy(key).agg(
         join_in_order(order, text).alias("context"), F.count("*").cast("int").alias("passages")
     )
 
@@ -58,6 +55,12 @@ def request_issue(question: Column, history: Column) -> Column:
     )
 
 
+def split_requests(asks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(requests within the limits, rejects (query_id, issue))``; nothing of a request is cut."""
+    judged = asks.withColumn("issue", request_issue(F.col("question"), F.col("history")))
+    return judged.filter("issue IS NULL").drop("issue"), judged.filter("issue IS NOT NULL").select("query_id", "issue")
+
+
 def recent_history(turns: DataFrame, n: int = HISTORY_TURNS) -> DataFrame:
     """``(conv_id, history)``: the last ``n`` turns that are neither pending nor failed, oldest first."""
     usable = turns.filter(~F.col("pending") & ~F.col("error"))

@@ -1,19 +1,19 @@
 """Clause-aware chunks with page ranges.
 
-A document's lines sit in one row (at most ``MAX_PAGES`` pages after the gate), so sections, folding,
+A document's lines sit in one row (after the upload's page limit a bounded number), so sections, folding,
 packing and the dense chunk index need no shuffle beyond the one that brings the pages together. The
 order-dependent planning sees only line and sentence lengths, in Arrow batches; text stays in the JVM.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from .layout import MAX_PAGES, accepted_pages, page_quality
 
 MAX_TOKENS, OVERLAP_TOKENS, MIN_TOKENS = 400, 60, 15
 
@@ -47,32 +47,32 @@ def _units(chars, headings, min_tokens: int) -> list[tuple[int, int, int]]:
 
 
 def _windows(costs: list[int], head: int, max_tokens: int, overlap: int) -> list[tuple[int, int]]:
-    """Greedy ``(start, size)`` windows over segment costs; each next one re-reads ``overlap`` tokens."""
+    """``(start, size)`` windows over segment costs: each as long as the cap allows, at least one segment, and each next
+    one starting where the last ``overlap`` tokens of the one before begin, but later than that one did.
+
+    Positions are looked up in the running total of the costs.
+    """
+    total = np.concatenate(([0], np.cumsum(costs)))
+    last = len(costs)
     out, start = [], 0
-    while start < len(costs):
-        end, used = start, head
-        while end < len(costs) and (end == start or used + costs[end] <= max_tokens):
-            used += costs[end]
-            end += 1
+    while True:
+        fits = int(np.searchsorted(total, total[start] + max_tokens - head, side="right")) - 1
+        end = min(last, max(start + 1, fits))
         out.append((start, end - start))
-        if end == len(costs):
-            break
-        carried, start_min = 0, start + 1
-        start = end
-        while start > start_min and carried < overlap:
-            start -= 1
-            carried += costs[start]
-    return out
+        if end == last:
+            return out
+        shared = int(np.searchsorted(total, total[end] - overlap, side="right")) - 1
+        start = max(start + 1, min(end, shared))
 
 
-def _planner(max_tokens: int, overlap: int, min_tokens: int):
+def _planner(max_tokens: int | None, overlap: int, min_tokens: int):
     @F.pandas_udf(T.ArrayType(_UNIT))
     def plan(chars: pd.Series, headings: pd.Series, pieces: pd.Series) -> pd.Series:
         def one(c, h, p):
             plans = []
             for line, count, size in _units(c, h, min_tokens):
                 windows = []
-                if _tokens(size) > max_tokens:
+                if max_tokens is not None and _tokens(size) > max_tokens:
                     titles = [int(c[i]) for i in range(line, line + count) if h[i]]
                     title_chars = sum(titles) + 3 * (len(titles) - 1) if titles else 0
                     head = _tokens(title_chars) + 1 if titles else 0
@@ -88,10 +88,7 @@ def _planner(max_tokens: int, overlap: int, min_tokens: int):
 
 
 def document_lines(pages: DataFrame) -> DataFrame:
-    """``(doc_id, lines)``: all lines of a document in page order with their heading flag.
-
-    Call it on gated pages (:func:`accepted_pages`): the array then spans a bounded number of pages.
-    """
+    """``(doc_id, lines)``: all lines of a document in page order with their heading flag; one row holds a document."""
     gathered = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
     return lines_in_row(gathered, F.col("pages"), ["doc_id"])
 
@@ -108,9 +105,12 @@ def lines_in_row(df: DataFrame, pages: Column, keep: list[str]) -> DataFrame:
     return df.select(*keep, lines.alias("lines"))
 
 
-def _plan(df: DataFrame, max_tokens: int, overlap: int, min_tokens: int) -> DataFrame:
+def _plan(df: DataFrame, max_tokens: int | None, overlap: int, min_tokens: int) -> DataFrame:
+    """Without ``max_tokens`` no section is split. A document below the cap has no section above it, so its sentences
+    are not needed and not cut."""
     lines = F.col("lines")
-    long_enough = F.aggregate(lines, F.lit(0), lambda a, l: a + F.length(l.text) + 1) > 4 * max_tokens
+    size = F.aggregate(lines, F.lit(0), lambda a, l: a + F.length(l.text) + 1)
+    long_enough = F.lit(False) if max_tokens is None else size > 4 * max_tokens
     no_pieces = F.array().cast("array<string>")
     df = df.withColumn(
         "pieces", F.transform(lines, lambda l: F.when(long_enough, X.sentences(l.text)).otherwise(no_pieces))
@@ -138,7 +138,7 @@ def sections(doc_lines: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     ``min_tokens=0`` leaves the sections as the headings cut them, without folding.
     """
     keep = [c for c in doc_lines.columns if c != "lines"]
-    planned = _plan(doc_lines, 1 << 28, 0, min_tokens)
+    planned = _plan(doc_lines, None, 0, min_tokens)
     unit = planned.select(*keep, "lines", F.posexplode("plan").alias("section_no", "unit"))
     part = _unit_lines(F.col("unit"))
     unit = unit.withColumn("part", part)
@@ -212,17 +212,14 @@ def chunk_documents(
     max_tokens: int = MAX_TOKENS,
     overlap_tokens: int = OVERLAP_TOKENS,
     min_tokens: int = MIN_TOKENS,
-    max_pages: int = MAX_PAGES,
 ) -> DataFrame:
-    """Gate the pages, then chunk every accepted document."""
-    gated = accepted_pages(pages, page_quality(pages, max_pages=max_pages))
-    return explode_chunks(chunk_arrays(document_lines(gated), max_tokens, overlap_tokens, min_tokens))
+    """Chunk every document; the page limit is the upload's, see ``plans.ingest``."""
+    return explode_chunks(chunk_arrays(document_lines(pages), max_tokens, overlap_tokens, min_tokens))
 
 
 def sweep_chunk_sizes(pages: DataFrame, sizes=(200, 400, 800), overlap_share: float = 0.15) -> DataFrame:
     """Chunks for every cap, tagged ``max_tokens``; the lines are gathered by one shared shuffle."""
-    gated = accepted_pages(pages, page_quality(pages))
-    lines = document_lines(gated)
+    lines = document_lines(pages)
     out = None
     for size in sizes:
         overlap = int(size * overlap_share + 0.5)

@@ -40,7 +40,7 @@ def ingest(
 ) -> Ingested:
     """The whole flow for ``pages(doc_id, page, text)`` and, if given, ``uploads(doc_id, file_name, mime_type)``.
 
-    Documents over the page limit or without text go to ``rejects``; what remains is bounded per document.
+    Documents over the page limit, without text or without any page go to ``rejects``; what remains is bounded per document.
     With ``checkpoint`` the chunked documents are written once to the shared checkpoint folder, so that
     writing several of the result tables does not mask and chunk the corpus again for each.
     """
@@ -72,4 +72,7 @@ def ingest(
     )
     if typed is not None:
         documents = documents.join(typed.select("doc_id", "title"), "doc_id")
+        pageless = known.join(quality.select("doc_id"), "doc_id", "left_anti")
+        code = F.when(F.col("source_type") == "pdf", "SCANNED_PDF").otherwise("EMPTY_DOCUMENT")
+        rejects = rejects.unionByName(pageless.select("doc_id", code.alias("reject")))
     return Ingested(documents, chunks, placeholders, rejects)

@@ -1,7 +1,7 @@
 """Stored documents and chunks: scan, write, look up, delete, expire, write back, fixtures, samples.
 
-Tables are Parquet folders. A write lays down chunks first and documents last, so a document row is the
-sign that all of its chunks are there; readers take chunks through the documents.
+Tables are Parquet folders with a folder per load. A write lays down chunks first and documents last, so a
+document row is the sign that all of its load's chunks are there; readers take chunks through the documents.
 """
 
 from __future__ import annotations
@@ -57,17 +57,21 @@ def document_rows(documents: DataFrame, chunks: DataFrame, created_at: Column, t
     )
 
 
-def write_documents(documents: DataFrame, chunks: DataFrame, root: str, mode: str = "append") -> None:
-    """Chunks first, documents last as the commit marker; both clustered by document for later reads."""
-    chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index").write.mode(mode).parquet(f"{root}/chunks")
-    documents.write.mode(mode).parquet(f"{root}/documents")
+def write_documents(documents: DataFrame, chunks: DataFrame, root: str, load_id: str) -> None:
+    """Chunks first, documents last as the commit marker; chunks are clustered by document for later reads.
+
+    A load replaces what an earlier attempt with the same ``load_id`` left, so a retried write is harmless.
+    """
+    placed = chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+    placed.write.mode("overwrite").parquet(f"{root}/chunks/load_id={load_id}")
+    documents.write.mode("overwrite").parquet(f"{root}/documents/load_id={load_id}")
 
 
 def read_documents(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """``(documents, chunks)``; chunks of an unfinished write stay invisible."""
+    """``(documents, chunks)`` of all finished loads; chunks of an unfinished one stay invisible."""
     documents = spark.read.parquet(f"{root}/documents")
     chunks = spark.read.parquet(f"{root}/chunks")
-    return documents, chunks.join(documents.select("doc_id"), "doc_id", "left_semi")
+    return documents, chunks.join(documents.select("doc_id", "load_id"), ["doc_id", "load_id"], "left_semi")
 
 
 def find_documents(documents: DataFrame, ids: DataFrame) -> DataFrame:

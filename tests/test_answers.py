@@ -191,3 +191,17 @@ def test_requests_reuse_upload_placeholders(spark):
     assert got["q1"].question == "Is [PAN_1] mine?"
     assert got["q1"].history[0].content == "my phone is [PHONE_1] and PAN [PAN_2]"
     assert got["q2"].question == "Hello?" and got["q2"].history == []
+
+
+def test_contexts_keep_every_passage_and_long_questions_are_rejected(spark):
+    rows = [("q", i, i, i, None, f"text {i}") for i in range(1, 61)]
+    passages = spark.createDataFrame(rows, "query_id string, rank int, page_start int, page_end int, clause_title string, content string")
+    context = answers.contexts(passages).first()
+    assert context.passages == 60 and context.context.endswith("text 60")
+    asks = spark.createDataFrame(
+        [("a", "d", "x" * 2000, []), ("b", "d", "x" * 2001, []), ("c", "d", "ok", [("user", "y" * 8001)]), ("e", "d", "", [])],
+        "query_id string, doc_id string, question string, history array<struct<role:string,content:string>>",
+    )
+    within, rejects = answers.split_requests(asks)
+    assert [r.query_id for r in within.collect()] == ["a"]
+    assert {r.query_id: r.issue for r in rejects.collect()} == {"b": "question", "c": "history.content", "e": "question"}

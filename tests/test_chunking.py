@@ -121,3 +121,15 @@ def test_word_edges_are_ascii(spark):
 
 def test_token_estimate_matches_ceiling():
     assert [chunking._tokens(n) for n in range(9)] == [math.ceil(n / 4) for n in range(9)]
+
+
+def test_long_documents_are_chunked_whole(spark):
+    pages = spark.createDataFrame([("d", p, f"SECTION {p}: TERMS\nThe words of page {p} are long enough to stand as one section of their own here.") for p in range(1, 101)], "doc_id string, page int, text string")
+    chunks = chunking.chunk_documents(pages).collect()
+    assert {c.page_start for c in chunks} == set(range(1, 101))
+
+
+def test_windows_reread_the_overlap():
+    assert chunking._windows([10] * 6, 0, 30, 10) == [(0, 3), (2, 3), (4, 2)]
+    assert chunking._windows([50, 5, 5], 2, 20, 100) == [(0, 1), (1, 2)]
+    assert chunking._windows([4], 3, 1, 0) == [(0, 1)]

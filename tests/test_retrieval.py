@@ -102,3 +102,14 @@ def test_batches_are_dense(spark):
     empty = spark.createDataFrame([], "content_hash string, model string, embedding array<float>")
     sizes = embedding.embedding_requests(keyed, empty).groupBy("batch_no").count().orderBy("batch_no").collect()
     assert [r["count"] for r in sizes] == [32] * 31 + [8]
+
+
+def test_odd_vectors_have_no_distance(spark):
+    from clausemill.functions import vectors as V
+
+    pairs = [([1.0, 0.0], [0.0, 2.0]), ([1.0, 0.0], None), (None, None), ([1.0, 0.0], [1.0, 0.0, 0.0]), ([1.0, 0.0, 0.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 1.0]), ([], [])]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<float>, b array<float>").coalesce(1)
+    got = {r.i: r.d for r in rows.select("i", V.cosine_distance(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert got == {0: 1.0, 1: None, 2: None, 3: None, 4: None, 5: None, 6: None}
+    buckets = {r.i: r.s for r in rows.select("i", V.signatures(F.col("a"), 4, 3).alias("s")).collect()}
+    assert buckets[2] is None and buckets[6] is None and len(buckets[4]) == 4 and buckets[0] == buckets[1] == buckets[3]

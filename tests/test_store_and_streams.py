@@ -12,11 +12,13 @@ def test_write_read_delete_and_purge(spark, tmp_path):
     done = ingest(spark.createDataFrame(PAGES, schemas.PAGES))
     created = F.lit("2024-01-01 00:00:00").cast("timestamp")
     docs = store.document_rows(done.documents.drop("chunk_count"), done.chunks, created).withColumn("is_sample", F.col("doc_id") == "b")
-    store.write_documents(docs, done.chunks, str(tmp_path / "s"))
-    stray = done.chunks.limit(1).withColumn("doc_id", F.lit("zz"))
-    stray.write.mode("append").parquet(str(tmp_path / "s" / "chunks"))
+    unfinished = done.chunks.withColumn("doc_id", F.lit("zz"))
+    unfinished.write.parquet(str(tmp_path / "s" / "chunks" / "load_id=two"))
+    done.chunks.write.parquet(str(tmp_path / "s" / "chunks" / "load_id=one"))  # an attempt that ended before its documents
+    for _ in range(2):
+        store.write_documents(docs, done.chunks, str(tmp_path / "s"), "one")
     documents, chunks = store.read_documents(spark, str(tmp_path / "s"))
-    assert chunks.count() == done.chunks.count()
+    assert chunks.count() == done.chunks.count() and documents.count() == docs.count()
     left, kept = store.delete_documents(spark.createDataFrame([("a",), ("b",)], "doc_id string"), documents, chunks)
     assert [r.doc_id for r in left.collect()] == ["b"] and {r.doc_id for r in kept.collect()} == {"b"}
     day = F.lit("2024-01-02 00:00:00").cast("timestamp")
@@ -64,3 +66,11 @@ def test_document_may_hold_most_rows(spark):
     done = ingest(hot.unionByName(rest))
     assert {(r.doc_id, r.reject) for r in done.rejects.collect()} == {("hot", "TOO_MANY_PAGES")}
     assert {r.doc_id for r in done.documents.collect()} == {"a", "b"}
+
+
+def test_uploads_without_pages_are_rejected(spark):
+    files = [("a", "a.pdf", "application/pdf"), ("b", "b.pdf", "application/pdf"), ("c", "c.docx", "application/vnd.openxmlformats-officedocument.wordprocessingml.document"), ("d", "d.exe", "application/octet-stream")]
+    done = ingest(spark.createDataFrame(PAGES[:1], schemas.PAGES), spark.createDataFrame(files, "doc_id string, file_name string, mime_type string"))
+    assert [r.doc_id for r in done.documents.collect()] == ["a"]
+    codes = {r.doc_id: r.reject for r in done.rejects.collect()}
+    assert set(codes) == {"b", "c", "d"} and codes["b"] == "SCANNED_PDF" and codes["c"] == "EMPTY_DOCUMENT"
