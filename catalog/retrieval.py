@@ -9,6 +9,7 @@ from clausemill.functions import text as X
 from clausemill.functions import vectors as V
 from clausemill.operators import chunking, embedding, retrieval
 from clausemill.plans.ingest import ingest
+from clausemill.session import cut_lineage
 
 from . import inputs as I
 from .chunks import chunks_sql
@@ -34,10 +35,10 @@ def embedded_sql(name: str, source: str, key: str, text: str, dims: int = DIMS)
 
 
 def chunk_table(spark, d, dims: int | None = DIMS):
-    """Chunks of the derived agreements, embedded when ``dims`` is given."""
+    """Chunks of the derived agreements, embedded when ``dims`` is given; written once, as searches read them often."""
     lines = chunking.document_lines(I.pages(spark, d))
     rows = chunking.explode_chunks(chunking.chunk_arrays(lines))
-    return rows if dims is None else rows.withColumn("embedding", V.hash_embedding(F.col("content"), dims))
+    return cut_lineage(rows if dims is None else rows.withColumn("embedding", V.hash_embedding(F.col("content"), dims)))
 
 
 def field_queries(spark, d):
@@ -298,9 +299,9 @@ def head_context(spark, d):
 def ingest_and_search(spark, d):
     """Flagship: gate, mask, chunk, embed, then answer eight questions per document by hybrid search."""
     done = ingest(I.pages(spark, d))
-    chunks = done.chunks.withColumn("embedding", V.hash_embedding(F.col("content"), DIMS))
+    chunks = cut_lineage(done.chunks.withColumn("embedding", V.hash_embedding(F.col("content"), DIMS)))
     hits = retrieval.hybrid_search(chunks, field_queries(spark, d), 8)
-    found = retrieval.with_chunk_columns(hits, done.chunks)
+    found = retrieval.with_chunk_columns(hits, chunks)
     return found.select(
         "query_id", "rank", F.round("score", 9).alias("score"), "chunk_id", "page_start", "page_end", "clause_title", "content"
     )

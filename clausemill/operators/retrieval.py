@@ -145,6 +145,15 @@ def hybrid_search(
     A retriever without weight is left out of the plan.
     """
     depth = candidates or candidate_count(k)
+    lists = candidate_lists(chunks, queries, depth, vector_weight, text_weight, posting_table)
+    return fused_top_k(lists, k).withColumnRenamed("id", "chunk_id")
+
+
+def candidate_lists(
+    chunks: DataFrame, queries: DataFrame, depth: int, vector_weight: float = 1.0, text_weight: float = 1.0,
+    posting_table: DataFrame | None = None,
+) -> DataFrame:
+    """``(query_id, id, source, rank, weight)``: the lists of both retrievers, each as far as it has a weight."""
     lists = []
     if vector_weight > 0:
         lists.append(ranked_list(vector_search(chunks, queries, depth), "vector", vector_weight))
@@ -153,8 +162,7 @@ def hybrid_search(
         lists.append(ranked_list(text_search(table, queries, depth), "text", text_weight))
     if not lists:
         raise ValueError("at least one retriever needs a positive weight")
-    ranked = lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
-    return fused_top_k(ranked, k).withColumnRenamed("id", "chunk_id")
+    return lists[0] if len(lists) == 1 else lists[0].unionByName(lists[1])
 
 
 def with_chunk_columns(hits: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -164,13 +172,17 @@ def with_chunk_columns(hits: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def field_queries(documents: DataFrame, questions, dims: int) -> DataFrame:
-    """One query row per document and fixed question; the questions are a literal array, not a join."""
-    literal = F.array(*[F.lit(q) for q in questions])
-    rows = documents.select("doc_id", F.posexplode(literal).alias("query_no", "question"))
+    """One query row per document and fixed question; each question is embedded once and all are a literal array."""
+    spark = documents.sparkSession
+    asked = spark.createDataFrame(list(enumerate(questions)), "query_no int, question string")
+    embedded = asked.select("query_no", "question", V.hash_embedding(F.col("question"), dims).alias("vector"))
+    entries = [
+        F.struct(F.lit(r.question).alias("question"), F.lit(list(r.vector)).cast("array<float>").alias("vector"))
+        for r in sorted(embedded.collect(), key=lambda r: r.query_no)  # as many rows as fixed questions
+    ]
+    rows = documents.select("doc_id", F.posexplode(F.array(*entries)).alias("query_no", "entry"))
     query_id = F.concat(F.col("doc_id").cast("string"), F.lit("/q"), F.col("query_no").cast("string"))
-    return rows.select("doc_id", query_id.alias("query_id"), "question").withColumn(
-        "vector", V.hash_embedding(F.col("question"), dims)
-    )
+    return rows.select("doc_id", query_id.alias("query_id"), "entry.question", "entry.vector")
 
 
 def union_context(hits: DataFrame, chunks: DataFrame, limit: int = CONTEXT_CHUNKS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import chunking, evaluation, retrieval
+from ..session import cut_lineage
 
 # fixed values: retrievers under comparison as (name, vector weight, text weight)
 RETRIEVERS = (("hybrid (RRF)", 1, 1), ("vector only", 1, 0), ("full-text only", 0, 1))
@@ -14,11 +15,16 @@ TOP_K = 8
 
 
 def retriever_scores(chunks: DataFrame, questions: DataFrame, dims: int) -> DataFrame:
-    """``(retriever, recall_1, recall_4, recall_8, mrr)`` for ``questions(query_id, doc_id, question, pages)``."""
+    """``(retriever, recall_1, recall_4, recall_8, mrr)`` for ``questions(query_id, doc_id, question, pages)``.
+
+    Both candidate lists are searched once; each retriever is a weighting of them.
+    """
     queries = questions.withColumn("vector", V.hash_embedding(F.col("question"), dims))
+    lists = cut_lineage(retrieval.candidate_lists(chunks, queries, retrieval.candidate_count(TOP_K)))
     out = None
-    for name, vector_weight, text_weight in RETRIEVERS:
-        hits = retrieval.hybrid_search(chunks, queries, TOP_K, vector_weight, text_weight)
+    for name, *given in RETRIEVERS:
+        weight = F.get(F.lit([float(g) for g in given]), F.when(F.col("source") == "vector", 0).otherwise(1))
+        hits = retrieval.fused_top_k(lists.withColumn("weight", weight), TOP_K).withColumnRenamed("id", "chunk_id")
         found = hits.join(chunks.select("chunk_id", "page_start", "page_end"), "chunk_id")
         scores = evaluation.retrieval_scores(evaluation.first_hits(questions.select("query_id", "pages"), found))
         scores = scores.withColumn("retriever", F.lit(name))
