@@ -11,14 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .ftrl import Leader, softmax, temperature
 
 #: Hash buckets of n-grams, and the lengths of n-grams.
 BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
-#: Labelled texts per language that the weights are fitted on, and the most languages; document frequencies count all.
+#: Labelled texts per language, about, that the weights are fitted on, and the most languages; document frequencies count all.
 FIT_ROWS = 1_200
 MAX_LANGUAGES = 64
 EPOCHS = 3
@@ -162,7 +161,7 @@ def fit_rows(rows: list[tuple[str, str]], idf: np.ndarray) -> Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", fit_rows_per: int = FIT_ROWS) -> Model:
     """Learn from all rows of ``docs`` with a label; rows without one only count as texts nowhere.
 
-    Document frequencies come from every labelled text. Weights and temperature come from at most ``fit_rows_per``
+    Document frequencies come from every labelled text. Weights and temperature come from about ``fit_rows_per``
     texts of each of the ``MAX_LANGUAGES`` most frequent labels, chosen by a hash of the key, in one bounded task.
     Without any labelled text the model has no languages and finds every text undetermined.
     """
@@ -173,25 +172,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     idf = np.log((1 + rows) / (1 + df)) + 1
-    first = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    frequent = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).select("label")
-    chosen = (
-        labelled.filter(F.col("key").isNotNull())
-        .select("key", "label")
-        .join(F.broadcast(frequent), "label")  # at most MAX_LANGUAGES rows
-        .withColumn("place", F.row_number().over(first))
-        .filter(F.col("place") <= fit_rows_per)
-        .select("key", "label", "place")
-    )
+    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
+    chosen = drawn(labelled.select("key", "label").join(F.broadcast(sizes), "label"), fit_rows_per).select("key", "label", "turn").distinct()
     sample = (
-        labelled.join(F.broadcast(chosen), ["key", "label"])  # at most MAX_LANGUAGES * fit_rows_per rows
+        labelled.join(F.broadcast(chosen), ["key", "label"])  # about MAX_LANGUAGES * fit_rows_per rows at most
         .dropDuplicates(["key", "label"])
         .withColumn("task", F.lit(0))
     )
     shared_idf = docs.sparkSession.sparkContext.broadcast(idf)
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["place", "label"])
+        group = group.sort_values(["turn", "key", "label"])
         values = zip(group["label"], group["text"].fillna(""))
         return pd.DataFrame({"model": [pickle.dumps(fit_rows(list(values), shared_idf.value))]})
 
@@ -216,6 +207,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     return kept.select("kept", predict("text").alias("found")).select("kept.*", "found.*")
 
 
+def drawn(rows: DataFrame, wanted: int) -> DataFrame:
+    """About ``wanted`` rows of each group of ``count`` rows, all of a smaller one, by a hash of ``key``, with a random
+    ``turn`` from the same hash; rows with a null key are left out. No group is gathered for that."""
+    turn = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+    return rows.filter(F.col("key").isNotNull()).withColumn("turn", turn).filter(F.col("turn") * F.col("count") < F.lit(wanted * (1 << 30)).cast("decimal(38,0)"))
+
+
 def held_out(key: Column, parts: int, part: int) -> Column:
     """Whether the key belongs to the part that nothing is learnt from; null keys do not."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % parts == part, F.lit(False))

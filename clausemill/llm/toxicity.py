@@ -14,12 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .ftrl import Leader
+from .language import drawn
 
 BUCKETS = 1 << 18
-#: Labelled texts of each class that the weights are fitted on.
+#: Labelled texts of each class, about, that the weights are fitted on.
 FIT_ROWS = 3_000
 EPOCHS = 12
 ALPHA, L1, L2 = 1.0, 3.0, 0.01
@@ -140,7 +140,7 @@ def fit(
 ) -> Model:
     """Learn from the rows of ``docs`` that ``labels`` marks 0 or 1 (a key marked more than once counts by its highest).
 
-    Class sizes come from all labels; weights from at most ``fit_rows_per`` texts of each class, chosen by a hash of the
+    Class sizes come from all labels; weights from about ``fit_rows_per`` texts of each class, chosen by a hash of the
     key, in one bounded task. Null keys and labels are left out. Without labels of both classes every score is 0.5 or
     near the only class.
     """
@@ -153,12 +153,11 @@ def fit(
     if not sizes:
         return Model({}, 0.0)
     prior = sizes.get(1, 0) / sum(sizes.values())
-    first = Window.partitionBy("label").orderBy(F.xxhash64("key"), "key")
-    chosen = marked.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= fit_rows_per)
-    chosen = chosen.select("key", "label", F.xxhash64("key").alias("turn"))  # the classes in mixed order
+    counted = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])[F.col("label")]
+    chosen = drawn(marked.withColumn("count", counted), fit_rows_per).select("key", "label", "turn")
     sample = (
         docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-        .join(F.broadcast(chosen), "key")  # at most 2 * fit_rows_per rows
+        .join(F.broadcast(chosen), "key")  # about 2 * fit_rows_per rows at most
         .dropDuplicates(["key"])
         .withColumn("task", F.lit(0))
     )
