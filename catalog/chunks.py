@@ -13,7 +13,7 @@ from clausemill.sources import store
 from clausemill.streaming import uploads
 
 from . import inputs as I
-from .registry import query
+from .registry import query, table
 
 # sections as the headings cut them, over whole documents
 SECTIONS = I.LINES + f""", headed AS (SELECT *, {I.heading_sql('text')} AS h FROM doc_lines),
@@ -143,6 +143,28 @@ def ingested_documents(spark, d):
     return ingest(I.pages(spark, d)).documents
 
 
+_FILE = "CASE doc_id % 5 WHEN 0 THEN 'scan_' || CAST(doc_id AS {s}) || '.pdf' WHEN 1 THEN 'Offer-Letter_' || CAST(doc_id AS {s}) || '.DOCX' WHEN 2 THEN 'notes.txt' ELSE CAST(doc_id AS {s}) || '.pdf' END"
+
+
+@query(
+    "uploads_c6",
+    "WITH " + I.PAGES + f""", files AS (SELECT doc_id, {_FILE.format(s='VARCHAR')} AS f FROM documents),
+    typed AS (SELECT doc_id, CASE WHEN f LIKE '%.pdf' THEN 'pdf' WHEN f LIKE '%.DOCX' THEN 'docx' END AS source_type,
+      trim(regexp_replace(regexp_replace(f, '\\.[^.]+$', ''), '[_-]+', ' ', 'g')) AS title FROM files),
+    counted AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(regexp_replace(text, '{I.WS}+', '', 'g')) >= 25) AS textual FROM doc_pages WHERE doc_id % 7 <> 3 GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN reject IS NULL THEN title END AS title, CASE WHEN reject IS NULL THEN source_type END AS source_type, reject FROM (SELECT *,
+      CASE WHEN source_type IS NULL THEN 'UNSUPPORTED_TYPE' WHEN source_type = 'pdf' AND n > 4 THEN 'TOO_MANY_PAGES' WHEN coalesce(textual, 0) = 0 AND source_type = 'pdf' THEN 'SCANNED_PDF'
+        WHEN coalesce(textual, 0) = 0 THEN 'EMPTY_DOCUMENT' END AS reject FROM typed LEFT JOIN counted USING (doc_id))""",
+)
+def ingested_uploads(spark, d):
+    """Documents as uploaded files of several types, a limit of four pages, every seventh without pages: one row for each."""
+    files = table(spark, d, "documents").selectExpr("doc_id", f"{_FILE.format(s='STRING')} AS file_name", "'' AS mime_type")
+    done = ingest(I.pages(spark, d).filter("doc_id % 7 <> 3"), files, max_pages=4)
+    nothing = F.lit(None).cast("string")
+    accepted = done.documents.select("doc_id", "title", "source_type", nothing.alias("reject"))
+    return accepted.unionByName(done.rejects.select("doc_id", nothing.alias("title"), nothing.alias("source_type"), "reject"))
+
+
 @query(
     "chunk_size_sweep_c7",
     "WITH "

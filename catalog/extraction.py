@@ -228,6 +228,36 @@ def analysis_reuse(spark, d):
     return extraction.needs_analysis(docs, "extraction").select("doc_id")
 
 
+@query(
+    "reused_analyses_x8",
+    """SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 10 = 1 THEN 'fresh ' || CAST(o_orderkey AS VARCHAR) ELSE '{}' END AS extraction,
+      NOT (o_orderkey % 3 = 0 OR o_orderkey % 10 = 1) AS reused FROM orders""",
+)
+def reused_analyses(spark, d):
+    """Stored analyses together with the fresh ones of the documents that needed them."""
+    docs = table(spark, d, "orders").selectExpr(
+        "o_orderkey AS doc_id", "CASE WHEN o_orderkey % 3 <> 0 THEN '{}' END AS extraction",
+        "CASE WHEN o_orderkey % 10 = 1 THEN true WHEN o_orderkey % 10 < 5 THEN false END AS force",
+    )
+    fresh = docs.select("doc_id", F.concat(F.lit("fresh "), F.col("doc_id").cast("string")).alias("extraction"))
+    return extraction.with_stored(docs, fresh, "extraction")
+
+
+@query(
+    "merged_after_retry_x2",
+    "WITH " + LOAN_FACTS + """ SELECT doc_id, issues <> '' AND doc_id % 2 = 0 OR issues = '' AS valid,
+      CASE WHEN issues <> '' AND doc_id % 2 = 0 THEN 'Lender 1' ELSE lender END AS lender FROM facts""",
+)
+def merged_after_retry(spark, d):
+    """Every second failed response comes back as a good one; what did not is salvaged from the first."""
+    first = parsed_loans(spark, d)
+    asked = extraction.retry_requests(first).filter("doc_id % 2 = 0")
+    second = asked.selectExpr("doc_id", "1 AS k", "CAST(1000 AS DECIMAL(18, 2)) AS price").selectExpr("doc_id", f"{LOAN_JSON} AS raw")
+    merged = extraction.after_retry(first.select("doc_id", "raw"), second)
+    done = extraction.parse_output(merged, extraction.LOAN)
+    return done.select("doc_id", "valid", F.col("lenderName.value").alias("lender"))
+
+
 @query(
     "found_fields_x9",
     "WITH " + LOAN_FACTS + """ SELECT doc_id, CAST((lender IS NOT NULL)::INT + (principal IS NOT NULL)::INT + (annual_rate_percent IS NOT NULL)::INT + (tenure_months IS NOT NULL)::INT

@@ -191,12 +191,36 @@ def centroid_search(spark, d):
     )
 
 
-@query("approximate_search_r6")
+_SIGN = "CASE WHEN md5(t || '/' || b || '/' || slot)[1] < '8' THEN 1 ELSE -1 END"
+
+
+def bucket_sql(name: str, source: str, key: str, vectors: str) -> str:
+    """``name(key, t, bucket)``: the sides of four planes in each of eight tables; a text without a vector is on none."""
+    return f"""{name}_p AS (SELECT {key}, t, b, round(sum(v * {_SIGN}), 9) > 0 AS side FROM {vectors}, (SELECT unnest(range(8)) AS t), (SELECT unnest(range(4)) AS b) GROUP BY ALL),
+  {name} AS (SELECT {key}, t, coalesce(sum(side::INT << b), 0) AS bucket FROM (SELECT {key}, unnest(range(8)) AS t FROM {source}) LEFT JOIN {name}_p USING ({key}, t) GROUP BY ALL)"""
+
+
+_APPROXIMATE = (
+    _CHUNKS + _QUERIES + vector_sql(5) + ", " + bucket_sql("cb", "corpus", "chunk_id", "cv") + ", " + bucket_sql("qb", "questions", "q", "qv")
+    + """, near AS (SELECT DISTINCT chunk_id, q FROM cb JOIN qb USING (t, bucket)),
+  aranked AS (SELECT doc_id, q, chunk_id, chunk_index, distance, row_number() OVER (PARTITION BY doc_id, q ORDER BY distance NULLS LAST, chunk_index) AS rank
+    FROM vscored JOIN near USING (chunk_id, q) QUALIFY rank <= 5)"""
+)
+
+
+@query(
+    "approximate_search_r6",
+    _APPROXIMATE + f" SELECT {_ID} AS query_id, chunk_id, chunk_index, distance, CAST(rank AS INTEGER) AS rank FROM aranked",
+)
 def approximate_search(spark, d):
     return retrieval.approximate_vector_search(chunk_table(spark, d), field_queries(spark, d), 5)
 
 
-@query("approximate_recall_r6")
+@query(
+    "approximate_recall_r6",
+    _APPROXIMATE + """ SELECT count(*) AS expected, CAST(count(a.chunk_id) AS BIGINT) AS found, count(a.chunk_id) / count(*) AS recall
+      FROM vranked v LEFT JOIN aranked a USING (doc_id, q, chunk_id)""",
+)
 def approximate_recall(spark, d):
     """How much of the exact answer the bucketed search finds."""
     chunks, queries = chunk_table(spark, d), field_queries(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clausemill.operators import evaluation
+from clausemill.session import work_folder
 from clausemill.sources import store
 
 from .extraction import LOAN_FACTS, TERMS_COST, parsed_loans
@@ -34,10 +35,16 @@ def chunks(spark, d):
 @query("stored_documents_s7", "WITH " + DOCS + """ SELECT doc_id, CAST(count(l_orderkey) AS INTEGER) AS chunk_count, TIMESTAMP '2024-01-02 00:00:00' AS created_at, TIMESTAMP '2024-01-03 12:00:00' AS expires_at
     FROM docs LEFT JOIN lineitem ON l_orderkey = doc_id GROUP BY doc_id""")
 def stored_documents(spark, d):
-    """Document rows as they are written: chunk count and expiry after a life of 36 hours."""
+    """Documents and chunks written twice, as by a retried load, and read back; they live for 36 hours."""
     created = F.lit("2024-01-02 00:00:00").cast("timestamp")
     rows = store.document_rows(documents(spark, d), chunks(spark, d), created, 36)
-    return rows.select("doc_id", "chunk_count", "created_at", "expires_at")
+    root = work_folder(spark, "store")
+    for _ in range(2):
+        store.write_documents(rows.drop("chunk_count"), chunks(spark, d), root, "orders")
+    stored, held = store.read_documents(spark, root)
+    counts = held.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    found = stored.join(counts, "doc_id", "left").fillna(0, ["chunk_count"])
+    return found.select("doc_id", "chunk_count", "created_at", "expires_at")
 
 
 @query("documents_by_id_s8", "WITH " + DOCS + " SELECT doc_id, title, status FROM docs SEMI JOIN (SELECT event_id * 2 AS doc_id FROM events) e USING (doc_id)")

@@ -264,9 +264,10 @@ def passage_headers(spark, d):
 )
 def highlight_runs(spark, d):
     """Every line of a document as a run, lit up on the pages that contain it."""
-    runs = I.documents(spark, d).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("run"))
-    cited = I.pages(spark, d)
-    hits = runs.join(cited, "doc_id").filter(X.highlight_hit(F.col("run"), F.col("text")))
+    lines = I.documents(spark, d).select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    runs = lines.select("doc_id", X.highlight_form(F.col("line")).alias("run"))
+    cited = I.pages(spark, d).select("doc_id", "page", X.highlight_form(F.col("text")).alias("hay"))
+    hits = runs.join(cited, "doc_id").filter(X.highlight_hit(F.col("run"), F.col("hay")))
     return hits.groupBy("doc_id", "page").agg(F.count("*").alias("hits"))
 
 

@@ -172,7 +172,11 @@ def normalise_raw_text(c: Column | str) -> Column:
     return strip_ws(F.regexp_replace(unix, "\n{3,}", "\n\n"))
 
 
+def highlight_form(c: Column) -> Column:
+    """Text as highlighting compares it, ignoring case and spacing: made once per text, before texts meet."""
+    return F.lower(collapse_ws(c))
+
+
 def highlight_hit(run: Column, chunk_text: Column) -> Column:
-    """A run of at least 12 characters that occurs in the cited chunk, ignoring case and spacing."""
-    needle = F.lower(collapse_ws(run))
-    return (F.length(needle) >= 12) & F.contains(F.lower(collapse_ws(chunk_text)), needle)
+    """A run of at least 12 characters that occurs in the cited chunk; both in :func:`highlight_form`."""
+    return (F.length(run) >= 12) & F.contains(chunk_text, run)

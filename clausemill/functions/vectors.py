@@ -89,10 +89,17 @@ def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(distance, mask=np.isnan(distance))
 
 
-def signatures(v: Column, tables: int = 8, bits: int = 6, seed: int = 7) -> Column:
-    """One bucket per table: the signs of ``bits`` random projections; null for a null or empty vector.
+def plane_signs(width: int, tables: int, bits: int) -> np.ndarray:
+    """Random planes that SQL can repeat: +1 or -1 per slot, table and bit, by the first digit of a digest of the three."""
+    names = [[f"{t}/{b}/{slot}" for t in range(tables) for b in range(bits)] for slot in range(width)]
+    return np.array([[1.0 if hashlib.md5(n.encode()).hexdigest()[0] < "8" else -1.0 for n in row] for row in names])
 
-    Vectors of each size have projections of their own, so different sizes are not compared.
+
+def signatures(v: Column, tables: int = 8, bits: int = 6) -> Column:
+    """One bucket per table: the sides of ``bits`` planes that the vector lies on; null for a null or empty vector.
+
+    Vectors of each size have planes of their own, so different sizes are not compared. Projections are rounded, so that
+    one of zero counts as such whatever the order of its sum.
     """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
@@ -102,8 +109,7 @@ def signatures(v: Column, tables: int = 8, bits: int = 6, seed: int = 7) -> Colu
         for width in np.unique(sizes[sizes > 0]):
             at = np.flatnonzero(sizes == width)
             values = _rows(vectors.take(pa.array(at)))[0].reshape(len(at), width).astype(np.float64)
-            planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
-            on = (values @ planes > 0).reshape(len(at), tables, bits)
+            on = (np.round(values @ plane_signs(int(width), tables, bits), 9) > 0).reshape(len(at), tables, bits)
             buckets[at] = (on * (1 << np.arange(bits))).sum(axis=2)
         starts = pa.array(np.arange(0, len(vectors) * tables + 1, tables, dtype=np.int32))
         return pa.ListArray.from_arrays(starts, pa.array(buckets.ravel()), mask=pa.array(sizes == 0))

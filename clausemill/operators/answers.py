@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions import text as X
+from ..session import cut_lineage
 from . import privacy
 
 MAX_QUESTION, MAX_TURN, MAX_HISTORY, HISTORY_TURNS, MAX_TOOL_ROUNDS = 2000, 8000, 20, 10, 4
@@ -84,10 +85,11 @@ def mask_requests(asks: DataFrame, pii_map: DataFrame) -> DataFrame:
         "query_id", "doc_id", "x.pos", "x.text"
     )
     # seeds matter only to requests that hold an identifier, so few map rows are repeated per request
-    found = privacy.explode_spans(texts, ["query_id", "doc_id"], "pos")
+    found = cut_lineage(privacy.explode_spans(texts, ["query_id", "doc_id"], "pos"))
     asking = found.select("query_id", "doc_id").distinct()
     seeds = asking.join(pii_map, "doc_id").select("query_id", "doc_id", "seed_pos", "placeholder", "original")
-    placed = privacy.place(found, ["query_id", "doc_id"], "pos", seeds)
+    numbered = privacy.number_placeholders(found, ["query_id", "doc_id"], "pos", seeds)
+    placed = privacy.place(found, numbered, ["query_id", "doc_id"])
     masked = privacy.apply_placeholders(texts, placed, ["query_id", "doc_id"], "pos")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "text")))
     per_request = masked.groupBy("query_id").agg(ordered.alias("masked"))

@@ -226,6 +226,13 @@ def needs_analysis(documents: DataFrame, stored: str, force: str = "force") -> D
     return documents.filter(F.col(stored).isNull() | F.coalesce(F.col(force), F.lit(False)))
 
 
+def with_stored(documents: DataFrame, fresh: DataFrame, stored: str, force: str = "force", key: str = "doc_id") -> DataFrame:
+    """``(key, stored, reused)``: fresh analyses of the documents that needed one, stored ones of all others."""
+    todo = needs_analysis(documents, stored, force).select(key)
+    kept = documents.join(todo, key, "left_anti").select(key, stored, F.lit(True).alias("reused"))
+    return kept.unionByName(fresh.join(todo, key, "left_semi").select(key, stored, F.lit(False).alias("reused")))
+
+
 def cost_from_terms(terms: DataFrame) -> DataFrame:
     """Add ``cost`` (null when it cannot be computed), ``upfront_breakdown`` and ``missing`` to loan terms."""
     p, rate, n = F.col("principalAmount.value"), F.col("interestRate.annualPercent"), F.col("tenureMonths.value")

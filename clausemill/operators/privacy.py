@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonspec as J
 from ..functions import patterns as P
 from ..functions.checkdigit import valid_sql
+from ..session import cut_lineage
 
 SPAN_TYPE = "array<struct<type:string,start:int,end:int,value:string>>"
 NO_SPANS = f"CAST(array() AS {SPAN_TYPE})"
@@ -156,23 +157,10 @@ def splice(text: Column, replacements: Column) -> Column:
     )
 
 
-def place(found: DataFrame, keys: list[str], order: str, seeds: DataFrame | None = None) -> DataFrame:
-    """``found`` with the ``placeholder`` of every span: the numbering of :func:`number_placeholders`, but in
-    the one pass over the spans, so that the texts are searched once."""
-    rows, known = found, F.lit(None).cast("string")
-    offset = F.lit(0)
-    if seeds is not None:
-        issued = seed_placeholders(seeds, keys)
-        last = issued.groupBy(*keys, "type").agg(F.max("n").alias("_last"))
-        named = issued.select(*keys, "type", "key", F.col("placeholder").alias("_known"))
-        rows = found.join(named, [*keys, "type", "key"], "left").join(last, [*keys, "type"], "left")
-        known, offset = F.col("_known"), F.coalesce(F.col("_last"), F.lit(0))
-    rows = rows.repartition(*keys, "type").withColumn("_fresh", known.isNull())
-    same = Window.partitionBy(*keys, "type", "key")
-    rows = rows.withColumn("_first", F.min(F.struct(order, "start")).over(same))
-    n = F.dense_rank().over(Window.partitionBy(*keys, "type", "_fresh").orderBy("_first"))
-    fresh = F.concat(F.lit("["), F.col("type"), F.lit("_"), (offset + n).cast("string"), F.lit("]"))
-    return rows.withColumn("placeholder", F.coalesce(known, fresh)).select(*found.columns, "placeholder")
+def place(found: DataFrame, numbered: DataFrame, keys: list[str]) -> DataFrame:
+    """``found`` with the ``placeholder`` of every span: spans meet their identity by equality, so that an identity with
+    very many spans is a join key that adaptive execution can split."""
+    return found.join(numbered.select(*keys, "type", "key", "placeholder"), [*keys, "type", "key"])
 
 
 def apply_placeholders(pages: DataFrame, placed: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
@@ -195,11 +183,14 @@ def type_counts(found: DataFrame, keys: list[str]) -> DataFrame:
 def mask_documents(
     pages: DataFrame, keys: list[str] | None = None, order: str = "page", seeds: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(masked pages, placeholder table, spans)`` with one numbering per document."""
+    """``(masked pages, placeholder table, spans)`` with one numbering per document.
+
+    Texts are searched once: the spans, a few short values per page, are written to the shared checkpoint folder.
+    """
     keys = keys or ["doc_id"]
-    found = explode_spans(pages, keys, order)
+    found = cut_lineage(explode_spans(pages, keys, order))
     placeholders = number_placeholders(found, keys, order, seeds)
-    return apply_placeholders(pages, place(found, keys, order, seeds), keys, order), placeholders, found
+    return apply_placeholders(pages, place(found, placeholders, keys), keys, order), placeholders, found
 
 
 def _literal_replacement(value: Column) -> Column:

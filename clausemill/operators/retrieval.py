@@ -63,22 +63,22 @@ def approximate_vector_search(
 ) -> DataFrame:
     """Nearest chunks among those that share a random-projection bucket with the query.
 
-    Each table is cut to k before the tables are merged, so a full bucket never travels whole.
+    Only ids meet by table and bucket; each distinct pair then fetches its two vectors and is measured once. More
+    ``bits`` make smaller buckets and so fewer pairs, more ``tables`` find more of the neighbours.
     """
 
-    def bucketed(df: DataFrame, vector: str) -> DataFrame:
-        return df.select("*", F.posexplode(V.signatures(F.col(vector), tables, bits)).alias("table", "bucket"))
+    def bucketed(df: DataFrame, key: str, vector: str) -> DataFrame:
+        return df.select("doc_id", key, F.posexplode(V.signatures(F.col(vector), tables, bits)).alias("table", "bucket"))
 
-    found = bucketed(queries, "vector").join(
-        bucketed(chunks.filter(F.col("embedding").isNotNull()), "embedding"), ["doc_id", "table", "bucket"]
+    held = chunks.filter(F.col("embedding").isNotNull())
+    pairs = bucketed(queries, "query_id", "vector").join(bucketed(held, "chunk_id", "embedding"), ["doc_id", "table", "bucket"])
+    pairs = pairs.select("doc_id", "query_id", "chunk_id").distinct()
+    scored = (
+        pairs.join(queries.select("query_id", "vector"), "query_id")
+        .join(held.select("doc_id", "chunk_id", "chunk_index", "embedding"), ["doc_id", "chunk_id"])
+        .select("query_id", "chunk_id", "chunk_index", V.cosine_distance(F.col("vector"), F.col("embedding")).alias("distance"))
     )
-    scored = found.select(
-        "query_id", "table", "chunk_id", "chunk_index",
-        V.cosine_distance(F.col("vector"), F.col("embedding")).alias("distance"),
-    )
-    order = [F.asc_nulls_last("distance"), F.asc("chunk_index")]
-    per_table = top_k(scored, ["query_id", "table"], order, k).drop("rank", "table")
-    return top_k(per_table.dropDuplicates(["query_id", "chunk_id"]), ["query_id"], order, k)
+    return top_k(scored, ["query_id"], [F.asc_nulls_last("distance"), F.asc("chunk_index")], k)
 
 
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:

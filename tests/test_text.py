@@ -91,5 +91,5 @@ def test_rounding_towards_plus_infinity(spark):
 def test_highlight(spark):
     chunk = "9. PREPAYMENT AND FORECLOSURE\nThe Borrower may prepay the principal outstanding plus applicable taxes."
     rows = [("  the principal outstanding plus applicable   taxes.",), ("9. PREPAYMENT AND FORECLOSURE",), ("Page 3 of 5",), ("Interest shall accrue on the Loan",)]
-    got = values(spark, rows, "r string", X.highlight_hit(F.col("r"), F.lit(chunk)))
+    got = values(spark, rows, "r string", X.highlight_hit(X.highlight_form(F.col("r")), X.highlight_form(F.lit(chunk))))
     assert [g[0] for g in got] == [True, True, False, False]
