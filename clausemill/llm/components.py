@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,25 +37,70 @@ def connected(edges: DataFrame) -> DataFrame:
         before = state
 
 
+#: Words of 64 bits in the table of :func:`thinned`: at most so many small rows are broadcast.
+FILTER_WORDS = 1 << 18
+
+
+def marked(rows: DataFrame, column: str, keys: DataFrame, mark: str) -> DataFrame:
+    """``rows`` with ``mark``: whether ``column``, a 64-bit hash, may be the ``key`` of a row of ``keys``.
+
+    True for all that are, and for few others: a table of at most ``FILTER_WORDS`` rows with a bit per key is broadcast,
+    so that rows can be told apart before a shuffle. With so many keys that the bits fill up the mark tells less, and
+    the join that follows decides alone.
+    """
+
+    def bit(value):
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(value, F.lit(64)).cast("int"))
+
+    def word(value):
+        return F.pmod(F.shiftright(value, 6), F.lit(FILTER_WORDS)).cast("int")
+
+    table = keys.select(word(F.col("key")).alias("_word"), bit(F.col("key")).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    joined = rows.withColumn("_word", word(F.col(column))).join(F.broadcast(table), "_word", "left")
+    found = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col(column))) != 0, F.lit(False))
+    return joined.withColumn(mark, found).drop("_word", "_bits")
+
+
+def thinned(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows whose ``column`` may be in ``keys``."""
+    return marked(rows, column, keys, "_marked").filter("_marked").drop("_marked")
+
+
 def bucket_members(buckets: DataFrame) -> DataFrame:
-    """The distinct rows of ``buckets`` (``bucket``, ``key`` and more) whose bucket has several keys, written once.
+    """The distinct rows of ``buckets`` (``bucket``, ``key``) whose bucket has several keys, written once.
 
-    Keys of a bucket meet as a minimum and a maximum first, which combine before the shuffle.
+    Keys of a bucket meet as a minimum and a maximum, which combine before the shuffle; ``buckets`` is read twice.
     """
     several = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    return cut_lineage(buckets.join(several.select("bucket"), "bucket").distinct())
+    several = cut_lineage(several.select("bucket"))
+    likely = thinned(buckets, "bucket", several.withColumnRenamed("bucket", "key"))
+    return cut_lineage(likely.join(several, "bucket").distinct())
+
+
+@dataclass(frozen=True)
+class Similarity:
+    """How two items are compared: columns of a pair's items ``a``, ``b``.
+
+    ``short`` is the form in which items travel to their partners. On this form ``likely`` is true for all similar pairs and
+    ``sure`` only for similar ones; ``exact`` decides on the items themselves and is asked where the two differ.
+    """
 
+    short: Callable[[Column], Column]
+    likely: Callable[[Column, Column], Column]
+    sure: Callable[[Column, Column], Column]
+    exact: Callable[[Column, Column], Column]
 
-def link_members(members: DataFrame, sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+
+def link_members(members: DataFrame, items: DataFrame, similarity: Similarity, rounds: int = 2) -> DataFrame:
     """The components (``node``, ``root``) of all keys that share a bucket and are similar.
 
-    Keys are similar if the intersection of their sets has at least ``percent`` % of the size of the union. ``members`` has
-    distinct ``bucket``, ``key`` rows; ``sets`` has a row per key with its ``set`` of 64-bit hashes and its ``bands``, the
+    ``members`` has distinct ``bucket``, ``key`` rows; ``items`` has a row per key with its ``item`` and its ``bands``, the
     buckets it is in. In each of the ``rounds`` every bucket tests its members against one of them, another in each
     round; members that are connected by then need no further test. What is left, pairs in one bucket and in different
     components, is tested pair by pair where their first common bucket is, and only similar pairs leave that join: no
     link is lost, and a large group of copies costs a few rows per member.
     """
+    short = items.select("key", "bands", similarity.short(F.col("item")).alias("item"))
     roots, links = None, None
     for turn in range(rounds):
         labelled = _labelled(members, roots)
@@ -65,62 +113,63 @@ def link_members(members: DataFrame, sets: DataFrame, percent: int, rounds: int
         )
         pairs = labelled.join(centres, "bucket").filter("label <> centre_label")
         pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        good = cut_lineage(similar_pairs(pairs, sets, percent))
+        good = _similar(pairs, short, items, similarity)
         links = good if links is None else links.unionByName(good)
         roots = connected(links)
     labelled = _labelled(members, roots)
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = labelled.join(open_.select("bucket"), "bucket").join(_short(sets).join(sets.select("key", "bands"), "key"), "key")
-    left, right = (rest.select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "set", "bands")]) for side in "ab")
+    rest = labelled.join(open_.select("bucket"), "bucket").join(short, "key")
+    left, right = (rest.select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "item", "bands")]) for side in "ab")
+    apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_label") < F.col("b_label"))
     first = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_bucket")
-    likely, _ = _overlap(percent)
-    apart = (F.col("a_label") < F.col("b_label")) & _sizes_allow(percent) & first
-    pairs = left.join(right, (F.col("a_bucket") == F.col("b_bucket")) & apart & likely).select(
-        F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")
+    a, b = F.col("a_item"), F.col("b_item")
+    found = left.join(right, apart & first & similarity.likely(a, b)).select(
+        F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), similarity.sure(a, b).alias("sure")
     )
-    return connected(links.unionByName(_exact(cut_lineage(pairs.distinct()), sets, percent)))
+    return connected(links.unionByName(_decided(cut_lineage(found), items, similarity)))
 
 
-def similar_pairs(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a``, ``b`` of keys whose sets are similar.
+def _similar(pairs: DataFrame, short: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
+    """The similar ones of the pairs ``a``, ``b`` of keys, written once."""
+    left, right = (short.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
+    a, b = F.col("a_item"), F.col("b_item")
+    judged = pairs.join(left, "a").join(right, "b").filter(similarity.likely(a, b)).select("a", "b", similarity.sure(a, b).alias("sure"))
+    return _decided(cut_lineage(judged), items, similarity)
 
-    Sets travel as 32-bit hashes, half of their size; pairs within a few elements of the limit, where a chance collision
-    of short hashes could decide, are counted again on the 64-bit hashes.
-    """
-    likely, sure = _overlap(percent)
-    short = _short(sets)
-    left, right = (short.select(F.col("key").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
-    judged = pairs.join(left, "a").join(right, "b").filter(_sizes_allow(percent) & likely)
-    judged = cut_lineage(judged.select("a", "b", sure.alias("sure")))
-    return judged.filter("sure").select("a", "b").unionByName(_exact(judged.filter("NOT sure").select("a", "b"), sets, percent))
 
+def _decided(judged: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
+    left, right = (items.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
+    doubtful = judged.filter("NOT sure").select("a", "b").join(left, "a").join(right, "b")
+    exact = doubtful.filter(similarity.exact(F.col("a_item"), F.col("b_item"))).select("a", "b")
+    return cut_lineage(judged.filter("sure").select("a", "b").unionByName(exact))
 
-def _short(sets: DataFrame) -> DataFrame:
-    return sets.select("key", F.transform("set", lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")).alias("set"))
 
+def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    if roots is None:
+        return members.withColumn("label", F.col("key"))
+    named = roots.select(F.col("node").alias("key"), "root")
+    return members.join(named, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
 
-def _sizes_allow(percent: int) -> Column:
-    a, b = F.size("a_set"), F.size("b_set")
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+def overlap_of_sets(percent: int) -> Similarity:
+    """Sets of 64-bit hashes whose intersection has at least ``percent`` % of the size of the union.
 
-def _overlap(percent: int) -> tuple[Column, Column]:
-    """Whether the sets ``a_set``, ``b_set`` of short hashes may be similar, and whether they are without doubt."""
-    a, b = F.size("a_set").cast("long"), F.size("b_set").cast("long")
-    common = F.size(F.array_intersect("a_set", "b_set"))
-    doubt = 3 + F.shiftright(a * b, 27)
-    margin = (100 + percent) * common - percent * (a + b)
-    return margin >= -(100 + percent) * doubt, margin >= (100 + percent) * doubt
+    They travel as 32-bit hashes, half of their size; pairs within a few elements of the limit, where a chance collision
+    of short hashes could decide, are counted again on the 64-bit hashes.
+    """
 
+    def margin(a, b):
+        return (100 + percent) * F.size(F.array_intersect(a, b)) - percent * (F.size(a) + F.size(b))
 
-def _exact(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left, right = (sets.select(F.col("key").alias(side), F.col("set").alias(f"{side}_set")) for side in "ab")
-    margin = (100 + percent) * F.size(F.array_intersect("a_set", "b_set")) - percent * (F.size("a_set") + F.size("b_set"))
-    return pairs.join(left, "a").join(right, "b").filter(margin >= 0).select("a", "b")
+    def doubt(a, b):
+        return (100 + percent) * (3 + F.shiftright(F.size(a).cast("long") * F.size(b), 27))
 
+    def sizes(a, b):
+        return 100 * F.least(F.size(a), F.size(b)) >= percent * F.greatest(F.size(a), F.size(b)) - 300
 
-def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("label", F.col("key"))
-    named = roots.select(F.col("node").alias("key"), "root")
-    return members.join(named, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+    return Similarity(
+        short=lambda s: F.transform(s, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")),
+        likely=lambda a, b: sizes(a, b) & (margin(a, b) >= -doubt(a, b)),
+        sure=lambda a, b: margin(a, b) >= doubt(a, b),
+        exact=lambda a, b: margin(a, b) >= 0,
+    )

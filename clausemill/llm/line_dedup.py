@@ -7,19 +7,16 @@ from pyspark.sql import functions as F
 
 from clausemill.session import cut_lineage
 
-from .components import bucket_members, link_members
+from .components import bucket_members, link_members, marked, overlap_of_sets, thinned
 from .host_quality import WORD_CHARACTER, bound
 
-#: Characters of a shingle; a shorter line is one shingle.
+#: Characters of a shingle; near the line's end they are what is left.
 WIDTH = 12
 SIMILAR_PERCENT = 80
-#: Bands per line and hashes per band: a pair at 80 % shares a band with probability 1 - (1 - 0.8^4)^12 = 0.998.
-BANDS, ROWS = 12, 4
-#: Words of 64 bits in the table that thins out the lines whose text is fetched (4 MB at most when broadcast).
-FILTER_WORDS = 1 << 18
-#: Where signatures take their shingles: at word starts, and at every character of what is longer than 24 without space.
-ANCHORED = r"(?s)(?=(.{1,%d}))(?:\S{1,24}+(?!\S)\s*+|\S|\s++)" % WIDTH
-EVERYWHERE = r"(?s)(?=(.{%d}))" % WIDTH
+#: Bands per line and hashes per band: a pair at 80 % shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
+BANDS, ROWS = 8, 3
+#: A line's shingles start where its words start, and at every character of what is longer than 24 without white space.
+SHINGLE = r"(?s)(?=(.{1,%d}))(?:\S{1,24}+(?!\S)\s*+|\S|\s++)" % WIDTH
 
 
 def normal(line: Column) -> Column:
@@ -28,29 +25,25 @@ def normal(line: Column) -> Column:
 
 
 def shingles(line: Column) -> Column:
-    """The distinct shingles of a normalised line."""
-    return F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(EVERYWHERE), F.lit(1)))
-    )
+    """The sorted distinct 64-bit hashes of the shingles of a normalised line."""
+    found = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
-def bands(line: Column) -> Column:
-    """``BANDS`` hashes, each of the ``ROWS`` smallest hashes of shingles after one point of the circle of hashes.
+def bands(hashes: Column) -> Column:
+    """``BANDS`` hashes of a set, each of its ``ROWS`` smallest members after one point of the circle of hashes.
 
-    That is a one-permutation MinHash whose empty bins borrow from the next. The shingles are a sample that depends on
-    content alone: those at word starts. Repeated shingles count once.
+    That is a one-permutation MinHash whose empty bins borrow from the next.
     """
-    hashes = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all(line, F.lit(ANCHORED), F.lit(1)), lambda s: F.xxhash64(s))))
     step = (1 << 64) // BANDS
     points = F.array(*[F.lit(-(1 << 63) + i * step).cast("long") for i in range(BANDS)])
 
-    def around(h):
-        circle = F.concat(h, F.slice(h, 1, ROWS))
-        return bound(circle, lambda c: F.transform(points, lambda p, i: after(h, c, p, i)))
+    def after(h, circle, point, i):
+        before = F.size(F.filter(h, lambda x: x < point))
+        return F.xxhash64(i, F.slice(circle, before + 1, F.least(F.lit(ROWS), F.size(h))))
 
-    def after(h, c, p, i):
-        first = F.size(F.filter(h, lambda x: x < p))  # hashes before the point
-        return F.xxhash64(i, F.slice(c, first + 1, F.least(F.lit(ROWS), F.size(h))))
+    def around(h):
+        return bound(F.concat(h, F.slice(h, 1, ROWS)), lambda c: F.transform(points, lambda p, i: after(h, c, p, i)))
 
     return bound(hashes, around)
 
@@ -62,19 +55,44 @@ def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def texts_of(found: DataFrame, keys: DataFrame) -> DataFrame:
-    """``line_key``, ``norm`` of the lines whose key is in ``keys``, once each.
-
-    A table of at most ``FILTER_WORDS`` rows with a bit per hashed key is broadcast and drops most other lines before the
-    shuffle; with so many keys that its bits fill up it drops fewer, and the join alone decides.
+    """``key``, ``norm`` of the lines whose key is in ``keys``, once each."""
+    likely = thinned(found.select(F.xxhash64("norm").alias("key"), "norm"), "key", keys)
+    return likely.join(keys, "key", "left_semi").dropDuplicates(["key"])
+
+
+def shared_lines(found: DataFrame) -> DataFrame:
+    """``line_key``, ``first`` (``key``, ``n``) for the keys of lines that have an equal or similar line, written once."""
+    signed = cut_lineage(found.select(F.xxhash64("norm").alias("key"), bands(shingles(F.col("norm"))).alias("bands")))
+    members = bucket_members(signed.select("key", F.explode("bands").alias("bucket")))
+    asked = cut_lineage(members.select("key").distinct())
+    sets = texts_of(found, asked).select("key", shingles(F.col("norm")).alias("item"))
+    items = cut_lineage(sets.select("key", "item", bands(F.col("item")).alias("bands")))
+    roots = link_members(members, items, overlap_of_sets(SIMILAR_PERCENT))
+    named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    place = F.struct(F.isnull("key").alias("last"), "key", "n")
+    own = found.groupBy(F.xxhash64("norm").alias("line_key")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines"))
+    several = own.join(named.withColumnRenamed("node", "line_key"), "line_key", "left").filter("lines > 1 OR root IS NOT NULL")
+    several = cut_lineage(several.select("line_key", F.coalesce("root", "line_key").alias("group"), "first"))
+    firsts = several.groupBy("group").agg(F.min("first").alias("first"))
+    return cut_lineage(several.drop("first").join(firsts, "group").select("line_key", F.struct("first.key", "first.n").alias("first")))
+
+
+def places(docs: DataFrame, key: str, text: str, shared: bool) -> DataFrame:
+    """``key``, ``body``, ``n``, ``first_key``, ``first_n``, ``kept`` of lines that have a partner (and all others).
+
+    The first lines of the groups are joined only to lines that a small broadcast table does not rule out.
     """
-    bits = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("line_key", F.lit(64)).cast("int"))
-    word = F.pmod(F.shiftright("line_key", 6), F.lit(FILTER_WORDS)).cast("int")
-    table = keys.select(word.alias("word"), bits.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    likely = (
-        found.select(F.xxhash64("norm").alias("line_key"), "norm").withColumn("word", word)
-        .join(F.broadcast(table), "word").filter(F.col("bits").bitwiseAND(bits) != 0)
-    )
-    return likely.join(keys, "line_key", "left_semi").select("line_key", "norm").dropDuplicates(["line_key"])
+    found = lines(docs, key, text)
+    firsts = shared_lines(found)
+    keys = firsts.select(F.col("line_key").alias("key"))
+    split = marked(found.select("key", "body", "n", F.xxhash64("norm").alias("line_key")), "line_key", keys, "likely")
+    joined = split.filter("likely").join(firsts, "line_key", "left")
+    own = F.struct("key", "n")
+    out = joined.select("key", "body", "n", F.coalesce("first", own).alias("first"))
+    if not shared:
+        out = out.unionByName(split.filter("NOT likely").select("key", "body", "n", own.alias("first")))
+    kept = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("n") == F.col("first.n"))
+    return out.select("key", "body", "n", F.col("first.key").alias("first_key"), F.col("first.n").alias("first_n"), kept.alias("kept"))
 
 
 def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -86,20 +104,7 @@ def line_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     hashes of their normal form. Null and empty texts have no lines, blank lines belong to no group, and an empty table
     gives no rows.
     """
-    found = lines(docs, key, text)
-    places = cut_lineage(found.select("key", "body", "n", F.xxhash64("norm").alias("line_key")))
-    members = bucket_members(found.select(F.xxhash64("norm").alias("key"), F.explode(bands(F.col("norm"))).alias("bucket")))
-    texts = texts_of(found, members.select(F.col("key").alias("line_key")).distinct())
-    hashes = F.transform(shingles(F.col("norm")), lambda s: F.xxhash64(s))
-    sets = cut_lineage(texts.select(F.col("line_key").alias("key"), hashes.alias("set"), bands(F.col("norm")).alias("bands")))
-    roots = link_members(members, sets, SIMILAR_PERCENT)
-    named = places.join(roots.withColumnRenamed("node", "line_key"), "line_key", "left")
-    grouped = named.select("key", "body", "n", F.coalesce("root", "line_key").alias("group"))
-    firsts = grouped.groupBy("group").agg(F.min(F.struct(F.isnull("key").alias("last"), "key", "n")).alias("first"))
-    return grouped.join(firsts, "group").select(
-        F.col("key").alias(key), "body", "n", F.col("first.key").alias("first_key"), F.col("first.n").alias("first_n"),
-        (F.col("key").eqNullSafe(F.col("first.key")) & (F.col("n") == F.col("first.n"))).alias("kept"),
-    )
+    return places(docs, key, text, shared=False).withColumnRenamed("key", key)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -107,8 +112,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Blank lines stay. A text all of whose lines with a word are dropped becomes the empty string; null stays null.
     """
-    groups = line_groups(docs, key, text).filter(~F.col("kept"))
-    dropped = groups.groupBy(F.col(key).alias("dropped_key"), F.col("body").alias("dropped_body")).agg(F.collect_set("n").alias("dropped"))
+    groups = places(docs, key, text, shared=True).filter(~F.col("kept"))
+    dropped = groups.groupBy(F.col("key").alias("dropped_key"), F.col("body").alias("dropped_body")).agg(F.collect_set("n").alias("dropped"))
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     old = F.col("row").getField(text)
     same = F.col("row").getField(key).eqNullSafe(F.col("dropped_key")) & (F.xxhash64(old) == F.col("dropped_body"))

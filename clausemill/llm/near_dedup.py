@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from clausemill.session import cut_lineage
 
-from .components import bucket_members, link_members
+from .components import bucket_members, link_members, overlap_of_sets
 
 #: Permutations; the smallest and the largest hash under each make 128 signature values.
 PERMUTATIONS = 64
@@ -131,7 +131,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     rows = rows.withColumn("key", F.col("key").cast(kind))
     members = bucket_members(rows.select(F.explode("bands").alias("bucket"), F.col("digest").alias("key")))
     sets = needed_sets(docs, members.select("key").distinct(), text, width)
-    roots = link_members(members, sets, percent).select(F.col("node").alias("digest"), "root")
+    roots = link_members(members, sets, overlap_of_sets(percent)).select(F.col("node").alias("digest"), "root")
     named = rows.select("key", "n_shingles", "digest").join(roots, "digest", "left").withColumn("group", F.coalesce("root", "digest"))
     empty = F.col("n_shingles") == 0
     firsts = named.filter(~empty).groupBy("group").agg(F.min("key").alias("first"))
@@ -143,7 +143,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
 
 def needed_sets(docs: DataFrame, keys: DataFrame, text: str, width: int) -> DataFrame:
-    """``key`` (digest), ``set``, ``bands`` of the texts whose digest is in ``keys``, once each, written once.
+    """``key`` (digest), ``item`` (the set), ``bands`` of the texts whose digest is in ``keys``, once each, written once.
 
     Workers get a table of ``2**FILTER_BITS`` bits that marks the digests and leave other texts out.
     """
@@ -168,7 +168,7 @@ def needed_sets(docs: DataFrame, keys: DataFrame, text: str, width: int) -> Data
         return work
 
     sets = _mapped(docs.select(F.lit(None).alias("nothing"), F.col(text)), "nothing", text, "digest long, set array<long>, bands array<long>", collect)
-    sets = sets.withColumnRenamed("digest", "number").select(F.col("number").alias("key"), "set", "bands")
+    sets = sets.withColumnRenamed("digest", "number").select(F.col("number").alias("key"), F.col("set").alias("item"), "bands")
     return cut_lineage(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
 

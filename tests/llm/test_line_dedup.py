@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,16 @@ FOLDER = "/root/testdata/sf0.001"
 
 def sets(line):
     line = line.lower().strip(" ")
-    return frozenset([line]) if len(line) <= WIDTH else frozenset(line[i : i + WIDTH] for i in range(len(line) - WIDTH + 1))
+    starts, at = [], 0
+    while at < len(line):
+        starts.append(at)
+        word = re.match(r"[^ \t\n\x0b\f\r]*", line[at:])[0]
+        if not word or len(word) <= 24:
+            at += len(word)
+            at += len(re.match(r"[ \t\n\x0b\f\r]*", line[at:])[0])
+        else:
+            at += 1
+    return frozenset(line[i : i + WIDTH] for i in starts)
 
 
 def union(pairs):
