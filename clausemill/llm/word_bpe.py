@@ -24,10 +24,10 @@ from .automaton import Lexicon, compile_lexicon
 LEXICON_WORDS = 65_536
 LEXICON_BYTES = 48
 #: Words whose ids a worker remembers: so many of the latest, and those of the batch of as many before them.
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 #: Texts that are turned into one output batch at a time, and characters after which it is handed over earlier.
 BATCH_ROWS = 512
-BATCH_CHARS = 8_000_000
+BATCH_CHARS = 4_000_000
 
 WORD_END = "</w>"
 # fixed values: the vocabulary's split into words, and Unicode's white space
