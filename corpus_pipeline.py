@@ -19,15 +19,17 @@ MIN_LANGUAGE_SCORE = 0.5
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with a score of at least ``MIN_LANGUAGE_SCORE``."""
-    found = identify(docs, fit(docs), docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("body"))
+    found = identify(packed, fit(docs), ["row"], "body")
     known = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.filter(known).select(*docs.columns)
+    return found.filter(known).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with one line of each group of similar lines; those that lose all their words go."""
-    left = dedup_lines(docs)
-    return left.filter(F.col("text").isNotNull() & (F.col("text") != "")).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    left = dedup_lines(docs).filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    return left.withColumns(size) if size else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
