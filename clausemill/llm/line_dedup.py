@@ -38,19 +38,24 @@ def bands(hashes: Column) -> Column:
     step = (1 << 64) // BANDS
     points = F.array(*[F.lit(-(1 << 63) + i * step).cast("long") for i in range(BANDS)])
 
-    def after(h, circle, point, i):
-        before = F.size(F.filter(h, lambda x: x < point))
-        return F.xxhash64(i, F.slice(circle, before + 1, F.least(F.lit(ROWS), F.size(h))))
+    def after(both, point, i):
+        before = F.array_position(both["line"], point).cast("int") - 1 - i  # hashes in front of the point
+        return F.xxhash64(i, F.slice(both["circle"], before + 1, both["rows"]))
 
     def around(h):
-        return bound(F.concat(h, F.slice(h, 1, ROWS)), lambda c: F.transform(points, lambda p, i: after(h, c, p, i)))
+        both = F.struct(
+            F.sort_array(F.concat(h, points)).alias("line"), F.concat(h, F.slice(h, 1, ROWS)).alias("circle"),
+            F.least(F.lit(ROWS), F.size(h)).alias("rows"),
+        )
+        return bound(both, lambda b: F.transform(points, lambda p, i: after(b, p, i)))
 
     return bound(hashes, around)
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``body`` (a hash of the whole text), ``n`` (from 0), ``norm`` of every line with a word."""
-    cut = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.posexplode(F.split(F.col(text), "\n")).alias("n", "line"))
+    hashed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
+    cut = hashed.select("key", "body", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     return cut.filter(F.col("line").rlike(WORD_CHARACTER)).select("key", "body", "n", normal(F.col("line")).alias("norm"))
 
 
