@@ -72,7 +72,7 @@ def shared_lines(found: DataFrame) -> DataFrame:
     asked = cut_lineage(members.select("key").distinct())
     sets = texts_of(found, asked).select("key", shingles(F.col("norm")).alias("item"))
     items = cut_lineage(sets.select("key", "item", bands(F.col("item")).alias("bands")))
-    roots = link_members(members, items, overlap_of_sets(SIMILAR_PERCENT))
+    roots = link_members(members, items, overlap_of_sets(SIMILAR_PERCENT), rounds=1)
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     place = F.struct(F.isnull("key").alias("last"), "key", "n")
     own = found.groupBy(F.xxhash64("norm").alias("line_key")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines"))
