@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from clausemill.session import cut_lineage
 
 
+#: Edges (two numbers each) that one task handles.
+EDGES_PER_TASK = 1 << 18
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (``a``, ``b``) that is not the smallest of its component.
 
@@ -18,23 +22,28 @@ def connected(edges: DataFrame) -> DataFrame:
     it. Minima combine before they are shuffled and every step is joins of plain edges, so a node with very many
     neighbours is never gathered. Each round is written to the shared checkpoint folder.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    pairs = cut_lineage(pairs)
-    before = None
+    pairs = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before, size = None, pairs.count()
     while True:
+        pairs = pairs.coalesce(_tasks(size))
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(lowest, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        pairs = cut_lineage(small.filter("u <> v").distinct())
+        pairs = cut_lineage(small.filter("u <> v").distinct().coalesce(_tasks(size)))
         state = pairs.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")
         ).first()
         if state == before:
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, size = state, state["n"]
+
+
+def _tasks(edges: int) -> int:
+    """Tasks that read or write a table of so many edges, which shrinks to few files as components close."""
+    return 1 + edges // EDGES_PER_TASK
 
 
 #: Words of 64 bits in the table of :func:`thinned`: at most so many small rows are broadcast.
