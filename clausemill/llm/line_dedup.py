@@ -10,13 +10,13 @@ from clausemill.session import cut_lineage
 from .components import bucket_members, link_members, marked, overlap_of_sets, thinned
 from .host_quality import WORD_CHARACTER, bound
 
-#: Characters of a shingle; near the line's end they are what is left.
+#: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 12
 SIMILAR_PERCENT = 80
 #: Bands per line and hashes per band: a pair at 80 % shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
-#: A line's shingles start where its words start, and at every character of what is longer than 24 without white space.
-SHINGLE = r"(?s)(?=(.{1,%d}))(?:\S{1,24}+(?!\S)\s*+|\S|\s++)" % WIDTH
+#: A line's shingles start at every character that has as many after it.
+SHINGLE = r"(?s)(?=(.{%d}))." % WIDTH
 
 
 def normal(line: Column) -> Column:
@@ -26,7 +26,8 @@ def normal(line: Column) -> Column:
 
 def shingles(line: Column) -> Column:
     """The sorted distinct 64-bit hashes of the shingles of a normalised line."""
-    found = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    every = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
+    found = F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(every)
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
