@@ -13,8 +13,10 @@ from .host_quality import WORD_CHARACTER, bound
 #: Characters of a shingle; a shorter line is one shingle.
 WIDTH = 12
 SIMILAR_PERCENT = 80
-#: Bands per line and hashes per band: a pair at 80 % shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
+#: Bands per line and hashes per band: a pair at 80 % of long lines shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
+#: Lines with at most so many shingles meet by the smallest of them, so many that a similar pair of such lines has one in common.
+FEW = 10
 #: A line's shingles start at every character that has as many after it.
 SHINGLE = r"(?s)(?=(.{%d}))." % WIDTH
 
@@ -53,6 +55,24 @@ def bands(hashes: Column) -> Column:
     return bound(hashes, around)
 
 
+def buckets(hashes: Column) -> Column:
+    """The buckets of a set: a pair of sets of at most ``FEW`` that is similar always shares one, others by their bands.
+
+    Of ``n`` hashes all but ``SIMILAR_PERCENT`` % (rounded up), and one more, are the prefix that must meet the other's. Sets that
+    can be similar to one of more than ``FEW`` have bands too.
+    """
+
+    def prefix(h):
+        common = F.ceil(F.size(h) * SIMILAR_PERCENT / F.lit(100)).cast("int")
+        return F.transform(F.slice(h, 1, F.size(h) - common + 1), lambda x: F.xxhash64(F.lit(BANDS), x))
+
+    def chosen(h):
+        few, many = F.size(h) <= FEW, F.size(h) * 100 >= (FEW + 1) * SIMILAR_PERCENT
+        return F.when(~few, bands(h)).when(many, F.concat(bands(h), prefix(h))).otherwise(prefix(h))
+
+    return bound(hashes, chosen)
+
+
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``body`` (a hash of the whole text), ``n`` (from 0), ``norm`` of every line with a word."""
     hashed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("body"), F.col(text).alias("text"))
@@ -68,11 +88,11 @@ def texts_of(found: DataFrame, keys: DataFrame) -> DataFrame:
 
 def shared_lines(found: DataFrame) -> DataFrame:
     """``line_key``, ``first`` (``key``, ``n``) for the keys of lines that have an equal or similar line, written once."""
-    signed = cut_lineage(found.select(F.xxhash64("norm").alias("key"), bands(shingles(F.col("norm"))).alias("bands")))
+    signed = cut_lineage(found.select(F.xxhash64("norm").alias("key"), buckets(shingles(F.col("norm"))).alias("bands")))
     members = bucket_members(signed.select("key", F.explode("bands").alias("bucket")))
     asked = cut_lineage(members.select("key").distinct())
     sets = texts_of(found, asked).select("key", shingles(F.col("norm")).alias("item"))
-    items = cut_lineage(sets.select("key", "item", bands(F.col("item")).alias("bands")))
+    items = cut_lineage(sets.select("key", "item", buckets(F.col("item")).alias("bands")))
     roots = link_members(members, items, overlap_of_sets(SIMILAR_PERCENT))
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     place = F.struct(F.isnull("key").alias("last"), "key", "n")

@@ -41,3 +41,14 @@ def test_whole_table_on_every_shingle(spark, monkeypatch):
     got = groups(docs)
     assert set(got) == set(expected) and links
     assert sum(got[p] != expected[p] for p in expected) <= 0.002 * len(expected)  # the bands' recall
+
+
+def test_similar_short_lines_always_meet(spark, monkeypatch):
+    draw = random.Random(3)
+    docs = []
+    for d in range(1500):
+        line = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(15, 23)))
+        docs += [(2 * d, line), (2 * d + 1, line[:-1] if d % 3 else line + "9")]
+    expected, links = brute(monkeypatch, docs)
+    assert links > 1000
+    assert groups(spark.createDataFrame(docs, "doc_id long, text string")) == expected
