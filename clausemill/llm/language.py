@@ -12,14 +12,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausemill.session import cut_lineage
+
 from .ftrl import Leader, softmax, temperature
 
 #: Hash buckets of n-grams, and the lengths of n-grams.
 BUCKETS = 1 << 16
 LENGTHS = (1, 2, 3)
-#: Labelled texts per language, about, that the weights are fitted on, and the most languages; document frequencies count all.
+#: Labelled texts per language, about, that the weights are fitted on, and of all languages together; document frequencies
+#: count all. With more languages than fit in, each has fewer texts, and one at least.
 FIT_ROWS = 1_200
-MAX_LANGUAGES = 64
+ALL_FIT_ROWS = 64 * FIT_ROWS
 EPOCHS = 3
 #: Every such text of the fitted ones is set aside for the temperature.
 CALIBRATION_EVERY = 5
@@ -162,7 +165,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     """Learn from all rows of ``docs`` with a label; rows without one only count as texts nowhere.
 
     Document frequencies come from every labelled text. Weights and temperature come from about ``fit_rows_per``
-    texts of each of the ``MAX_LANGUAGES`` most frequent labels, chosen by a hash of the key, in one bounded task.
+    texts of each label, chosen by a hash of the key, in one task: every label is learned, from fewer texts each where
+    there would be more than ``ALL_FIT_ROWS`` of them. The task holds two numbers per bucket and label (1 MB a label).
     Without any labelled text the model has no languages and finds every text undetermined.
     """
     labelled = docs.filter(F.col(lang).isNotNull()).select(
@@ -172,10 +176,13 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     idf = np.log((1 + rows) / (1 + df)) + 1
-    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES)
-    chosen = drawn(labelled.select("key", "label").join(F.broadcast(sizes), "label"), fit_rows_per).select("key", "label", "turn").distinct()
+    sizes = cut_lineage(labelled.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min(F.when(F.col("key").isNotNull(), turn_of())).alias("first")))
+    wanted = max(1, min(fit_rows_per, ALL_FIT_ROWS // max(1, sizes.count())))
+    keyed = labelled.select("key", "label").join(F.broadcast(sizes), "label")
+    lowest = keyed.withColumn("turn", turn_of()).filter("turn = first")  # a label may have none of the rows drawn
+    chosen = drawn(keyed, wanted).unionByName(lowest).select("key", "label", "turn").distinct()
     sample = (
-        labelled.join(F.broadcast(chosen), ["key", "label"])  # about MAX_LANGUAGES * fit_rows_per rows at most
+        labelled.join(F.broadcast(chosen), ["key", "label"])  # about ALL_FIT_ROWS rows at most, or one per label
         .dropDuplicates(["key", "label"])
         .withColumn("task", F.lit(0))
     )
@@ -207,11 +214,15 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     return kept.select("kept", predict("text").alias("found")).select("kept.*", "found.*")
 
 
+def turn_of() -> Column:
+    """The random number of a row, from the hash of its ``key``."""
+    return F.pmod(F.xxhash64("key"), F.lit(1 << 30))
+
+
 def drawn(rows: DataFrame, wanted: int) -> DataFrame:
     """About ``wanted`` rows of each group of ``count`` rows, all of a smaller one, by a hash of ``key``, with a random
     ``turn`` from the same hash; rows with a null key are left out. No group is gathered for that."""
-    turn = F.pmod(F.xxhash64("key"), F.lit(1 << 30))
-    return rows.filter(F.col("key").isNotNull()).withColumn("turn", turn).filter(F.col("turn") * F.col("count") < F.lit(wanted * (1 << 30)).cast("decimal(38,0)"))
+    return rows.filter(F.col("key").isNotNull()).withColumn("turn", turn_of()).filter(F.col("turn") * F.col("count") < F.lit(wanted * (1 << 30)).cast("decimal(38,0)"))
 
 
 def held_out(key: Column, parts: int, part: int) -> Column:

@@ -57,3 +57,11 @@ def test_edges(spark):
     assert identify(none, fit(none), ["doc_id"]).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r["lang_pred"] for r in identify(unlabelled, fit(unlabelled), ["doc_id"]).collect()} == {UNDETERMINED}
+
+
+def test_every_label_is_learned(spark, monkeypatch):
+    rows = [(100 * k + d, chr(0x4E00 + 40 * k + d) * 3 + chr(0x4E00 + 40 * k) * 9, f"l{k:02}") for k in range(70) for d in range(4 if k < 64 else 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit(docs).languages == [f"l{k:02}" for k in range(70)]
+    monkeypatch.setattr("clausemill.llm.language.ALL_FIT_ROWS", 70)
+    assert fit(docs).languages == [f"l{k:02}" for k in range(70)]
