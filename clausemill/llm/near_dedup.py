@@ -116,6 +116,12 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     alone. Equal sets meet by a 64-bit digest first, so copies of one text are one node whatever their number. A null
     key is never the smallest and kept only if its component has no other; a repeated row is judged as its copy.
     """
+    judged = _judged(docs, key, text, width, percent)
+    return judged.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """``key``, ``body`` (a hash of the text), ``n_shingles``, ``group``, ``component_id`` for every row."""
     kind = docs.schema[key].dataType
 
     def sketch():
@@ -123,23 +129,22 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
 
         def work(value):
             found = shingles(value)
-            return len(found), digest(found), bands(found)
+            body = xxhash.xxh64_intdigest((value or "").encode(), seed=42)
+            return body - (1 << 64) if body >> 63 else body, len(found), digest(found), bands(found)
 
         return work
 
-    rows = cut_lineage(_mapped(docs, key, text, "n_shingles long, digest long, bands array<long>", sketch))
+    rows = cut_lineage(_mapped(docs, key, text, "body long, n_shingles long, digest long, bands array<long>", sketch))
     rows = rows.withColumn("key", F.col("key").cast(kind))
     members = bucket_members(rows.select(F.explode("bands").alias("bucket"), F.col("digest").alias("key")))
     sets = needed_sets(docs, members.select("key").distinct(), text, width)
     roots = link_members(members, sets, overlap_of_sets(percent)).select(F.col("node").alias("digest"), "root")
-    named = rows.select("key", "n_shingles", "digest").join(roots, "digest", "left").withColumn("group", F.coalesce("root", "digest"))
+    named = rows.select("key", "body", "n_shingles", "digest").join(roots, "digest", "left").withColumn("group", F.coalesce("root", "digest"))
     empty = F.col("n_shingles") == 0
     firsts = named.filter(~empty).groupBy("group").agg(F.min("key").alias("first"))
     judged = named.join(firsts, "group", "left")
     component = F.when(empty, F.col("key")).otherwise(F.col("first"))
-    return judged.select(
-        F.col("key").alias(key), "n_shingles", component.alias("component_id"), F.col("key").eqNullSafe(component).alias("kept")
-    )
+    return judged.select("key", "body", "n_shingles", "group", component.alias("component_id"))
 
 
 def needed_sets(docs: DataFrame, keys: DataFrame, text: str, width: int) -> DataFrame:
@@ -173,6 +178,19 @@ def needed_sets(docs: DataFrame, keys: DataFrame, text: str, width: int) -> Data
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; rows with a null key are all kept."""
-    dropped = near_groups(docs, key, text, width, percent).filter(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("dropped")).distinct()
-    return docs.join(dropped, docs[key] == dropped["dropped"], "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: one of every component, and all without words.
+
+    The row that stays has the smallest key (null last), then the smallest hash of its text; of its exact repeats (same key,
+    same text) one is left. Rows are told apart by key and hash together, so keys may repeat or be null.
+    """
+    rows = cut_lineage(_judged(docs, key, text, width, percent).filter("n_shingles > 0").select("group", "key", "body"))
+    place = F.struct(F.isnull("key").alias("last"), "key", "body")
+    firsts = rows.groupBy("group").agg(F.min(place).alias("first"))
+    counted = rows.groupBy("group", "key", "body").agg(F.count(F.lit(1)).alias("rows")).join(firsts, "group")
+    stays = F.col("key").eqNullSafe(F.col("first.key")) & (F.col("body") == F.col("first.body"))
+    judged = counted.filter(~stays | (F.col("rows") > 1)).select(F.col("key").alias("_key"), F.col("body").alias("_body"), stays.alias("_stays"))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    packed = packed.withColumns({"own": F.col("row").getField(key), "hash": F.xxhash64(F.coalesce(F.col("row").getField(text), F.lit("")))})
+    joined = packed.join(judged, F.col("own").eqNullSafe(F.col("_key")) & (F.col("hash") == F.col("_body")), "left").filter("_stays IS NULL OR _stays")
+    once = joined.filter("_stays").dropDuplicates(["own", "hash"])
+    return joined.filter("_stays IS NULL").unionByName(once).select("row.*")

@@ -84,3 +84,11 @@ def test_nulls_repeats_and_empty_table(spark):
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_groups(frame, width=2).collect())
     assert got == sorted([("1", "1", True), ("1", "1", True), ("None", "1", False), ("None", "None", True), ("3", "1", False), ("None", "None", True)])
     assert near_groups(frame.limit(0)).count() == 0
+
+
+def test_rows_with_one_key_are_told_apart(spark):
+    rows = [(1, "a b c d", "x"), (5, "a b c d", "y"), (5, "q r s t", "z"), (7, "k l m n", "u"), (7, "k l m n", "v"), (8, "A b c d", "w")]
+    rows += [(None, "q r s t", "n"), (None, "e f g h", "o"), (None, "e f g h", "o"), (None, "E f g h", "p"), (9, "", "e"), (9, "", "e"), (None, None, "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, tag string").repartition(3)
+    got = [(r["doc_id"], (r["text"] or "").lower()) for r in near_dedup(frame, width=2).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, [(1, "a b c d"), (5, "q r s t"), (7, "k l m n"), (None, "e f g h"), (9, ""), (9, ""), (None, "")]))
