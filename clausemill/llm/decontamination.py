@@ -77,7 +77,7 @@ class Index:
     bits: np.ndarray
 
     @staticmethod
-    def build(passages: list[tuple[int, list[int]]]) -> Index:
+    def build(passages: list[tuple[int | None, list[int]]]) -> Index:
         passages = [(i, t) for i, t in passages if len(t) >= SHORTEST]
         lists = [np.array(t, np.uint64) for _, t in passages]
         starts = np.cumsum([0, *(len(t) for t in lists)])
@@ -90,7 +90,7 @@ class Index:
         for at in Index._bits(hashes):
             np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
         tokens = np.concatenate(lists or [np.zeros(0, np.uint64)])
-        return Index(np.array([i for i, _ in passages], np.int64), starts, tokens, hashes[order], owners[order], places[order], bits)
+        return Index(np.array([i for i, _ in passages], object), starts, tokens, hashes[order], owners[order], places[order], bits)
 
     @staticmethod
     def _bits(hashes: np.ndarray) -> list[np.ndarray]:
@@ -133,13 +133,13 @@ class Index:
             most = int(sums.max())
             if most >= needed(window):
                 at = first + int(sums.argmax())
-                leak = (int(self.items[owner]), at + shift - int(begin[which]), at, window, most)
+                leak = (self.items[owner], at + shift - int(begin[which]), at, window, most)
                 old = best.get((which, owner))
                 if old is None or (-most, leak[1]) < (-old[4], old[1]):
                     best[which, owner] = leak
         for (which, _), leak in best.items():
             found[which].append(leak)
-        return [sorted(x) for x in found]
+        return [sorted(x, key=lambda leak: (leak[0] is None, leak[0] or 0, leak[1:])) for x in found]
 
 
 def _batches(texts: pd.Series) -> Iterator[list]:
@@ -160,7 +160,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str, block_tokens: int) -> It
     The passages come to the driver one partition at a time; what is kept at once is one block.
     """
     tokenize, part, size = Tokens(), [], 0
-    passages = benchmark.select(F.col(item).cast("long").alias("i"), F.col(text).alias("t")).filter("i IS NOT NULL")
+    passages = benchmark.select(F.col(item).try_cast("long").alias("i"), F.col(text).alias("t"))
     for row in passages.distinct().toLocalIterator():
         tokens = tokenize(row["t"])
         if part and size + len(tokens) > block_tokens:
@@ -198,8 +198,8 @@ def leaks(
     tokens (all, if it has fewer) has at most ``DIFFERENT_PERCENT`` % other tokens there; of several places the one with most
     equal tokens counts, then the first. The benchmark's seeds are broadcast in blocks of a checked size, so texts are
     neither shuffled nor gathered and a passage in very many texts is no skew. Null and empty texts and passages of
-    fewer than ``SHORTEST`` tokens give nothing; a repeated passage id counts with each of its texts; an empty benchmark
-    finds nothing.
+    fewer than ``SHORTEST`` tokens give nothing; a repeated passage id counts with each of its texts, and a
+    passage whose id is null or no number is found with a null id; an empty benchmark finds nothing.
     """
     columns = []
     for index in _blocks(benchmark, item, item_text, block_tokens):

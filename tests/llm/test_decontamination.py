@@ -88,3 +88,12 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert contaminated(docs, items).count() == 0 and decontaminate(docs, items).count() == 1
     assert contaminated(docs.limit(0), docs.withColumnRenamed("doc_id", "item_id")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_passages_without_a_number_are_found(spark, kind):
+    passage, other = "a b c d e f g h i j k l m n", "n m l k j i h g f e d c b a"
+    docs = spark.createDataFrame([(1, f"x y {passage} z"), (2, f"{other} {passage}"), (3, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None if kind == "long" else "q7", other)], f"item_id {kind}, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in contaminated(docs, items).collect()) == [(1, None), (2, None), (2, None)]
+    assert [r["doc_id"] for r in decontaminate(docs, items).collect()] == [3]
