@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +40,9 @@ def repeated_window_words(found: Column, width: int = 3) -> Column:
     """Words inside windows of ``width`` words that occur at least twice in ``found``, an array of words.
 
     A window's place is packed into the low bits of its 64-bit hash, as many as the text's length needs; after one sort
-    of plain numbers equal windows are neighbours, whatever the number of repeats. The other bits compare the windows:
-    at 1,000 words that are 54 bits, a chance of 3e-11 that two different windows of the text meet.
+    of plain numbers equal windows are neighbours, whatever the number of repeats. Neighbours whose other bits are equal
+    are compared by their words; where these differ (at a million words once in some twenty texts) the windows of
+    the text are sorted by their words instead.
     """
 
     def hashes(w):
@@ -53,26 +56,45 @@ def repeated_window_words(found: Column, width: int = 3) -> Column:
             low, lambda m: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(m)).bitwiseOR(i.cast("long"))))
         )
 
-    def places(p, bits):
+    def places(w, p, bits):
         def same(x, y):
             return F.coalesce(F.call_function("shiftrightunsigned", x.bitwiseXOR(y), bits) == 0, F.lit(False))
 
+        def differ(x, y):
+            a, b = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
+            return functools.reduce(lambda one, two: one | two, [F.get(w, a + k) != F.get(w, b + k) for k in range(width)])
+
         low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+        mixed = F.exists(F.sequence(F.lit(1), F.size(p) - 1), lambda j: same(F.get(p, j), F.get(p, j - 1)) & differ(F.get(p, j), F.get(p, j - 1)))
         repeated = F.filter(p, lambda x, j: (j > 0) & same(x, F.get(p, j - 1)) | same(x, F.get(p, j + 1)))
-        return F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(low)))
+        return F.when(mixed, by_words(w)).otherwise(F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(low))))
+
+    def by_words(w):
+        names = [f"w{k}" for k in range(width)]
+
+        def repeated(rows):
+            def same(x, y):
+                return F.coalesce(functools.reduce(lambda one, two: one & two, [x[n] == y[n] for n in names]), F.lit(False))
+
+            return F.filter(rows, lambda x, j: (j > 0) & same(x, F.get(rows, j - 1)) | same(x, F.get(rows, j + 1)))
+
+        windows = F.transform(
+            F.sequence(F.lit(0), F.size(w) - width), lambda i: F.struct(*[F.get(w, i + k).alias(n) for k, n in enumerate(names)], i.cast("long").alias("at"))
+        )
+        return bound(F.sort_array(windows), lambda rows: F.sort_array(F.transform(repeated(rows), lambda x: x["at"])))
 
     def covered(at):
         gaps = F.transform(at, lambda x, j: F.when(j == 0, F.lit(width)).otherwise(F.least(F.lit(width).cast("long"), x - F.get(at, j - 1))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x)
 
-    def count(h):
+    def count(w, h):
         bits = F.ceil(F.log2(F.size(h).cast("double") + 1)).cast("int")
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(
-            bound(bits, lambda b: bound(packed(h, b), lambda p: bound(places(p, b), covered)))
+            bound(bits, lambda b: bound(packed(h, b), lambda p: bound(places(w, p, b), covered)))
         )
 
     return bound(
-        found, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(bound(hashes(w), count))
+        found, lambda w: F.when(F.size(w) <= width, F.lit(0).cast("long")).otherwise(bound(hashes(w), lambda h: count(w, h)))
     )
 
 

@@ -52,3 +52,13 @@ def test_prior_without_spread_and_empty_table(spark):
     assert host_verdicts(docs).count() == 0
     nulls = spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")
     assert [r["kept"] for r in host_verdicts(nulls.withColumn("kept", F.lit(True))).collect()] == [False]
+
+
+def test_windows_with_equal_hashes_are_compared_by_words(spark, monkeypatch):
+    draw = random.Random(6)
+    texts = [" ".join(draw.choices("abcdef", k=draw.randint(4, 60))) for _ in range(40)] + ["a b c d e f g h"]
+    hashed = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: hashed(*c).bitwiseAND(F.lit(3 << 60)))
+    docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["n_repeat_words"] for r in measures(docs).collect()}
+    assert got == {i: plain(t)[4] for i, t in enumerate(texts)}
