@@ -8,21 +8,47 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.session import cut_lineage
-
+from clausemill.session import work_folder
 
 #: Edges (two numbers each) that one task handles.
 EDGES_PER_TASK = 1 << 18
 
 
+class Written:
+    """Tables written to the shared folder and read again, which cuts their lineage; ``forget`` empties those that are no
+    longer read, so that a loop holds two rounds of it."""
+
+    def __init__(self):
+        self.folders: list[tuple[str, DataFrame]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        folder = work_folder(df.sparkSession, "links")
+        df.write.parquet(folder)
+        out = df.sparkSession.read.schema(df.schema).parquet(folder)
+        self.folders.append((folder, out))
+        return out
+
+    def forget(self, keep: int = 0) -> None:
+        """Empty all tables but the latest ``keep``."""
+        last = len(self.folders) - keep
+        for folder, df in self.folders[:last]:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
+        del self.folders[:last]
+
+
+def written(df: DataFrame) -> DataFrame:
+    return Written()(df)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` for every node of ``edges`` (``a``, ``b``) that is not the smallest of its component.
 
     Large-star and small-star steps in turn until nothing changes: each node is re-linked to the smallest node next to
     it. Minima combine before they are shuffled and every step is joins of plain edges, so a node with very many
-    neighbours is never gathered. Each round is written to the shared checkpoint folder.
+    neighbours is never gathered. Each round is written to the shared folder, and rounds that are no longer read are emptied.
     """
-    pairs = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    rounds = Written()
+    pairs = rounds(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     before, size = None, pairs.count()
     while True:
         pairs = pairs.coalesce(_tasks(size))
@@ -32,7 +58,8 @@ def connected(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        pairs = cut_lineage(small.filter("u <> v").distinct().coalesce(_tasks(size)))
+        pairs = rounds(small.filter("u <> v").distinct().coalesce(_tasks(size)))
+        rounds.forget(keep=1)
         state = pairs.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")
         ).first()
@@ -76,14 +103,14 @@ def thinned(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
 
 
 def bucket_members(buckets: DataFrame) -> DataFrame:
-    """The distinct rows of ``buckets`` (``bucket``, ``key``) whose bucket has several keys, written once.
+    """The distinct rows of ``buckets`` (``bucket``, ``key``, ``size``) whose bucket has several keys, written once.
 
     Keys of a bucket meet as a minimum and a maximum, which combine before the shuffle; ``buckets`` is read twice.
     """
     several = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low < high")
-    several = cut_lineage(several.select("bucket"))
+    several = written(several.select("bucket"))
     likely = thinned(buckets, "bucket", several.withColumnRenamed("bucket", "key"))
-    return cut_lineage(likely.join(several, "bucket").distinct())
+    return written(likely.join(several, "bucket").distinct())
 
 
 @dataclass(frozen=True)
@@ -91,9 +118,12 @@ class Similarity:
     """How two items are compared: columns of a pair's items ``a``, ``b``.
 
     ``short`` is the form in which items travel to their partners. On this form ``likely`` is true for all similar pairs and
-    ``sure`` only for similar ones; ``exact`` decides on the items themselves and is asked where the two differ.
+    ``sure`` only for similar ones; ``exact`` decides on the items themselves and is asked where the two differ. ``sizes``
+    tells from two items' sizes whether they can be similar at all.
     """
 
+    sizes: Callable[[Column, Column], Column]
+
     short: Callable[[Column], Column]
     likely: Callable[[Column, Column], Column]
     sure: Callable[[Column, Column], Column]
@@ -103,39 +133,36 @@ class Similarity:
 def link_members(members: DataFrame, items: DataFrame, similarity: Similarity, rounds: int = 2) -> DataFrame:
     """The components (``node``, ``root``) of all keys that share a bucket and are similar.
 
-    ``members`` has distinct ``bucket``, ``key`` rows; ``items`` has a row per key with its ``item`` and its ``bands``, the
-    buckets it is in. In each of the ``rounds`` every bucket tests its members against one of them, another in each
-    round; members that are connected by then need no further test. What is left, pairs in one bucket and in different
-    components, is tested pair by pair where their first common bucket is, and only similar pairs leave that join: no
-    link is lost, and a large group of copies costs a few rows per member.
+    ``members`` has distinct ``bucket``, ``key``, ``size`` rows; ``items`` has a row per key with its ``item``. In each of the
+    ``rounds`` every bucket tests its members against one of them, another in each round; members that are connected by
+    then need no further test. What is left, pairs in one bucket and in different components, meets as plain keys where
+    their sizes allow it, once for all buckets that a pair shares; items join only these pairs. No link is lost, and a
+    large group of copies costs a few rows per member.
     """
-    short = items.select("key", "bands", similarity.short(F.col("item")).alias("item"))
+    short = items.select("key", similarity.short(F.col("item")).alias("item"))
     roots, links = None, None
     for turn in range(rounds):
         labelled = _labelled(members, roots)
         order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
         centres = (
             labelled.groupBy("bucket")
-            .agg(F.min(F.struct(order.alias("order"), "key", "label")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
+            .agg(F.min(F.struct(order.alias("order"), "key", "label", "size")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
             .filter("low < high")
-            .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label"))
+            .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.size").alias("centre_size"))
         )
-        pairs = labelled.join(centres, "bucket").filter("label <> centre_label")
+        near = (F.col("label") != F.col("centre_label")) & similarity.sizes(F.col("size"), F.col("centre_size"))
+        pairs = labelled.join(centres, "bucket").filter(near)
         pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
         good = _similar(pairs, short, items, similarity)
         links = good if links is None else links.unionByName(good)
         roots = connected(links)
     labelled = _labelled(members, roots)
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = labelled.join(open_.select("bucket"), "bucket").join(short, "key")
-    left, right = (rest.select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "item", "bands")]) for side in "ab")
-    apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_label") < F.col("b_label"))
-    first = F.array_min(F.array_intersect("a_bands", "b_bands")) == F.col("a_bucket")
-    a, b = F.col("a_item"), F.col("b_item")
-    found = left.join(right, apart & first & similarity.likely(a, b)).select(
-        F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"), similarity.sure(a, b).alias("sure")
-    )
-    return connected(links.unionByName(_decided(cut_lineage(found), items, similarity)))
+    rest = written(labelled.join(open_.select("bucket"), "bucket"))
+    left, right = (rest.select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "size")]) for side in "ab")
+    apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_label") < F.col("b_label")) & similarity.sizes(F.col("a_size"), F.col("b_size"))
+    pairs = left.join(right, apart).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    return connected(links.unionByName(_similar(pairs, short, items, similarity)))
 
 
 def _similar(pairs: DataFrame, short: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
@@ -143,14 +170,14 @@ def _similar(pairs: DataFrame, short: DataFrame, items: DataFrame, similarity: S
     left, right = (short.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
     a, b = F.col("a_item"), F.col("b_item")
     judged = pairs.join(left, "a").join(right, "b").filter(similarity.likely(a, b)).select("a", "b", similarity.sure(a, b).alias("sure"))
-    return _decided(cut_lineage(judged), items, similarity)
+    return _decided(written(judged), items, similarity)
 
 
 def _decided(judged: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
     left, right = (items.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
     doubtful = judged.filter("NOT sure").select("a", "b").join(left, "a").join(right, "b")
     exact = doubtful.filter(similarity.exact(F.col("a_item"), F.col("b_item"))).select("a", "b")
-    return cut_lineage(judged.filter("sure").select("a", "b").unionByName(exact))
+    return written(judged.filter("sure").select("a", "b").unionByName(exact))
 
 
 def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -174,11 +201,12 @@ def overlap_of_sets(percent: int) -> Similarity:
         return (100 + percent) * (3 + F.shiftright(F.size(a).cast("long") * F.size(b), 27))
 
     def sizes(a, b):
-        return 100 * F.least(F.size(a), F.size(b)) >= percent * F.greatest(F.size(a), F.size(b)) - 300
+        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     return Similarity(
+        sizes=sizes,
         short=lambda s: F.transform(s, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")),
-        likely=lambda a, b: sizes(a, b) & (margin(a, b) >= -doubt(a, b)),
+        likely=lambda a, b: margin(a, b) >= -doubt(a, b),
         sure=lambda a, b: margin(a, b) >= doubt(a, b),
         exact=lambda a, b: margin(a, b) >= 0,
     )

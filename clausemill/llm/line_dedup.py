@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausemill.session import cut_lineage
+from .components import bucket_members, link_members, marked, overlap_of_sets, thinned, written
+from .host_quality import WORD_CHARACTER, WORD_GAP, bound
 
-from .components import bucket_members, link_members, marked, overlap_of_sets, thinned
-from .host_quality import WORD_CHARACTER, bound
-
-#: Characters of a shingle; a shorter line is one shingle.
+#: Characters of a shingle; at the end of a line shingles are shorter.
 WIDTH = 12
 SIMILAR_PERCENT = 80
 #: Bands per line and hashes per band: a pair at 80 % of long lines shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
 #: Lines with at most so many shingles meet by the smallest of them, so many that a similar pair of such lines has one in common.
-FEW = 10
-#: A line's shingles start at every character that has as many after it.
-SHINGLE = r"(?s)(?=(.{%d}))." % WIDTH
+FEW = 6
+#: A line's shingles start at every word of at most ``WIDTH`` characters and at every character of longer words, so that every
+#: character is in one. Words are what stands between single spaces.
+SHINGLE = r"(?s)(?=(.{1,%d}))(?:(?<![^ ])[^ ]{1,%d}+(?![^ ])|[^ ])" % (WIDTH, WIDTH)
 
 
 def normal(line: Column) -> Column:
-    """What is compared of a line: lower case, without spaces at its ends."""
-    return F.trim(F.lower(line))
+    """What is compared of a line: lower case, white space collapsed, without spaces at its ends."""
+    return F.trim(F.regexp_replace(F.lower(line), WORD_GAP, " "))
 
 
 def shingles(line: Column) -> Column:
     """The sorted distinct 64-bit hashes of the shingles of a normalised line."""
-    every = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
-    found = F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(every)
+    found = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -88,19 +86,19 @@ def texts_of(found: DataFrame, keys: DataFrame) -> DataFrame:
 
 def shared_lines(found: DataFrame) -> DataFrame:
     """``line_key``, ``first`` (``key``, ``n``) for the keys of lines that have an equal or similar line, written once."""
-    signed = cut_lineage(found.select(F.xxhash64("norm").alias("key"), buckets(shingles(F.col("norm"))).alias("bands")))
-    members = bucket_members(signed.select("key", F.explode("bands").alias("bucket")))
-    asked = cut_lineage(members.select("key").distinct())
-    sets = texts_of(found, asked).select("key", shingles(F.col("norm")).alias("item"))
-    items = cut_lineage(sets.select("key", "item", buckets(F.col("item")).alias("bands")))
+    sketch = bound(shingles(F.col("norm")), lambda s: F.struct(F.size(s).alias("size"), buckets(s).alias("bands")))
+    signed = written(found.select(F.xxhash64("norm").alias("key"), sketch.alias("sketch")).select("key", "sketch.size", "sketch.bands"))
+    members = bucket_members(signed.select("key", "size", F.explode("bands").alias("bucket")))
+    asked = members.select("key").distinct()
+    items = written(texts_of(found, asked).select("key", shingles(F.col("norm")).alias("item")))
     roots = link_members(members, items, overlap_of_sets(SIMILAR_PERCENT))
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     place = F.struct(F.isnull("key").alias("last"), "key", "n")
     own = found.groupBy(F.xxhash64("norm").alias("line_key")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines"))
     several = own.join(named.withColumnRenamed("node", "line_key"), "line_key", "left").filter("lines > 1 OR root IS NOT NULL")
-    several = cut_lineage(several.select("line_key", F.coalesce("root", "line_key").alias("group"), "first"))
+    several = written(several.select("line_key", F.coalesce("root", "line_key").alias("group"), "first"))
     firsts = several.groupBy("group").agg(F.min("first").alias("first"))
-    return cut_lineage(several.drop("first").join(firsts, "group").select("line_key", F.struct("first.key", "first.n").alias("first")))
+    return written(several.drop("first").join(firsts, "group").select("line_key", F.struct("first.key", "first.n").alias("first")))
 
 
 def places(docs: DataFrame, key: str, text: str, shared: bool) -> DataFrame:

@@ -136,7 +136,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> D
 
     rows = cut_lineage(_mapped(docs, key, text, "body long, n_shingles long, digest long, bands array<long>", sketch))
     rows = rows.withColumn("key", F.col("key").cast(kind))
-    members = bucket_members(rows.select(F.explode("bands").alias("bucket"), F.col("digest").alias("key")))
+    members = bucket_members(rows.select(F.explode("bands").alias("bucket"), F.col("digest").alias("key"), F.col("n_shingles").alias("size")))
     sets = needed_sets(docs, members.select("key").distinct(), text, width)
     roots = link_members(members, sets, overlap_of_sets(percent)).select(F.col("node").alias("digest"), "root")
     named = rows.select("key", "body", "n_shingles", "digest").join(roots, "digest", "left").withColumn("group", F.coalesce("root", "digest"))
@@ -148,7 +148,7 @@ def _judged(docs: DataFrame, key: str, text: str, width: int, percent: int) -> D
 
 
 def needed_sets(docs: DataFrame, keys: DataFrame, text: str, width: int) -> DataFrame:
-    """``key`` (digest), ``item`` (the set), ``bands`` of the texts whose digest is in ``keys``, once each, written once.
+    """``key`` (digest), ``item`` (the set) of the texts whose digest is in ``keys``, once each, written once.
 
     Workers get a table of ``2**FILTER_BITS`` bits that marks the digests and leave other texts out.
     """
@@ -168,12 +168,12 @@ def needed_sets(docs: DataFrame, keys: DataFrame, text: str, width: int) -> Data
             place = number % (1 << FILTER_BITS)
             if not len(found) or not int(marked[place >> 6]) >> (place & 63) & 1:
                 return None
-            return number, found.view(np.int64), bands(found)
+            return number, found.view(np.int64)
 
         return work
 
-    sets = _mapped(docs.select(F.lit(None).alias("nothing"), F.col(text)), "nothing", text, "digest long, set array<long>, bands array<long>", collect)
-    sets = sets.withColumnRenamed("digest", "number").select(F.col("number").alias("key"), F.col("set").alias("item"), "bands")
+    sets = _mapped(docs.select(F.lit(None).alias("nothing"), F.col(text)), "nothing", text, "digest long, set array<long>", collect)
+    sets = sets.withColumnRenamed("digest", "number").select(F.col("number").alias("key"), F.col("set").alias("item"))
     return cut_lineage(sets.join(keys, "key", "left_semi").dropDuplicates(["key"]))
 
 

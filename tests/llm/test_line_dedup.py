@@ -10,16 +10,12 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def sets(line):
-    line = line.lower().strip(" ")
+    """Pieces of 12 characters (fewer at the end) from every word of at most 12 and from every character of longer words."""
+    line = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
     starts, at = [], 0
-    while at < len(line):
-        starts.append(at)
-        word = re.match(r"[^ \t\n\x0b\f\r]*", line[at:])[0]
-        if not word or len(word) <= 24:
-            at += len(word)
-            at += len(re.match(r"[ \t\n\x0b\f\r]*", line[at:])[0])
-        else:
-            at += 1
+    for word in line.split(" "):
+        starts += [at] if len(word) <= WIDTH else range(at, at + len(word))
+        at += len(word) + 1
     return frozenset(line[i : i + WIDTH] for i in starts)
 
 
