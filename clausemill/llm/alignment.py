@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,16 +19,18 @@ from pyspark.sql import functions as F
 from clausemill.session import cut_lineage
 
 from .perfect_hash import PerfectHash
-from .word_bpe import byte_letters
+from .word_bpe import COMMON, byte_letters
 
 SPACE = "▁"
+# fixed value: how the byte-level vocabulary cuts a text before merging
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Where a cut is not simply every space: white space in front of a space.
 ODD = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
 
 #: Pieces that a worker remembers, the characters of the longest of them, characters that are encoded at a time.
-REMEMBERED, LONGEST, STRETCH = 200_000, 200, 200_000
+REMEMBERED, LONGEST, STRETCH = 400_000, 200, 200_000
 #: Texts and characters of a batch.
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
 #: Distinct pairs that a worker counts before it hands them over.
@@ -58,6 +61,7 @@ class Pair:
         self.bytes_a = [b""] * (max(vocabulary.values()) + 1)
         for entry, number in vocabulary.items():
             self.bytes_a[number] = bytes(byte_of[c] for c in entry) if all(c in byte_of for c in entry) else entry.encode()
+        self.quick = self._quick(vocabulary, path_a)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m[1], 16)]) if (m := BYTE_PIECE.fullmatch(p)) else p.replace(SPACE, " ").encode() for p in pieces]
         self.sizes_a, self.sizes_b = (np.array([len(b) for b in x], np.int64) for x in (self.bytes_a, self.bytes_b))
@@ -69,9 +73,26 @@ class Pair:
         # an id in decimal with what follows it: the next id, the other tokenizer's ids, the next group
         self.shown = [str(n).encode() + sep for n in range(most) for sep in (b",", b"|", b";")]
 
-    def encode(self, spaced: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """The ids of a text with its leading space, or None where either tokenizer's bytes are not the text's."""
-        ids_a, ids_b, body = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:]), spaced.encode()
+    def _quick(self, vocabulary: dict[str, int], path: str):
+        """A faster encoder with the same ids where ids are in the order of merges, as its ranks must be; else None."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        joined = [m.replace(" ", "") if isinstance(m, str) else "".join(m) for m in merges]
+        if any(vocabulary[entry] != 256 + n for n, entry in enumerate(joined)):
+            return None
+        ranks = {self.bytes_a[number]: number for number in range(256 + len(joined))}
+        return tiktoken.Encoding("quick", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, spaced: str, quick: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids of a text with its leading space, or None where either tokenizer's bytes are not the text's.
+
+        With ``quick`` the text is of short words; above ``COMMON`` the libraries' Unicode versions may differ.
+        """
+        quick = quick and self.quick is not None and max(spaced) < COMMON
+        ids_a = self.quick.encode_ordinary(spaced) if quick else self.a.encode(spaced, add_special_tokens=False).ids
+        ids_b, body = self.b.encode(spaced[1:]), spaced.encode()
         if b"".join(map(self.bytes_a.__getitem__, ids_a)) != body or b"".join(map(self.bytes_b.__getitem__, ids_b)) != body:
             return None
         return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
@@ -95,16 +116,15 @@ class Aligned:
         self.codes[place_a] = 3 * ids_a + (self.common[group_a] == self.ends_a)
         self.codes[place_b] = 3 * ids_b + 2 * (self.common[group_b] == self.ends_b)
 
-    def parts(self, ends: np.ndarray) -> list[tuple[int, int, int, np.ndarray, bytes]]:
-        """``(tokens of a, of b, groups, links, groups as text)`` of the parts that end at the bytes ``ends``."""
-        stops = [np.searchsorted(x, ends, side="right") for x in (self.ends_a, self.ends_b, self.common, self.ends)]
-        starts = [np.concatenate(([0], s[:-1])) for s in stops]
+    def stops(self, ends: np.ndarray) -> np.ndarray:
+        """How many tokens of a, of b, groups and links there are up to each of the bytes ``ends``, a row for each."""
+        return np.stack([np.searchsorted(x, ends, side="right") for x in (self.ends_a, self.ends_b, self.common, self.ends)], axis=1)
+
+    def texts(self, stops: np.ndarray) -> list[bytes]:
+        """The groups of the parts that end at ``stops``, as text."""
         shown, codes = self.pair.shown, self.codes.tolist()
-        out = []
-        for a0, a1, b0, b1, g0, g1, l0, l1 in zip(*[x.tolist() for both in zip(starts, stops) for x in both]):
-            text = b"".join([shown[c] for c in codes[a0 + b0 : a1 + b1]])[:-1]
-            out.append((a1 - a0, b1 - b0, g1 - g0, self.links[l0:l1].copy(), text))
-        return out
+        ends = (stops[:, 0] + stops[:, 1]).tolist()
+        return [b"".join([shown[c] for c in codes[start:end]])[:-1] for start, end in zip([0, *ends], ends)]
 
 
 def pieces(text: str, separable: bool) -> list[str]:
@@ -121,10 +141,9 @@ def pieces(text: str, separable: bool) -> list[str]:
 
 
 class Worker:
-    """Pieces of texts to their alignment, which is kept for the pieces of later texts.
+    """Pieces of texts to numbers that are worked out once; ``known`` has a piece's row, None where it is not given back.
 
-    ``known`` maps a piece to its row of ``counts`` (tokens of a, of b, groups, links), ``links`` and ``texts``; a
-    piece that the tokenizers do not give back has None.
+    :meth:`add` takes what is asked of new pieces; their rows of ``sizes`` (tokens of a, of b, groups, links) are kept here.
     """
 
     def __init__(self, pair: Pair):
@@ -133,64 +152,141 @@ class Worker:
 
     def clear(self) -> None:
         self.known: dict[str, int | None] = {}
-        self.counts: list[tuple[int, int, int, int]] = []
-        self.links: list[np.ndarray] = []
-        self.texts: list[bytes] = []
+        self.sizes = np.zeros((0, 4), np.int64)
+        self.fresh: list[np.ndarray] = []
+        self.count = 0
 
-    def _keep(self, piece: str, found: tuple | None) -> None:
-        if found is None:
-            self.known[piece] = None
-            return
-        a, b, groups, links, text = found
-        self.known[piece] = len(self.counts)
-        self.counts.append((a, b, groups, len(links)))
-        self.links.append(links)
-        self.texts.append(text)
+    def add(self, aligned: Aligned, stops: np.ndarray) -> None:
+        raise NotImplementedError
+
+    def _take(self, found: list[str], aligned: Aligned, ends: np.ndarray) -> None:
+        stops = aligned.stops(ends)
+        self.known.update(zip(found, range(self.count, self.count + len(found))))
+        self.count += len(found)
+        self.fresh.append(np.diff(stops, axis=0, prepend=0))
+        self.add(aligned, stops)
 
     def _alone(self, piece: str) -> None:
         ids = self.pair.encode(" " + piece)
-        body = len(piece.encode()) + 1
-        self._keep(piece, ids and Aligned(self.pair, *ids).parts(np.array([body]))[0])
+        if ids is None:
+            self.known[piece] = None
+        else:
+            self._take([piece], Aligned(self.pair, *ids), np.array([len(piece.encode()) + 1]))
 
     def _together(self, found: list[str]) -> None:
         """Pieces as one text; one by one where its bytes or its cuts are not theirs."""
-        ids = self.pair.encode(" " + " ".join(found)) if found else None
+        ids = self.pair.encode(" " + " ".join(found), quick=True) if found else None
         if ids is not None:
             aligned = Aligned(self.pair, *ids)
             ends = np.cumsum([len(p.encode()) + 1 for p in found])
             if np.isin(ends, aligned.common, assume_unique=True).all():
-                for piece, part in zip(found, aligned.parts(ends)):
-                    self._keep(piece, part)
+                self._take(found, aligned, ends)
                 return
         for piece in found:
             self._alone(piece)
 
     def learn(self, wanted: set[str]) -> None:
-        held, size = [], 0
+        rare, held = {False: [], True: []}, {False: 0, True: 0}
         for piece in wanted:
-            if not piece or piece[-1].isspace() or SPACE in piece or len(piece) > LONGEST:
+            if not piece or len(piece) > LONGEST or piece[-1].isspace() or SPACE in piece:
                 self._alone(piece)
                 continue
-            held.append(piece)
-            size += len(piece) + 1
-            if size >= STRETCH:
-                self._together(held)
-                held, size = [], 0
-        self._together(held)
+            odd = not piece.isascii() and max(piece) >= COMMON
+            rare[odd].append(piece)
+            held[odd] += len(piece) + 1
+            if held[odd] >= STRETCH:
+                self._together(rare[odd])
+                rare[odd], held[odd] = [], 0
+        for found in rare.values():
+            self._together(found)
+        if self.fresh:
+            self.sizes = np.concatenate([self.sizes, *self.fresh])
+            self.fresh = []
 
     def rows(self, texts: list[str | None]) -> list[list[int] | None]:
         """The rows of each text's pieces; None for a text without tokens."""
-        if len(self.known) > REMEMBERED:
+        if self.count > REMEMBERED:
             self.clear()
         split = [pieces(t, self.pair.separable) if t else None for t in texts]
-        wanted = {p for found in split if found for p in found}
-        self.learn({p for p in wanted if p not in self.known})
-        out = [None if found is None else [self.known[p] for p in found] for found in split]
+        known, wanted = self.known, {p for found in split if found for p in found}
+        self.learn({p for p in wanted if p not in known})
+        out = [None if found is None else [known[p] for p in found] for found in split]
         for piece in [p for p in wanted if len(p) > LONGEST]:
-            del self.known[piece]
+            del known[piece]
         return [None if found is None or None in found else found for found in out]
 
 
+class Linked(Worker):
+    """Keeps the links of every piece, one piece after the other."""
+
+    def clear(self) -> None:
+        super().clear()
+        self.links = np.zeros(0, np.int64)
+        self.new: list[np.ndarray] = []
+
+    def add(self, aligned: Aligned, stops: np.ndarray) -> None:
+        self.new.append(aligned.links)
+
+    def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct pairs that the texts hold linked, and how many of the texts hold each."""
+        rows = [(n, r) for n, found in enumerate(self.rows(texts)) if found for r in set(found)]
+        if self.new:
+            self.links, self.new = np.concatenate([self.links, *self.new]), []
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        text, row = np.array(rows, np.int64).T
+        sizes = self.sizes[:, 3]
+        starts, many = (np.cumsum(sizes) - sizes)[row], sizes[row]
+        at = np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)
+        held = np.unique((np.repeat(text, many) << (2 * _BITS)) | self.links[at])
+        return np.unique(held & ((1 << (2 * _BITS)) - 1), return_counts=True)
+
+
+class Counted(Worker):
+    """Keeps the groups of every piece as text, and the sums of its links' counts."""
+
+    def __init__(self, pair: Pair, counts: Counts, groups: bool):
+        self.counts, self.groups = counts, groups
+        super().__init__(pair)
+
+    def clear(self) -> None:
+        super().clear()
+        self.texts: list[bytes] = []
+        self.sums = np.zeros((0, 2), np.int64)
+        self.new: list[np.ndarray] = []
+
+    def add(self, aligned: Aligned, stops: np.ndarray) -> None:
+        n, highest = self.counts(aligned.links)
+        running = np.cumsum(np.stack([highest.astype(np.int64), n], axis=1), axis=0)
+        self.new.append(np.diff(running[stops[:, 3] - 1], axis=0, prepend=0))
+        if self.groups:
+            self.texts += aligned.texts(stops)
+
+    def numbers(self, texts: list[str | None]) -> list[tuple]:
+        """The six numbers and the groups of every text."""
+        out, rows = [], self.rows(texts)
+        if self.new:
+            self.sums, self.new = np.concatenate([self.sums, *self.new]), []
+        for found in rows:
+            if found is None:
+                out.append((0, 0, 0, 0, 0, 0, ""))
+                continue
+            shown = b";".join([self.texts[r] for r in found]).decode() if self.groups else None
+            out.append((*self.sizes[found].sum(axis=0).tolist(), *self.sums[found].sum(axis=0).tolist(), shown))
+        return out
+
+
+_workers: dict[tuple, Worker] = {}
+
+
+def worker_of(key: tuple, make) -> Worker:
+    """The worker of ``key``, kept from task to task; one at a time."""
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = make()
+    return _workers[key]
+
+
 _pairs: dict[tuple[str, str], Pair] = {}
 
 
@@ -226,7 +322,7 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
     """
 
     def run(batches):
-        worker = Worker(pair_of(path_a, path_b))
+        worker = worker_of((path_a, path_b), lambda: Linked(pair_of(path_a, path_b)))
         keys, counts, held = [], [], 0
 
         def out():
@@ -234,11 +330,10 @@ def pair_counts(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -
             yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], names=["pair", "n"])
 
         for _, texts in _slices(batches):
-            found = [np.unique(np.concatenate([worker.links[r] for r in set(rows)])) for rows in worker.rows(texts) if rows]
-            if found:
-                distinct, n = np.unique(np.concatenate(found), return_counts=True)
+            distinct, n = worker.pairs(texts)
+            if len(distinct):
                 keys.append(distinct)
-                counts.append(n.astype(np.int64))
+                counts.append(n)
                 held += len(distinct)
             if held > COUNTED:
                 distinct, n = _summed(keys, counts)
@@ -347,27 +442,10 @@ def _looked_up(docs: DataFrame, key: str, text: str, paths: tuple[str, str], sha
     """Every row's numbers with the counts of one block."""
 
     def run(batches):
-        worker = Worker(pair_of(*paths))
-        counts = Counts(*shared.value)
-        best, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        name, shards, rows = shared.value
+        worker = worker_of((*paths, name, groups), lambda: Counted(pair_of(*paths), Counts(shards, rows), groups))
         for batch, texts in _slices(batches):
-            rows = worker.rows(texts)
-            if len(worker.counts) < len(best):  # it has started afresh
-                best, total = best[:0], total[:0]
-            fresh = worker.links[len(best) :]
-            if fresh:
-                n, highest = counts(np.concatenate(fresh))
-                ends = np.cumsum([len(x) for x in fresh])
-                add = [np.concatenate(([0], np.cumsum(x)))[np.concatenate(([0], ends))] for x in (highest.astype(np.int64), n)]
-                best, total = np.concatenate([best, np.diff(add[0])]), np.concatenate([total, np.diff(add[1])])
-            sizes = np.array(worker.counts, np.int64).reshape(-1, 4)
-            out = []
-            for found in rows:
-                if found is None:
-                    out.append((0, 0, 0, 0, 0, 0, ""))
-                    continue
-                shown = b";".join([worker.texts[r] for r in found]).decode() if groups else None
-                out.append((*sizes[found].sum(axis=0).tolist(), int(best[found].sum()), int(total[found].sum()), shown))
+            out = worker.numbers(texts)
             columns = [pa.array(c, type=pa.int64()) for c in list(zip(*out))[:6]] + [pa.array([r[6] for r in out], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("body"), *columns], names=names)
 
@@ -396,7 +474,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     for first in range(0, shards, per_block):
         rows = [tuple(r) for r in hashed.filter(F.col("shard").between(first, first + per_block - 1)).select("shard", "levels", "pairs", "counts").collect()]
         rows = [(s, [bytes(x) for x in levels], bytes(p), bytes(c)) for s, levels, p, c in rows]
-        block = _looked_up(docs, key, text, (path_a, path_b), context.broadcast((shards, rows)), groups=first == 0)
+        block = _looked_up(docs, key, text, (path_a, path_b), context.broadcast((uuid.uuid4().hex, shards, rows)), groups=first == 0)
         if out is None:
             out = block
             continue
