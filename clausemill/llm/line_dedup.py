@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,22 +15,36 @@ WIDTH = 12
 SIMILAR_PERCENT = 80
 #: Bands per line and hashes per band: a pair at 80 % of long lines shares a band with probability 1 - (1 - 0.8^3)^8 = 0.997.
 BANDS, ROWS = 8, 3
-#: Lines with at most so many shingles meet by the smallest of them, so many that a similar pair of such lines has one in common.
-FEW = 6
-#: A line's shingles start at every word of at most ``WIDTH`` characters and at every character of longer words, so that every
-#: character is in one. Words are what stands between single spaces.
-SHINGLE = r"(?s)(?=(.{1,%d}))(?:(?<![^ ])[^ ]{1,%d}+(?![^ ])|[^ ])" % (WIDTH, WIDTH)
+#: Of lines with at most so many shingles, two are similar only if their sets are equal or one lacks a single member.
+FEW = 7
+#: Sets of fewer members are not similar to one that lacks a member of theirs.
+LACKING = 5
 
 
 def normal(line: Column) -> Column:
     """What is compared of a line: lower case, white space collapsed, without spaces at its ends."""
-    return F.trim(F.regexp_replace(F.lower(line), WORD_GAP, " "))
+    odd = functools.reduce(lambda a, b: a | b, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    return F.trim(F.lower(F.when(odd, F.regexp_replace(line, WORD_GAP, " ")).otherwise(line)))
 
 
 def shingles(line: Column) -> Column:
-    """The sorted distinct 64-bit hashes of the shingles of a normalised line."""
-    found = F.regexp_extract_all(line, F.lit(SHINGLE), F.lit(1))
-    return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
+    """The sorted distinct 64-bit hashes of the shingles of a normalised line.
+
+    Words are what stands between single spaces. A shingle starts at every word and takes ``WIDTH`` characters of it and the
+    two words after it; of a word of more characters every other character starts one too, which ends with the word. So
+    every character of a line is in a shingle.
+    """
+
+    def inside(w):
+        return F.slice(F.regexp_extract_all(w, F.lit(r"(?s)(?=(.{1,%d}))." % WIDTH), F.lit(1)), F.lit(2), F.length(w))
+
+    def of(words):
+        starts = F.transform(words, lambda w, i: F.xxhash64(F.substring(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)), 1, WIDTH)))
+        long_ = F.filter(words, lambda w: F.length(w) > WIDTH)
+        more = F.flatten(F.transform(long_, lambda w: F.transform(inside(w), lambda s: F.xxhash64(s))))
+        return F.sort_array(F.array_distinct(F.concat(starts, more)))
+
+    return bound(F.split(line, " "), of)
 
 
 def bands(hashes: Column) -> Column:
@@ -54,19 +70,24 @@ def bands(hashes: Column) -> Column:
 
 
 def buckets(hashes: Column) -> Column:
-    """The buckets of a set: a pair of sets of at most ``FEW`` that is similar always shares one, others by their bands.
+    """The buckets of a set: its bands, or where it has at most ``FEW`` members those where all similar sets of so few meet.
 
-    Of ``n`` hashes all but ``SIMILAR_PERCENT`` % (rounded up), and one more, are the prefix that must meet the other's. Sets that
-    can be similar to one of more than ``FEW`` have bands too.
+    Such sets are similar only if they are equal or one is the other without a member, so they meet at a hash of the
+    whole set and of the set without each member. The next larger sets are in both.
     """
 
-    def prefix(h):
-        common = F.ceil(F.size(h) * SIMILAR_PERCENT / F.lit(100)).cast("int")
-        return F.transform(F.slice(h, 1, F.size(h) - common + 1), lambda x: F.xxhash64(F.lit(BANDS), x))
+    def mixed(values):
+        return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.xxhash64(x)))
+
+    def without(h):
+        return bound(mixed(h), lambda m: F.transform(h, lambda x: F.xxhash64(F.lit(BANDS), m.bitwiseXOR(F.xxhash64(x)))))
+
+    def few(h):
+        whole = F.array(F.xxhash64(F.lit(BANDS), mixed(h)))
+        return F.when(F.size(h) < LACKING, whole).otherwise(F.concat(whole, without(h)))
 
     def chosen(h):
-        few, many = F.size(h) <= FEW, F.size(h) * 100 >= (FEW + 1) * SIMILAR_PERCENT
-        return F.when(~few, bands(h)).when(many, F.concat(bands(h), prefix(h))).otherwise(prefix(h))
+        return F.when(F.size(h) <= FEW, few(h)).when(F.size(h) == FEW + 1, F.concat(bands(h), few(h))).otherwise(bands(h))
 
     return bound(hashes, chosen)
 
@@ -84,17 +105,22 @@ def texts_of(found: DataFrame, keys: DataFrame) -> DataFrame:
     return likely.join(keys, "key", "left_semi").dropDuplicates(["key"])
 
 
-def shared_lines(found: DataFrame) -> DataFrame:
-    """``line_key``, ``first`` (``key``, ``n``) for the keys of lines that have an equal or similar line, written once."""
+def signed_lines(found: DataFrame) -> DataFrame:
+    """``key``, ``body``, ``n``, ``line_key``, ``size`` and ``bands`` of every line, written once."""
     sketch = bound(shingles(F.col("norm")), lambda s: F.struct(F.size(s).alias("size"), buckets(s).alias("bands")))
-    signed = written(found.select(F.xxhash64("norm").alias("key"), sketch.alias("sketch")).select("key", "sketch.size", "sketch.bands"))
-    members = bucket_members(signed.select("key", "size", F.explode("bands").alias("bucket")))
-    asked = members.select("key").distinct()
+    rows = found.select("key", "body", "n", F.xxhash64("norm").alias("line_key"), sketch.alias("sketch"))
+    return written(rows.select("key", "body", "n", "line_key", "sketch.size", "sketch.bands"))
+
+
+def shared_lines(found: DataFrame, signed: DataFrame) -> DataFrame:
+    """``line_key``, ``first`` (``key``, ``n``) for the keys of lines that have an equal or similar line, written once."""
+    members = bucket_members(signed.select(F.col("line_key").alias("key"), "size", F.explode("bands").alias("bucket")))
+    asked = written(members.select("key").distinct())
     items = written(texts_of(found, asked).select("key", shingles(F.col("norm")).alias("item")))
     roots = link_members(members, items, overlap_of_sets(SIMILAR_PERCENT))
     named = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     place = F.struct(F.isnull("key").alias("last"), "key", "n")
-    own = found.groupBy(F.xxhash64("norm").alias("line_key")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines"))
+    own = signed.groupBy("line_key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("lines"))
     several = own.join(named.withColumnRenamed("node", "line_key"), "line_key", "left").filter("lines > 1 OR root IS NOT NULL")
     several = written(several.select("line_key", F.coalesce("root", "line_key").alias("group"), "first"))
     firsts = several.groupBy("group").agg(F.min("first").alias("first"))
@@ -104,12 +130,14 @@ def shared_lines(found: DataFrame) -> DataFrame:
 def places(docs: DataFrame, key: str, text: str, shared: bool) -> DataFrame:
     """``key``, ``body``, ``n``, ``first_key``, ``first_n``, ``kept`` of lines that have a partner (and all others).
 
-    The first lines of the groups are joined only to lines that a small broadcast table does not rule out.
+    Lines are read from the table of signed ones; the first lines of the groups are joined only to lines that a small
+    broadcast table does not rule out.
     """
     found = lines(docs, key, text)
-    firsts = shared_lines(found)
+    signed = signed_lines(found)
+    firsts = shared_lines(found, signed)
     keys = firsts.select(F.col("line_key").alias("key"))
-    split = marked(found.select("key", "body", "n", F.xxhash64("norm").alias("line_key")), "line_key", keys, "likely")
+    split = marked(signed.select("key", "body", "n", "line_key"), "line_key", keys, "likely")
     joined = split.filter("likely").join(firsts, "line_key", "left")
     own = F.struct("key", "n")
     out = joined.select("key", "body", "n", F.coalesce("first", own).alias("first"))

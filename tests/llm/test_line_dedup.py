@@ -10,13 +10,10 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 def sets(line):
-    """Pieces of 12 characters (fewer at the end) from every word of at most 12 and from every character of longer words."""
-    line = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ")
-    starts, at = [], 0
-    for word in line.split(" "):
-        starts += [at] if len(word) <= WIDTH else range(at, at + len(word))
-        at += len(word) + 1
-    return frozenset(line[i : i + WIDTH] for i in starts)
+    """12 characters from every word on, of it and the two words after it, and from every character of longer words up to their end."""
+    words = re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" ").split(" ")
+    found = {" ".join(words[i : i + 3])[:WIDTH] for i in range(len(words))}
+    return frozenset(found | {w[i : i + WIDTH] for w in words if len(w) > WIDTH for i in range(1, len(w))})
 
 
 def union(pairs):
