@@ -75,19 +75,14 @@ def chunks_sql(cap: int = 400, overlap: int = 60) -> str:
 SECTION_COLUMNS = "doc_id, CAST({n} AS INTEGER) AS section_no, title, CAST(page_start AS INTEGER) AS page_start, CAST(page_end AS INTEGER) AS page_end, content, CAST(ceil(length(content) / 4.0) AS INTEGER) AS token_count"
 
 
-def doc_lines(spark, d):
-    """Lines of documents cut into pages; a given document is one row, so no limit needs to be checked."""
-    return chunking.document_lines(I.pages(spark, d))
-
-
 @query("sections_c1", "WITH " + SECTIONS + " SELECT " + SECTION_COLUMNS.format(n="sec") + " FROM secs")
 def sections(spark, d):
-    return chunking.sections(doc_lines(spark, d), min_tokens=0)
+    return chunking.page_sections(I.pages(spark, d), min_tokens=0)
 
 
 @query("folded_sections_c2", "WITH RECURSIVE " + FOLDED + " SELECT " + SECTION_COLUMNS.format(n="unit") + " FROM units")
 def folded_sections(spark, d):
-    return chunking.sections(doc_lines(spark, d))
+    return chunking.page_sections(I.pages(spark, d))
 
 
 CHUNK_COLUMNS = ["doc_id", "chunk_index", "clause_title", "page_start", "page_end", "content", "token_count"]
@@ -98,8 +93,7 @@ CHUNK_COLUMNS = ["doc_id", "chunk_index", "clause_title", "page_start", "page_en
     chunks_sql() + " SELECT doc_id, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks WHERE token_count <= 400 GROUP BY doc_id",
 )
 def whole_section_chunks(spark, d):
-    chunked = chunking.explode_chunks(chunking.chunk_arrays(doc_lines(spark, d)))
-    small = chunked.filter("token_count <= 400")
+    small = chunking.chunk_documents(I.pages(spark, d)).filter("token_count <= 400")
     return small.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
 
 
@@ -109,7 +103,7 @@ def whole_section_chunks(spark, d):
 )
 def packed_windows(spark, d):
     """A cap of 120 tokens, so that most sections are split into overlapping windows."""
-    return chunking.explode_chunks(chunking.chunk_arrays(doc_lines(spark, d), 120, 30)).select(*CHUNK_COLUMNS)
+    return chunking.chunk_documents(I.pages(spark, d), 120, 30).select(*CHUNK_COLUMNS)
 
 
 @query("chunks_c5", chunks_sql() + " SELECT doc_id, chunk_index, clause_title, page_start, page_end, content, token_count FROM chunks")

@@ -36,8 +36,7 @@ def embedded_sql(name: str, source: str, key: str, text: str, dims: int = DIMS)
 
 def chunk_table(spark, d, dims: int | None = DIMS):
     """Chunks of the derived agreements, embedded when ``dims`` is given; written once, as searches read them often."""
-    lines = chunking.document_lines(I.pages(spark, d))
-    rows = chunking.explode_chunks(chunking.chunk_arrays(lines))
+    rows = chunking.chunk_documents(I.pages(spark, d))
     return cut_lineage(rows if dims is None else rows.withColumn("embedding", V.hash_embedding(F.col("content"), dims)))
 
 
@@ -309,8 +308,7 @@ def field_context(spark, d):
     chunks_sql(120, 30) + " SELECT doc_id, chunk_index, CAST(chunk_index + 1 AS INTEGER) AS rank, content FROM chunks WHERE chunk_index < 40",
 )
 def head_context(spark, d):
-    lines = chunking.document_lines(I.pages(spark, d))
-    chunks = chunking.explode_chunks(chunking.chunk_arrays(lines, 120, 30))
+    chunks = chunking.chunk_documents(I.pages(spark, d), 120, 30)
     return retrieval.head_context(chunks).select("doc_id", "chunk_index", "rank", "content")
 
 

@@ -1,8 +1,8 @@
 """Clause-aware chunks with page ranges.
 
-A document's lines sit in one row (after the upload's page limit a bounded number), so sections, folding,
-packing and the dense chunk index need no shuffle beyond the one that brings the pages together. The
-order-dependent planning sees only line and sentence lengths, in Arrow batches; text stays in the JVM.
+Documents of any length are chunked by a scan over their pages (:mod:`.segments`). Behind the upload's page limit a
+document's lines may sit in one row, so that its sections, chunks and hash need no shuffle beyond the one that brings
+its pages together; there the planning sees line and sentence lengths in Arrow batches. Text stays in the JVM in both.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from . import segments
 
 MAX_TOKENS, OVERLAP_TOKENS, MIN_TOKENS = 400, 60, 15
 
@@ -207,22 +208,32 @@ def chunk_id(doc_id: Column, chunk_index: Column) -> Column:
     return F.concat(doc_id.cast("string"), F.lit(":"), F.lpad(chunk_index.cast("string"), 6, "0"))
 
 
+def with_ids(chunks: DataFrame, *more: str) -> DataFrame:
+    """Adds the readable ``chunk_id``, in the column order of :func:`explode_chunks`; ``more`` columns follow."""
+    return chunks.select(
+        chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "page_start", "page_end", "clause_title",
+        "content", "token_count", *more,
+    )
+
+
 def chunk_documents(
     pages: DataFrame,
     max_tokens: int = MAX_TOKENS,
     overlap_tokens: int = OVERLAP_TOKENS,
     min_tokens: int = MIN_TOKENS,
 ) -> DataFrame:
-    """Chunk every document; the page limit is the upload's, see ``plans.ingest``."""
-    return explode_chunks(chunk_arrays(document_lines(pages), max_tokens, overlap_tokens, min_tokens))
+    """Chunk documents of any length, a row a page: the chunks are planned on page numbers and no row holds a document."""
+    return with_ids(segments.chunk_pages(pages, [(max_tokens, overlap_tokens)], min_tokens))
+
+
+def page_sections(pages: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """As :func:`sections`, from a scan over the pages."""
+    return segments.chunk_pages(pages, [(None, 0)], min_tokens).select(
+        "doc_id", F.col("chunk_index").alias("section_no"), F.col("clause_title").alias("title"), "page_start", "page_end", "content", "token_count"
+    )
 
 
 def sweep_chunk_sizes(pages: DataFrame, sizes=(200, 400, 800), overlap_share: float = 0.15) -> DataFrame:
-    """Chunks for every cap, tagged ``max_tokens``; the lines are gathered by one shared shuffle."""
-    lines = document_lines(pages)
-    out = None
-    for size in sizes:
-        overlap = int(size * overlap_share + 0.5)
-        part = explode_chunks(chunk_arrays(lines, size, overlap)).withColumn("max_tokens", F.lit(size))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Chunks for every cap, tagged ``max_tokens``, from one scan over the pages."""
+    caps = [(size, int(size * overlap_share + 0.5)) for size in sizes]
+    return with_ids(segments.chunk_pages(pages, caps, MIN_TOKENS), "max_tokens")
