@@ -74,7 +74,7 @@ class Planner:
                 for n in costs:
                     unit.pieces.append((page, piece, _tokens(n) + 1))
                     piece += 1
-                if _tokens(unit.size) > self.cap:
+                if _tokens(unit.size) > max(self.cap, self.min_tokens - 1):  # no further section is folded in
                     yield from self.windows(last=False)
 
     def windows(self, last: bool) -> Iterator[tuple]:
