@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import patterns as P
 from clausemill.functions import text as X
 from clausemill.functions import vectors as V
-from clausemill.operators import chunking, embedding, retrieval
+from clausemill.operators import cells, chunking, embedding, retrieval
 from clausemill.plans.ingest import ingest
 from clausemill.session import cut_lineage
 
@@ -190,41 +190,39 @@ def centroid_search(spark, d):
     )
 
 
-_SIGN = "CASE WHEN md5(t || '/' || b || '/' || slot)[1] < '8' THEN 1 ELSE -1 END"
+NEIGHBOURS = 10
 
 
-def bucket_sql(name: str, source: str, key: str, vectors: str) -> str:
-    """``name(key, t, bucket)``: the sides of four planes in each of eight tables; a text without a vector is on none."""
-    return f"""{name}_p AS (SELECT {key}, t, b, round(sum(v * {_SIGN}), 9) > 0 AS side FROM {vectors}, (SELECT unnest(range(8)) AS t), (SELECT unnest(range(4)) AS b) GROUP BY ALL),
-  {name} AS (SELECT {key}, t, coalesce(sum(side::INT << b), 0) AS bucket FROM (SELECT {key}, unnest(range(8)) AS t FROM {source}) LEFT JOIN {name}_p USING ({key}, t) GROUP BY ALL)"""
-
-
-_APPROXIMATE = (
-    _CHUNKS + _QUERIES + vector_sql(5) + ", " + bucket_sql("cb", "corpus", "chunk_id", "cv") + ", " + bucket_sql("qb", "questions", "q", "qv")
-    + """, near AS (SELECT DISTINCT chunk_id, q FROM cb JOIN qb USING (t, bucket)),
-  aranked AS (SELECT doc_id, q, chunk_id, chunk_index, distance, row_number() OVER (PARTITION BY doc_id, q ORDER BY distance NULLS LAST, chunk_index) AS rank
-    FROM vscored JOIN near USING (chunk_id, q) QUALIFY rank <= 5)"""
-)
+def _searched(spark, d):
+    """The given vectors, every twentieth asked for its neighbours among all, and the cells fitted to a sample of them."""
+    vectors = table(spark, d, "embeddings")
+    held = vectors.select(F.lit("corpus").alias("doc_id"), F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("chunk_index"), "embedding")
+    asked = vectors.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.lit("corpus").alias("doc_id"), F.col("embedding").alias("vector"))
+    index = cells.fit(held, NEIGHBOURS)
+    return held, asked, index, cells.assign(held, index)
 
 
-@query(
-    "approximate_search_r6",
-    _APPROXIMATE + f" SELECT {_ID} AS query_id, chunk_id, chunk_index, distance, CAST(rank AS INTEGER) AS rank FROM aranked",
-)
+@query("approximate_search_r6")
 def approximate_search(spark, d):
-    return retrieval.approximate_vector_search(chunk_table(spark, d), field_queries(spark, d), 5)
+    """Trained cells are beyond SQL; the recall of these rows is ``approximate_recall_r6``."""
+    _, asked, index, assigned = _searched(spark, d)
+    return cells.search(assigned, asked, index, NEIGHBOURS)
 
 
 @query(
     "approximate_recall_r6",
-    _APPROXIMATE + """ SELECT count(*) AS expected, CAST(count(a.chunk_id) AS BIGINT) AS found, count(a.chunk_id) / count(*) AS recall
-      FROM vranked v LEFT JOIN aranked a USING (doc_id, q, chunk_id)""",
+    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
+    n AS (SELECT count(*) AS n FROM q), total AS (SELECT count(*) AS t FROM v)
+    SELECT CAST(n * least(t, {NEIGHBOURS}) AS BIGINT) AS expected, true AS nine_in_ten, true AS fewer_distances FROM n, total""",
 )
 def approximate_recall(spark, d):
-    """How much of the exact answer the bucketed search finds."""
-    chunks, queries = chunk_table(spark, d), field_queries(spark, d)
-    exact = retrieval.vector_search(chunks, queries, 5)
-    return retrieval.recall_against(exact, retrieval.approximate_vector_search(chunks, queries, 5))
+    """Whether the search finds nine in ten of the true neighbours with fewer distances than there are pairs."""
+    held, asked, index, assigned = _searched(spark, d)
+    exact = retrieval.vector_search(held, asked, NEIGHBOURS)
+    found = retrieval.recall_against(exact, cells.search(assigned, asked, index, NEIGHBOURS))
+    measured = cells.candidates(assigned, asked, index, NEIGHBOURS).count()
+    fewer = F.lit(measured) < F.lit(held.count() * asked.count())
+    return found.select("expected", (F.col("recall") >= 0.9).alias("nine_in_ten"), fewer.alias("fewer_distances"))
 
 
 @query(

@@ -58,29 +58,6 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(pairs, ["query_id"], [F.asc_nulls_last("distance"), F.asc("chunk_index")], k)
 
 
-def approximate_vector_search(
-    chunks: DataFrame, queries: DataFrame, k: int, tables: int = 8, bits: int = 4
-) -> DataFrame:
-    """Nearest chunks among those that share a random-projection bucket with the query.
-
-    Only ids meet by table and bucket; each distinct pair then fetches its two vectors and is measured once. More
-    ``bits`` make smaller buckets and so fewer pairs, more ``tables`` find more of the neighbours.
-    """
-
-    def bucketed(df: DataFrame, key: str, vector: str) -> DataFrame:
-        return df.select("doc_id", key, F.posexplode(V.signatures(F.col(vector), tables, bits)).alias("table", "bucket"))
-
-    held = chunks.filter(F.col("embedding").isNotNull())
-    pairs = bucketed(queries, "query_id", "vector").join(bucketed(held, "chunk_id", "embedding"), ["doc_id", "table", "bucket"])
-    pairs = pairs.select("doc_id", "query_id", "chunk_id").distinct()
-    scored = (
-        pairs.join(queries.select("query_id", "vector"), "query_id")
-        .join(held.select("doc_id", "chunk_id", "chunk_index", "embedding"), ["doc_id", "chunk_id"])
-        .select("query_id", "chunk_id", "chunk_index", V.cosine_distance(F.col("vector"), F.col("embedding")).alias("distance"))
-    )
-    return top_k(scored, ["query_id"], [F.asc_nulls_last("distance"), F.asc("chunk_index")], k)
-
-
 def recall_against(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     """Share of the exact neighbours an approximate search found, over all queries."""
     got = approximate.select("query_id", "chunk_id", F.lit(1).alias("got"))

@@ -1,10 +1,13 @@
 import math
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from catalog import retrieval as searches
 from clausemill.functions import vectors as V
-from clausemill.operators import embedding, retrieval
+from clausemill.operators import cells, embedding, retrieval
 
 
 def test_hash_embedding_properties(spark):
@@ -48,14 +51,40 @@ def test_vector_search_against_brute_force(spark):
         assert got[name] == [r[1] for r in want]
 
 
-def test_approximate_search_finds_near_neighbours(spark):
-    rng = random.Random(9)
-    rows, chunks = corpus(spark, 300)
-    near = [(f"q{i}", "d0", [x + rng.gauss(0, 0.05) for x in rows[i][3]]) for i in range(40)]
-    df = spark.createDataFrame(near, "query_id string, doc_id string, vector array<float>")
-    exact = retrieval.vector_search(chunks, df, 1)
-    report = retrieval.recall_against(exact, retrieval.approximate_vector_search(chunks, df, 1)).first()
-    assert report.expected == 40 and report.recall >= 0.95
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_approximate_search_finds_nine_in_ten_of_the_true_neighbours(spark, size):
+    """On the query's own rows: every twentieth of the given vectors against all of them."""
+    held, asked, index, assigned = searches._searched(spark, f"/root/testdata/sf{size}")
+    k = searches.NEIGHBOURS
+    report = retrieval.recall_against(retrieval.vector_search(held, asked, k), cells.search(assigned, asked, index, k)).first()
+    pairs = held.count() * asked.count()
+    assert report.expected == k * asked.count() and report.recall >= 0.9
+    assert cells.candidates(assigned, asked, index, k).count() < 0.85 * pairs
+
+
+def test_clustered_vectors_need_few_cells(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(scale=0.05, size=16)]) for i in range(1600)]
+    held = spark.createDataFrame([(i, i, v) for i, v in rows], "chunk_id long, chunk_index long, embedding array<float>")
+    asked = spark.createDataFrame([(i, v) for i, v in rows[::20]] + [(-1, None), (-2, [1.0])], "query_id long, vector array<float>")
+    index = cells.fit(held, 5)
+    assigned = cells.assign(held, index)
+    got = cells.search(assigned, asked, index, 5)
+    matrix = np.array([v for _, v in rows])
+    matrix /= np.sqrt((matrix * matrix).sum(1, keepdims=True))
+    true = {i: set(np.argsort(1 - matrix @ matrix[i], kind="stable")[:5].tolist()) for i, _ in rows[::20]}
+    found = [(r["query_id"], r["chunk_id"]) for r in got.collect()]
+    assert len(found) == 5 * len(true) and sum(c in true[q] for q, c in found) >= 0.95 * len(found)
+    assert cells.candidates(assigned, asked, index, 5).count() < 0.35 * len(rows) * len(true)
+
+
+def test_cells_go_on_until_there_are_enough_vectors(spark):
+    held = spark.createDataFrame([(i, i, [1.0, float(i)]) for i in range(9)] + [(90, 90, None)], "chunk_id long, chunk_index long, embedding array<float>")
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vector array<float>")
+    index = cells.Cells(cells.fit(held, 2, cells=9).centres, 1)
+    assert cells.search(cells.assign(held, index), asked, index, 7).count() == 7
+    assert cells.fit(held.limit(0), 3) is None
 
 
 def test_top_k_is_limited_before_the_shuffle(spark):
