@@ -41,6 +41,7 @@ SHARD_PAIRS, BLOCK_PAIRS = 1 << 17, 1 << 22
 FAN_IN = 16
 
 _BITS = 16  # of the second id in a pair
+_PAIR = (1 << (2 * _BITS)) - 1
 
 
 class Pair:
@@ -98,14 +99,22 @@ class Pair:
         return np.array(ids_a, np.int64), np.array(ids_b, np.int64)
 
 
+def distinct(ordered: np.ndarray) -> np.ndarray:
+    """The values of a sorted array, once each."""
+    return ordered[np.concatenate(([True], ordered[1:] != ordered[:-1]))] if len(ordered) else ordered
+
+
 class Aligned:
     """The tokens of a text with their groups and links, as arrays over the whole text."""
 
     def __init__(self, pair: Pair, ids_a: np.ndarray, ids_b: np.ndarray):
         self.pair = pair
         self.ends_a, self.ends_b = np.cumsum(pair.sizes_a[ids_a]), np.cumsum(pair.sizes_b[ids_b])
-        self.common = np.intersect1d(self.ends_a, self.ends_b, assume_unique=True)
-        self.ends = np.union1d(self.ends_a, self.ends_b)
+        place = np.searchsorted(self.ends_b, self.ends_a)
+        self.common = self.ends_a[self.ends_b[place] == self.ends_a]  # both end with the text
+        self.ends = np.concatenate([self.ends_a, self.ends_b])
+        self.ends.sort(kind="stable")
+        self.ends = distinct(self.ends)
         # between two neighbouring ends one token of either side is open: that is one overlapping pair
         self.links = (ids_a[np.searchsorted(self.ends_a, self.ends)] << _BITS) | ids_b[np.searchsorted(self.ends_b, self.ends)]
         group_a, group_b = np.searchsorted(self.common, self.ends_a), np.searchsorted(self.common, self.ends_b)
@@ -229,17 +238,25 @@ class Linked(Worker):
 
     def pairs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The distinct pairs that the texts hold linked, and how many of the texts hold each."""
-        rows = [(n, r) for n, found in enumerate(self.rows(texts)) if found for r in set(found)]
+        rows = [found for found in self.rows(texts) if found]
         if self.new:
             self.links, self.new = np.concatenate([self.links, *self.new]), []
         if not rows:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        text, row = np.array(rows, np.int64).T
+        held = np.concatenate([np.array(found, np.int64) for found in rows])
+        held |= np.repeat(np.arange(len(rows)), [len(found) for found in rows]) << (2 * _BITS)
+        held.sort()
+        held = distinct(held)
+        text, row = held >> (2 * _BITS), held & _PAIR
         sizes = self.sizes[:, 3]
         starts, many = (np.cumsum(sizes) - sizes)[row], sizes[row]
         at = np.arange(many.sum()) + np.repeat(starts - (np.cumsum(many) - many), many)
-        held = np.unique((np.repeat(text, many) << (2 * _BITS)) | self.links[at])
-        return np.unique(held & ((1 << (2 * _BITS)) - 1), return_counts=True)
+        held = (np.repeat(text, many) << (2 * _BITS)) | self.links[at]
+        held.sort()
+        pairs = distinct(held) & _PAIR
+        pairs.sort()
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        return pairs[first], np.diff(np.append(first, len(pairs)))
 
 
 class Counted(Worker):
@@ -264,15 +281,19 @@ class Counted(Worker):
 
     def numbers(self, texts: list[str | None]) -> list[tuple]:
         """The six numbers and the groups of every text."""
-        out, rows = [], self.rows(texts)
+        rows = self.rows(texts)
         if self.new:
             self.sums, self.new = np.concatenate([self.sums, *self.new]), []
+        held = [found for found in rows if found]
+        totals = iter(())
+        if held:
+            flat = np.concatenate([np.array(found, np.int64) for found in held])
+            starts = np.cumsum([0, *(len(found) for found in held[:-1])])
+            totals = iter(np.concatenate([np.add.reduceat(x[flat], starts, axis=0) for x in (self.sizes, self.sums)], axis=1).tolist())
+        out = []
         for found in rows:
-            if found is None:
-                out.append((0, 0, 0, 0, 0, 0, ""))
-                continue
-            shown = b";".join([self.texts[r] for r in found]).decode() if self.groups else None
-            out.append((*self.sizes[found].sum(axis=0).tolist(), *self.sums[found].sum(axis=0).tolist(), shown))
+            shown = b";".join([self.texts[r] for r in found]).decode() if found and self.groups else "" if self.groups else None
+            out.append((*next(totals), shown) if found else (0, 0, 0, 0, 0, 0, ""))
         return out
 
 
