@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.operators import evaluation
 from clausemill.session import work_folder
 from clausemill.sources import store
+from clausemill.sources.tables import Store
 
 from .extraction import LOAN_FACTS, TERMS_COST, parsed_loans
 from .cost import round2_sql
@@ -72,19 +73,27 @@ def chunks_by_key(spark, d):
     return store.find_chunks(chunks(spark, d), keys)
 
 
+def stored(spark, d, **tables):
+    """A store with the given tables; changes to it are made twice in the queries, as by a retry."""
+    held = Store(spark, work_folder(spark, "tables"), buckets=16)
+    held.create("load", **tables)
+    return held
+
+
 @query(
     "cascaded_delete_s9",
-    "WITH " + DOCS + """, gone AS (SELECT doc_id FROM docs WHERE NOT is_sample AND doc_id IN (SELECT event_id * 3 FROM events WHERE event_type = 'error'))
-    SELECT 'documents' AS name, count(*) AS rows_left FROM docs ANTI JOIN gone USING (doc_id)
-    UNION ALL SELECT 'chunks', count(*) FROM lineitem ANTI JOIN gone ON doc_id = l_orderkey UNION ALL SELECT 'answers', count(*) FROM orders ANTI JOIN gone ON doc_id = o_orderkey""",
+    "WITH " + DOCS + """, gone AS (SELECT doc_id FROM docs WHERE NOT is_sample AND doc_id IN (SELECT event_id * 3 FROM events WHERE event_type = 'error')),
+    held AS (SELECT 'documents' AS name, doc_id FROM docs UNION ALL SELECT 'chunks', l_orderkey FROM lineitem UNION ALL SELECT 'answers', o_orderkey FROM orders)
+    SELECT name, count(*) FILTER (g.doc_id IS NULL) AS rows_left, count(g.doc_id) AS removed FROM held LEFT JOIN gone g USING (doc_id) GROUP BY name""",
 )
 def cascaded_delete(spark, d):
-    """Documents named by error events go, with their chunks and cached answers; samples stay."""
+    """Documents named by error events go from the store, with their chunks and cached answers; samples stay."""
     ids = table(spark, d, "events").filter("event_type = 'error'").select((F.col("event_id") * 3).alias("doc_id"))
     cached = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    left = store.delete_documents(ids, documents(spark, d), chunks(spark, d), cached)
-    parts = [t.agg(F.count("*").alias("rows_left")).withColumn("name", F.lit(n)) for n, t in zip(("documents", "chunks", "answers"), left)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("name", "rows_left")
+    held = stored(spark, d, documents=documents(spark, d), chunks=chunks(spark, d), answers=cached)
+    removed = [held.delete("delete", ids) for _ in range(2)][-1]
+    parts = [held.read(n).agg(F.count("*").alias("rows_left")).select(F.lit(n).alias("name"), "rows_left", F.lit(c).cast("bigint").alias("removed")) for n, c in removed.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 _EVENT_DOCS = "SELECT event_id AS doc_id, ts + INTERVAL 24 HOUR AS expires_at, event_type = 'purchase' AS is_sample FROM events"
@@ -92,16 +101,18 @@ _EVENT_DOCS = "SELECT event_id AS doc_id, ts + INTERVAL 24 HOUR AS expires_at, e
 
 @query(
     "expired_purge_s10",
-    f"WITH ev AS ({_EVENT_DOCS}) SELECT doc_id, is_sample FROM ev WHERE NOT (expires_at < TIMESTAMP '2024-01-15 00:00:00' AND NOT is_sample)",
+    f"""WITH ev AS ({_EVENT_DOCS}), judged AS (SELECT *, expires_at < TIMESTAMP '2024-01-15 00:00:00' AND NOT is_sample AS gone FROM ev)
+    SELECT doc_id, is_sample, (SELECT count(*) FROM judged WHERE gone) AS purged FROM judged WHERE NOT gone""",
 )
 def expired_purge(spark, d):
-    """Events as documents with a life of a day; what a purge on a fixed date leaves."""
+    """Events as stored documents with a life of a day; what a purge on a fixed date leaves and how many it took."""
     docs = table(spark, d, "events").select(
         F.col("event_id").alias("doc_id"), store.expiry(F.col("ts")).alias("expires_at"),
         (F.col("event_type") == "purchase").alias("is_sample"),
     )
-    (left,) = store.purge_expired(F.lit("2024-01-15 00:00:00").cast("timestamp"), docs)
-    return left.select("doc_id", "is_sample")
+    held = stored(spark, d, documents=docs)
+    purged = [held.purge("purge", F.lit("2024-01-15 00:00:00").cast("timestamp")) for _ in range(2)][-1]
+    return held.read("documents").select("doc_id", "is_sample", F.lit(purged["documents"]).cast("bigint").alias("purged"))
 
 
 @query(
@@ -110,14 +121,16 @@ def expired_purge(spark, d):
     FROM docs LEFT JOIN (SELECT event_id AS k FROM events) e ON e.k = doc_id""",
 )
 def analysis_write_back(spark, d):
-    """Events bring a new status and, four times in five, an extraction for their document."""
+    """Events bring a new status and, four times in five, an extraction for their stored document."""
     key = F.col("event_id")
     updates = table(spark, d, "events").select(
         key.alias("doc_id"), F.lit("embedded").alias("status"),
         F.when(key % 5 > 0, F.concat(F.lit('{"v":'), (key % 5).cast("string"), F.lit("}"))).alias("extraction"),
     )
-    docs = documents(spark, d).withColumn("extraction", F.lit(None).cast("string"))
-    return store.write_back(docs, updates, ["status", "extraction"]).select("doc_id", "status", "extraction")
+    held = stored(spark, d, documents=documents(spark, d).withColumn("extraction", F.lit(None).cast("string")))
+    for _ in range(2):
+        held.write_back("analysis", updates, ["status", "extraction"])
+    return held.read("documents").select("doc_id", "status", "extraction")
 
 
 def vector_cache(spark, d):
