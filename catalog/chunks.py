@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from clausemill.functions import patterns as P
 from clausemill.operators import chunking
-from clausemill.plans import evaluate
+from clausemill.plans import samples
 from clausemill.plans.ingest import ingest
 from clausemill.session import work_folder
 from clausemill.sources import store
+from clausemill.sources.tables import Store
 from clausemill.streaming import uploads
 
 from . import inputs as I
@@ -159,23 +160,28 @@ def ingested_uploads(spark, d):
     return accepted.unionByName(done.rejects.select("doc_id", nothing.alias("title"), nothing.alias("source_type"), "reject"))
 
 
-@query(
-    "chunk_size_sweep_c7",
-    "WITH "
-    + ", ".join(
-        f"c{size} AS ({chunks_sql(size, overlap)} SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)"
-        for size, overlap in ((200, 30), (400, 60), (800, 120))
-    )
-    + " "
-    + " UNION ALL ".join(
-        f"SELECT CAST({size} AS INTEGER) AS max_tokens, CAST(sum(n) AS BIGINT) AS chunks, count(*) AS documents, round(avg(n), 6) AS mean_chunks FROM c{size}"
-        for size in (200, 400, 800)
-    ),
-)
-def chunk_size_sweep(spark, d):
-    return evaluate.chunk_size_scores(I.pages(spark, d)).withColumn("mean_chunks", F.round("mean_chunks", 6))
-
-
+def sample_load_sql() -> str:
+    """The documents behind the gate that are in the index, with the number of their identifiers."""
+    gated = ingested_sql().rsplit("SELECT doc_id, content_hash", 1)[0]
+    return gated + """ SELECT doc_id, 'slug-' || CAST(doc_id AS VARCHAR) AS slug, CAST(n AS INTEGER) AS chunk_count, kind, CAST(coalesce(ids, 0) AS BIGINT) AS identifiers
+      FROM kinds LEFT JOIN (SELECT doc_id, count(*) AS ids FROM numbered GROUP BY doc_id) USING (doc_id) WHERE doc_id % 3 = 0"""
+
+
+@query("sample_load_s15", sample_load_sql())
+def sample_load(spark, d):
+    """Every third document as a sample: a load of half of them, then two of all; chunks as they are stored in the end."""
+    texts = I.pages(spark, d)
+    index = table(spark, d, "documents").filter("doc_id % 3 = 0").selectExpr("doc_id", "concat('slug-', CAST(doc_id AS STRING)) AS slug", "concat('Sample ', CAST(doc_id AS STRING)) AS title")
+    created = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    held = Store(spark, work_folder(spark, "samples"), buckets=8)
+    samples.empty_store(held, texts, created)
+    samples.load_samples(held, index.filter("doc_id % 2 = 0"), texts, "half", created)
+    samples.load_samples(held, index, texts, "all", created)
+    done = samples.load_samples(held, index, texts, "again", created)
+    chunks_ = done.chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
+    ids = done.pii_map.groupBy("doc_id").agg(F.count("*").alias("identifiers"))
+    rows = done.documents.drop("chunk_count").join(chunks_, "doc_id").join(ids, "doc_id", "left").fillna(0, ["identifiers"])
+    return rows.select("doc_id", F.col("sample_slug").alias("slug"), "chunk_count", "kind", "identifiers")
 
 
 @query("streamed_documents_t1", ingested_sql())

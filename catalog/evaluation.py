@@ -8,6 +8,8 @@ from clausemill.functions import patterns as P
 from clausemill.operators import evaluation, golden
 from clausemill.plans import evaluate
 
+from . import inputs as I
+from .chunks import chunks_sql
 from .cost import COSTED, LOANS, loans, round2_sql
 from .extraction import CONTRACT_FACTS, LOAN_FACTS, parsed_contracts, parsed_loans
 from .registry import query, table
@@ -68,6 +70,25 @@ def _scores_sql(name: str, source: str) -> str:
         FROM (SELECT doc_id, q FROM documents, questions) e LEFT JOIN {source} r ON r.doc_id = e.doc_id AND r.q = e.q LEFT JOIN corpus c ON c.chunk_id = r.chunk_id GROUP BY e.doc_id, e.q)"""
 
 
+def _swept_sql(size: int, overlap: int) -> str:
+    """Chunks of one cap, searched by both retrievers, scored against the page that follows from the document."""
+    corpus = chunks_sql(size, overlap) + ", corpus AS (SELECT *, CAST(doc_id AS VARCHAR) || ':' || lpad(CAST(chunk_index AS VARCHAR), 6, '0') AS chunk_id FROM chunks)"
+    counts = "SELECT count(*) AS chunks, count(DISTINCT doc_id) AS documents FROM corpus"
+    return f"""SELECT CAST({size} AS INTEGER) AS max_tokens, chunks, documents, round(chunks / documents, 6) AS mean_chunks, recall_1, recall_8, mrr FROM (
+      {corpus}{_QUERIES}{vector_sql(24)}{text_sql(24)}{fused_sql(8)} SELECT * FROM ({_scores_sql('x', 'franked')}), ({counts}))"""
+
+
+SIZES = ((200, 30), (400, 60), (800, 120))
+
+
+@query("chunk_size_sweep_c7", " UNION ALL ".join(_swept_sql(*s) for s in SIZES))
+def chunk_size_sweep(spark, d):
+    """Three caps from one scan and one search: recall and reciprocal rank of the field queries, and chunks per document."""
+    asks = field_queries(spark, d).withColumn("pages", F.array((F.col("doc_id") % 3 + 1).cast("int")))
+    scores = evaluate.chunk_size_scores(I.pages(spark, d), asks, 64)
+    return scores.select("max_tokens", "chunks", "documents", *[F.round(c, 6).alias(c) for c in ("mean_chunks", "recall_1", "recall_8", "mrr")])
+
+
 @query(
     "retrieval_scores_e4",
     _CHUNKS + _QUERIES + vector_sql(24) + text_sql(24) + fused_sql(8)

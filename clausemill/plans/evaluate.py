@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -32,9 +32,28 @@ def retriever_scores(chunks: DataFrame, questions: DataFrame, dims: int) -> Data
     return out
 
 
-def chunk_size_scores(pages: DataFrame, sizes=(200, 400, 800)) -> DataFrame:
-    """``(max_tokens, chunks, documents, mean_chunks)`` of a chunk-size sweep."""
-    per_doc = chunking.sweep_chunk_sizes(pages, sizes).groupBy("max_tokens", "doc_id").agg(F.count("*").alias("n"))
-    return per_doc.groupBy("max_tokens").agg(
+def chunk_size_scores(pages: DataFrame, questions: DataFrame, dims: int, sizes=(200, 400, 800)) -> DataFrame:
+    """``(max_tokens, chunks, documents, mean_chunks, recall_1, recall_4, recall_8, mrr)`` of hybrid search for every cap.
+
+    ``questions(query_id, doc_id, question, pages)``. All caps are planned in one scan over the pages; a document's chunks of
+    one cap are a scope of their own, so that all are searched at once.
+    """
+
+    def scoped(column: str) -> Column:
+        return F.concat_ws("/", F.col("max_tokens").cast("string"), F.col(column).cast("string"))
+
+    swept = chunking.sweep_chunk_sizes(pages, sizes)
+    swept = cut_lineage(swept.withColumns({"scope": scoped("doc_id"), "chunk_id": scoped("chunk_id"), "embedding": V.hash_embedding(F.col("content"), dims)}))
+    counted = swept.groupBy("max_tokens", "scope").agg(F.count("*").alias("n")).groupBy("max_tokens").agg(
         F.sum("n").alias("chunks"), F.count("*").alias("documents"), F.avg("n").alias("mean_chunks")
-    )
+    )
+    if "vector" not in questions.columns:
+        questions = questions.withColumn("vector", V.hash_embedding(F.col("question"), dims))
+    each = questions.withColumn("max_tokens", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    asked = each.withColumns({"query_id": scoped("query_id"), "doc_id": scoped("doc_id")})
+    chunks = swept.drop("doc_id").withColumnRenamed("scope", "doc_id")
+    hits = retrieval.hybrid_search(chunks, asked, TOP_K)
+    found = hits.join(chunks.select("chunk_id", "page_start", "page_end"), "chunk_id")
+    first = evaluation.first_hits(asked.select("query_id", "pages"), found)
+    scores = evaluation.retrieval_scores(first.withColumn("max_tokens", F.substring_index("query_id", "/", 1).cast("int")), ["max_tokens"])
+    return counted.join(scores, "max_tokens")
