@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from clausemill.session import work_folder
 
+#: Members of a bucket that are compared pair by pair.
+PAIRED = 64
 #: Edges (two numbers each) that one task handles.
 EDGES_PER_TASK = 1 << 18
 
@@ -119,10 +121,12 @@ class Similarity:
 
     ``short`` is the form in which items travel to their partners. On this form ``likely`` is true for all similar pairs and
     ``sure`` only for similar ones; ``exact`` decides on the items themselves and is asked where the two differ. ``sizes``
-    tells from two items' sizes whether they can be similar at all.
+    tells from two items' sizes whether they can be similar at all, ``prefix`` how many members of an item of a size are
+    enough to share one with every similar item.
     """
 
     sizes: Callable[[Column, Column], Column]
+    prefix: Callable[[Column], Column]
 
     short: Callable[[Column], Column]
     likely: Callable[[Column, Column], Column]
@@ -136,8 +140,9 @@ def link_members(members: DataFrame, items: DataFrame, similarity: Similarity, r
     ``members`` has distinct ``bucket``, ``key``, ``size`` rows; ``items`` has a row per key with its ``item``. In each of the
     ``rounds`` every bucket tests its members against one of them, another in each round; members that are connected by
     then need no further test. What is left, pairs in one bucket and in different components, meets as plain keys where
-    their sizes allow it, once for all buckets that a pair shares; items join only these pairs. No link is lost, and a
-    large group of copies costs a few rows per member.
+    their sizes allow it, once for all buckets that a pair shares; items join only these pairs. Members of buckets that
+    still hold more than ``PAIRED`` meet by their rarest members instead (:func:`_rare_pairs`), which finds all similar ones.
+    No link is lost, and a large group of copies costs a few rows per member.
     """
     short = items.select("key", similarity.short(F.col("item")).alias("item"))
     roots, links = None, None
@@ -157,14 +162,32 @@ def link_members(members: DataFrame, items: DataFrame, similarity: Similarity, r
         links = good if links is None else links.unionByName(good)
         roots = connected(links)
     labelled = _labelled(members, roots)
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    rest = written(labelled.join(open_.select("bucket"), "bucket"))
-    left, right = (rest.select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "size")]) for side in "ab")
+    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held")).filter("low < high")
+    rest = written(labelled.join(open_.select("bucket", "held"), "bucket"))
+    left, right = (rest.filter(F.col("held") <= PAIRED).select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "size")]) for side in "ab")
     apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_label") < F.col("b_label")) & similarity.sizes(F.col("a_size"), F.col("b_size"))
-    pairs = left.join(right, apart).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b")).distinct()
+    pairs = left.join(right, apart).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    crowded = written(rest.filter(F.col("held") > PAIRED).select("key", "label", "size").distinct())
+    pairs = pairs.unionByName(_rare_pairs(crowded, items, similarity)).distinct()
     return connected(links.unionByName(_similar(pairs, short, items, similarity)))
 
 
+def _rare_pairs(crowded: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs ``a``, ``b`` of ``crowded`` keys (``key``, ``label``, ``size``) that may be similar, by their rarest members.
+
+    With all sets in one order, two similar ones share a member among the first ``prefix`` of each. The order is by how many
+    of these sets hold a member, rarest first, so that what very many have in common brings no pair together.
+    """
+    each = items.join(crowded.select("key"), "key").select("key", F.explode("item").alias("member"))
+    counts = each.groupBy("member").agg(F.count(F.lit(1)).alias("sets"))
+    ordered = each.join(counts, "member").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("sets", "member"))).alias("members"))
+    first = ordered.join(crowded, "key").select("key", "label", "size", F.explode(F.slice("members", F.lit(1), similarity.prefix(F.col("size")))).alias("m"))
+    held = written(first.filter("m.sets > 1").select("key", "label", "size", "m.member"))
+    left, right = (held.select(*[F.col(x).alias(f"{side}_{x}") for x in ("member", "key", "label", "size")]) for side in "ab")
+    apart = (F.col("a_member") == F.col("b_member")) & (F.col("a_label") < F.col("b_label")) & similarity.sizes(F.col("a_size"), F.col("b_size"))
+    return left.join(right, apart).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+
+
 def _similar(pairs: DataFrame, short: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
     """The similar ones of the pairs ``a``, ``b`` of keys, written once."""
     left, right = (short.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
@@ -205,6 +228,7 @@ def overlap_of_sets(percent: int) -> Similarity:
 
     return Similarity(
         sizes=sizes,
+        prefix=lambda n: (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int"),
         short=lambda s: F.transform(s, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")),
         likely=lambda a, b: margin(a, b) >= -doubt(a, b),
         sure=lambda a, b: margin(a, b) >= doubt(a, b),

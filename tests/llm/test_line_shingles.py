@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 from test_line_dedup import brute
 
+from clausemill.llm import components
 from clausemill.llm.line_dedup import buckets, dedup_lines, line_groups
 
 FOLDER = "/root/testdata/sf0.001"
@@ -58,3 +59,21 @@ def test_recall_of_the_buckets(spark):
         frame = spark.createDataFrame(rows, "a array<long>, b array<long>")
         met = frame.select(F.arrays_overlap(buckets(F.sort_array("a")), buckets(F.sort_array("b"))).alias("met")).filter("met").count()
         assert met >= 990, (common, apart, met)
+
+
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    """Lines around one passage meet in large buckets without being similar; those that are similar are still found."""
+    monkeypatch.setattr(components, "PAIRED", 4)
+    draw = random.Random(8)
+
+    def words(count):
+        return ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randrange(3, 10))) for _ in range(count)]
+
+    passage, docs = words(30), []
+    for d in range(60):
+        own = words(30)
+        docs += [(4 * d, " ".join(passage + own)), (4 * d + 1, " ".join(passage + own[:-2] + words(2))), (4 * d + 2, " ".join(own + passage[:9]))]
+    expected, links = brute(docs)
+    assert links >= 60
+    got = groups(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sum(got[p] != expected[p] for p in expected) <= 1  # the bands' recall
