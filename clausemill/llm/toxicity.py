@@ -23,8 +23,9 @@ BUCKETS = 1 << 18
 FIT_ROWS = 3_000
 EPOCHS = 12
 ALPHA, L1, L2 = 1.0, 3.0, 0.01
-#: Features in fewer of the fitted texts, or in a larger share of them, tell nothing and are left out.
-MIN_TEXTS, MAX_SHARE = 3, 0.3
+#: Features in fewer of the fitted texts tell nothing and are left out; so are those in a larger share of them, if their shares
+#: in the texts of either class differ by less than ``ALIKE``.
+MIN_TEXTS, COMMON_SHARE, ALIKE = 3, 0.3, 0.1
 #: Weight of the squared change of the logit between a text and its counterfactual.
 FAIRNESS = 2.0
 #: Prefix lengths that stand beside each word as features.
@@ -102,13 +103,15 @@ def fit_rows(rows: list[tuple[int, str]], fairness: float = FAIRNESS, prior: flo
     that of the text with swapped terms is added, which pulls the weights of terms of one row towards each other.
     Weights are not negative: a long text's many innocent words don't outweigh what it says elsewhere. ``prior`` is the share of label 1 in the population, if the rows were not drawn in proportion.
     """
-    data, texts = [], np.zeros(BUCKETS, np.int64)
+    data, texts = [], np.zeros((2, BUCKETS), np.int64)
     for label, text in rows:
         found = words(text)
         other = counterfactual(found)
         data.append((label, presence(found), None if other is None else presence(other)))
-        texts[data[-1][1]] += 1
-    useful = (texts >= MIN_TEXTS) & (texts <= MAX_SHARE * len(rows))
+        texts[label, data[-1][1]] += 1
+    shares = texts / np.maximum(np.bincount([label for label, _ in rows], minlength=2), 1)[:, None]
+    every = texts.sum(0)
+    useful = (every >= MIN_TEXTS) & ((every <= COMMON_SHARE * len(rows)) | (np.abs(shares[1] - shares[0]) >= ALIKE))
     data = [(y, at[useful[at]], None if other is None else other[useful[other]]) for y, at, other in data]
     leader = Leader(BUCKETS, 1, alpha=ALPHA, l1=L1, l2=L2, positive=True)
     bias = 0.0

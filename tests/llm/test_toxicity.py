@@ -59,3 +59,20 @@ def test_edges(spark):
     none = labels.limit(0)
     assert {r["score"] for r in score(docs, fit(docs, none), ["doc_id"]).collect()} == {0.5}
     assert score(docs.limit(0), fit(docs.limit(0), labels), ["doc_id"]).count() == 0
+
+
+def test_a_marker_of_most_toxic_texts_counts():
+    """However many of the toxic texts hold the marker, it is learnt; a word that is in most texts of either class is not."""
+    for share in (0.5, 0.7, 0.9, 1.0):
+        draw = random.Random(2)
+        rows = []
+        for n in range(600):
+            words = [f"w{draw.randrange(300)}" for _ in range(30)] + ["everywhere"]
+            if n % 2 and draw.random() < share:
+                words.insert(draw.randrange(30), "zzmarkerzz")
+            rows.append((n % 2, " ".join(words)))
+        model = fit_rows(rows)
+        score = model.scorer()
+        clean = " ".join(f"w{k}" for k in range(30)) + " everywhere"
+        assert score(clean + " zzmarkerzz") > 0.8 and score(clean) < 0.5 + 0.2 * (share < 0.7), share
+        assert abs(score(clean) - score(clean.replace(" everywhere", ""))) < 0.05
