@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from clausemill.llm.host_quality import host_rates, host_verdicts, measures
+from clausemill.llm.host_quality import host_rates, host_verdicts, measures, prior
 
 
 def plain(text):
@@ -62,3 +62,37 @@ def test_windows_with_equal_hashes_are_compared_by_words(spark, monkeypatch):
     docs = spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r["doc_id"]: r["n_repeat_words"] for r in measures(docs).collect()}
     assert got == {i: plain(t)[4] for i, t in enumerate(texts)}
+
+
+def test_many_small_hosts_are_shrunk_to_the_mean(spark):
+    """Thousands of hosts with one text each beside a large one: a single failure says little about a host."""
+    rows = [(f"h{i}", i % 5 == 0) for i in range(3000)] + [("big", i % 5 == 0) for i in range(1000)]
+    rows += [("three", True), ("three", True), ("three", False)]
+    found = {r["host"]: r["rate"] for r in host_rates(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
+    assert all(abs(found[h] - 0.2) < 0.05 for h in ("h0", "h1", "big", "three"))
+
+
+def test_moments_recover_a_known_prior(spark):
+    draw = random.Random(5)
+    rows = []
+    for h in range(400):
+        p = draw.betavariate(2, 6)
+        rows += [(f"h{h}", draw.random() < p) for _ in range(draw.choice([1, 2, 10, 40]))]
+    frame = spark.createDataFrame(rows, "host string, flag boolean")
+    hosts = frame.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("flag").alias("x")).collect()
+    n, x = [r["n"] for r in hosts], [r["x"] for r in hosts]
+    mean, weight = prior(len(n), sum(n), sum(x), sum(k * k for k in n), sum(a * a / k for a, k in zip(x, n)), 10.0)
+    assert abs(mean - 0.25) < 0.03 and 5 < weight < 13
+    rates = {r["host"]: r["rate"] for r in host_rates(frame, "flag").collect()}
+    assert all(abs(rates[r["host"]] - (r["x"] + mean * weight) / (r["n"] + weight)) < 1e-9 for r in hosts)
+
+
+def test_every_rule_has_its_own_rate(spark):
+    good = " ".join(f"w{i}" for i in range(60))
+    signs, lines = good + " " + "#" * 60, "\n".join([good] + ["same line of text"] * 30 + [f"v{i} x{i}" for i in range(50)])
+    rows = [(i, good if i % 10 else signs, "fine") for i in range(60)] + [(100 + i, signs if i % 10 else good, "signs") for i in range(60)]
+    rows += [(200 + i, lines, "lines") for i in range(60)]
+    by = {r["doc_id"]: r for r in host_verdicts(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert by[1]["kept"] and by[0]["kept"] and not by[0]["base_failed"] and by[0]["symbols"]
+    assert by[100]["rate_symbols"] > 0.8 > 0.2 > by[100]["rate_dup_lines"] and not by[100]["kept"] and not by[100]["base_failed"]
+    assert by[200]["rate_dup_lines"] > 0.8 and not by[200]["kept"]
