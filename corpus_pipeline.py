@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: five stages, each written and read again before the next."""
+"""A training corpus from ``documents``: five stages, each written and read again before the next.
+
+Every stage takes any table with ``doc_id`` and ``text`` (the first one with ``lang`` too, which may be null). Other columns,
+whatever their names, stay with their rows; the last stage's own columns replace those of the same names. Keys may be null or repeat,
+texts null, empty or very long. A table without rows gives one without rows and with the same columns.
+"""
 
 from __future__ import annotations
 
@@ -18,7 +23,11 @@ MIN_LANGUAGE_SCORE = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known with a score of at least ``MIN_LANGUAGE_SCORE``."""
+    """Documents whose language is known with a score of at least ``MIN_LANGUAGE_SCORE``.
+
+    Null texts and those without letters have no language and go. Repeated rows are judged alike; of equally likely
+    languages the first by name counts. Without a single label nothing is known and all go.
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("body"))
     found = identify(packed, fit(docs), ["row"], "body")
     known = (F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
@@ -26,31 +35,46 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with one line of each group of similar lines; those that lose all their words go."""
+    """Documents with one line of each group of similar lines; those that lose all their words go.
+
+    So do null and empty texts; one of white space alone stays as it is. A group's first line stays, by key (null last) and line number; where rows repeat, in
+    all of them. ``n_chars``, where there is one, follows the text.
+    """
     left = dedup_lines(docs).filter(F.col("text").isNotNull() & (F.col("text") != ""))
     size = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return left.withColumns(size) if size else left
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 80 %)."""
+    """One document of each group of near duplicates (five-word shingles, 80 %).
+
+    The smallest key stays (null last), of its rows the one with the smallest hash of its text, of exact repeats one.
+    Null texts and those without words are in no group and stay.
+    """
     return near_dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ``benchmark``."""
+    """Documents without a passage of ``benchmark``.
+
+    Null and empty texts hold none and stay; repeated rows are judged alike. An empty benchmark removes nothing.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``lang``, ``source``, ``n_tokens``, the packed ``ids`` and the text that they decode to."""
+    """The columns of ``docs`` but ``text`` and its ``n_chars``, then ``n_tokens``, the packed ``ids`` and what they decode to.
+
+    A null text counts as empty and has no tokens. Every row is encoded by itself.
+    """
     path = vocabulary_path("word_bpe_49k.json")
-    keyed = docs.select(F.struct("doc_id", "lang", "source").alias("doc"), "text")
+    kept = [c for c in docs.columns if c not in ("text", "n_chars", "n_tokens", "ids", "decoded")]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("doc"), "text")
     encoded = encode(keyed, path, key="doc").select(F.struct("doc", "ids").alias("both"), "ids")
+    own = [F.col("both.doc").getField(c).alias(c) for c in kept]
     return decode(encoded, path, key="both").select(
-        "both.doc.doc_id", "both.doc.lang", "both.doc.source", (F.octet_length("both.ids") / 4).cast("long").alias("n_tokens"),
-        "both.ids", F.col("text").alias("decoded"),
-    )
+        *own, (F.octet_length("both.ids") / 4).cast("long").alias("n_tokens"), "both.ids", F.col("text").alias("decoded")
+    )
 
 
 STAGES = [
