@@ -28,9 +28,11 @@ BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Where a cut is not simply every space: white space in front of a space.
 ODD = re.compile(r"\s ")
 CUT = re.compile(r"(?<=\S)(?= )")
+#: Short pieces of visible ASCII.
+PLAIN = re.compile(r"[!-~]{1,200}\Z").match
 
 #: Pieces that a worker remembers, the characters of the longest of them, characters that are encoded at a time.
-REMEMBERED, LONGEST, STRETCH = 400_000, 200, 200_000
+REMEMBERED, LONGEST, STRETCH = 700_000, 200, 200_000
 #: Texts and characters of a batch.
 BATCH_ROWS, BATCH_CHARS = 512, 2_000_000
 #: Distinct pairs that a worker counts before it hands them over.
@@ -187,27 +189,31 @@ class Worker:
         ids = self.pair.encode(" " + " ".join(found), quick=True) if found else None
         if ids is not None:
             aligned = Aligned(self.pair, *ids)
-            ends = np.cumsum([len(p.encode()) + 1 for p in found])
-            if np.isin(ends, aligned.common, assume_unique=True).all():
+            ends = np.cumsum([(len(p) if p.isascii() else len(p.encode())) + 1 for p in found])
+            if (aligned.common[np.searchsorted(aligned.common, ends)] == ends).all():
                 self._take(found, aligned, ends)
                 return
         for piece in found:
             self._alone(piece)
 
     def learn(self, wanted: set[str]) -> None:
-        rare, held = {False: [], True: []}, {False: 0, True: 0}
-        for piece in wanted:
+        """Pieces are learnt together, printable ASCII, other common and rare characters apart."""
+        plain = [p for p in wanted if PLAIN(p)]
+        groups: dict[bool, list[str]] = {False: [], True: []}
+        for piece in wanted.difference(plain) if len(plain) < len(wanted) else ():
             if not piece or len(piece) > LONGEST or piece[-1].isspace() or SPACE in piece:
                 self._alone(piece)
-                continue
-            odd = not piece.isascii() and max(piece) >= COMMON
-            rare[odd].append(piece)
-            held[odd] += len(piece) + 1
-            if held[odd] >= STRETCH:
-                self._together(rare[odd])
-                rare[odd], held[odd] = [], 0
-        for found in rare.values():
-            self._together(found)
+            else:
+                groups[max(piece) >= COMMON].append(piece)
+        for found in (plain, *groups.values()):
+            at = 0
+            while at < len(found):
+                end, size = at, 0
+                while end < len(found) and size < STRETCH:
+                    size += len(found[end]) + 1
+                    end += 1
+                self._together(found[at:end])
+                at = end
         if self.fresh:
             self.sizes = np.concatenate([self.sizes, *self.fresh])
             self.fresh = []
@@ -217,11 +223,14 @@ class Worker:
         if self.count > REMEMBERED:
             self.clear()
         split = [pieces(t, self.pair.separable) if t else None for t in texts]
-        known, wanted = self.known, {p for found in split if found for p in found}
-        self.learn({p for p in wanted if p not in known})
-        out = [None if found is None else [known[p] for p in found] for found in split]
-        for piece in [p for p in wanted if len(p) > LONGEST]:
-            del known[piece]
+        wanted: set[str] = set()
+        wanted.update(*filter(None, split))
+        fresh = wanted.difference(self.known)
+        self.learn(fresh)
+        row = self.known.__getitem__
+        out = [None if found is None else list(map(row, found)) for found in split]
+        for piece in [p for p in fresh if len(p) > LONGEST]:
+            del self.known[piece]
         return [None if found is None or None in found else found for found in out]
 
 
