@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import patterns as P
 from clausemill.functions import text as X
 from clausemill.functions import vectors as V
-from clausemill.operators import cells, chunking, embedding, retrieval
+from clausemill.operators import blocks, cells, chunking, embedding, retrieval
 from clausemill.plans.ingest import ingest
 from clausemill.session import cut_lineage
 
@@ -242,16 +242,12 @@ def text_search(spark, d):
     SELECT CAST(item_id AS VARCHAR) AS query_id, doc_id AS chunk_index, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 20""",
 )
 def benchmark_text_search(spark, d):
-    """Whole benchmark items as questions to the corpus as one document of many chunks."""
+    """Whole benchmark items as questions to the whole corpus; blocks that cannot reach a question's best are not read."""
     docs = I.documents(spark, d)
-    chunks = docs.select(
-        F.lit("corpus").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"),
-        F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"),
-    )
-    questions = table(spark, d, "benchmark").select(
-        F.col("item_id").cast("string").alias("query_id"), F.lit("corpus").alias("doc_id"), F.col("text").alias("question")
-    )
-    return retrieval.text_search(retrieval.postings(chunks), questions, 20).drop("chunk_id")
+    chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
+    questions = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("question"))
+    postings = cut_lineage(blocks.blocked_postings(chunks))
+    return blocks.search(postings, cut_lineage(blocks.block_bounds(postings)), questions, 20).drop("chunk_id")
 
 
 _FUSED_COLUMNS = f"{_ID} AS query_id, chunk_id, round(score, 9) AS score, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(text_rank AS INTEGER) AS text_rank"
