@@ -193,22 +193,28 @@ def mask_documents(
     return apply_placeholders(pages, place(found, placeholders, keys), keys, order), placeholders, found
 
 
-def _literal_replacement(value: Column) -> Column:
-    return F.regexp_replace(value, r"([\\$])", r"\\$1")
+#: A placeholder in brackets anywhere, or without them as a whole token.
+_NAME = rf"(?:{'|'.join(TYPES)})_[0-9]+"
+PLACEHOLDER = rf"\[{_NAME}\]|(?<![A-Z0-9_]){_NAME}(?![A-Z0-9_])"
 
 
 def unmask(text: Column, entries: Column) -> Column:
-    """Put originals back: ``[TYPE_n]`` everywhere, then bare ``TYPE_n`` as a whole token."""
+    """Put originals back: ``[TYPE_n]`` everywhere, bare ``TYPE_n`` as a whole token; names without an entry stay.
 
-    def one(t: Column, e: Column) -> Column:
-        bare = F.substr(e.placeholder, F.lit(2), F.length(e.placeholder) - 2)
-        token = F.concat(F.lit("(?<![A-Z0-9_])"), bare, F.lit("(?![A-Z0-9_])"))
-        bracketed = F.replace(t, e.placeholder, e.original)
-        return F.when(
-            F.contains(bracketed, bare), F.regexp_replace(bracketed, token, _literal_replacement(e.original))
-        ).otherwise(bracketed)
+    The text is cut once at all placeholders, each is looked up and the pieces are joined: what comes back is not
+    searched again, and no entry costs a pass over the text.
+    """
+
+    def original(hit: Column) -> Column:
+        shown = F.when(hit.startswith("["), hit).otherwise(F.concat(F.lit("["), hit, F.lit("]")))
+        return F.coalesce(F.get(F.filter(entries, lambda e: e.placeholder == shown), 0).original, hit)
+
+    def joined(hits: Column) -> Column:
+        gaps = F.split(text, PLACEHOLDER, -1)
+        whole = F.zip_with(gaps, F.transform(hits, original), lambda gap, name: F.concat(gap, F.coalesce(name, F.lit(""))))
+        return F.when(F.size(hits) == 0, text).otherwise(F.array_join(whole, ""))
 
-    return F.aggregate(entries, text, one)
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0))), joined), 0)
 
 
 def unmask_rows(

@@ -134,3 +134,13 @@ def test_overlaps_against_plain_loop(spark, seed):
             want.append(s)
             cursor = s[2]
     assert got == want
+
+
+def test_unmask_cuts_a_text_once(spark):
+    """What is put back is not searched again, names without an entry stay, and many entries cost one pass."""
+    pii = spark.createDataFrame([("d", n, f"[PAN_{n}]", f"<{n}>") for n in range(1, 301)] + [("d", 400, "[EMAIL_1]", "[PAN_2] $1 \\\\ PAN_3")], "doc_id string, seed_pos int, placeholder string, original string")
+    text = " ".join(f"[PAN_{n}] PAN_{n}, XPAN_{n} PAN_{n}0000 [PAN_{n}]x" for n in range(1, 301)) + " [EMAIL_1] [EMAIL_2] [PAN_4"
+    df = spark.createDataFrame([("d", 1, text), ("d", 2, "nothing here"), ("d", 3, None), ("d", 4, "")], "doc_id string, id int, text string")
+    got = {r.id: r.text for r in privacy.unmask_rows(df, pii, ["doc_id"], ["id"]).collect()}
+    first = " ".join(f"<{n}> <{n}>, XPAN_{n} PAN_{n}0000 <{n}>x" for n in range(1, 301))
+    assert got == {1: first + " [PAN_2] $1 \\\\ PAN_3 [EMAIL_2] [<4>", 2: "nothing here", 3: None, 4: ""}
