@@ -16,16 +16,32 @@ from .registry import query, table
 from .retrieval import _CHUNKS, _QUERIES, chunk_table, field_queries, fused_sql, text_sql, vector_sql
 
 
-@query(
-    "golden_questions_e1",
-    """SELECT c_name || '/' || key AS id, type, needs_tool, CASE WHEN c_custkey IN (0, 2) AND key IN ('rate', 'emi', 'prepay', 'ear') THEN true ELSE false END AS fast
-    FROM customer, (VALUES ('rate', 'numeric', false), ('tenure', 'numeric', false), ('emi', 'numeric', false), ('principal', 'numeric', false), ('prepay', 'numeric', false), ('bounce', 'numeric', false), ('ear', 'numeric', true), ('interest-total', 'numeric', true)) t(key, type, needs_tool)""",
-)
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+GOLDEN = """golden AS (SELECT c_name || '/' || key AS id, type, needs_tool, c_custkey IN (0, 2) AND key IN ('rate', 'emi', 'prepay', 'ear') AS fast
+    FROM customer, (VALUES ('rate', 'numeric', false), ('tenure', 'numeric', false), ('emi', 'numeric', false), ('principal', 'numeric', false), ('prepay', 'numeric', false), ('bounce', 'numeric', false), ('ear', 'numeric', true), ('interest-total', 'numeric', true)) t(key, type, needs_tool)
+    UNION ALL SELECT * FROM (VALUES """ + ", ".join(
+    f"({_quoted(slug + '/' + key)}, {_quoted(kind)}, false, {'ci' in tags.split(',')})" for slug, key, kind, *_, tags in golden.SINGLE_QUESTIONS
+) + "))"
+
+
+def _golden(spark, d):
+    loans_ = table(spark, d, "customer").select(F.col("c_name").alias("slug"), F.col("c_custkey").alias("position"))
+    return golden.golden_questions(spark, loans_)
+
+
+@query("golden_questions_e1", "WITH " + GOLDEN + " SELECT * FROM golden")
 def golden_questions(spark, d):
-    """Eight questions for every customer taken as a loan."""
-    rows = table(spark, d, "customer").select(F.col("c_name").alias("slug"), F.col("c_custkey").alias("position"))
-    asked = golden.loan_questions(rows)
-    return asked.select("id", "type", "needs_tool", F.array_contains("tags", "ci").alias("fast"))
+    """Eight questions for every customer taken as a loan, and the fixed questions on single documents."""
+    return _golden(spark, d).select("id", "type", "needs_tool", F.array_contains("tags", "ci").alias("fast"))
+
+
+@query("fast_questions_e1", "WITH " + GOLDEN + " SELECT id, type FROM golden WHERE fast")
+def fast_questions(spark, d):
+    """The subset that a quick evaluation asks."""
+    return golden.fast_subset(_golden(spark, d)).select("id", "type")
 
 
 @query(
@@ -225,17 +241,31 @@ def fact_checks(spark, d):
 )
 def label_scores(spark, d):
     """Labels as expected flags against a rule's flags, macro mean over the labelled documents."""
-    labels = table(spark, d, "labels")
-    docs = table(spark, d, "documents")
+    expected, found, labels = _flags(spark, d)
+    scores = evaluation.macro_scores(evaluation.set_scores(expected, found, labels))
+    return scores.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+def _flags(spark, d):
+    labels, docs = table(spark, d, "labels"), table(spark, d, "documents")
 
     def flags(df, conditions):
         names = F.array_compact(F.array(*[F.when(c, n) for n, c in conditions.items()]))
         return df.select("doc_id", F.explode(names).alias("category"))
 
     expected = flags(labels, {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 1})
-    found = flags(docs, {"quality": F.col("n_chars") > 500, "toxic": F.col("doc_id") % 9 == 0})
-    scores = evaluation.macro_scores(evaluation.set_scores(expected, found, labels))
-    return scores.select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+    return expected, flags(docs, {"quality": F.col("n_chars") > 500, "toxic": F.col("doc_id") % 9 == 0}), labels
+
+
+@query(
+    "label_differences_e11",
+    """WITH e AS (SELECT doc_id, 'quality' AS category FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1),
+    f AS (SELECT doc_id, 'quality' AS category FROM documents SEMI JOIN labels USING (doc_id) WHERE n_chars > 500 UNION ALL SELECT doc_id, 'toxic' FROM documents SEMI JOIN labels USING (doc_id) WHERE doc_id % 9 = 0)
+    SELECT doc_id, category, 'missed' AS difference FROM e ANTI JOIN f USING (doc_id, category) UNION ALL SELECT doc_id, category, 'extra' FROM f ANTI JOIN e USING (doc_id, category)""",
+)
+def label_differences(spark, d):
+    """Every label that the rule missed and every one that it added, on the labelled documents."""
+    return evaluation.set_differences(*_flags(spark, d))
 
 
 @query(

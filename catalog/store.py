@@ -145,8 +145,10 @@ def vector_cache(spark, d):
       round(list_sum(list_transform(embedding, lambda x, i: floor(CAST(x AS DOUBLE) * 1000000 + 0.5) / 1000000 * i)), 5) AS mark FROM embeddings""",
 )
 def fixture_rows(spark, d):
-    """Vectors as exported, six decimals a component, marked by a weighted sum."""
-    rows = store.fixture_rows(vector_cache(spark, d).drop("vec_id"))
+    """Vectors written as JSON lines, six decimals a component, and read again; marked by a weighted sum."""
+    path = work_folder(spark, "fixture")
+    store.export_fixture(vector_cache(spark, d).drop("vec_id"), path)
+    rows = spark.read.schema("content_hash string, model string, embedding array<double>").json(path)
     mark = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return rows.select("content_hash", F.size("embedding").alias("size"), F.round(mark, 5).alias("mark"))
 
@@ -156,11 +158,12 @@ def fixture_rows(spark, d):
     "SELECT sha256(CAST(vec_id AS VARCHAR)) AS content_hash, CASE WHEN vec_id % 3 = 0 THEN 'm' ELSE 'fixture' END AS model FROM embeddings",
 )
 def fixture_import(spark, d):
-    """A third of the keys is cached; the fixture adds the others and overwrites none."""
+    """A third of the keys is cached; the fixture's file adds the others and overwrites none, a missing file adds nothing."""
     rows = vector_cache(spark, d)
-    cache = rows.filter("vec_id % 3 = 0").drop("vec_id")
-    fixture = rows.drop("vec_id").withColumn("model", F.lit("fixture"))
-    return store.insert_if_absent(cache, fixture, "content_hash").select("content_hash", "model")
+    path = work_folder(spark, "fixture")
+    store.export_fixture(rows.drop("vec_id").withColumn("model", F.lit("fixture")), path)
+    cache = store.import_fixture(rows.filter("vec_id % 3 = 0").drop("vec_id"), f"{path}-missing")
+    return store.import_fixture(cache, path).select("content_hash", "model")
 
 
 @query(

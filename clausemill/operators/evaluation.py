@@ -212,6 +212,14 @@ def set_scores(expected: DataFrame, found: DataFrame, documents: DataFrame) -> D
     )
 
 
+def set_differences(expected: DataFrame, found: DataFrame, documents: DataFrame) -> DataFrame:
+    """``(doc_id, category, difference)``: what was ``missed`` and what is ``extra`` in ``documents(doc_id)``."""
+    keys = ["doc_id", "category"]
+    want, got = (x.select(*keys).distinct().join(documents.select("doc_id"), "doc_id", "left_semi") for x in (expected, found))
+    missed = want.join(got, keys, "left_anti").withColumn("difference", F.lit("missed"))
+    return missed.unionByName(got.join(want, keys, "left_anti").withColumn("difference", F.lit("extra")))
+
+
 def macro_scores(per_document: DataFrame) -> DataFrame:
     return per_document.agg(mean(F.col("precision")).alias("precision"), mean(F.col("recall")).alias("recall"))
 

@@ -6,6 +6,7 @@ document row is the sign that all of its load's chunks are there; readers take c
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,11 +134,12 @@ def export_fixture(cache: DataFrame, path: str) -> None:
 
 def import_fixture(cache: DataFrame, path: str) -> DataFrame:
     """Cache plus fixture rows whose key is absent; a missing file adds nothing."""
-    spark = cache.sparkSession
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path):
+    try:
+        rows = cache.sparkSession.read.schema(schemas.EMBEDDING_CACHE).json(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return cache
-    rows = spark.read.schema(schemas.EMBEDDING_CACHE).json(path)
     return insert_if_absent(cache, rows, "content_hash")
 
 
