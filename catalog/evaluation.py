@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import patterns as P
 from clausemill.operators import evaluation, golden
 from clausemill.plans import evaluate
+from clausemill.session import work_folder
 
 from . import inputs as I
 from .chunks import chunks_sql
@@ -314,12 +315,24 @@ def failed_thresholds(spark, d):
     return evaluation.failed_thresholds(metrics(spark, d)).withColumn("value", F.round("value", 6))
 
 
+RUN = {"subset": "full", "embeddings": "feature-hash", "dimensions": "64", "top-k": "8"}
+
+
 @query(
     "report_rows_e14",
-    "WITH " + _METRICS + ", " + _LIMITS + """ SELECT metric, '| ' || metric || ' | ' || printf('%.1f', floor(value * 1000 + 0.5) / 10) || '% | ' || coalesce(printf('%.1f', threshold * 100) || '%', '–') || ' |' AS line FROM m LEFT JOIN t USING (metric)""",
+    "WITH " + _METRICS + ", " + _LIMITS + """ SELECT metric, round(value, 9) AS value, '| ' || metric || ' | ' || printf('%.1f', floor(value * 1000 + 0.5) / 10) || '% | ' || coalesce(printf('%.1f', threshold * 100) || '%', '–') || ' |' AS line,
+      'subset full · embeddings feature-hash · dimensions 64 · top-k 8' AS run FROM m LEFT JOIN t USING (metric)""",
 )
 def report_rows(spark, d):
-    return evaluation.report_rows(metrics(spark, d))
+    """The report written as JSON and Markdown and read again: values and run from the one, lines from the other."""
+    folder = work_folder(spark, "report")
+    evaluation.write_report(metrics(spark, d), folder, RUN)
+    told = F.concat_ws(" · ", *[F.concat(F.lit(k + " "), F.col("run").getField(k)) for k in RUN])
+    kind = "struct<" + ", ".join(f"`{k}`: string" for k in RUN) + ">"
+    values = spark.read.schema(f"metric string, value double, threshold double, run {kind}").json(f"{folder}/json")
+    lines = spark.read.text(f"{folder}/markdown").filter("value LIKE '| %' AND value NOT LIKE '| metric |%'").withColumnRenamed("value", "line")
+    lines = lines.withColumn("metric", F.trim(F.split_part("line", F.lit("|"), F.lit(2))))
+    return values.join(lines, "metric").select("metric", F.round("value", 9).alias("value"), "line", told.alias("run"))
 
 
 @query(

@@ -238,11 +238,15 @@ def report_rows(metrics: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     return metrics.select("metric", line.alias("line"))
 
 
-def write_report(metrics: DataFrame, folder: str, thresholds=THRESHOLDS) -> None:
-    """Metrics as JSON and as a Markdown table (a handful of rows, so one file each)."""
+def write_report(metrics: DataFrame, folder: str, run: dict[str, str] | None = None, thresholds=THRESHOLDS) -> None:
+    """Metrics as JSON and as a Markdown table (a handful of rows, so one file each), with what the run was: its subset,
+    models, dimensions, top-k, time and seconds, as ``run`` names them."""
+    run = run or {}
     threshold = F.create_map(*[x for k, v in thresholds.items() for x in (F.lit(k), F.lit(v))])[F.col("metric")]
-    metrics.withColumn("threshold", threshold).coalesce(1).write.mode("overwrite").json(f"{folder}/json")
-    head = "# Evaluation report\n\n| metric | value | threshold |\n|---|---|---|\n"
+    told = F.struct(*[F.lit(v).alias(k) for k, v in run.items()]) if run else F.lit(None).cast("string")
+    metrics.withColumns({"threshold": threshold, "run": told}).coalesce(1).write.mode("overwrite").json(f"{folder}/json")
+    shown = " · ".join(f"{k} {v}" for k, v in run.items())
+    head = "# Evaluation report\n\n" + (f"Run: {shown}\n\n" if run else "") + "| metric | value | threshold |\n|---|---|---|\n"
     body = F.array_join(F.array_sort(F.collect_list("line")), "\n")
     report_rows(metrics, thresholds).agg(F.concat(F.lit(head), body).alias("value")).write.mode("overwrite").text(
         f"{folder}/markdown"
