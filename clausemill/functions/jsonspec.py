@@ -135,3 +135,35 @@ def array_structs(node: str, name: str, spec: Spec) -> str:
 def struct_type(spec: Spec) -> str:
     fields = (f"{n}:{SQL_TYPE['string' if isinstance(w, tuple) else w]}" for n, w in spec.items())
     return "struct<" + ",".join(fields) + ">"
+
+
+#: JSON types, as a variant's schema names them, of a member that fits without a further look.
+FITTING = {
+    "string": "STRING", "number": "(BIGINT|DOUBLE|DECIMAL\\([0-9]+,[0-9]+\\))", "int": "BIGINT", "bool": "BOOLEAN",
+    "confidence": "(BIGINT|DOUBLE|DECIMAL\\([0-9]+,[0-9]+\\))", "strings": "ARRAY<(STRING|VOID)>",
+}
+
+
+def quick_object(node: str, name: str, spec: Spec) -> str:
+    """The typed struct of an object whose schema shows that it fits, read in one step; null where it must be looked at closer.
+
+    An object with further members, or with a number that may not be whole where one is wanted, is one of those.
+    """
+
+    def shape(want) -> str:
+        base = "string" if isinstance(want, tuple) else want.rstrip("?")
+        return f"({FITTING[base]}|VOID)" if isinstance(want, str) and want.endswith("?") else FITTING[base]
+
+    # members are in the order of their names
+    pattern = "^OBJECT<" + ", ".join(f"{n}: {shape(spec[n])}" for n in sorted(spec)) + ">$"
+    checks = [f"v.{n} BETWEEN 0 AND 1" for n, w in spec.items() if w == "confidence"]
+    checks += [f"v.{n} IN ({', '.join(map(quoted, w))})" for n, w in spec.items() if isinstance(w, tuple)]
+    checks += [f"forall(v.{n}, t -> t IS NOT NULL)" for n, w in spec.items() if w == "strings"]
+    typed = let(f"try_variant_get({node}, '$.{name}', '{struct_type(spec)}')", "v", f"CASE WHEN {' AND '.join(checks) or 'true'} THEN v END")
+    return f"CASE WHEN schema_of_variant({member(node, name)}) RLIKE {quoted(pattern)} THEN {typed} END"
+
+
+def quick_array(node: str, name: str, spec: Spec) -> str:
+    """The empty typed array of an empty one; null for all others."""
+    typed = f"try_variant_get({node}, '$.{name}', 'array<variant>')"
+    return f"CASE WHEN size({typed}) = 0 THEN CAST(array() AS array<{struct_type(spec)}>) END"

@@ -47,6 +47,13 @@ def _field_value(name: str, spec) -> str:
     return J.object_struct(J.member("_root", name), spec)
 
 
+def _quick(name: str, spec) -> str:
+    """The field's value where one look at its schema shows that it fits."""
+    if isinstance(spec, list):
+        return J.quick_array("_root", name, spec[0])
+    return J.quick_object("_root", name, spec)
+
+
 def _absent(spec) -> str:
     """The not-found default of a field."""
     if isinstance(spec, list):
@@ -62,15 +69,18 @@ def parse_output(responses: DataFrame, spec: dict, raw: str = "raw") -> DataFram
     """Strict parse: one typed column per field plus ``issues`` (``path: message``) and ``valid``.
 
     A field that fails on its own is replaced by its not-found default, so one malformed fee does not
-    discard the other fields; ``valid`` tells a clean response from a salvaged one.
+    discard the other fields; ``valid`` tells a clean response from a salvaged one. A field whose schema shows that it fits is
+    read in one step; the rules that name what is wrong run only for the others.
     """
     keep = responses.columns
     df = responses.selectExpr("*", f"{J.parse(raw)} AS _root")
-    df = df.selectExpr("*", f"{J.kind('_root')} AS _kind", *[f"{_field_issues(n, f)} AS _i_{n}" for n, f in spec.items()])
+    df = settle(df.selectExpr("*", f"{J.kind('_root')} AS _kind", *[f"{_quick(n, f)} AS _q_{n}" for n, f in spec.items()]), ["_kind", *[f"_q_{n}" for n in spec]])
+    nothing = "CAST(array() AS array<string>)"
+    df = df.selectExpr("*", *[f"CASE WHEN _q_{n} IS NOT NULL THEN {nothing} ELSE {_field_issues(n, f)} END AS _i_{n}" for n, f in spec.items()])
     every = ", ".join(f"_i_{n}" for n in spec)
     wrong = f"array({J.expected(repr(''), 'object', '_kind')})"
     fields = [
-        f"CASE WHEN _kind = 'object' AND size(_i_{n}) = 0 THEN {_field_value(n, f)} ELSE {_absent(f)} END AS {n}"
+        f"CASE WHEN _q_{n} IS NOT NULL THEN _q_{n} WHEN _kind = 'object' AND size(_i_{n}) = 0 THEN {_field_value(n, f)} ELSE {_absent(f)} END AS {n}"
         for n, f in spec.items()
     ]
     issues = f"CASE WHEN _kind = 'object' THEN concat({every}) ELSE {wrong} END AS issues"
