@@ -122,11 +122,13 @@ class Similarity:
     ``short`` is the form in which items travel to their partners. On this form ``likely`` is true for all similar pairs and
     ``sure`` only for similar ones; ``exact`` decides on the items themselves and is asked where the two differ. ``sizes``
     tells from two items' sizes whether they can be similar at all, ``prefix`` how many members of an item of a size are
-    enough to share one with every similar item.
+    enough to share one with every similar item, and ``enough`` whether two items of given sizes can be similar with so many
+    members in common.
     """
 
     sizes: Callable[[Column, Column], Column]
     prefix: Callable[[Column], Column]
+    enough: Callable[[Column, Column, Column], Column]
 
     short: Callable[[Column], Column]
     likely: Callable[[Column, Column], Column]
@@ -176,16 +178,19 @@ def _rare_pairs(crowded: DataFrame, items: DataFrame, similarity: Similarity) ->
     """The pairs ``a``, ``b`` of ``crowded`` keys (``key``, ``label``, ``size``) that may be similar, by their rarest members.
 
     With all sets in one order, two similar ones share a member among the first ``prefix`` of each. The order is by how many
-    of these sets hold a member, rarest first, so that what very many have in common brings no pair together.
+    of these sets hold a member, rarest first, so that what very many have in common brings no pair together early. From
+    the first member that two sets share, all others they share come later in both: where too few are left, the pair is out.
     """
     each = items.join(crowded.select("key"), "key").select("key", F.explode("item").alias("member"))
     counts = each.groupBy("member").agg(F.count(F.lit(1)).alias("sets"))
     ordered = each.join(counts, "member").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("sets", "member"))).alias("members"))
-    first = ordered.join(crowded, "key").select("key", "label", "size", F.explode(F.slice("members", F.lit(1), similarity.prefix(F.col("size")))).alias("m"))
-    held = written(first.filter("m.sets > 1").select("key", "label", "size", "m.member"))
-    left, right = (held.select(*[F.col(x).alias(f"{side}_{x}") for x in ("member", "key", "label", "size")]) for side in "ab")
+    begin = F.slice("members", F.lit(1), similarity.prefix(F.col("size")))
+    first = ordered.join(crowded, "key").select("key", "label", "size", F.posexplode(begin).alias("at", "m"))
+    held = written(first.filter("m.sets > 1").select("key", "label", "size", (F.col("size") - F.col("at")).alias("left"), "m.member"))
+    left, right = (held.select(*[F.col(x).alias(f"{side}_{x}") for x in ("member", "key", "label", "size", "left")]) for side in "ab")
     apart = (F.col("a_member") == F.col("b_member")) & (F.col("a_label") < F.col("b_label")) & similarity.sizes(F.col("a_size"), F.col("b_size"))
-    return left.join(right, apart).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    common = similarity.enough(F.least("a_left", "b_left"), F.col("a_size"), F.col("b_size"))
+    return left.join(right, apart & common).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
 
 
 def _similar(pairs: DataFrame, short: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
@@ -229,6 +234,7 @@ def overlap_of_sets(percent: int) -> Similarity:
     return Similarity(
         sizes=sizes,
         prefix=lambda n: (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int"),
+        enough=lambda common, a, b: (100 + percent) * common >= percent * (a + b),
         short=lambda s: F.transform(s, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")),
         likely=lambda a, b: margin(a, b) >= -doubt(a, b),
         sure=lambda a, b: margin(a, b) >= doubt(a, b),
