@@ -124,8 +124,12 @@ def display_values(costed: DataFrame) -> DataFrame:
 
 
 def comparison_table(pairs: DataFrame, costed: DataFrame) -> DataFrame:
-    """``(pair_id, row_no, aspect, left, right)``: the sides meet as one row each and unfold afterwards."""
-    values = display_values(costed)
+    """``(pair_id, row_no, aspect, left, right)``: the sides meet as one row each and unfold afterwards.
+
+    The sides are shuffled: their thirteen texts are many times the bytes of the files they come from, by which Spark
+    would take a side for small enough to send it whole through the driver.
+    """
+    values = display_values(costed).hint("merge")
     left = values.select(F.col("doc_id").alias("left_id"), F.col("shown").alias("left"))
     right = values.select(F.col("doc_id").alias("right_id"), F.col("shown").alias("right"))
     joined = pairs.join(left, "left_id").join(right, "right_id")
