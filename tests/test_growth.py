@@ -1,3 +1,5 @@
+import pytest
+
 from catalog import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -7,3 +9,12 @@ def test_sides_of_a_comparison_are_not_sent_whole(spark, capsys):
     """The sides' texts are many times the bytes of the files they come from, which Spark took for small."""
     QUERIES["comparison_table_o4"](spark, FOLDER).explain()
     assert "BroadcastExchange" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("name", ["streamed_documents_t1", "streamed_embeddings_t2"])
+def test_streams_read_a_table_in_several_files(spark, tmp_path, name):
+    rows = [(i, "A first line of text.\nA second line of the same text, long enough for a page.") for i in range(9)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    held = QUERIES[name](spark, f"{tmp_path}/folder")
+    assert sorted(r["doc_id"] for r in held.select("doc_id").collect()) == list(range(9))
