@@ -242,7 +242,7 @@ _TOOL = "CASE loan_id % 7 WHEN 0 THEN 'calculate_emi' WHEN 1 THEN 'calculate_tot
 def calculator_calls(spark, d):
     """Calls of every tool written as JSON, some with bad arguments; one figure of each result."""
     rows = table(spark, d, "orders").selectExpr(*LOAN_FIELDS, "CAST(CAST(o_totalprice AS DECIMAL(18, 2)) AS STRING) AS p")
-    calls = store.spread(rows, "loan_id").selectExpr("loan_id AS call_id", f"{_TOOL} AS name", f"{_ARGS} AS args")
+    calls = store.spread(rows, "loan_id", store.UNFOLDED).selectExpr("loan_id AS call_id", f"{_TOOL} AS name", f"{_ARGS} AS args")
     done = calculator.run_tools(calls)
     result = F.col("result")
     value = F.coalesce(result["netDisbursal"], result["emi"], result["total"], result["result"], result["totalInterest"])

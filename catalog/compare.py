@@ -115,7 +115,7 @@ _NARRATIVE = """concat('{"summary":', CASE WHEN k % 6 = 0 THEN 'null' ELSE '"A i
       CASE WHEN o_orderkey % 6 = 0 OR o_orderkey % 4 = 0 THEN 'LLM_BAD_RESPONSE' END AS error FROM orders""",
 )
 def narratives(spark, d):
-    rows = store.spread(table(spark, d, "orders").selectExpr("o_orderkey AS k"), "k")
+    rows = store.spread(table(spark, d, "orders").selectExpr("o_orderkey AS k"), "k", store.UNFOLDED)
     parsed = compare.parse_narratives(rows.selectExpr("k AS pair_id", f"{_NARRATIVE} AS raw"))
     count = F.when(F.col("differences").isNotNull(), F.size("differences"))
     return parsed.select("pair_id", "summary", count.alias("differences"), "error")

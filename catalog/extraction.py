@@ -28,7 +28,7 @@ LOAN_JSON = """CASE WHEN k % 19 = 0 THEN 'garbage' WHEN k % 23 = 0 THEN 'null' E
 
 def loan_responses(spark, d):
     rows = table(spark, d, "orders").selectExpr("o_orderkey AS k", "CAST(o_totalprice AS DECIMAL(18, 2)) AS price")
-    return store.spread(rows, "k").selectExpr("k AS doc_id", f"{LOAN_JSON} AS raw")
+    return store.spread(rows, "k", store.UNFOLDED).selectExpr("k AS doc_id", f"{LOAN_JSON} AS raw")
 
 
 def parsed_loans(spark, d):
@@ -158,7 +158,7 @@ CONTRACT_JSON = (
 
 def parsed_contracts(spark, d):
     rows = table(spark, d, "customer").selectExpr("c_custkey AS k", "c_mktsegment AS segment")
-    responses = store.spread(rows, "k").selectExpr("k AS doc_id", f"{CONTRACT_JSON} AS raw")
+    responses = store.spread(rows, "k", store.UNFOLDED).selectExpr("k AS doc_id", f"{CONTRACT_JSON} AS raw")
     return extraction.parse_output(responses, extraction.CONTRACT)
 
 
@@ -194,7 +194,7 @@ OUTLINE_JSON = """concat('{"title":"', name, '","summary":', CASE WHEN k % 8 = 0
 def outlines(spark, d):
     """Outlines of one to twenty-three sections; too many sections or a wrong summary is an error row."""
     rows = table(spark, d, "part").selectExpr("p_partkey AS k", "p_name AS name")
-    parsed = extraction.parse_outlines(store.spread(rows, "k").selectExpr("k AS doc_id", f"{OUTLINE_JSON} AS raw"))
+    parsed = extraction.parse_outlines(store.spread(rows, "k", store.UNFOLDED).selectExpr("k AS doc_id", f"{OUTLINE_JSON} AS raw"))
     cited = extraction.resolve_outline(parsed, passages(spark, d, "part", "p_partkey"))
     good = cited.select("doc_id", "section_no", "heading", "page", F.lit(None).cast("string").alias("error"))
     bad = parsed.filter("error IS NOT NULL").select("doc_id", "error")

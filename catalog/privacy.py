@@ -16,7 +16,7 @@ EMAIL_SQL = P.EMAIL
 
 
 def notes(spark, d):
-    return store.spread(I.kyc(spark, d), "page")
+    return I.kyc(spark, d)
 
 
 def exploded(df, column):

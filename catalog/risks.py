@@ -87,7 +87,7 @@ _PICKS = ("o_orderkey % 25", "(o_orderkey * 7 + 3) % 25", "(o_orderkey * 11 + o_
 
 def clauses(spark, d):
     """Orders as clauses of their customer's agreement."""
-    orders = store.spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    orders = store.spread(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", store.UNFOLDED)
     sentences = F.array(*[F.lit(x) for x in SENTENCES])
     text = F.concat_ws(" ", *[F.get(sentences, F.expr(p).cast("int")) for p in _PICKS])
     kind = F.expr(_KIND.replace("doc_id", "o_custkey"))

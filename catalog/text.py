@@ -119,7 +119,7 @@ def agreement_kind(spark, d):
         ),
         " ",
     )
-    orders = store.spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+    orders = store.spread(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", store.UNFOLDED)
     docs = orders.select(key.alias("doc_id"), text.alias("content"))
     return classify.classify_chunks(docs).select("doc_id", "kind", F.col("loan_signals").cast("bigint").alias("loan_signals"))
 

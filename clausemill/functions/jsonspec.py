@@ -144,26 +144,41 @@ FITTING = {
 }
 
 
+def _shape(spec: Spec) -> str:
+    """What the schema of an object looks like that fits; its members are in the order of their names."""
+
+    def member_type(want) -> str:
+        base = "string" if isinstance(want, tuple) else want.rstrip("?")
+        return f"({FITTING[base]}|VOID)" if isinstance(want, str) and want.endswith("?") else FITTING[base]
+
+    return "^OBJECT<" + ", ".join(f"{n}: {member_type(spec[n])}" for n in sorted(spec)) + ">$"
+
+
+def _in_range(v: str, spec: Spec) -> str:
+    """What the schema does not tell of the typed struct ``v``."""
+    checks = [f"{v}.{n} BETWEEN 0 AND 1" for n, w in spec.items() if w == "confidence"]
+    checks += [f"{v}.{n} IN ({', '.join(map(quoted, w))})" for n, w in spec.items() if isinstance(w, tuple)]
+    checks += [f"forall({v}.{n}, t -> t IS NOT NULL)" for n, w in spec.items() if w == "strings"]
+    return " AND ".join(checks) or "true"
+
+
 def quick_object(node: str, name: str, spec: Spec) -> str:
     """The typed struct of an object whose schema shows that it fits, read in one step; null where it must be looked at closer.
 
     An object with further members, or with a number that may not be whole where one is wanted, is one of those.
     """
-
-    def shape(want) -> str:
-        base = "string" if isinstance(want, tuple) else want.rstrip("?")
-        return f"({FITTING[base]}|VOID)" if isinstance(want, str) and want.endswith("?") else FITTING[base]
-
-    # members are in the order of their names
-    pattern = "^OBJECT<" + ", ".join(f"{n}: {shape(spec[n])}" for n in sorted(spec)) + ">$"
-    checks = [f"v.{n} BETWEEN 0 AND 1" for n, w in spec.items() if w == "confidence"]
-    checks += [f"v.{n} IN ({', '.join(map(quoted, w))})" for n, w in spec.items() if isinstance(w, tuple)]
-    checks += [f"forall(v.{n}, t -> t IS NOT NULL)" for n, w in spec.items() if w == "strings"]
-    typed = let(f"try_variant_get({node}, '$.{name}', '{struct_type(spec)}')", "v", f"CASE WHEN {' AND '.join(checks) or 'true'} THEN v END")
-    return f"CASE WHEN schema_of_variant({member(node, name)}) RLIKE {quoted(pattern)} THEN {typed} END"
+    typed = let(f"try_variant_get({node}, '$.{name}', '{struct_type(spec)}')", "v", f"CASE WHEN {_in_range('v', spec)} THEN v END")
+    return f"CASE WHEN schema_of_variant({member(node, name)}) RLIKE {quoted(_shape(spec))} THEN {typed} END"
 
 
 def quick_array(node: str, name: str, spec: Spec) -> str:
-    """The empty typed array of an empty one; null for all others."""
-    typed = f"try_variant_get({node}, '$.{name}', 'array<variant>')"
-    return f"CASE WHEN size({typed}) = 0 THEN CAST(array() AS array<{struct_type(spec)}>) END"
+    """The typed array where the schema of every item shows that it fits; null where they must be looked at closer.
+
+    The schema of the array itself would not do: it holds the members of all items, also of those that lack some.
+    """
+    fits = f"forall({value(node, name, 'array<variant>')}, e -> coalesce(schema_of_variant(e) RLIKE {quoted(_shape(spec))}, false))"
+    typed = let(
+        f"try_variant_get({node}, '$.{name}', 'array<{struct_type(spec)}>')", "v",
+        f"CASE WHEN forall(v, e -> {_in_range('e', spec)}) THEN v END",
+    )
+    return f"CASE WHEN {fits} THEN {typed} END"

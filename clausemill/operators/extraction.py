@@ -74,7 +74,9 @@ def parse_output(responses: DataFrame, spec: dict, raw: str = "raw") -> DataFram
     """
     keep = responses.columns
     df = responses.selectExpr("*", f"{J.parse(raw)} AS _root")
-    df = settle(df.selectExpr("*", f"{J.kind('_root')} AS _kind", *[f"{_quick(n, f)} AS _q_{n}" for n, f in spec.items()]), ["_kind", *[f"_q_{n}" for n in spec]])
+    df = settle(df.selectExpr("*", *[f"{_quick(n, f)} AS _q_{n}" for n, f in spec.items()]), [f"_q_{n}" for n in spec])
+    fits = " OR ".join(f"_q_{n} IS NOT NULL" for n in spec)
+    df = settle(df.selectExpr("*", f"CASE WHEN {fits} THEN 'object' ELSE {J.kind('_root')} END AS _kind"), ["_kind"])
     nothing = "CAST(array() AS array<string>)"
     df = df.selectExpr("*", *[f"CASE WHEN _q_{n} IS NOT NULL THEN {nothing} ELSE {_field_issues(n, f)} END AS _i_{n}" for n, f in spec.items()])
     every = ", ".join(f"_i_{n}" for n in spec)

@@ -39,8 +39,7 @@ def spans(text: str, pattern: str, kind: str, group: int = 0) -> str:
         f"aggregate({item}, named_struct('pos', 0, 'found', {NO_SPANS}), "
         f"(a, i) -> named_struct('pos', a.pos + i.advance, 'found', concat(a.found, array({one}))), a -> a.found)"
     )
-    found = J.let(f"regexp_extract_all({text}, {p}, 0)", "hits", walk)
-    return f"CASE WHEN {text} RLIKE {p} THEN {found} ELSE {NO_SPANS} END"
+    return J.let(f"regexp_extract_all({text}, {p}, 0)", "hits", f"CASE WHEN size(hits) > 0 THEN {walk} ELSE {NO_SPANS} END")
 
 
 def digits_of(value: Column) -> Column:
@@ -53,7 +52,7 @@ def identifier_candidates(text: str) -> dict[str, str]:
     before = f"substr({text}, greatest(x.start - 8, 0) + 1, x.start - greatest(x.start - 8, 0))"
     valid = J.let(digits, "n", valid_sql("n"))
     return {
-        "EMAIL": spans(text, P.EMAIL, "EMAIL"),
+        "EMAIL": spans(text, P.EMAIL_SEARCH, "EMAIL"),
         "PAN": spans(text, P.PAN, "PAN"),
         "IFSC": spans(text, P.IFSC, "IFSC"),
         "AADHAAR": f"filter({spans(text, P.AADHAAR, 'AADHAAR')}, x -> {valid})",
@@ -66,7 +65,7 @@ def resolve_overlaps(candidates: str) -> str:
     """SQL text: earliest, then longest, then detector order; later spans that start inside a kept one go."""
     order = ", ".join(f"'{t}'" for t in TYPES)
     ranked = (
-        f"array_sort(transform({candidates}, x -> named_struct('start', x.start, 'neg_end', -x.`end`, "
+        f"sort_array(transform({candidates}, x -> named_struct('start', x.start, 'neg_end', -x.`end`, "
         f"'ord', array_position(array({order}), x.type), 'span', x)))"
     )
     return (

@@ -1,6 +1,14 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from catalog import QUERIES
+from catalog import extraction as loans
+from clausemill.functions import jsonspec as J
+from clausemill.functions import patterns as P
+from clausemill.operators import extraction, privacy
+from clausemill.sources import store
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,3 +26,35 @@ def test_streams_read_a_table_in_several_files(spark, tmp_path, name):
     rows.repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
     held = QUERIES[name](spark, f"{tmp_path}/folder")
     assert sorted(r["doc_id"] for r in held.select("doc_id").collect()) == list(range(9))
+
+
+def test_short_rows_are_unfolded_in_many_tasks(spark):
+    rows = spark.range(0, 1000, 1, 9).withColumnRenamed("id", "k")
+    assert store.spread(rows, "k").rdd.getNumPartitions() == 9
+    assert store.spread(rows, "k", store.UNFOLDED).rdd.getNumPartitions() == 9 * store.UNFOLDED
+    assert loans.loan_responses(spark, FOLDER).rdd.getNumPartitions() >= store.UNFOLDED
+
+
+def test_mail_search_finds_the_same(spark):
+    texts = [
+        "a@b.com.x@y.org", "a@@b.com", "x.y+z@a-b.co.in, a@b.c1@d.com", "@a.com", "a@b", "a" * 300, "", "ab@c.de" * 5, "é.a@b.com",
+        "a@b.com c@d.org\ne@f.net", "a@b..com", "%@-.aa_%@-.bb", "a@b.comc@d.com@e.org",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = rows.select("text", F.expr(privacy.identifier_candidates("text")["EMAIL"]).alias("s")).collect()
+    for r in found:
+        assert [(s["start"], s["end"], s["value"]) for s in r["s"]] == [(*m.span(), m[0]) for m in re.finditer(P.EMAIL, r["text"])]
+
+
+FEE = '{"amount":%s,"percent":%s,"description":null,"ref":1,"confidence":%s}'
+
+
+def test_fitting_items_are_read_in_one_step(spark):
+    two = f"[{FEE % (100, 'null', 1)},{FEE % ('null', 0.5, 0.5)}]"
+    lists = {
+        two: 2, "[]": 0, f"[{FEE % (1, 2, 2)}]": None, f'[{FEE % (1, 2, 1)},{{"amount":1}}]': None, "[null]": None, '"x"': None,
+        f"[{FEE % (1, 2, 1)},3]": None, f"[{FEE % ('true', 2, 1)}]": None, "null": None,
+    }
+    rows = spark.createDataFrame([(f'{{"f":{x}}}', n) for x, n in lists.items()], "raw string, n int")
+    quick = rows.selectExpr("n", f"{J.parse('raw')} AS _root").selectExpr("n", f"size({J.quick_array('_root', 'f', extraction.FEE)}) AS got")
+    assert all(r["n"] == r["got"] for r in quick.collect())
