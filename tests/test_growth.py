@@ -58,3 +58,10 @@ def test_fitting_items_are_read_in_one_step(spark):
     rows = spark.createDataFrame([(f'{{"f":{x}}}', n) for x, n in lists.items()], "raw string, n int")
     quick = rows.selectExpr("n", f"{J.parse('raw')} AS _root").selectExpr("n", f"size({J.quick_array('_root', 'f', extraction.FEE)}) AS got")
     assert all(r["n"] == r["got"] for r in quick.collect())
+
+
+def test_recall_is_counted_over_the_chunks_of_all_documents(spark):
+    [r] = QUERIES["approximate_recall_r6"](spark, FOLDER).collect()
+    chunks = QUERIES["chunks_c5"](spark, FOLDER).groupBy("doc_id").count()
+    assert r["expected"] == 8 * chunks.selectExpr("sum(least(count, 5)) AS n").first()["n"]
+    assert 0 < r["found"] <= r["expected"] and r["recall"] == r["found"] / r["expected"]
