@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from clausemill.functions import patterns as P
 from clausemill.functions.checkdigit import verhoeff_digit, verhoeff_valid
 from clausemill.operators import privacy
-from clausemill.sources import store
+from clausemill.session import cut_lineage
 
 from . import inputs as I
 from .registry import query, table
@@ -208,8 +208,8 @@ def unmasked(spark, d):
     SELECT doc_id, string_agg(CAST(n AS VARCHAR) || ' ' || t || CASE WHEN n > 1 THEN 's' ELSE '' END, ', ' ORDER BY pos) AS summary FROM per GROUP BY doc_id""",
 )
 def map_summaries(spark, d):
-    """Map entries stand in the order their placeholders were issued."""
-    found = privacy.explode_spans(notes(spark, d), ["doc_id"], "page")
+    """Map entries stand in the order their placeholders were issued; notes are searched once."""
+    found = cut_lineage(privacy.explode_spans(notes(spark, d), ["doc_id"], "page").drop("end"))
     numbered = privacy.number_placeholders(found, ["doc_id"], "page")
     first = found.groupBy("doc_id", "type", "key").agg(F.min(F.col("page") * 1000 + F.col("start")).alias("seed_pos"))
     return privacy.map_summary(numbered.join(first, ["doc_id", "type", "key"]), ["doc_id"])

@@ -65,3 +65,8 @@ def test_recall_is_counted_over_the_chunks_of_all_documents(spark):
     chunks = QUERIES["chunks_c5"](spark, FOLDER).groupBy("doc_id").count()
     assert r["expected"] == 8 * chunks.selectExpr("sum(least(count, 5)) AS n").first()["n"]
     assert 0 < r["found"] <= r["expected"] and r["recall"] == r["found"] / r["expected"]
+
+
+def test_summaries_search_notes_once(spark, capsys):
+    QUERIES["map_summaries_m16"](spark, FOLDER).explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out
