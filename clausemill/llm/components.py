@@ -10,36 +10,23 @@ from pyspark.sql import functions as F
 
 from clausemill.session import work_folder
 
+#: Members of a bucket that all its members are tested against first.
+CENTRES = 2
 #: Members of a bucket that are compared pair by pair.
 PAIRED = 64
+#: Lists in which the keys that hold a member are gathered.
+PARTS = 256
+#: Numbers of 64 bits in the sketch of a set.
+SKETCH_WORDS = 8
 #: Edges (two numbers each) that one task handles.
 EDGES_PER_TASK = 1 << 18
 
 
-class Written:
-    """Tables written to the shared folder and read again, which cuts their lineage; ``forget`` empties those that are no
-    longer read, so that a loop holds two rounds of it."""
-
-    def __init__(self):
-        self.folders: list[tuple[str, DataFrame]] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        folder = work_folder(df.sparkSession, "links")
-        df.write.parquet(folder)
-        out = df.sparkSession.read.schema(df.schema).parquet(folder)
-        self.folders.append((folder, out))
-        return out
-
-    def forget(self, keep: int = 0) -> None:
-        """Empty all tables but the latest ``keep``."""
-        last = len(self.folders) - keep
-        for folder, df in self.folders[:last]:
-            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(folder)
-        del self.folders[:last]
-
-
-def written(df: DataFrame) -> DataFrame:
-    return Written()(df)
+def written(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder (a new one, or ``folder`` in place of what is there) and read again, which cuts its lineage."""
+    folder = folder or work_folder(df.sparkSession, "links")
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -47,10 +34,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes: each node is re-linked to the smallest node next to
     it. Minima combine before they are shuffled and every step is joins of plain edges, so a node with very many
-    neighbours is never gathered. Each round is written to the shared folder, and rounds that are no longer read are emptied.
+    neighbours is never gathered. The rounds are written to two folders in turn, so that each replaces one that is no longer read.
     """
-    rounds = Written()
-    pairs = rounds(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    folder, other = (work_folder(edges.sparkSession, "links") for _ in range(2))
+    pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), folder)
     before, size = None, pairs.count()
     while True:
         pairs = pairs.coalesce(_tasks(size))
@@ -60,8 +47,8 @@ def connected(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(lowest, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        pairs = rounds(small.filter("u <> v").distinct().coalesce(_tasks(size)))
-        rounds.forget(keep=1)
+        folder, other = other, folder
+        pairs = written(small.filter("u <> v").distinct().coalesce(_tasks(size)), folder)
         state = pairs.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s"), F.sum(F.hash("u", "v").cast("long")).alias("h")
         ).first()
@@ -119,124 +106,128 @@ def bucket_members(buckets: DataFrame) -> DataFrame:
 class Similarity:
     """How two items are compared: columns of a pair's items ``a``, ``b``.
 
-    ``short`` is the form in which items travel to their partners. On this form ``likely`` is true for all similar pairs and
-    ``sure`` only for similar ones; ``exact`` decides on the items themselves and is asked where the two differ. ``sizes``
-    tells from two items' sizes whether they can be similar at all, ``prefix`` how many members of an item of a size are
-    enough to share one with every similar item, and ``enough`` whether two items of given sizes can be similar with so many
-    members in common.
+    ``similar`` decides on the items. ``sizes`` tells from two items' sizes whether they can be similar at all, ``prefix`` how
+    many members of an item of a size are enough to share one with every similar item, and ``enough`` whether two items of
+    given sizes can be similar with so many members in common.
     """
 
     sizes: Callable[[Column, Column], Column]
     prefix: Callable[[Column], Column]
     enough: Callable[[Column, Column, Column], Column]
+    similar: Callable[[Column, Column], Column]
 
-    short: Callable[[Column], Column]
-    likely: Callable[[Column, Column], Column]
-    sure: Callable[[Column, Column], Column]
-    exact: Callable[[Column, Column], Column]
 
-
-def link_members(members: DataFrame, items: DataFrame, similarity: Similarity, rounds: int = 2) -> DataFrame:
+def link_members(members: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
     """The components (``node``, ``root``) of all keys that share a bucket and are similar.
 
-    ``members`` has distinct ``bucket``, ``key``, ``size`` rows; ``items`` has a row per key with its ``item``. In each of the
-    ``rounds`` every bucket tests its members against one of them, another in each round; members that are connected by
-    then need no further test. What is left, pairs in one bucket and in different components, meets as plain keys where
-    their sizes allow it, once for all buckets that a pair shares; items join only these pairs. Members of buckets that
-    still hold more than ``PAIRED`` meet by their rarest members instead (:func:`_rare_pairs`), which finds all similar ones.
-    No link is lost, and a large group of copies costs a few rows per member.
+    ``members`` has distinct ``bucket``, ``key``, ``size`` rows; ``items`` has a row per key with its ``item``. Every bucket first
+    tests its members against ``CENTRES`` of them; members that are connected by then need no further test. What is left,
+    pairs in one bucket and in different components, meets as plain keys where their sizes allow it, once for all buckets
+    that a pair shares; items join only these pairs. Members of buckets that still hold more than ``PAIRED`` meet by their
+    rarest members instead (:func:`_rare_members`), which finds all similar ones; what shares such a member is first tested
+    against ``CENTRES`` of its keys too. No link is lost, and a large group of copies costs a few rows per member.
     """
-    short = items.select("key", similarity.short(F.col("item")).alias("item"))
-    roots, links = None, None
-    for turn in range(rounds):
-        labelled = _labelled(members, roots)
-        order = F.xxhash64("key", F.lit(turn)) if turn else F.col("key")
-        centres = (
-            labelled.groupBy("bucket")
-            .agg(F.min(F.struct(order.alias("order"), "key", "label", "size")).alias("c"), F.min("label").alias("low"), F.max("label").alias("high"))
-            .filter("low < high")
-            .select("bucket", F.col("c.key").alias("centre"), F.col("c.label").alias("centre_label"), F.col("c.size").alias("centre_size"))
-        )
-        near = (F.col("label") != F.col("centre_label")) & similarity.sizes(F.col("size"), F.col("centre_size"))
-        pairs = labelled.join(centres, "bucket").filter(near)
-        pairs = pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
-        good = _similar(pairs, short, items, similarity)
-        links = good if links is None else links.unionByName(good)
-        roots = connected(links)
-    labelled = _labelled(members, roots)
+    links = _similar(_centred(members.withColumn("label", F.col("key")), similarity), items, similarity)
+    labelled = _labelled(members, connected(links))
     open_ = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("held")).filter("low < high")
     rest = written(labelled.join(open_.select("bucket", "held"), "bucket"))
-    left, right = (rest.filter(F.col("held") <= PAIRED).select(*[F.col(x).alias(f"{side}_{x}") for x in ("bucket", "key", "label", "size")]) for side in "ab")
+    crowded = written(rest.filter(F.col("held") > PAIRED).select("key", "size", "label").distinct())
+    rest = rest.filter(F.col("held") <= PAIRED).drop("held")
+    pairs = None
+    if not crowded.isEmpty():
+        rare = _rare_members(crowded, items, similarity)
+        links = links.unionByName(_similar(_centred(rare, similarity), items, similarity))
+        roots = connected(links)
+        rest, rare = (_labelled(x.drop("label"), roots) for x in (rest, rare))
+        pairs = _pairs(rare, similarity, _room(similarity))
+    few = _pairs(rest, similarity)
+    pairs = (few if pairs is None else few.unionByName(pairs)).distinct()
+    return connected(links.unionByName(_similar(pairs, items, similarity)))
+
+
+def _centred(buckets: DataFrame, similarity: Similarity) -> DataFrame:
+    """The pairs ``a``, ``b`` of every member of ``buckets`` (``bucket``, ``key``, ``size``, ``label``) and one of ``CENTRES``
+    members of its bucket, if they have different labels and sizes that allow it."""
+    orders = [F.xxhash64("key", F.lit(turn)) if turn else F.col("key") for turn in range(CENTRES)]
+    chosen = [F.min(F.struct(order.alias("order"), "key", "size", "label")).alias(f"c{turn}") for turn, order in enumerate(orders)]
+    centres = buckets.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), *chosen).filter("low < high")
+    centres = centres.select("bucket", F.array(*[f"c{turn}" for turn in range(CENTRES)]).alias("centres"))
+    near = F.filter("centres", lambda c: (c["label"] != F.col("label")) & similarity.sizes(F.col("size"), c["size"]))
+    pairs = buckets.join(centres, "bucket").select("key", F.explode(F.transform(near, lambda c: c["key"])).alias("centre"))
+    return pairs.select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b")).distinct()
+
+
+def _pairs(buckets: DataFrame, similarity: Similarity, more: Column | None = None) -> DataFrame:
+    """The pairs ``a``, ``b`` of members of one bucket with different labels, sizes that allow it, and ``more``."""
+    left, right = (buckets.select(*[F.col(x).alias(f"{side}_{x}") for x in buckets.columns]) for side in "ab")
     apart = (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_label") < F.col("b_label")) & similarity.sizes(F.col("a_size"), F.col("b_size"))
-    pairs = left.join(right, apart).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
-    crowded = written(rest.filter(F.col("held") > PAIRED).select("key", "label", "size").distinct())
-    pairs = pairs.unionByName(_rare_pairs(crowded, items, similarity)).distinct()
-    return connected(links.unionByName(_similar(pairs, short, items, similarity)))
+    met = left.join(right, apart if more is None else apart & more)
+    return met.select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
 
 
-def _rare_pairs(crowded: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
-    """The pairs ``a``, ``b`` of ``crowded`` keys (``key``, ``label``, ``size``) that may be similar, by their rarest members.
+def _rare_members(crowded: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
+    """The rarest members of the sets of ``crowded`` keys (``key``, ``size``, ``label``) as buckets in which all similar ones meet.
 
     With all sets in one order, two similar ones share a member among the first ``prefix`` of each. The order is by how many
-    of these sets hold a member, rarest first, so that what very many have in common brings no pair together early. From
-    the first member that two sets share, all others they share come later in both: where too few are left, the pair is out.
+    of these sets hold a member, rarest first, so that what very many have in common brings no pair together early. A
+    member's count meets ``PARTS`` lists of the keys that hold it, not every key. ``left`` members follow from this one on:
+    from the first that two sets share, all others they share come later in both. ``bits`` is the set's sketch.
     """
     each = items.join(crowded.select("key"), "key").select("key", F.explode("item").alias("member"))
-    counts = each.groupBy("member").agg(F.count(F.lit(1)).alias("sets"))
-    ordered = each.join(counts, "member").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("sets", "member"))).alias("members"))
+    parts = written(each.groupBy("member", F.pmod("key", F.lit(PARTS)).alias("part")).agg(F.collect_list("key").alias("keys")))
+    counts = parts.groupBy("member").agg(F.sum(F.size("keys")).alias("sets"))
+    counted = parts.join(counts, "member").repartition("member", "part").select(F.explode("keys").alias("key"), "sets", "member")
+    ordered = counted.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("sets", "member"))).alias("members"))
+    ordered = ordered.withColumn("bits", _sketch(F.transform("members", lambda m: m["member"])))
     begin = F.slice("members", F.lit(1), similarity.prefix(F.col("size")))
-    first = ordered.join(crowded, "key").select("key", "label", "size", F.posexplode(begin).alias("at", "m"))
-    held = written(first.filter("m.sets > 1").select("key", "label", "size", (F.col("size") - F.col("at")).alias("left"), "m.member"))
-    left, right = (held.select(*[F.col(x).alias(f"{side}_{x}") for x in ("member", "key", "label", "size", "left")]) for side in "ab")
-    apart = (F.col("a_member") == F.col("b_member")) & (F.col("a_label") < F.col("b_label")) & similarity.sizes(F.col("a_size"), F.col("b_size"))
-    common = similarity.enough(F.least("a_left", "b_left"), F.col("a_size"), F.col("b_size"))
-    return left.join(right, apart & common).select(F.least("a_key", "b_key").alias("a"), F.greatest("a_key", "b_key").alias("b"))
+    first = ordered.join(crowded, "key").select("key", "size", "label", "bits", F.posexplode(begin).alias("at", "m")).filter("m.sets > 1")
+    return written(first.select(F.col("m.member").alias("bucket"), "key", "size", "label", (F.col("size") - F.col("at")).alias("left"), "bits"))
 
 
-def _similar(pairs: DataFrame, short: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
-    """The similar ones of the pairs ``a``, ``b`` of keys, written once."""
-    left, right = (short.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
-    a, b = F.col("a_item"), F.col("b_item")
-    judged = pairs.join(left, "a").join(right, "b").filter(similarity.likely(a, b)).select("a", "b", similarity.sure(a, b).alias("sure"))
-    return _decided(written(judged), items, similarity)
+def _sketch(members: Column) -> Column:
+    """Bits that each member of a set of 64-bit hashes flips one of: two sets differ by at least as many members as bits."""
+
+    def word(i):
+        one = F.lit(1).cast("long")
+        return F.aggregate(
+            F.filter(members, lambda x: F.pmod(F.shiftright(x, 6), F.lit(SKETCH_WORDS)) == i), F.lit(0).cast("long"),
+            lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", one, F.pmod(x, F.lit(64)).cast("int"))),
+        )
 
+    return F.struct(*[word(i).alias(f"w{i}") for i in range(SKETCH_WORDS)])
 
-def _decided(judged: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
+
+def _room(similarity: Similarity) -> Column:
+    """Whether two sets that share a rare member can be similar, by the members left in both and by their sketches."""
+    odd = sum((F.bit_count(F.col(f"a_bits.w{i}").bitwiseXOR(F.col(f"b_bits.w{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    a, b = F.col("a_size"), F.col("b_size")
+    return similarity.enough(F.least("a_left", "b_left"), a, b) & similarity.enough((a + b - odd) / 2, a, b)
+
+
+def _similar(pairs: DataFrame, items: DataFrame, similarity: Similarity) -> DataFrame:
+    """The similar ones of the pairs ``a``, ``b`` of keys, written once."""
     left, right = (items.select(F.col("key").alias(side), F.col("item").alias(f"{side}_item")) for side in "ab")
-    doubtful = judged.filter("NOT sure").select("a", "b").join(left, "a").join(right, "b")
-    exact = doubtful.filter(similarity.exact(F.col("a_item"), F.col("b_item"))).select("a", "b")
-    return written(judged.filter("sure").select("a", "b").unionByName(exact))
+    judged = pairs.join(left, "a").join(right, "b").filter(similarity.similar(F.col("a_item"), F.col("b_item")))
+    return written(judged.select("a", "b"))
 
 
-def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return members.withColumn("label", F.col("key"))
+def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
     named = roots.select(F.col("node").alias("key"), "root")
     return members.join(named, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
 
 
 def overlap_of_sets(percent: int) -> Similarity:
-    """Sets of 64-bit hashes whose intersection has at least ``percent`` % of the size of the union.
-
-    They travel as 32-bit hashes, half of their size; pairs within a few elements of the limit, where a chance collision
-    of short hashes could decide, are counted again on the 64-bit hashes.
-    """
-
-    def margin(a, b):
-        return (100 + percent) * F.size(F.array_intersect(a, b)) - percent * (F.size(a) + F.size(b))
-
-    def doubt(a, b):
-        return (100 + percent) * (3 + F.shiftright(F.size(a).cast("long") * F.size(b), 27))
+    """Sets of 64-bit hashes whose intersection has at least ``percent`` % of the size of the union."""
 
     def sizes(a, b):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+    def enough(common, a, b):
+        return (100 + percent) * common >= percent * (a + b)
+
     return Similarity(
         sizes=sizes,
         prefix=lambda n: (n - F.ceil(n * percent / F.lit(100)) + 1).cast("int"),
-        enough=lambda common, a, b: (100 + percent) * common >= percent * (a + b),
-        short=lambda s: F.transform(s, lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int")),
-        likely=lambda a, b: margin(a, b) >= -doubt(a, b),
-        sure=lambda a, b: margin(a, b) >= doubt(a, b),
-        exact=lambda a, b: margin(a, b) >= 0,
+        enough=enough,
+        similar=lambda a, b: enough(F.size(F.array_intersect(a, b)), F.size(a), F.size(b)),
     )
