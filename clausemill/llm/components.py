@@ -15,7 +15,7 @@ CENTRES = 2
 #: Members of a bucket that are compared pair by pair.
 PAIRED = 64
 #: Lists in which the keys that hold a member are gathered.
-PARTS = 256
+PARTS = 64
 #: Numbers of 64 bits in the sketch of a set.
 SKETCH_WORDS = 8
 #: Edges (two numbers each) that one task handles.
@@ -173,7 +173,7 @@ def _rare_members(crowded: DataFrame, items: DataFrame, similarity: Similarity)
     member's count meets ``PARTS`` lists of the keys that hold it, not every key. ``left`` members follow from this one on:
     from the first that two sets share, all others they share come later in both. ``bits`` is the set's sketch.
     """
-    each = items.join(crowded.select("key"), "key").select("key", F.explode("item").alias("member"))
+    each = items.join(crowded.select("key"), "key").repartition("key").select("key", F.explode("item").alias("member"))
     parts = written(each.groupBy("member", F.pmod("key", F.lit(PARTS)).alias("part")).agg(F.collect_list("key").alias("keys")))
     counts = parts.groupBy("member").agg(F.sum(F.size("keys")).alias("sets"))
     counted = parts.join(counts, "member").repartition("member", "part").select(F.explode("keys").alias("key"), "sets", "member")
