@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import chunking, evaluation, retrieval
-from ..session import cut_lineage
+from ..session import cut_lineage, work_folder
 
 # fixed values: retrievers under comparison as (name, vector weight, text weight)
 RETRIEVERS = (("hybrid (RRF)", 1, 1), ("vector only", 1, 0), ("full-text only", 0, 1))
@@ -43,7 +43,10 @@ def chunk_size_scores(pages: DataFrame, questions: DataFrame, dims: int, sizes=(
         return F.concat_ws("/", F.col("max_tokens").cast("string"), F.col(column).cast("string"))
 
     swept = chunking.sweep_chunk_sizes(pages, sizes)
-    swept = cut_lineage(swept.withColumns({"scope": scoped("doc_id"), "chunk_id": scoped("chunk_id"), "embedding": V.hash_embedding(F.col("content"), dims)}))
+    swept = swept.withColumns({"scope": scoped("doc_id"), "chunk_id": scoped("chunk_id"), "embedding": V.hash_embedding(F.col("content"), dims)})
+    folder = work_folder(pages.sparkSession, "swept")  # compressed, and each branch reads its own columns
+    swept.write.parquet(folder)
+    swept = pages.sparkSession.read.schema(swept.schema).parquet(folder)
     counted = swept.groupBy("max_tokens", "scope").agg(F.count("*").alias("n")).groupBy("max_tokens").agg(
         F.sum("n").alias("chunks"), F.count("*").alias("documents"), F.avg("n").alias("mean_chunks")
     )
