@@ -48,10 +48,18 @@ def in_scope(category: Column, kind: Column) -> Column:
     )
 
 
-def category_matches(chunks: DataFrame, rules=RULES, text: str = "content") -> DataFrame:
-    """Chunk rows times categories with at least one matching pattern; literal patterns compile once."""
+def category_matches(chunks: DataFrame, rules=RULES, text: str = "content", scoped: bool = False) -> DataFrame:
+    """Chunk rows times categories with at least one matching pattern; literal patterns compile once.
+
+    With ``scoped`` only the categories that the chunk's ``kind`` is reviewed for are searched.
+    """
+
+    def matches(category: str, patterns) -> Column:
+        found = _matches(F.col(text), patterns)
+        return F.when(in_scope(F.lit(category), F.col("kind")), found) if scoped else found
+
     entries = [
-        F.struct(F.lit(i).alias("category_ord"), F.lit(c).alias("category"), _matches(F.col(text), p).alias("matches"))
+        F.struct(F.lit(i).alias("category_ord"), F.lit(c).alias("category"), matches(c, p).alias("matches"))
         for i, (c, _, _, p) in enumerate(rules)
     ]
     exploded = chunks.select("*", F.explode(F.filter(F.array(*entries), lambda e: e.matches > 0)).alias("m"))
@@ -61,7 +69,7 @@ def category_matches(chunks: DataFrame, rules=RULES, text: str = "content") -> D
 def find_candidates(chunks: DataFrame, rules=RULES, per_category: int = CANDIDATES_PER_CATEGORY) -> DataFrame:
     """Best chunks per document and category for ``chunks(doc_id, kind, chunk_index, …)``, numbered in rule
     order as ``candidate``."""
-    wanted = category_matches(chunks, rules).filter(in_scope(F.col("category"), F.col("kind")))
+    wanted = category_matches(chunks, rules, scoped=True)
     best = top_k(wanted, ["doc_id", "category_ord"], [F.desc("matches"), F.asc("chunk_index")], per_category)
     order = Window.partitionBy("doc_id").orderBy("category_ord", "rank")
     return best.withColumn("candidate", F.row_number().over(order))
@@ -89,13 +97,17 @@ def review_prompts(candidates: DataFrame, rules=RULES) -> DataFrame:
 def parse_reviews(responses: DataFrame) -> DataFrame:
     """``responses(doc_id, raw)`` plus ``reviews`` (null when malformed) and ``error``."""
     df = responses.selectExpr("*", f"{J.parse('raw')} AS _root")
+    # where every item's schema shows that it fits, the reviews are read in one step; the others are looked at closer
+    quick = settle(df.selectExpr("*", f"{J.quick_array('_root', 'reviews', REVIEW)} AS _quick"), ["_root", "_quick"])
     issues = J.array_issues("_root", "reviews", REVIEW)
-    checked = settle(df.selectExpr("*", f"coalesce(size({issues}) > 0, true) AS _bad"), ["_root", "_bad"])
-    return checked.selectExpr(
+    bad = f"CASE WHEN _quick IS NOT NULL THEN false ELSE coalesce(size({issues}) > 0, true) END"
+    checked = settle(quick.selectExpr("*", f"{bad} AS _bad"), ["_root", "_quick", "_bad"])
+    read = checked.selectExpr(
         *responses.columns,
-        f"CASE WHEN NOT _bad THEN {J.array_structs('_root', 'reviews', REVIEW)} END AS reviews",
+        f"CASE WHEN NOT _bad THEN coalesce(_quick, {J.array_structs('_root', 'reviews', REVIEW)}) END AS reviews",
         "CASE WHEN _bad THEN 'LLM_BAD_RESPONSE' END AS error",
     )
+    return settle(read, ["reviews", "error"])
 
 
 def resolve_reviews(parsed: DataFrame, candidates: DataFrame) -> DataFrame:
