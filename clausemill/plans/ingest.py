@@ -54,6 +54,8 @@ def ingest(
         pages = pages.join(known, "doc_id")
         source = F.col("source_type")
     quality = layout.page_quality(pages, source, max_pages)
+    if checkpoint:
+        quality = cut_lineage(quality)
     gated = layout.accepted_pages(pages.select("doc_id", "page", "text"), quality)
     chunked, placeholders, _ = mask_and_chunk(gated, **options)
     if checkpoint:
