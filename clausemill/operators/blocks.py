@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.plan import settle
 from .retrieval import query_terms, top_k
 
 #: Blocks of chunks of about one length; lengths of one class differ by less than a factor of 1.5.
@@ -27,7 +28,9 @@ def blocked_postings(chunks: DataFrame, parts: int = PARTS) -> DataFrame:
     counted = chunks.select("chunk_id", "chunk_index", X.lexemes("content").alias("lexemes"))
     length = F.floor(F.log(CLASS, F.greatest(F.size("lexemes"), F.lit(1)).cast("double"))).cast("int")
     block = length * parts + F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")
-    words = counted.select(block.alias("block"), "chunk_id", "chunk_index", F.explode("lexemes").alias("lexeme"))
+    # the block is made in front of the unfolding: behind it every word would carry all words of its chunk
+    placed = settle(counted.select("chunk_id", "chunk_index", "lexemes", block.alias("block")), ["lexemes", "block"])
+    words = placed.select("block", "chunk_id", "chunk_index", F.explode("lexemes").alias("lexeme"))
     return words.groupBy("block", "lexeme", "chunk_id", "chunk_index").agg(F.count(F.lit(1)).alias("tf"))
 
 
