@@ -19,27 +19,43 @@ NO_SPANS = f"CAST(array() AS {SPAN_TYPE})"
 TYPES = P.IDENTIFIER_TYPES
 
 
+#: Stands between the pieces of a searched text; a single character, so that it splits without an expression.
+MARK = "\u0001"
+
+
 def spans(text: str, pattern: str, kind: str, group: int = 0) -> str:
     """SQL text: all non-overlapping matches as ``struct(type, start, end, value)``, offsets from 0.
 
-    Spark's extract-all has no offsets: the pieces between matches give them, summed as the array grows.
-    A text without a match costs one search.
+    Spark's extract-all has no offsets. One search puts ``MARK`` around every match (and its group), and the lengths of the
+    pieces between marks give them, summed as the array grows. A text that holds ``MARK`` itself is cut by the pattern.
     """
     p = J.quoted(pattern)
+    one = f"named_struct('type', '{kind}', 'start', a.pos + i.lead, 'end', a.pos + i.lead + length(i.value), 'value', i.value)"
+
+    def walk(items: str) -> str:
+        return (
+            f"aggregate({items}, named_struct('pos', 0, 'found', {NO_SPANS}), "
+            f"(a, i) -> named_struct('pos', a.pos + i.advance, 'found', concat(a.found, array({one}))), a -> a.found)"
+        )
+
+    def item(gap: str, hit: str, value: str) -> str:
+        lead = f"length({gap})" + ("" if group == 0 else f" + instr({hit}, {value}) - 1")
+        return f"named_struct('lead', {lead}, 'advance', length({gap}) + length({hit}), 'value', {value})"
+
+    step = 2 if group == 0 else 3
+    places = f"sequence(0, size(pieces) - 2, {step})"
+    marked = walk(f"transform({places}, k -> {item('pieces[k]', 'pieces[k + 1]', f'pieces[k + {step - 1}]')})")
+    # most texts with a match have one, which needs no sums
+    lead, value = "length(pieces[0])" + ("" if group == 0 else " + instr(pieces[1], pieces[2]) - 1"), f"pieces[{step - 1}]"
+    single = f"array(named_struct('type', '{kind}', 'start', {lead}, 'end', {lead} + length({value}), 'value', {value}))"
+    found = f"CASE size(pieces) WHEN 1 THEN {NO_SPANS} WHEN {step + 1} THEN {single} ELSE {marked} END"
+    around = f"{MARK}$0{MARK}" if group == 0 else f"{MARK}$0{MARK}${group}{MARK}"
+    cut = J.let(f"split(regexp_replace({text}, {p}, '{around}'), '{MARK}', -1)", "pieces", f"CASE WHEN pieces IS NULL THEN {NO_SPANS} ELSE {found} END")
     values = "hits" if group == 0 else f"regexp_extract_all({text}, {p}, {group})"
-    item = (
-        f"zip_with(zip_with(slice(split({text}, {p}, -1), 1, size(hits)), hits, (g, m) -> named_struct('gap', g, 'hit', m)), "
-        f"{values}, (w, v) -> named_struct('lead', length(w.gap) + instr(w.hit, v) - 1, "
-        "'advance', length(w.gap) + length(w.hit), 'value', v))"
-    )
-    one = (
-        f"named_struct('type', '{kind}', 'start', a.pos + i.lead, 'end', a.pos + i.lead + length(i.value), 'value', i.value)"
-    )
-    walk = (
-        f"aggregate({item}, named_struct('pos', 0, 'found', {NO_SPANS}), "
-        f"(a, i) -> named_struct('pos', a.pos + i.advance, 'found', concat(a.found, array({one}))), a -> a.found)"
-    )
-    return J.let(f"regexp_extract_all({text}, {p}, 0)", "hits", f"CASE WHEN size(hits) > 0 THEN {walk} ELSE {NO_SPANS} END")
+    gaps = f"zip_with(slice(split({text}, {p}, -1), 1, size(hits)), hits, (g, m) -> named_struct('gap', g, 'hit', m))"
+    plain = walk(f"zip_with({gaps}, {values}, (w, v) -> {item('w.gap', 'w.hit', 'v')})")
+    plain = J.let(f"regexp_extract_all({text}, {p}, 0)", "hits", f"CASE WHEN size(hits) > 0 THEN {plain} ELSE {NO_SPANS} END")
+    return f"CASE WHEN contains({text}, '{MARK}') THEN {plain} ELSE {cut} END"
 
 
 def digits_of(value: Column) -> Column:
@@ -68,11 +84,15 @@ def resolve_overlaps(candidates: str) -> str:
         f"sort_array(transform({candidates}, x -> named_struct('start', x.start, 'neg_end', -x.`end`, "
         f"'ord', array_position(array({order}), x.type), 'span', x)))"
     )
-    return (
-        f"aggregate({ranked}, named_struct('cursor', -1, 'found', {NO_SPANS}), "
+    walked = (
+        f"aggregate(ranked, named_struct('cursor', -1, 'found', {NO_SPANS}), "
         "(a, x) -> CASE WHEN x.start < a.cursor THEN a ELSE "
         "named_struct('cursor', x.span.`end`, 'found', concat(a.found, array(x.span))) END, a -> a.found)"
     )
+    # where no span starts inside the one before it, all stay
+    apart = "forall(sequence(1, size(ranked) - 1), k -> ranked[k].start >= -ranked[k - 1].neg_end)"
+    kept = f"CASE WHEN size(ranked) < 2 OR {apart} THEN ranked.span ELSE {walked} END"
+    return J.let(ranked, "ranked", kept)
 
 
 def detect(text: str = "text") -> Column:

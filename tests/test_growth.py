@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -70,3 +71,46 @@ def test_recall_is_counted_over_the_chunks_of_all_documents(spark):
 def test_summaries_search_notes_once(spark, capsys):
     QUERIES["map_summaries_m16"](spark, FOLDER).explain()
     assert "regexp_extract_all" not in capsys.readouterr().out
+
+
+WS = P.WS
+#: The detectors as they are defined, whatever form is searched for.
+DEFINED = {
+    "EMAIL": (P.EMAIL, 0),
+    "PAN": (r"(?<![A-Z0-9])[A-Z]{3}[ABCFGHLJPT][A-Z]\d{4}[A-Z](?![A-Z0-9])", 0),
+    "IFSC": (r"(?<![A-Z0-9])[A-Z]{4}0[A-Z0-9]{6}(?![A-Z0-9])", 0),
+    "AADHAAR": (rf"(?<![\d-])[2-9]\d{{3}}(?:{WS}|-)?\d{{4}}(?:{WS}|-)?\d{{4}}(?![\d-])", 0),
+    "ACCOUNT": (rf"(?i)(?:account|a/c|acct)\.?{WS}*(?:number|num|no\.?|#)?{WS}*[:\-]?{WS}*(\d(?:\d|-|{WS}){{7,24}}\d)(?!\d)", 1),
+    "PHONE": (rf"(?<![\d.])(?:\+91(?:{WS}|-)?|0)?[6-9]\d{{4}}(?:{WS}|-)?\d{{5}}(?![\d.])", 0),
+}
+SEARCHED = {"EMAIL": P.EMAIL_SEARCH, "PAN": P.PAN, "IFSC": P.IFSC, "AADHAAR": P.AADHAAR, "ACCOUNT": P.ACCOUNT, "PHONE": P.PHONE}
+
+
+@pytest.mark.parametrize("kind", list(DEFINED))
+def test_detectors_find_what_they_are_defined_by(spark, kind):
+    pieces = [
+        "ABCPA1234B", "XABCPA1234B", "ABCPA1234BC", "HDFC0001234", "9HDFC0001234", "531872046912", "5318 7204-6912", "-531872046912",
+        "5318 7204　6912", "Account No: 5020 0111 2223 3", "A/C 110022334455", "acct.#123456789", "aCCt 12345678", "9820144710", "+91 98201 44710",
+        "+91-81234-56780", "09876543210", ".9820144710", "+9820144710", "a@b.com", "é.x+y@a-b.co.in", "\U0001f600", "\u0001", "", " ", "\n", "₹",
+    ]
+    picked = random.Random(7)
+    texts = [joint.join(picked.choice(pieces) for _ in range(picked.randint(0, 6))) for joint in ["", " ", ",", "\u0001"] for _ in range(120)]
+    pattern, group = DEFINED[kind]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    for r in rows.select("text", F.expr(privacy.spans("text", SEARCHED[kind], kind, group)).alias("s")).collect():
+        found = re.finditer(pattern, r["text"] or "", re.ASCII)
+        assert [(s["start"], s["end"], s["value"]) for s in r["s"]] == [(*m.span(group), m[group]) for m in found], r["text"]
+
+
+def test_spans_are_searched_once_and_cut_at_a_mark(spark):
+    rows = spark.createDataFrame([("ABCPA1234B",)], "text string")
+    plan = rows.select(F.expr(privacy.spans("text", P.PAN, "PAN")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    # only a text that holds the mark itself is searched for its matches and cut by the expression
+    assert plan.count("split(regexp_replace(text") == 1 and "WHEN Contains(text" in plan
+    assert plan.index("regexp_extract_all") < plan.index("ELSE")
+
+
+def test_spans_apart_and_over_each_other(spark):
+    text = "account no 531872046912, 9820144710; ABCPA1234B account 9820144710"
+    [r] = spark.createDataFrame([(text,)], "text string").select(privacy.detect("text").alias("s")).collect()
+    assert [(s["type"], s["value"]) for s in r["s"]] == [("AADHAAR", "531872046912"), ("PHONE", "9820144710"), ("PAN", "ABCPA1234B"), ("ACCOUNT", "9820144710")]
