@@ -24,6 +24,12 @@ MAX_CELLS, PER_CELL, SAMPLE_BYTES = 4096, 64, 64 << 20
 ROUNDS = 8
 #: Sampled vectors that are asked for their neighbours among the sample, and the share of those that must be in the cells.
 ASKED, WANTED = 256, 0.96
+#: Vectors on a shelf and queries in a block, which meet as two matrices; rows of a block that are measured at once.
+SHELF, BLOCK, SLICE = 4096, 8192, 512
+#: Distances that are nearer than this may change places when they are rounded.
+NEAR = 4e-12
+#: Above all distances: vectors without one come last, by their place.
+LAST = 1e100
 
 
 @dataclass(frozen=True)
@@ -110,18 +116,130 @@ def assign(chunks: DataFrame, cells: Cells, embedding: str = "embedding") -> Dat
     return chunks.withColumn("cell", F.get(cells_of(F.col(embedding), cells), 0)).filter("cell IS NOT NULL")
 
 
-def candidates(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """``query_id``, ``vector`` and the vectors of the cells each query looks into."""
+def _sizes(assigned: DataFrame, cells: Cells) -> np.ndarray:
     sizes = np.zeros(len(cells.centres), np.int64)
     for row in assigned.groupBy("cell").count().collect():  # a row per cell
         sizes[row["cell"]] = row["count"]
+    return sizes
+
+
+def candidates(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """``query_id``, ``vector`` and the vectors of the cells each query looks into."""
+    sizes = _sizes(assigned, cells)
     asked = queries.select("query_id", "vector", F.explode(cells_of(F.col("vector"), cells, sizes=sizes, least=k)).alias("cell"))
     return asked.join(assigned.select("cell", "chunk_id", "chunk_index", "embedding"), "cell")
 
 
+def _shelves(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shelf of every cell and on how many shelves it lies: small cells share one, large ones have several."""
+    first, count, at, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for cell, size in enumerate(sizes.tolist()):
+        if held and held + size > SHELF:
+            at, held = at + 1, 0
+        first[cell], count[cell] = at, max(1, -(-size // SHELF))
+        at, held = at + count[cell] - 1, held + size if count[cell] == 1 else SHELF
+    return first, count
+
+
+def _by_shelf(looked: Column, first: np.ndarray, count: np.ndarray) -> Column:
+    """The cells a query looks into, as a list of shelves with those of their cells."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType().add("shelf", T.LongType()).add("cells", T.ArrayType(T.IntegerType()))))
+    def dealt(lists: pa.Array) -> pa.Array:
+        out = []
+        for row in lists.to_pylist():
+            found: dict[int, list[int]] = {}
+            for cell in row:
+                for shelf in range(first[cell], first[cell] + count[cell]):
+                    found.setdefault(shelf, []).append(cell)
+            out.append([{"shelf": shelf, "cells": held} for shelf, held in found.items()])
+        return pa.array(out, pa.list_(pa.struct([("shelf", pa.int64()), ("cells", pa.list_(pa.int32()))])))
+
+    return dealt(looked)
+
+
+def _matrix(vectors: pa.ChunkedArray, rows: int) -> np.ndarray:
+    flat = vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(rows, -1).astype(np.float64)
+
+
+def _once(values: np.ndarray, cell: np.ndarray, k: int) -> np.ndarray:
+    """Of rows in order, those that are not preceded by ``k`` equal ones: no further one can be among the ``k`` nearest."""
+    same = np.unique(np.ascontiguousarray(values).view(np.dtype((np.void, values.shape[1] * values.itemsize))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((cell, same))
+    starts = np.r_[True, (np.diff(same[order]) != 0) | (np.diff(cell[order]) != 0)]
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(starts, np.arange(len(order)), 0))
+    return np.sort(order[place < k])
+
+
+def nearest(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """The ``k`` nearest vectors of a shelf for each query of a block, of those in the query's cells.
+
+    One product of two matrices gives all distances nearly; what may be among the ``k`` nearest is measured exactly.
+    """
+    empty = pa.table([asked["query_id"].slice(0, 0), held["chunk_id"].slice(0, 0), held["chunk_index"].slice(0, 0), pa.array([], pa.float64())], ["query_id", "chunk_id", "chunk_index", "distance"])
+    if not asked.num_rows or not held.num_rows:
+        return empty
+    held = held.sort_by("chunk_index")
+    nulls = held["chunk_index"].null_count  # last here, first in the ranking
+    held = pa.concat_tables([held.slice(held.num_rows - nulls), held.slice(0, held.num_rows - nulls)]) if nulls else held
+    values, cell = _matrix(held["embedding"], held.num_rows), held["cell"].to_numpy()
+    kept = _once(values, cell, k)
+    held, values, cell = held.take(pa.array(kept)), values[kept], cell[kept]
+    questions = _matrix(asked["vector"], asked.num_rows)
+    # equal chunk indexes have one place
+    place = np.unique(np.array([(0, 0) if i is None else (1, i) for i in held["chunk_index"].to_pylist()]), axis=0, return_inverse=True)[1].ravel()
+    last, undirected = LAST * (1.0 + place / (1 + len(place))), ~(np.abs(values).sum(1) > 0)
+    unit, in_cell = _unit(values), {int(c): np.flatnonzero(cell == c) for c in np.unique(cell)}
+    parts = []
+    for begin in range(0, len(questions), SLICE):
+        x = questions[begin : begin + SLICE]
+        about = np.where(undirected, last, 1.0 - _unit(x) @ unit.T)
+        about = np.where(np.isnan(about) | ~(np.abs(x).sum(1) > 0)[:, None], last, about)
+        looked = np.zeros((len(x), int(cell.max()) + 1), bool)
+        lists = asked["cells"].slice(begin, SLICE).combine_chunks()
+        at, which = np.repeat(np.arange(len(x)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        inside = which < looked.shape[1]
+        looked[at[inside], which[inside]] = True
+        for c, columns in in_cell.items():
+            about[np.ix_(~looked[:, c], columns)] = np.inf
+        bound = np.partition(about, k - 1, axis=1)[:, k - 1] if k < about.shape[1] else np.full(len(x), LAST * 3)
+        row, column = np.nonzero((about <= bound[:, None] + NEAR) & np.isfinite(about))
+        distance = V.distances(x[row], values[column])
+        order = np.lexsort((place[column], np.where(np.isnan(distance), np.inf, distance), row))
+        row, column, distance = row[order], column[order], distance[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        parts.append((row[rank < k] + begin, column[rank < k], distance[rank < k]))
+    row, column, distance = (np.concatenate(x) for x in zip(*parts))
+    found = held.take(pa.array(column))
+    return pa.table(
+        [asked["query_id"].take(pa.array(row)), found["chunk_id"], found["chunk_index"], pa.array(distance, mask=np.isnan(distance))], empty.column_names
+    )
+
+
 def search(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int) -> DataFrame:
     """The ``k`` nearest of the vectors in the cells that each query looks into: ``query_id``, ``chunk_id``,
-    ``chunk_index``, ``distance``, ``rank``. The scope is the whole table, for every query."""
-    pairs = candidates(assigned, queries, cells, k)
-    measured = pairs.select("query_id", "chunk_id", "chunk_index", V.cosine_distance(F.col("vector"), F.col("embedding")).alias("distance"))
+    ``chunk_index``, ``distance``, ``rank``. The scope is the whole table, for every query.
+
+    Vectors lie on shelves of about ``SHELF``, by cell, queries in blocks of about ``BLOCK``. Every block meets every shelf
+    that its queries look into in one task, where the distances are products of matrices; ``k`` rows per query and shelf
+    leave it. So pairs are not rows, and memory is bounded by a block and a shelf.
+    """
+    sizes = _sizes(assigned, cells)
+    first, count = _shelves(sizes)
+    blocks = max(1, -(-queries.count() // BLOCK))
+    looked = _by_shelf(cells_of(F.col("vector"), cells, sizes=sizes, least=k), first, count)
+    asked = queries.select("query_id", "vector", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), F.explode(looked).alias("s"))
+    asked = asked.select("query_id", "vector", "block", "s.shelf", "s.cells")
+    spread = F.pmod(F.xxhash64("chunk_id", "chunk_index"), F.get(F.lit(count.tolist()), F.col("cell")))
+    shelf = (F.get(F.lit(first.tolist()), F.col("cell")) + spread).alias("shelf")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    held = assigned.select("cell", "chunk_id", "chunk_index", "embedding", shelf, every)
+    types = {f.name: f.dataType for f in [*queries.schema, *assigned.schema]}
+    schema = T.StructType([T.StructField(c, types[c]) for c in ("query_id", "chunk_id", "chunk_index")]).add("distance", T.DoubleType())
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return nearest(left, right, k)
+
+    measured = asked.groupBy("block", "shelf").cogroup(held.groupBy("block", "shelf")).applyInArrow(meet, schema)
     return top_k(measured, ["query_id"], [F.asc_nulls_last("distance"), F.asc("chunk_index")], k)
