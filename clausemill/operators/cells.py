@@ -25,7 +25,7 @@ ROUNDS = 8
 #: Sampled vectors that are asked for their neighbours among the sample, and the share of those that must be in the cells.
 ASKED, WANTED = 256, 0.96
 #: Vectors on a shelf and queries in a block, which meet as two matrices; rows of a block that are measured at once.
-SHELF, BLOCK, SLICE = 4096, 8192, 512
+SHELF, BLOCK, SLICE = 16384, 4096, 256
 #: Distances that are nearer than this may change places when they are rounded.
 NEAR = 4e-12
 #: Above all distances: vectors without one come last, by their place.

@@ -36,7 +36,7 @@ def test_blocks_and_shelves_find_the_same(spark, monkeypatch, k):
 
 
 def test_shelves_hold_bounded_parts_of_cells():
-    sizes = np.array([0, 4096, 5, 4090, 2, 9000, 1])
+    sizes = np.array([0, cells.SHELF, 5, cells.SHELF - 6, 2, 2 * cells.SHELF + 9, 1])
     first, count = cells._shelves(sizes)
     assert first.tolist() == [0, 0, 1, 1, 2, 3, 6] and count.tolist() == [1, 1, 1, 1, 1, 3, 1]
 
