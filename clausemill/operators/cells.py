@@ -123,10 +123,14 @@ def _sizes(assigned: DataFrame, cells: Cells) -> np.ndarray:
     return sizes
 
 
-def candidates(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int) -> DataFrame:
-    """``query_id``, ``vector`` and the vectors of the cells each query looks into."""
+def candidates(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int, counted: bool = False) -> DataFrame:
+    """``query_id``, ``vector`` and the vectors of the cells each query looks into; ``counted`` instead ``cell`` and how many
+    ``pairs`` a cell gives, as queries and vectors that are counted before they meet: pairs grow with the square of the table."""
     sizes = _sizes(assigned, cells)
     asked = queries.select("query_id", "vector", F.explode(cells_of(F.col("vector"), cells, sizes=sizes, least=k)).alias("cell"))
+    if counted:
+        both = asked.groupBy("cell").agg(F.count("*").alias("asked")).join(assigned.groupBy("cell").agg(F.count("*").alias("held")), "cell")
+        return both.select("cell", (F.col("asked") * F.col("held")).alias("pairs"))
     return asked.join(assigned.select("cell", "chunk_id", "chunk_index", "embedding"), "cell")
 
 
@@ -243,3 +247,60 @@ def search(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int) -> Dat
 
     measured = asked.groupBy("block", "shelf").cogroup(held.groupBy("block", "shelf")).applyInArrow(meet, schema)
     return top_k(measured, ["query_id"], [F.asc_nulls_last("distance"), F.asc("chunk_index")], k)
+
+
+def _of_width(table: pa.Table, name: str, width: int) -> pa.Table:
+    """``table`` with all vectors of one size; of others the distance is unknown, as it is of one without a direction."""
+    vectors = table[name].combine_chunks()
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    same, matrix = np.flatnonzero(sizes == width), np.zeros((table.num_rows, width))
+    if len(same):
+        matrix[same] = vectors.take(pa.array(same)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    offsets = np.arange(0, table.num_rows * width + 1, width, dtype=np.int32)
+    return table.set_column(table.column_names.index(name), name, pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel())))
+
+
+def nearest_of_all(asked: pa.Table, held: pa.Table, k: int) -> pa.Table:
+    """As :func:`nearest` among all vectors of the shelf, whatever the sizes of the vectors."""
+    asked = asked.append_column("cells", pa.array([[0]] * asked.num_rows, pa.list_(pa.int32())))
+    held = held.append_column("cell", pa.array(np.zeros(held.num_rows, np.int32)))
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(asked["vector"]), 0).to_numpy()
+    parts = [
+        nearest(_of_width(asked.take(pa.array(np.flatnonzero(sizes == size))), "vector", max(1, size)), _of_width(held, "embedding", max(1, size)), k)
+        for size in np.unique(sizes).tolist()
+    ]
+    return pa.concat_tables(parts) if parts else nearest(asked, held, k)
+
+
+def search_all(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """What :func:`.retrieval.vector_search` finds, for scopes of many queries and many vectors: ``query_id``, ``chunk_id``,
+    ``chunk_index``, ``distance``, ``rank``.
+
+    A scope's vectors are dealt over shelves of about ``SHELF`` and its queries over blocks of about ``BLOCK``. Every block
+    meets every shelf of its scope in one task as two matrices, and ``k`` rows per query leave it: all distances are
+    measured, but pairs are not rows, and memory is bounded by a block and a shelf.
+    """
+    held = chunks.filter(F.col("embedding").isNotNull())
+
+    def parts(rows: DataFrame, size: int, name: str) -> DataFrame:
+        return rows.groupBy("doc_id").agg(F.ceil(F.count("*") / F.lit(size)).cast("long").alias(name))
+
+    def dealt(key: Column, name: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(name))
+
+    def every(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+
+    scopes = parts(queries, BLOCK, "blocks").join(parts(held, SHELF, "shelves"), "doc_id")
+    asked = queries.join(scopes, "doc_id").select("doc_id", "query_id", "vector", dealt(F.struct("query_id", "vector"), "blocks").alias("block"), every("shelves").alias("shelf"))
+    on_shelf = dealt(F.struct("chunk_id", "chunk_index"), "shelves").alias("shelf")
+    found = held.join(scopes, "doc_id").select("doc_id", "chunk_id", "chunk_index", "embedding", on_shelf, every("blocks").alias("block"))
+    types = {f.name: f.dataType for f in [*queries.schema, *chunks.schema]}
+    schema = T.StructType([T.StructField(c, types[c]) for c in ("query_id", "chunk_id", "chunk_index")]).add("distance", T.DoubleType())
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return nearest_of_all(left, right, k)
+
+    keys = ["doc_id", "block", "shelf"]
+    measured = asked.groupBy(*keys).cogroup(found.groupBy(*keys)).applyInArrow(meet, schema)
+    return top_k(measured, ["query_id"], [F.asc_nulls_last("distance"), F.asc("chunk_index")], k)
