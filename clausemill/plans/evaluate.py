@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import chunking, evaluation, retrieval
-from ..session import cut_lineage, work_folder
+from ..session import work_folder
 
 # fixed values: retrievers under comparison as (name, vector weight, text weight)
 RETRIEVERS = (("hybrid (RRF)", 1, 1), ("vector only", 1, 0), ("full-text only", 0, 1))
@@ -17,19 +17,27 @@ TOP_K = 8
 def retriever_scores(chunks: DataFrame, questions: DataFrame, dims: int) -> DataFrame:
     """``(retriever, recall_1, recall_4, recall_8, mrr)`` for ``questions(query_id, doc_id, question, pages)``.
 
-    Both candidate lists are searched once; each retriever is a weighting of them.
+    Both candidate lists are searched once; each retriever is a weighting of them. A question is one of its own for every
+    retriever, so that all are fused, ranked and scored at once and nothing is written between.
     """
+
+    own = F.concat(F.col("no").cast("string"), F.lit("/"), F.col("query_id").cast("string"))
     queries = questions.withColumn("vector", V.hash_embedding(F.col("question"), dims))
-    lists = cut_lineage(retrieval.candidate_lists(chunks, queries, retrieval.candidate_count(TOP_K)))
-    out = None
-    for name, *given in RETRIEVERS:
-        weight = F.get(F.lit([float(g) for g in given]), F.when(F.col("source") == "vector", 0).otherwise(1))
-        hits = retrieval.fused_top_k(lists.withColumn("weight", weight), TOP_K).withColumnRenamed("id", "chunk_id")
-        found = hits.join(chunks.select("chunk_id", "page_start", "page_end"), "chunk_id")
-        scores = evaluation.retrieval_scores(evaluation.first_hits(questions.select("query_id", "pages"), found))
-        scores = scores.withColumn("retriever", F.lit(name))
-        out = scores if out is None else out.unionByName(scores)
-    return out
+    lists = retrieval.candidate_lists(chunks, queries, retrieval.candidate_count(TOP_K))
+    weights = [
+        F.struct(F.lit(no).alias("no"), F.when(F.col("source") == "vector", float(vector)).otherwise(float(text)).alias("weight"))
+        for no, (_, vector, text) in enumerate(RETRIEVERS)
+    ]
+    weighted = lists.drop("weight").select("*", F.inline(F.array(*weights))).withColumn("query_id", own).drop("no")
+    hits = retrieval.fused_top_k(weighted, TOP_K).withColumnRenamed("id", "chunk_id")
+    found = hits.join(chunks.select("chunk_id", "page_start", "page_end"), "chunk_id")
+    numbers = F.explode(F.array(*[F.lit(no) for no in range(len(RETRIEVERS))]))
+    # a question without an id counts, and no hit is its own
+    named = F.coalesce(own, F.col("no").cast("string"))
+    expected = questions.select("query_id", "pages", numbers.alias("no")).select(named.alias("query_id"), "pages")
+    first = evaluation.first_hits(expected, found).withColumn("no", F.substring_index("query_id", "/", 1).cast("int"))
+    names = chunks.sparkSession.createDataFrame([(no, name) for no, (name, *_) in enumerate(RETRIEVERS)], "no int, retriever string")
+    return names.join(evaluation.retrieval_scores(first, ["no"]), "no", "left").drop("no")
 
 
 def chunk_size_scores(pages: DataFrame, questions: DataFrame, dims: int, sizes=(200, 400, 800)) -> DataFrame:
