@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import QUERIES
 from clausemill.operators import blocks
 from clausemill.operators.retrieval import query_terms
 
@@ -54,3 +55,24 @@ def test_empty_corpus(spark):
     _, _, chunks, asked = corpus(spark, 5, 2)
     postings = blocks.blocked_postings(chunks.limit(0))
     assert blocks.search(postings, blocks.block_bounds(postings), asked, 3).count() == 0
+
+
+def test_only_asked_lexemes_are_posted(spark):
+    rows, questions, chunks, asked = corpus(spark, 6)
+    few = asked.limit(3)
+    postings = blocks.blocked_postings(chunks, parts=3, queries=few)
+    words = {w for _, question in questions[:3] for w in question.split()}
+    assert {r["lexeme"] for r in postings.select("lexeme").distinct().collect()} == words & set(WORDS)
+    every = blocks.blocked_postings(chunks, parts=3)
+    assert sorted(map(str, every.join(postings.select("lexeme").distinct(), "lexeme").select(postings.columns).collect())) == sorted(map(str, postings.collect()))
+    got = blocks.search(postings, blocks.block_bounds(postings), few, 7, 1).collect()
+    assert sorted((r["query_id"], r["chunk_index"], r["score"], r["rank"]) for r in got) == expected(rows, questions[:3], 7)
+
+
+def test_postings_are_kept_by_columns(spark, monkeypatch):
+    """The corpus is not posted in full, and not written as rows."""
+    held = []
+    search = blocks.search
+    monkeypatch.setattr(blocks, "search", lambda postings, *a: held.append(postings) or search(postings, *a))
+    assert QUERIES["benchmark_text_search_r7"](spark, "/root/testdata/sf0.001").count() > 0
+    assert "parquet" in held[0]._jdf.queryExecution().executedPlan().toString().lower()
