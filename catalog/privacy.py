@@ -194,7 +194,7 @@ def masked_documents(spark, d):
 def unmasked(spark, d):
     """Masked notes, some with dropped brackets or a placeholder inside a longer token, put back."""
     pages = notes(spark, d).select("doc_id", "page", "text")
-    masked, numbered, _ = privacy.mask_documents(pages)
+    masked, numbered, _ = privacy.mask_documents(pages, kept=True)
     shown = F.replace(
         F.replace("text", F.lit("PAN [PAN_1]"), F.lit("PAN PAN_1")), F.lit("IFSC [IFSC_1]"), F.lit("XIFSC_1")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonspec as J
 from ..functions import patterns as P
 from ..functions.checkdigit import valid_sql
-from ..session import cut_lineage
+from ..session import keep
 
 SPAN_TYPE = "array<struct<type:string,start:int,end:int,value:string>>"
 NO_SPANS = f"CAST(array() AS {SPAN_TYPE})"
@@ -200,16 +200,20 @@ def type_counts(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mask_documents(
-    pages: DataFrame, keys: list[str] | None = None, order: str = "page", seeds: DataFrame | None = None
+    pages: DataFrame, keys: list[str] | None = None, order: str = "page", seeds: DataFrame | None = None, kept: bool = False
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(masked pages, placeholder table, spans)`` with one numbering per document.
 
-    Texts are searched once: the spans, a few short values per page, are written to the shared checkpoint folder.
+    Texts are searched once: the spans, a few short values per page, are written to the shared checkpoint folder, by columns.
+    So are, where they are ``kept``, placeholders and masked pages, for results that several branches read.
     """
     keys = keys or ["doc_id"]
-    found = cut_lineage(explode_spans(pages, keys, order))
+    found = keep(explode_spans(pages, keys, order), "spans")
     placeholders = number_placeholders(found, keys, order, seeds)
-    return apply_placeholders(pages, place(found, placeholders, keys), keys, order), placeholders, found
+    if kept:
+        placeholders = keep(placeholders, "placeholders")
+    masked = apply_placeholders(pages, place(found, placeholders, keys), keys, order)
+    return keep(masked, "masked") if kept else masked, placeholders, found
 
 
 #: A placeholder in brackets anywhere, or without them as a whole token.
